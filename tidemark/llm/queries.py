@@ -16,8 +16,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash_dedup import minhash_dedup
+
+    return minhash_dedup(common.table(spark, sf_dir, "documents"), shingle=3, similarity="0.85")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import secret_scan
+
+    return secret_scan(common.table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup,)
+    f.__name__: f for f in (op5_substring_dedup, op7_minhash_dedup, op8_secret_scan)
 }
 
 SQL: dict[str, str] = {}
