@@ -63,3 +63,16 @@ def store(df: DataFrame) -> DataFrame:
 def repeated(keys: DataFrame, *cols: str, weight: str = "n") -> DataFrame:
     """Key tuples whose weights add up to two or more. Sums start in the map tasks, so a hot key is cheap."""
     return keys.groupBy(*cols).agg(F.sum(weight).alias("total")).where("total >= 2").select(*cols)
+
+
+def commonest(df: DataFrame, bound: int, least: int = 1, n: str = "n") -> DataFrame:
+    """Rows whose count is above a level that keeps at most `bound` of them; a histogram names the level."""
+    df = df.where(F.col(n) >= least)
+    level = F.floor(F.log2(n) * 8).cast("int")
+    hist = sorted(((r.level, r.m) for r in df.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    total, lowest = 0, None
+    for lv, m in hist:
+        if total + m > bound:
+            break
+        total, lowest = total + m, lv
+    return df.where(level >= lowest) if lowest is not None else df.limit(0)

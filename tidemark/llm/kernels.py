@@ -166,3 +166,35 @@ def signed(x: np.ndarray) -> pa.Array:
 def combine(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each occurs."""
     return np.unique(keys, return_counts=True)
+
+
+def tallies(pieces: Iterator[np.ndarray], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of many pieces with their counts, combined within bounded memory."""
+    keys, counts, held = [], [], 0
+    for piece in pieces:
+        k, c = combine(piece)
+        keys.append(k)
+        counts.append(c)
+        held += len(k)
+        if held > most:
+            k, c = _merged(keys, counts)
+            if len(k) > most // 2:
+                yield k, c
+                keys, counts, held = [], [], 0
+            else:
+                keys, counts, held = [k], [c], len(k)
+    if held:
+        yield _merged(keys, counts)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of each x in sorted_keys, -1 where it isn't there."""
+    if not len(sorted_keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == x, at, -1)

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import common
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import substring_dedup
 
@@ -16,6 +22,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minhash_dedup import minhash_dedup
 
@@ -28,8 +40,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(common.table(spark, sf_dir, "documents")).drop("found")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm_score import lm_score
+
+    return lm_score(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup, op7_minhash_dedup, op8_secret_scan)
+    f.__name__: f for f in (op1_quality, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op10_lm_score)
 }
 
 SQL: dict[str, str] = {}
