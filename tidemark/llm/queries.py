@@ -15,6 +15,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(common.table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import substring_dedup
 
@@ -40,14 +46,26 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(common.table(spark, sf_dir, "documents")).drop("found")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import decontaminate
+
+    return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lm_score import lm_score
 
     return lm_score(common.table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op10_lm_score)
+    f.__name__: f for f in (op1_quality, op2_mixing, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, pipeline)
 }
 
 SQL: dict[str, str] = {}
