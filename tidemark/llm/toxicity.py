@@ -188,7 +188,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 8_000, max_ordinary: int = 16_000,
+    docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 4_000, max_ordinary: int = 8_000,
     segment: int = 8, threshold: float = 0.5, max_types: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
@@ -216,7 +216,12 @@ def toxicity(
     t = sample.where(part == 0).mapInArrow(_scorer(None, segment, False, shared), "y long, " + ", ".join(f"x{j} double" for j in range(N_FEATURES))).toArrow()
     x = np.column_stack([t.column(f"x{j}").to_numpy() for j in range(N_FEATURES)])
     y = t.column("y").to_numpy().astype(float)
-    model.curve = logistic(x, y) if len(set(y)) == 2 else np.array([0.0, *[1.0] * N_FEATURES])
+    if len(set(y)) == 2:
+        model.curve = logistic(x, y)
+        odds = y.mean() / (1 - y.mean())  # of the sample; the labels' own odds take their place
+        model.curve[0] += np.log(count[1] / count[0]) - np.log(odds)
+    else:
+        model.curve = np.array([-1.0, *[1.0] * N_FEATURES])
     shared = spark.sparkContext.broadcast(model)
     scored = docs.mapInArrow(_scorer(None, segment, True, shared), "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
