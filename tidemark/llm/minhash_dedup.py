@@ -6,10 +6,12 @@
 3. Star round: in each band bucket every class is paired with the bucket's smallest id. Pairs whose
    signatures are far apart (over four standard deviations below the threshold) go; the others are
    confirmed on the full sets. Confirmed pairs give first components.
-4. Cross round: in buckets that still hold several components, pairs of classes from different
-   components are compared unless their shared-shingle counts rule the link out: with c_x of its n_x
-   shingles present in another such class, |x & y| <= min(c_x, c_y). The test stands in the join's
-   condition, so ruled-out pairs are never rows. Signatures and full sets decide on the rest.
+4. Cross round: in buckets that still hold several components, classes from different components are
+   compared unless their shared-shingle counts rule the link out: with c_x of its n_x shingles present
+   in another such class, |x & y| <= min(c_x, c_y). Buckets of up to `small` classes give pairs (at
+   most `small` a class), checked as above. Larger ones are cut into blocks of `block` classes; a task
+   gets two blocks with their full sets, counts all intersections by a product of incidence matrices
+   and returns a spanning forest of the links, never pairs.
 5. Components of all confirmed links.
 
 A pair inside one component needs no test, since only components are asked for; so a group of m
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,18 +118,56 @@ def _confirm(over: int, under: int):
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, share: Fraction, slack: float) -> DataFrame:
+def _forest(over: int, under: int, columns: int = 4096):
+    """Links between components within a group of classes: a spanning forest of all of them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("doc_id")
+        ids, comp, n = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, slot, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        held = times[slot] > 1
+        owner, slot = owner[held], np.unique(slot[held], return_inverse=True)[1]
+        order = np.argsort(slot, kind="stable")
+        owner, slot = owner[order], slot[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(slot[-1]) + 1 if len(slot) else 0, columns):
+            lo, hi = np.searchsorted(slot, (at, at + columns))
+            x = np.zeros((len(sets), columns), np.float32)
+            x[owner[lo:hi], slot[lo:hi] - at] = 1
+            both += x @ x.T
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        linked = (both > 0) & (under * both.astype(np.int64) >= over * (n[:, None] + n[None, :] - both.astype(np.int64)))
+        linked &= comp[:, None] != comp[None, :]
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked))):
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _links(pairs: DataFrame, known: DataFrame, share: Fraction, slack: float) -> DataFrame:
     """The pairs (a, b) of class ids that are linked."""
-    at = lambda t, c, x, y: t.select(F.col("doc_id").alias(c), F.col(x).alias(y))
+    at = lambda c, x, y: known.select(F.col("doc_id").alias(c), F.col(x).alias(y))
     near = (
-        pairs.join(at(sigs, "a", "sig", "sig_a"), "a").join(at(sigs, "b", "sig", "sig_b"), "b")
+        pairs.join(at("a", "sig", "sig_a"), "a").join(at("b", "sig", "sig_b"), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_near(float(share) - slack), "a long, b long")
     )
     near = common.cut(near)
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = common.store(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, words binary").dropDuplicates(["doc_id"]))
     return common.cut(
-        near.join(at(sets, "a", "words", "set_a"), "a").join(at(sets, "b", "words", "set_b"), "b")
+        near.join(at("a", "words", "set_a"), "a").join(at("b", "words", "set_b"), "b")
         .select("a", "b", "set_a", "set_b")
         .mapInArrow(_confirm(share.numerator, share.denominator), "a long, b long")
     )
@@ -134,6 +175,7 @@ def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, sha
 
 def minhash_dedup(
     docs: DataFrame, shingle: int = 5, similarity: str = "0.8", bands: int = 24, rows: int = 6,
+    small: int = 64, block: int = 512,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
@@ -153,28 +195,39 @@ def minhash_dedup(
     buckets = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = common.cut(buckets.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("key", "least"))
     member = common.store(buckets.join(shared, "key"))
-    known = common.store(reps.join(member.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"))
+    ids = member.select("doc_id").distinct()
+    # the hint keeps one plan at every size: the texts of classes that share a bucket, read once more
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, words binary")
+    known = reps.select("doc_id", "sig").join(sets.dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
+    known = common.store(known)
     stars = member.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(stars, known, docs, shingle, share, slack)
+    links = _links(stars, known, share, slack)
 
     label = common.cut(components(links, "a", "b"))
     placed = member.join(label, member.doc_id == label.node, "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("comp"))
-    mixed = common.cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    placed = common.store(placed.join(mixed, "key", "left_semi"))
-    each = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    each = each.mapInArrow(_exploded(shingle), "doc_id long, x long")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    placed = common.store(placed.join(common.cut(mixed), "key", "left_semi"))
+    each = known.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "words").mapInArrow(_exploded, "doc_id long, x long")
     often = common.cut(common.repeated(each.withColumn("n", F.lit(1)), "x"))
     held = common.cut(each.join(often, "x", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c")))
-    placed = placed.join(held, "doc_id")
-    # without `over` * n <= `under` * c no partner of any size can be reached: |x | y| >= n
-    placed = common.store(placed.where(F.col("c") * share.denominator >= F.col("n") * share.numerator))
-    p, q = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "comp", "c")]) for s in "pq")
+    # |x | y| >= n, so with fewer shared shingles than the similarity's share of n no link is possible
+    placed = placed.join(held, "doc_id").where(F.col("c") * share.denominator >= F.col("n") * share.numerator)
+    placed = common.store(placed)
+    size = common.cut(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    placed = placed.join(size, "key")
+    p, q = (placed.where(F.col("m") <= small).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "comp", "c")]) for s in "pq")
     most = F.least("c_p", "c_q")
     cross = p.join(
         q, (p.key == q.key) & (F.col("doc_id_p") < F.col("doc_id_q")) & (F.col("comp_p") != F.col("comp_q"))
         & (most * (share.numerator + share.denominator) >= (F.col("n_p") + F.col("n_q")) * share.numerator),
     ).select(F.col("doc_id_p").alias("a"), F.col("doc_id_q").alias("b")).distinct()
-    more = _links(cross, known, docs, shingle, share, slack)
+    more = _links(cross, known, share, slack)
+    large = placed.where(F.col("m") > small).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n", "comp")
+    large = large.join(known.select("doc_id", "words"), "doc_id").groupBy("key", "i", "j")
+    more = more.union(common.cut(large.applyInPandas(_forest(share.numerator, share.denominator), "a long, b long")))
     label = common.cut(components(links.union(more), "a", "b"))
 
     of = sigs.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
@@ -183,11 +236,9 @@ def minhash_dedup(
     return of.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
 
 
-def _exploded(shingle: int):
-    def scan(batches):
-        for batch, data, off in K.chunks(batches):
-            sets = [x for _, x in _sets(batch, data, off, shingle)]
+def _exploded(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+        if sets:
             ids = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
             yield pa.record_batch({"doc_id": batch.column("doc_id").take(ids), "x": K.signed(np.concatenate(sets))})
-
-    return scan
