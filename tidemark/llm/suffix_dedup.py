@@ -208,9 +208,9 @@ def _sorted_matches(size, flat, sizes, ah, salts):
         keep = ~many[owner]
         a, z, owner = a[keep], z[keep], owner[keep]
     group = np.array(ah)[bucket]
-    none = pa.nulls(len(a), pa.int64())
     if len(a):
-        yield pa.record_batch({"ah": pa.array(group[owner]), "cid": pa.array(cid[owner]), "a": pa.array(a - base[owner]), "z": pa.array(z - base[owner]), "h1": none, "h2": none})
+        none = pa.nulls(len(a), pa.list_(pa.int64()))
+        yield pa.record_batch({"ah": pa.array(group[owner]), "cid": pa.array(cid[owner]), "a": pa.array(a - base[owner]), "z": pa.array(z - base[owner]), "at": none, "h1": none, "h2": none})
     dealt = np.repeat(np.asarray(salts)[bucket] > 1, n)
     if dealt.any():
         at = np.flatnonzero(dealt)
@@ -222,7 +222,11 @@ def _sorted_matches(size, flat, sizes, ah, salts):
         _, one = np.unique(h1[held] ^ K.mix(bucket[own[held]].astype(np.uint64)), return_index=True)
         take[held[one]] = True
         at, own = at[take], own[take]
-        yield pa.record_batch({"ah": pa.array(group[own]), "cid": pa.array(cid[own]), "a": pa.array(at - base[own]), "z": pa.array(at - base[own] + 1), "h1": K.signed(h1[take]), "h2": K.signed(h2[take])})
+        who, first = np.unique(own, return_index=True)  # one row a class
+        cut = pa.array(np.append(first, len(own)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(at - base[own]), K.signed(h1[take]), K.signed(h2[take]))]
+        none = pa.nulls(len(who), pa.int64())
+        yield pa.record_batch({"ah": pa.array(group[who]), "cid": pa.array(cid[who]), "a": none, "z": none, "at": lists[0], "h1": lists[1], "h2": lists[2]})
 
 
 def repeated_strings(docs: DataFrame, size: int = 400, gram: int = 64, group: int = 1024) -> DataFrame:
@@ -237,9 +241,12 @@ def repeated_strings(docs: DataFrame, size: int = 400, gram: int = 64, group: in
     want = classes.join(open_, "ah").groupBy("doc_id").agg(F.collect_list(F.struct("ah", "cid", "lo", "n", "back", (F.col("times") > 1).alias("many"), "salts")).alias("want"))
     ctx = docs.join(want.hint("merge"), "doc_id").mapInArrow(_contexts(size), "ah long, cid long, n int, back int, many boolean, salts int, ctx binary")
     ctx = ctx.groupBy("ah", "salts", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt")).agg(F.collect_set(F.struct("cid", "n", "back", "many", "ctx")).alias("classes"))
-    told = common.store(ctx.select("ah", "salts", "classes").mapInArrow(_compare(size), "ah long, cid long, a long, z long, h1 long, h2 long"))
-    meet = common.cut(told.where("h1 is not null").groupBy("ah", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("ah", "h1", "h2"))
-    runs = told.where("h1 is null").select("ah", "cid", "a", "z").union(told.join(meet, ["ah", "h1", "h2"], "left_semi").select("ah", "cid", "a", "z"))
+    told = common.store(ctx.select("ah", "salts", "classes").mapInArrow(_compare(size), "ah long, cid long, a long, z long, at array<long>, h1 array<long>, h2 array<long>"))
+    # the strings left over from one anchor are in few tasks; spread their classes before they become rows
+    left = told.where("h1 is not null").repartition("cid").select("ah", "cid", F.explode(F.arrays_zip("at", "h1", "h2")).alias("s"))
+    left = left.select("ah", "cid", F.col("s.at").alias("a"), (F.col("s.at") + 1).alias("z"), "s.h1", "s.h2")
+    meet = common.cut(left.groupBy("ah", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("ah", "h1", "h2"))
+    runs = told.where("h1 is null").select("ah", "cid", "a", "z").union(left.join(meet, ["ah", "h1", "h2"], "left_semi").select("ah", "cid", "a", "z"))
     runs = runs.union(classes.where("times > 1").select("ah", "cid", F.lit(0).cast("long"), F.col("n").cast("long")))
     runs = common.store(runs.groupBy("ah", "cid").agg(F.collect_list(F.struct("a", "z")).alias("runs")))
     spread = found.select("ah", "cid", "doc_id", "lo").join(runs, ["ah", "cid"])
