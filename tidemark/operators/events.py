@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import change, full, last, over, zscore
 
-C = F.col("close")
+
+def close() -> Column:
+    return F.col("close")
 flag = lambda c: F.coalesce(c, F.lit(False))
 
 
@@ -20,7 +22,7 @@ def cusum(df: DataFrame, threshold: float = 0.5, drift: float = 0.05, reset: int
     The reset makes segments independent, so each is folded on its own: at most `reset` values.
     """
     th, dr = threshold / 100, drift / 100
-    df = df.withColumn("_i", F.row_number().over(over()) - 1).withColumn("_r", F.coalesce(change(C), F.lit(0.0)))
+    df = df.withColumn("_i", F.row_number().over(over()) - 1).withColumn("_r", F.coalesce(change(close()), F.lit(0.0)))
     seg = df.withColumn("_seg", F.ceil(F.col("_i") / reset)).groupBy("symbol", "_seg").agg(F.array_sort(F.collect_list(F.struct("_i", "ts", "_r"))).alias("_rows"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -42,13 +44,13 @@ def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFra
     up, lo, mid = F.col("bb_upper"), F.col("bb_lower"), F.col("bb_middle")
     w = last(lookback, 1)
     held = lambda cond: flag((F.min(cond.cast("int")).over(w) == 1) & (F.count(cond.cast("int")).over(w) == lookback))
-    dist = C - mid
+    dist = close() - mid
     prev = F.lag(dist).over(over())
     width = F.try_divide(up - lo, mid) * 100
     mean, dev = full(F.avg("_w"), F.col("_w"), 20), full(F.stddev_samp("_w"), F.col("_w"), 20)
     df = df.withColumn("_w", width)
     df = df.select(
-        "*", flag(held(C < up) & (C > up) & ((C / up - 1) * 100 > least)).alias("bb_upper_cross"), flag(held(C > lo) & (C < lo) & ((1 - C / lo) * 100 > least)).alias("bb_lower_cross"),
+        "*", flag(held(close() < up) & (close() > up) & ((close() / up - 1) * 100 > least)).alias("bb_upper_cross"), flag(held(close() > lo) & (close() < lo) & ((1 - close() / lo) * 100 > least)).alias("bb_lower_cross"),
         flag((prev <= 0) & (dist > 0)).alias("bb_middle_up"), flag((prev >= 0) & (dist < 0) & ~flag((prev <= 0) & (dist > 0))).alias("bb_middle_down"),
         flag(F.col("_w") < mean - dev).alias("bb_squeeze"), flag(F.col("_w") > mean + dev).alias("bb_expansion"),
     ).drop("_w")
@@ -57,13 +59,13 @@ def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFra
 
 def statistics(df: DataFrame, lookback: int = 100) -> DataFrame:
     """Volume z-score, price-volume correlation, return z-score, momenta and their regime score."""
-    df = df.withColumn("_r", change(C)).withColumn("_v", F.col("volume").cast("double"))
+    df = df.withColumn("_r", change(close())).withColumn("_v", F.col("volume").cast("double"))
     sd = lambda c: full(F.stddev_samp(c), F.col(c), 20)
     df = df.select(
         "*", zscore(F.col("_v"), 20).alias("volume_zscore"),
-        F.when((sd("close") > 0) & (sd("_v") > 0), F.try_divide(full(F.covar_samp("close", "_v"), C, 20), sd("close") * sd("_v"))).alias("price_vol_corr"),
+        F.when((sd("close") > 0) & (sd("_v") > 0), F.try_divide(full(F.covar_samp("close", "_v"), close(), 20), sd("close") * sd("_v"))).alias("price_vol_corr"),
         F.when(F.count("_r").over(last(lookback)) == lookback, F.coalesce(F.try_divide(F.col("_r") - F.avg("_r").over(last(lookback)), F.nullif(F.stddev_samp("_r").over(last(lookback)), F.lit(0.0))), F.lit(0.0))).alias("return_zscore"),
-        change(C, 6).alias("mom_short"), change(C, 16).alias("mom_medium"), change(C, 48).alias("mom_long"),
+        change(close(), 6).alias("mom_short"), change(close(), 16).alias("mom_medium"), change(close(), 48).alias("mom_long"),
     )
     sign = F.signum("mom_short") * F.signum("mom_medium") * F.signum("mom_long")
     df = df.withColumn("_s", sign)
@@ -129,5 +131,3 @@ def summary(df: DataFrame, flags: list[str]) -> DataFrame:
     long = df.selectExpr(f"stack({len(flags)}, {pairs}) as (event, hit)")
     return long.groupBy("event").agg(F.sum("hit").alias("n"), F.avg("hit").alias("rate"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["Window"]

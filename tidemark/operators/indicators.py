@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import change, ema, full, last, over, smooth
 
-C = F.col("close")
+
+def close() -> Column:
+    return F.col("close")
 
 
 def new_bars(df: DataFrame, frame: str) -> DataFrame:
@@ -17,16 +19,16 @@ def new_bars(df: DataFrame, frame: str) -> DataFrame:
 
 
 def sma(df: DataFrame, *ns: int) -> DataFrame:
-    return df.select("*", *[full(F.avg(C), C, n).alias(f"sma_{n}") for n in ns])
+    return df.select("*", *[full(F.avg(close()), close(), n).alias(f"sma_{n}") for n in ns])
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    mid, dev = full(F.avg(C), C, n), full(F.stddev_pop(C), C, n)
+    mid, dev = full(F.avg(close()), close(), n), full(F.stddev_pop(close()), close(), n)
     df = df.select("*", mid.alias("bb_middle"), (mid + k * dev).alias("bb_upper"), (mid - k * dev).alias("bb_lower"))
     width = F.col("bb_upper") - F.col("bb_lower")
     return df.select(
-        "*", F.coalesce(F.try_divide(C - F.col("bb_lower"), F.nullif(width, F.lit(0.0))) * 100, F.lit(50.0)).alias("bb_position"),
-        F.coalesce(F.try_divide(width, C) * 100, F.lit(0.0)).alias("bb_width_pct"),
+        "*", F.coalesce(F.try_divide(close() - F.col("bb_lower"), F.nullif(width, F.lit(0.0))) * 100, F.lit(50.0)).alias("bb_position"),
+        F.coalesce(F.try_divide(width, close()) * 100, F.lit(0.0)).alias("bb_width_pct"),
     )
 
 
@@ -40,7 +42,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder smoothing of gains and losses from the second row on."""
-    step = C - F.lag(C).over(over())
+    step = close() - F.lag(close()).over(over())
     df = df.withColumn("_up", F.greatest(step, F.lit(0.0))).withColumn("_dn", F.greatest(-step, F.lit(0.0)))
     df = df.withColumn("_up", F.when(step.isNotNull(), F.col("_up"))).withColumn("_dn", F.when(step.isNotNull(), F.col("_dn")))
     df = smooth(smooth(df, "_up", 1 / n, "_au"), "_dn", 1 / n, "_ad")
@@ -51,13 +53,13 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
 
 def atr(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder mean of the true range, from the mean of the first n."""
-    before = F.lag(C).over(over())
+    before = F.lag(close()).over(over())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     df = df.withColumn("tr", tr).withColumn("_rn", F.row_number().over(over()))
     df = df.withColumn("_go", F.col("_rn") >= n)
     df = df.withColumn("_x", F.when(F.col("_rn") == n, F.avg("tr").over(last(n))).otherwise(F.col("tr")))
     df = smooth(df, "_x", 1 / n, "atr", start="_go")
-    return df.withColumn("atr_pct", F.try_divide("atr", C) * 100).drop("_rn", "_go", "_x")
+    return df.withColumn("atr_pct", F.try_divide("atr", close()) * 100).drop("_rn", "_go", "_x")
 
 
 def volume_ratio(df: DataFrame, n: int = 20) -> DataFrame:
@@ -66,29 +68,29 @@ def volume_ratio(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def returns(df: DataFrame, *ks: int) -> DataFrame:
-    return df.select("*", *[change(C, k).alias(f"ret_{k}") for k in ks])
+    return df.select("*", *[change(close(), k).alias(f"ret_{k}") for k in ks])
 
 
 def realized_vol(df: DataFrame, minutes: int, n: int = 20) -> DataFrame:
-    df = df.withColumn("_r", change(C))
+    df = df.withColumn("_r", change(close()))
     return df.withColumn("vol_realized", full(F.stddev_samp("_r"), F.col("_r"), n) * (1440 / minutes) ** 0.5).drop("_r")
 
 
 def derived(df: DataFrame) -> DataFrame:
     """Distances and ratios of the indicators above; needs ema_*, macd, rsi, atr and vol_realized."""
-    out = [((F.try_divide(C, F.col(c)) - 1) * 100).alias(f"{c}_dist_pct") for c in df.columns if c.startswith("ema_")]
-    out += [F.try_divide(C - F.col(c), F.nullif("atr", F.lit(0.0))).alias(f"{c}_dist_atr") for c in df.columns if c.startswith("ema_")]
+    out = [((F.try_divide(close(), F.col(c)) - 1) * 100).alias(f"{c}_dist_pct") for c in df.columns if c.startswith("ema_")]
+    out += [F.try_divide(close() - F.col(c), F.nullif("atr", F.lit(0.0))).alias(f"{c}_dist_atr") for c in df.columns if c.startswith("ema_")]
     return df.select(
         "*", *out, F.try_divide("macd", F.nullif("atr", F.lit(0.0))).alias("macd_normalized"), F.try_divide("macd", F.nullif("vol_realized", F.lit(0.0))).alias("macd_efficiency"),
-        ((F.col("rsi") - 50) * F.signum(change(C, 5))).alias("rsi_momentum"),
+        ((F.col("rsi") - 50) * F.signum(change(close(), 5))).alias("rsi_momentum"),
     )
 
 
 def cross_frame(df: DataFrame, frame: str) -> DataFrame:
     """The base close and return against a higher frame's close and return."""
     high = F.col(f"{frame}_close")
-    mine, theirs = change(C), F.try_divide(high, F.col(f"{frame}_open")) - 1
+    mine, theirs = change(close()), F.try_divide(high, F.col(f"{frame}_open")) - 1
     return df.select(
-        "*", ((F.try_divide(C, high) - 1) * 100).alias(f"price_vs_{frame}_pct"), (F.signum(mine) * F.signum(theirs)).alias(f"{frame}_align"),
+        "*", ((F.try_divide(close(), high) - 1) * 100).alias(f"price_vs_{frame}_pct"), (F.signum(mine) * F.signum(theirs)).alias(f"{frame}_align"),
         F.coalesce(F.try_divide(F.abs(mine), F.nullif(F.abs(theirs), F.lit(0.0))), F.lit(1.0)).alias(f"{frame}_momentum_ratio"),
     )

@@ -70,17 +70,20 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEATURES = ["f1", "f2", "f3", "f4"]
-T = F.unix_millis("ts").alias("t")
 t_ = "epoch_ms(ts) AS t"
 
 
+def T() -> Column:
+    return F.unix_millis("ts").alias("t")
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
 @query(q.with_(f"SELECT symbol, {t_}, open, high, low, close, volume FROM bars", q.TICKS, q.BARS))
 def r2_resample(s, d):
-    return bars(s, d).select("symbol", T, "open", "high", "low", "close", "volume")
+    return bars(s, d).select("symbol", T(), "open", "high", "low", "close", "volume")
 
 
 @query("SELECT event_id, CASE WHEN epoch_us(ts) >= 1000000000000000 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) END AS ms FROM events")
@@ -130,7 +133,7 @@ def b6_dollar_bars(s, d):
     "g AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(qty) AS volume FROM ticks GROUP BY 1, 2)",
     "sp AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 60 MINUTE)) AS ts FROM g GROUP BY 1)"))
 def b8_time_bars(s, d):
-    return B.time_bars(ticks(s, d), 60).select("symbol", T, "open", "high", "low", "close", "volume")
+    return B.time_bars(ticks(s, d), 60).select("symbol", T(), "open", "high", "low", "close", "volume")
 
 
 @query(q.with_("SELECT symbol, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars) WHERE n <= 2 GROUP BY 1", q.TICKS, q.BARS))
@@ -141,19 +144,19 @@ def r1_first_step(s, d):
 @query(q.with_("SELECT symbol, epoch_ms(time_bucket(INTERVAL 240 MINUTE, ts) + INTERVAL 240 MINUTE) AS t, sum(n_trades) AS n_trades, arg_max(tag, seq) AS tag FROM x GROUP BY 1, 2", q.TICKS, "x AS (SELECT *, seq % 3 AS n_trades, seq % 7 AS tag FROM ticks)"))
 def r3_extra_columns(s, d):
     x = ticks(s, d).withColumn("n_trades", F.col("seq") % 3).withColumn("tag", F.col("seq") % 7)
-    return R.ohlcv(x, 240, price="price", extra=("n_trades", "tag")).select("symbol", T, "n_trades", "tag")
+    return R.ohlcv(x, 240, price="price", extra=("n_trades", "tag")).select("symbol", T(), "n_trades", "tag")
 
 
 @query(q.with_(f"SELECT sp.symbol, epoch_ms(sp.ts) AS t, close, coalesce(volume, 0) AS volume FROM sp LEFT JOIN bars b ON b.symbol = sp.symbol AND b.ts = sp.ts", q.TICKS, q.BARS,
     "sp AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM bars GROUP BY 1)"))
 def r4_gap_bins(s, d):
-    return R.with_gaps(bars(s, d), 30).select("symbol", T, "close", "volume")
+    return R.with_gaps(bars(s, d), 30).select("symbol", T(), "close", "volume")
 
 
 @query(q.with_(f"SELECT symbol, {t_}, epoch_ms(h_ts) AS h_t, h_open, h_high, h_low, h_close, h_volume FROM ctx", q.TICKS, q.BARS, q.H4, q.ASOF))
 def r5_as_of(s, d):
     h = lambda c: F.col(f"4H_{c}").alias(f"h_{c}")
-    return context(s, d).select("symbol", T, F.unix_millis("4H_end").alias("h_t"), *[h(c) for c in R.OHLCV])
+    return context(s, d).select("symbol", T(), F.unix_millis("4H_end").alias("h_t"), *[h(c) for c in R.OHLCV])
 
 
 @query(q.with_(f"""SELECT symbol, {t_}, {q.r6('(h_close / h_open - 1) * 100', 'ret')}, {q.r6('(close / h_close - 1) * 100', 'dist')}, {q.r6('(h_high - h_low) / h_close * 100', 'rng')},
@@ -161,7 +164,7 @@ def r5_as_of(s, d):
  FROM (SELECT *, close - lag(close) OVER ({q.W}) AS a, h_close - lag(h_close) OVER ({q.W}) AS b FROM ctx)""", q.TICKS, q.BARS, q.H4, q.ASOF))
 def r7_r11_derived(s, d):
     df = R.derived(context(s, d), "4H")
-    return df.select("symbol", T, r6("4H_return", "ret"), r6("distance_from_4H", "dist"), r6("4H_range_pct", "rng"), r6("position_in_4H_range", "pos"), F.col("4H_momentum_align").alias("align"))
+    return df.select("symbol", T(), r6("4H_return", "ret"), r6("distance_from_4H", "dist"), r6("4H_range_pct", "rng"), r6("position_in_4H_range", "pos"), F.col("4H_momentum_align").alias("align"))
 
 
 @query(q.with_("SELECT 'bars' AS frame, count(*) AS n_rows, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b FROM bars UNION ALL SELECT 'h4', count(*), epoch_ms(min(ts)), epoch_ms(max(ts)) FROM h4", q.TICKS, q.BARS, q.H4))
@@ -172,18 +175,18 @@ def r13_frame_info(s, d):
 
 @query(q.with_(f"SELECT symbol, {t_}, epoch_ms(h_ts) AS h_t FROM (SELECT *, lag(h_ts) OVER ({q.W}) AS p FROM ctx) WHERE h_ts IS NOT NULL AND (p IS NULL OR p <> h_ts)", q.TICKS, q.BARS, q.H4, q.ASOF))
 def i1_new_bars(s, d):
-    return I.new_bars(context(s, d), "4H").select("symbol", T, F.unix_millis("4H_end").alias("h_t"))
+    return I.new_bars(context(s, d), "4H").select("symbol", T(), F.unix_millis("4H_end").alias("h_t"))
 
 
 @query(q.with_(f"SELECT n.symbol, epoch_ms(n.ts) AS t, CASE WHEN n.rn >= 12 THEN round(a.y, 6) END AS ema_12, CASE WHEN n.rn >= 50 THEN round(b.y, 6) END AS ema_50 FROM nb n JOIN e1 a ON a.symbol = n.symbol AND a.rn = n.rn JOIN e2 b ON b.symbol = n.symbol AND b.rn = n.rn",
     q.TICKS, q.BARS, q.NUMBERED, q.ema_cte("e1", "nb", "close", "(CAST(2 AS DOUBLE) / 13)"), q.ema_cte("e2", "nb", "close", "(CAST(2 AS DOUBLE) / 51)"), recursive=True))
 def i3_ema(s, d):
-    return ema(ema(bars(s, d), 12), 50).select("symbol", T, r6("ema_12"), r6("ema_50"))
+    return ema(ema(bars(s, d), 12), 50).select("symbol", T(), r6("ema_12"), r6("ema_50"))
 
 
 @query(q.with_(f"SELECT symbol, {t_}, {q.r6(q.full('avg(close)', 'close', 20), 'sma_20')}, {q.r6(q.full('avg(close)', 'close', 200), 'sma_200')} FROM bars", q.TICKS, q.BARS))
 def i4_sma(s, d):
-    return I.sma(bars(s, d), 20, 200).select("symbol", T, r6("sma_20"), r6("sma_200"))
+    return I.sma(bars(s, d), 20, 200).select("symbol", T(), r6("sma_20"), r6("sma_200"))
 
 
 @query(q.with_("SELECT m.symbol, epoch_ms(m.ts) AS t, round(macd, 6) AS macd, CASE WHEN m.rn >= 9 THEN round(g.y, 6) END AS macd_signal, CASE WHEN m.rn >= 9 THEN round(macd - g.y, 6) END AS macd_hist FROM m JOIN g ON g.symbol = m.symbol AND g.rn = m.rn",
@@ -191,57 +194,57 @@ def i4_sma(s, d):
     "m AS (SELECT n.symbol, n.ts, n.rn - 25 AS rn, a.y - b.y AS macd FROM nb n JOIN e1 a ON a.symbol = n.symbol AND a.rn = n.rn JOIN e2 b ON b.symbol = n.symbol AND b.rn = n.rn WHERE n.rn >= 26)",
     q.ema_cte("g", "m", "macd", "(CAST(2 AS DOUBLE) / 10)"), recursive=True))
 def i5_macd(s, d):
-    return I.macd(bars(s, d)).where("macd is not null").select("symbol", T, r6("macd"), r6("macd_signal"), r6("macd_hist"))
+    return I.macd(bars(s, d)).where("macd is not null").select("symbol", T(), r6("macd"), r6("macd_signal"), r6("macd_hist"))
 
 
 @query(q.with_("SELECT m.symbol, epoch_ms(m.ts) AS t, round(CASE WHEN b.y = 0 THEN 100 ELSE 100 - 100 / (1 + a.y / b.y) END, 6) AS rsi FROM m JOIN a ON a.symbol = m.symbol AND a.rn = m.rn JOIN b ON b.symbol = m.symbol AND b.rn = m.rn WHERE m.rn >= 14",
     q.TICKS, q.BARS, q.NUMBERED, f"m AS (SELECT symbol, ts, rn - 1 AS rn, greatest(x, 0) AS up, greatest(-x, 0) AS dn FROM (SELECT *, close - lag(close) OVER ({q.W}) AS x FROM nb) WHERE x IS NOT NULL)",
     q.ema_cte("a", "m", "up", "(CAST(1 AS DOUBLE) / 14)"), q.ema_cte("b", "m", "dn", "(CAST(1 AS DOUBLE) / 14)"), recursive=True))
 def i6_rsi(s, d):
-    return I.rsi(bars(s, d)).where("rsi is not null").select("symbol", T, r6("rsi"))
+    return I.rsi(bars(s, d)).where("rsi is not null").select("symbol", T(), r6("rsi"))
 
 
 @query(q.with_(f"SELECT symbol, {t_}, round(mid, 6) AS bb_middle, round(up, 6) AS bb_upper, round(lo, 6) AS bb_lower, round(coalesce((close - lo) / nullif(up - lo, 0) * 100, 50), 6) AS bb_position, round(coalesce((up - lo) / close * 100, 0), 6) AS bb_width_pct FROM bb2", q.TICKS, q.BARS, q.BB))
 def i7_bollinger(s, d):
-    return I.bollinger(bars(s, d)).select("symbol", T, *[r6(c) for c in ("bb_middle", "bb_upper", "bb_lower", "bb_position", "bb_width_pct")])
+    return I.bollinger(bars(s, d)).select("symbol", T(), *[r6(c) for c in ("bb_middle", "bb_upper", "bb_lower", "bb_position", "bb_width_pct")])
 
 
 @query(q.with_("SELECT m.symbol, epoch_ms(m.ts) AS t, round(a.y, 6) AS atr, round(a.y / m.close * 100, 6) AS atr_pct FROM m JOIN a ON a.symbol = m.symbol AND a.rn = m.rn",
     q.TICKS, q.BARS, q.NUMBERED, f"tr AS (SELECT symbol, ts, rn, close, CASE WHEN rn = 1 THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM (SELECT *, lag(close) OVER ({q.W}) AS pc FROM nb))",
     f"m AS (SELECT symbol, ts, rn - 13 AS rn, close, CASE WHEN rn = 14 THEN m14 ELSE tr END AS x FROM (SELECT *, avg(tr) OVER {q.rows(14)} AS m14 FROM tr) WHERE rn >= 14)", q.ema_cte("a", "m", "x", "(CAST(1 AS DOUBLE) / 14)"), recursive=True))
 def i8_atr(s, d):
-    return I.atr(bars(s, d)).where("atr is not null").select("symbol", T, r6("atr"), r6("atr_pct"))
+    return I.atr(bars(s, d)).where("atr is not null").select("symbol", T(), r6("atr"), r6("atr_pct"))
 
 
 @query(q.with_(f"SELECT symbol, {t_}, round(m, 6) AS volume_sma, round(volume / nullif(m, 0), 6) AS volume_ratio FROM (SELECT *, {q.full('avg(volume)', 'volume', 20)} AS m FROM bars)", q.TICKS, q.BARS))
 def i9_volume_ratio(s, d):
-    return I.volume_ratio(bars(s, d)).select("symbol", T, r6("volume_sma"), r6("volume_ratio"))
+    return I.volume_ratio(bars(s, d)).select("symbol", T(), r6("volume_sma"), r6("volume_ratio"))
 
 
 @query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(q.change(k), f"ret_{k}") for k in (1, 5, 20)) + " FROM bars", q.TICKS, q.BARS))
 def i12_returns(s, d):
-    return I.returns(bars(s, d), 1, 5, 20).select("symbol", T, *[r6(f"ret_{k}") for k in (1, 5, 20)])
+    return I.returns(bars(s, d), 1, 5, 20).select("symbol", T(), *[r6(f"ret_{k}") for k in (1, 5, 20)])
 
 
 @query(q.with_(f"SELECT symbol, {t_}, round({q.full('stddev_samp(r)', 'r', 20)} * sqrt(48), 6) AS vol_realized FROM rets", q.TICKS, q.BARS, q.RET))
 def i13_realized_vol(s, d):
-    return I.realized_vol(bars(s, d), 30).select("symbol", T, r6("vol_realized"))
+    return I.realized_vol(bars(s, d), 30).select("symbol", T(), r6("vol_realized"))
 
 
 @query(q.with_(f"SELECT symbol, {t_}, round((close / h_close - 1) * 100, 6) AS pct, sign(a) * sign(b) AS align, round(coalesce(abs(a) / nullif(abs(b), 0), 1), 6) AS ratio FROM (SELECT *, {q.change()} AS a, h_close / h_open - 1 AS b FROM ctx)", q.TICKS, q.BARS, q.H4, q.ASOF))
 def i22_cross_frame(s, d):
-    return I.cross_frame(context(s, d), "4H").select("symbol", T, r6("price_vs_4H_pct", "pct"), F.col("4H_align").alias("align"), r6("4H_momentum_ratio", "ratio"))
+    return I.cross_frame(context(s, d), "4H").select("symbol", T(), r6("price_vs_4H_pct", "pct"), F.col("4H_align").alias("align"), r6("4H_momentum_ratio", "ratio"))
 
 
 @query()
 def i14_i20_derived(s, d):
     b = I.derived(I.realized_vol(I.atr(I.rsi(I.macd(ema(ema(bars(s, d), 12), 26)))), 30))
-    return b.select("symbol", T, *[r6(c) for c in b.columns if c not in ("symbol", "ts")])
+    return b.select("symbol", T(), *[r6(c) for c in b.columns if c not in ("symbol", "ts")])
 
 
 @query(q.with_("SELECT symbol, epoch_ms(ts) AS t, round(p, 6) AS cusum_pos, round(q, 6) AS cusum_neg, e AS cusum_event FROM c0", q.TICKS, q.BARS, q.CUSUM, recursive=True))
 def e1_cusum(s, d):
-    return E.cusum(bars(s, d)).select("symbol", T, r6("cusum_pos"), r6("cusum_neg"), "cusum_event")
+    return E.cusum(bars(s, d)).select("symbol", T(), r6("cusum_pos"), r6("cusum_neg"), "cusum_event")
 
 
 BANDS = ["bb_upper_cross", "bb_lower_cross", "bb_middle_up", "bb_middle_down", "bb_squeeze", "bb_expansion", "bb_any_cross"]
@@ -249,7 +252,7 @@ BANDS = ["bb_upper_cross", "bb_lower_cross", "bb_middle_up", "bb_middle_down", "
 
 @query(q.with_(f"SELECT symbol, {t_}, {', '.join(BANDS)} FROM band2", q.TICKS, q.BARS, q.BB, q.BAND))
 def e2_e6_band_events(s, d):
-    return E.band_events(I.bollinger(bars(s, d))).select("symbol", T, *BANDS)
+    return E.band_events(I.bollinger(bars(s, d))).select("symbol", T(), *BANDS)
 
 
 STATS = ["volume_zscore", "price_vol_corr", "return_zscore", "mom_short", "mom_medium", "mom_long", "momentum_score"]
@@ -257,12 +260,12 @@ STATS = ["volume_zscore", "price_vol_corr", "return_zscore", "mom_short", "mom_m
 
 @query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(c, c) for c in STATS) + " FROM st", q.TICKS, q.BARS, q.STATS))
 def e8_e13_statistics(s, d):
-    return E.statistics(bars(s, d)).select("symbol", T, *[r6(c) for c in STATS])
+    return E.statistics(bars(s, d)).select("symbol", T(), *[r6(c) for c in STATS])
 
 
 @query(q.with_(f"SELECT symbol, {t_}, vpd_event, outlier_event, momentum_event FROM st", q.TICKS, q.BARS, q.STATS))
 def e14_e16_stat_events(s, d):
-    return E.stat_events(E.statistics(bars(s, d))).select("symbol", T, "vpd_event", "outlier_event", "momentum_event")
+    return E.stat_events(E.statistics(bars(s, d))).select("symbol", T(), "vpd_event", "outlier_event", "momentum_event")
 
 
 EV = (q.TICKS, q.BARS, q.BB, q.BAND, q.STATS, q.CUSUM, q.ALL_EVENTS)
@@ -272,7 +275,7 @@ MANY = "(vpd_event::INT + outlier_event::INT + momentum_event::INT + bb_any_cros
 @query(q.with_(f"""SELECT symbol, {t_}, vpd_event OR outlier_event OR momentum_event OR bb_any_cross OR cusum_flag AS any_event, CASE WHEN {MANY} > 1 THEN 8 + {MANY} - 2 WHEN bb_expansion THEN 7 WHEN bb_squeeze THEN 6
  WHEN bb_any_cross THEN 5 WHEN cusum_flag THEN 4 WHEN momentum_event THEN 3 WHEN outlier_event THEN 2 WHEN vpd_event THEN 1 ELSE 0 END AS event_type FROM ev""", *EV, recursive=True))
 def e17_e18_event_type(s, d):
-    return E.event_type(events(s, d)).select("symbol", T, "any_event", "event_type")
+    return E.event_type(events(s, d)).select("symbol", T(), "any_event", "event_type")
 
 
 FLAGS = ["vpd_event", "outlier_event", "momentum_event", "cusum_flag"]
@@ -284,7 +287,7 @@ def _near(c: str, w: int = 2) -> str:
 
 @query(q.with_(f"SELECT symbol, {t_}, {_near('outlier_event')} AND {_near('cusum_flag')} AS both, max(vpd_event::INT) OVER ({q.W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AND max(momentum_event::INT) OVER ({q.W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AS causal FROM ev", *EV, recursive=True))
 def c1_window_covent(s, d):
-    return events(s, d).select("symbol", T, E.together(["outlier_event", "cusum_flag"], 2).alias("both"), E.together(["vpd_event", "momentum_event"], 2, causal=True).alias("causal"))
+    return events(s, d).select("symbol", T(), E.together(["outlier_event", "cusum_flag"], 2).alias("both"), E.together(["vpd_event", "momentum_event"], 2, causal=True).alias("causal"))
 
 
 _two = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
@@ -299,13 +302,13 @@ COV = (*EV, "nr AS (SELECT *, " + ", ".join(f"{_near(c)} AS n_{c}" for c in FLAG
  sum(any_covent::INT) OVER {q.rows(3)} AS covent_persistence, sum(any_covent::INT) OVER {q.rows(3)} >= 2 AS sustained, any_covent AND single >= 1 AS escalation FROM cw""", *COV, recursive=True))
 def c2_c7_covents(s, d):
     return E.covents(events(s, d), FLAGS).select(
-        "symbol", T, "count_2way", "count_3way", "total_covents", "any_covent", "high_confluence", "very_high_confluence", "individual_event_count", "covent_persistence", "sustained", "escalation")
+        "symbol", T(), "count_2way", "count_3way", "total_covents", "any_covent", "high_confluence", "very_high_confluence", "individual_event_count", "covent_persistence", "sustained", "escalation")
 
 
 @query(q.with_(f"""SELECT symbol, {t_}, cusum_flag AND momentum_event AND bb_any_cross AS trend_reversal, vpd_event AND outlier_event AND bb_expansion AS breakout,
  (coalesce(lag(bb_squeeze, 1) OVER ({q.W}), false) OR coalesce(lag(bb_squeeze, 2) OVER ({q.W}), false)) AND bb_expansion AND momentum_event AS squeeze_release FROM ev""", *EV, recursive=True))
 def c8_c10_confluence(s, d):
-    return E.confluence(events(s, d)).select("symbol", T, "trend_reversal", "breakout", "squeeze_release")
+    return E.confluence(events(s, d)).select("symbol", T(), "trend_reversal", "breakout", "squeeze_release")
 
 
 @query(q.with_(" UNION ALL ".join(f"SELECT '{c}' AS event, sum({c}::INT) AS n, round(avg({c}::INT), 6) AS rate FROM ev" for c in FLAGS), *EV, recursive=True))
@@ -320,7 +323,7 @@ LABELS = {"outlier_label": ["outlier_event"], "momentum_label": ["momentum_event
 
 @query(q.with_(f"SELECT label_name, symbol, {t_} FROM sel", *EV, SEL, recursive=True))
 def l2_l5_select_events(s, d):
-    return L.select_events(events(s, d), LABELS).select("label_name", "symbol", T)
+    return L.select_events(events(s, d), LABELS).select("label_name", "symbol", T())
 
 
 FAC = (q.RET, f"""fa0 AS (SELECT *, CASE WHEN count(r) OVER {q.rows(20)} > 5 THEN stddev_samp(r) OVER {q.rows(20)} ELSE 0.02 END AS vol, volume / nullif(avg(volume) OVER {q.rows(51)}, 0) AS rel FROM rets),
@@ -330,7 +333,7 @@ fa AS (SELECT *, CASE WHEN rel < 0.5 THEN 1.4 WHEN rel > 2 THEN 0.8 ELSE 1.0 END
 
 @query(q.with_(f"SELECT symbol, {t_}, round(vol, 6) AS vol, liquidity, regime FROM fa", q.TICKS, q.BARS, *FAC))
 def l6_l8_factors(s, d):
-    return L.factors(bars(s, d)).select("symbol", T, r6("vol"), "liquidity", "regime")
+    return L.factors(bars(s, d)).select("symbol", T(), r6("vol"), "liquidity", "regime")
 
 
 BAR = ("""br0 AS (SELECT sel.label_name, fa.symbol, fa.ts, fa.close, greatest(0.015125, vol * regime * liquidity * 2.0) AS pt, greatest(0.6 * 0.015125, vol * regime * liquidity * 1.2) AS stop_loss FROM sel JOIN fa ON fa.symbol = sel.symbol AND fa.ts = sel.ts),
@@ -341,7 +344,7 @@ br AS (SELECT b.label_name, b.symbol, b.ts, b.close, b.stop_loss, CASE WHEN pt /
 @query(q.with_(f"SELECT label_name, symbol, {t_}, round(profit_take, 6) AS profit_take, round(stop_loss, 6) AS stop_loss, epoch_ms(vertical) AS v FROM br", *EV, SEL, *FAC, *BAR, recursive=True))
 def l9_l12_barriers(s, d):
     e = L.select_events(events(s, d), LABELS)
-    return L.barriers(e, L.factors(bars(s, d))).select("label_name", "symbol", T, r6("profit_take"), r6("stop_loss"), F.unix_millis("vertical").alias("v"))
+    return L.barriers(e, L.factors(bars(s, d))).select("label_name", "symbol", T(), r6("profit_take"), r6("stop_loss"), F.unix_millis("vertical").alias("v"))
 
 
 TB = ("""tb0 AS (SELECT br.label_name, br.symbol, br.ts, any_value(br.close) AS close, any_value(profit_take) AS pt, any_value(stop_loss) AS sl, any_value(vertical) AS vertical, count(*) AS n,
@@ -359,7 +362,7 @@ def _labels(s, d) -> DataFrame:
 
 @query(q.with_(f"SELECT label_name, symbol, {t_}, label, barrier, epoch_ms(touch) AS touch_t, round(ret, 6) AS ret, round((epoch_us(touch) - epoch_us(ts)) / 3.6e9, 6) AS holding_hours FROM tl", *EV, SEL, *FAC, *BAR, *TB, recursive=True))
 def l13_triple_barrier(s, d):
-    return _labels(s, d).select("label_name", "symbol", T, "label", "barrier", F.unix_millis("touch_ts").alias("touch_t"), r6("ret"), r6("holding_hours"))
+    return _labels(s, d).select("label_name", "symbol", T(), "label", "barrier", F.unix_millis("touch_ts").alias("touch_t"), r6("ret"), r6("holding_hours"))
 
 
 @query(q.with_("SELECT label_name, count(*) AS n, round(avg((label = 1)::INT), 6) AS success_rate, round(avg((label = -1)::INT), 6) AS stop_rate, round(avg((label = 0)::INT), 6) AS neutral_rate, round(avg(ret), 6) AS mean_ret, round(avg((epoch_us(touch) - epoch_us(ts)) / 3.6e9), 6) AS mean_hours FROM tl GROUP BY 1", *EV, SEL, *FAC, *BAR, *TB, recursive=True))
@@ -383,7 +386,7 @@ def _each(expr: str, tail: str = "FROM fr") -> str:
 def f3_fill(s, d):
     c = F.col("close")
     df = bars(s, d).select("symbol", "ts", change(c).alias("f1"), change(c, 20).alias("f2"))
-    return S.fill(df, ["f1", "f2"]).select("symbol", T, r6("f1"), r6("f2"))
+    return S.fill(df, ["f1", "f2"]).select("symbol", T(), r6("f1"), r6("f2"))
 
 
 @query(q.with_(_each("round(var_samp(#), 6) AS variance, coalesce(var_samp(#), 0) = 0 AS constant"), *FR))
@@ -528,7 +531,7 @@ RG = ("rg0 AS (SELECT *, " + q.full("stddev_samp(r)", "r", 20) + " AS sd, " + q.
 
 @query(q.with_(f"SELECT symbol, {t_}, regime_name FROM rg", q.TICKS, q.BARS, q.RET, *RG))
 def k4_regimes(s, d):
-    return K.regimes(bars(s, d)).select("symbol", T, "regime_name")
+    return K.regimes(bars(s, d)).select("symbol", T(), "regime_name")
 
 
 @query(q.with_("SELECT regime_name, count(*) AS n, round(corr(close, volume), 6) AS r, count(*) >= 20 AND coalesce(abs(corr(close, volume)) > 0.05, false) AS stable FROM rg GROUP BY 1", q.TICKS, q.BARS, q.RET, *RG))
