@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,12 +23,14 @@ def shared_dir(spark: SparkSession) -> None:
 
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished stages now, not at its next timer."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored once in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
+    _release(df.sparkSession)
     out = df.checkpoint(eager=True)
     _release(df.sparkSession)
     return out
@@ -54,6 +57,7 @@ def store(df: DataFrame) -> DataFrame:
     """As `cut`, but as a compressed table in the checkpoint folder; removed with that folder."""
     spark = df.sparkSession
     shared_dir(spark)
+    _release(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _release(spark)
