@@ -80,4 +80,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, pipeline)
 }
 
-SQL: dict[str, str] = {}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, v.vec_id = c AS kept, 1.0::DOUBLE AS audit_recall
+FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) k ON k.a = v.vec_id""",
+    "op5_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM h) WHERE c > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS k FROM d),
+t AS (SELECT u.doc_id, string_agg(v, ' ' ORDER BY k) AS kept FROM u ANTI JOIN x ON x.doc_id = u.doc_id AND x.j = u.k GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM x GROUP BY 1) g ON g.doc_id = d.doc_id""",
+    "op7_minhash_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id""",
+}
