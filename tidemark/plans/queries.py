@@ -12,6 +12,7 @@ from tidemark.operators import causal as K
 from tidemark.operators import events as E
 from tidemark.operators import indicators as I
 from tidemark.operators import labeling as L
+from tidemark.operators import memory as Y
 from tidemark.operators import models as M
 from tidemark.operators import profiles as P
 from tidemark.operators import resample as R
@@ -542,3 +543,86 @@ def k5_regime_stability(s, d):
 @query(q.with_(f"SELECT symbol, count(dd) AS n, round(avg((dd > 0.05)::INT), 6) AS share FROM (SELECT *, abs(c - lag(c) OVER ({q.W})) AS dd FROM (SELECT *, CASE WHEN count(close) OVER {q.rows(30)} = 30 THEN covar_pop(close, volume) OVER {q.rows(30)} / nullif(stddev_pop(close) OVER {q.rows(30)} * stddev_pop(volume) OVER {q.rows(30)}, 0) END AS c FROM bars)) GROUP BY 1", q.TICKS, q.BARS))
 def k6_breaks(s, d):
     return K.breaks(bars(s, d), "close", "volume", 30, 0.05).select("symbol", "n", r6("share"))
+
+
+RUNS = """runs AS (SELECT i AS run_id, 'l' || (i % 5) AS label, CASE WHEN i % 3 = 0 THEN 'BULL' ELSE 'BEAR' END AS regime, 'm' || (i * 7 % 4) AS model, CAST(0.5 + (i * 37 % 100) / 400.0 AS DOUBLE) AS auc,
+ CAST(0.4 + (i * 13 % 50) / 100.0 AS DOUBLE) AS f1, CAST(0.3 + (i * 11 % 40) / 100.0 AS DOUBLE) AS precision, CAST((i * 17 % 60) / 200.0 - 0.05 AS DOUBLE) AS ret, CAST((i * 19 % 30) / 10.0 AS DOUBLE) AS sharpe,
+ CAST(0.45 + (i * 23 % 20) / 100.0 AS DOUBLE) AS win_rate, i * 29 % 25 AS trades, ARR AS features FROM range(200) t(i))"""
+_SETS = "'f' || (i % 6), 'f' || (i * 5 % 7), 'g' || (i % 4)"
+SQL_RUNS = RUNS.replace("ARR", f"[{_SETS}]")
+
+
+def runs(s: SparkSession) -> DataFrame:
+    """Two hundred made-up research runs, the same in both engines."""
+    return s.sql("WITH " + RUNS.replace("ARR", f"array({_SETS})").replace("range(200) t(i)", "(SELECT id AS i FROM range(200))") + " SELECT * FROM runs")
+
+
+WIN = "auc > 0.55 AND ret > 0.02 AND sharpe > 0.5 AND win_rate > 0.52"
+
+
+@query(q.with_(f"SELECT run_id, {WIN} AS success FROM runs", SQL_RUNS))
+def g6_learn(s, d):
+    return Y.learn(runs(s)).select("run_id", "success")
+
+
+@query(q.with_("SELECT a.f AS a, b.f AS b, count(*) AS n, round(avg(a.auc), 6) AS mean_auc FROM g a JOIN g b ON a.run_id = b.run_id AND a.f < b.f GROUP BY 1, 2 HAVING count(*) > 2", SQL_RUNS, "g AS (SELECT DISTINCT run_id, auc, unnest(features) AS f FROM runs WHERE auc > 0.6)"))
+def g7_synergies(s, d):
+    return Y.synergies(runs(s)).select("a", "b", "n", r6("mean_auc"))
+
+
+@query(q.with_("SELECT model, round(sum(w * auc) / sum(w), 6) AS score FROM (SELECT *, exp((count(*) OVER (PARTITION BY model) - age) / (count(*) OVER (PARTITION BY model) - 1)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY run_id DESC) AS age FROM runs) WHERE age <= 30) GROUP BY 1", SQL_RUNS))
+def g8_model_scores(s, d):
+    return Y.model_scores(runs(s), 30).select("model", r6("score"))
+
+
+@query(q.with_(f"SELECT regime, feature, n, place FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY n DESC, feature) AS place FROM (SELECT regime, feature, count(*) AS n FROM (SELECT regime, unnest(features) AS feature FROM runs WHERE {WIN}) GROUP BY 1, 2)) WHERE place <= 3", SQL_RUNS))
+def g9_preferred_features(s, d):
+    return Y.preferred_features(runs(s)).select("regime", "feature", "n", "place")
+
+
+@query(q.with_(f"SELECT DISTINCT label, model FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.label = r.label AND x.model = r.model AND NOT ({WIN}) AND x.run_id < 40)", SQL_RUNS))
+def g10_untried(s, d):
+    return Y.untried(runs(s).select("label", "model").distinct(), runs(s).where("run_id < 40"))
+
+
+@query(q.with_("SELECT label, run_id, model, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, run_id) AS p FROM (SELECT *, (0.3 * auc + 0.4 * (ret + 1) + 0.2 * (sharpe + 1) + 0.1 * win_rate) * least(1.0, trades / 10) AS score FROM runs)) WHERE p = 1", SQL_RUNS))
+def g14_best_models(s, d):
+    return Y.best_models(runs(s)).select("label", "run_id", "model", r6("score"))
+
+
+@query(q.with_("SELECT model, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc, round(avg(ret), 6) AS mean_ret, round(avg(0.3 * ret + 0.25 * sharpe + 0.25 * win_rate + 0.2 * auc), 6) AS economic, arg_max(label, auc * 1000000 + run_id) AS best_label FROM runs GROUP BY 1", SQL_RUNS))
+def g17_compare(s, d):
+    return Y.compare(runs(s)).select("model", "n", r6("mean_auc"), r6("std_auc"), r6("mean_ret"), r6("economic"), "best_label")
+
+
+@query(q.with_("SELECT feature, count(*) AS n FROM (SELECT unnest(features) AS feature FROM runs) GROUP BY 1 ORDER BY n DESC, feature LIMIT 5", SQL_RUNS))
+def f28_common_features(s, d):
+    return Y.common_features(runs(s), 5)
+
+
+@query(q.with_("SELECT run_id, round(0.5 * auc + 0.3 * f1 + 0.2 * precision, 6) AS score FROM runs", SQL_RUNS))
+def f26_rank_models(s, d):
+    return S.rank_models(runs(s)).select("run_id", r6("score"))
+
+
+@query(q.with_("SELECT event, round(0.4 * 0.9 + 0.3 * (1 - least(abs(frequency - 0.15) / 0.15, 1)) + 0.3 * clustering, 6) AS priority FROM ph", *EV, *PROFILE, recursive=True))
+def g11_strategy(s, d):
+    return Y.strategy(P.event_profile(events(s, d), FLAGS).withColumn("quality", F.lit(0.9))).select("event", r6("priority"))
+
+
+@query(q.with_("SELECT run_id, CASE WHEN win_rate - 0.44 < 0.05 THEN 'granger_causal' WHEN f1 > 0.7 THEN 'structural' WHEN ret > 0 THEN 'lead_lag' ELSE 'correlational' END AS relationship FROM runs", SQL_RUNS))
+def k11_relationship(s, d):
+    r = runs(s).select("run_id", (F.col("win_rate") - 0.44).alias("granger_p"), F.col("f1").alias("stability"), F.col("ret").alias("lead"))
+    return K.relationship(r).select("run_id", "relationship")
+
+
+@query(q.with_(f"SELECT symbol, {t_}, f1, y FROM (SELECT symbol, ts, round(coalesce(last_value(f1 IGNORE NULLS) OVER ({q.W} ROWS UNBOUNDED PRECEDING), first_value(f1 IGNORE NULLS) OVER ({q.W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS f1, y FROM (SELECT symbol, ts, {q.change()} AS f1, CAST(lead(close, 4) OVER ({q.W}) > close AS INT) AS y FROM bars)) WHERE f1 IS NOT NULL AND y IS NOT NULL", q.TICKS, q.BARS))
+def k17_clean(s, d):
+    c = F.col("close")
+    df = bars(s, d).select("symbol", "ts", change(c).alias("f1"), (F.lead(c, 4).over(over()) > c).cast("int").alias("y"))
+    return K.clean(df, ["f1"], ["f1", "y"]).select("symbol", T(), r6("f1"), "y")
+
+
+@query(q.with_("SELECT symbol, count(*) AS n, sum(y)::BIGINT AS positive, round(avg(y), 6) AS rate FROM fr GROUP BY 1", *FR))
+def k24_label_stats(s, d):
+    return frame(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("y").alias("positive"), r6(F.avg("y"), "rate"))
