@@ -626,3 +626,24 @@ def k17_clean(s, d):
 @query(q.with_("SELECT symbol, count(*) AS n, sum(y)::BIGINT AS positive, round(avg(y), 6) AS rate FROM fr GROUP BY 1", *FR))
 def k24_label_stats(s, d):
     return frame(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("y").alias("positive"), r6(F.avg("y"), "rate"))
+
+
+@query()
+def k9_k10_discover(s, d):
+    from tidemark.operators.discovery import discover
+
+    return discover(frame(s, d), FEATURES, "fwd", 2)
+
+
+@query()
+def k16_economic_validation(s, d):
+    from tidemark.operators.discovery import economic_validation
+
+    return economic_validation(frame(s, d).withColumn("ret", F.col("fwd")), "f2")
+
+
+@query()
+def k23_out_of_sample(s, d):
+    from tidemark.operators.discovery import out_of_sample
+
+    return out_of_sample(frame(s, d), ["f1"], "2024-01-20", "fwd", 1)
