@@ -1,13 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word bigram models, one of toxic and one of ordinary labelled texts, share their backoff. As
-in the lower orders of Kneser-Ney smoothing, a class counts the distinct words seen before a bigram
-or word, not its occurrences, so a much copied text weighs no more than one. Both classes fall back
-on the same count over either class. The absolute discount is large, so a class's own counts speak only where they repeat;
-a word rare in both classes has nearly the same probability in both, and does not tell. A text's words are cut into segments; a segment's score is its log-likelihood ratio divided by
-its length, a text's features are the length-normalised ratios of its strongest segments and of
-the whole text. A logistic curve fitted on labelled texts that the models have not seen turns them
-into a probability.
+Two word bigram models, one of toxic and one of ordinary labelled texts, share their backoff. As in
+the lower orders of Kneser-Ney smoothing, a class counts the distinct words seen before a bigram or
+word, not its occurrences, so a much copied text weighs no more than one. Both classes fall back on
+the same count over either class. The absolute discount is large, so a class's own counts speak only
+where they repeat; a word rare in both classes has nearly the same probability in both, and does not
+tell. A word's log-likelihood ratio is taken between 0 and BOUND: ordinary words don't excuse toxic
+ones, and no single word decides.
+
+A text's words are cut into segments; a segment's score is its ratio divided by its length, a text's
+features are the length-normalised ratios of its strongest segments and of the whole text. A logistic
+curve fitted on labelled texts that the models have not seen turns them into a probability.
 
 Counts are Spark aggregations over a bounded sample of labelled rows; the models kept are the
 `max_types` commonest words and bigrams, so what is broadcast is bounded by that parameter.
@@ -30,6 +33,7 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 START = np.uint64(1)
 N_FEATURES = 4
+BOUND = 4.0
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +144,7 @@ def features(model: Model, data: np.ndarray, off: np.ndarray, segment: int) -> n
     out = np.zeros((n_rows, N_FEATURES))
     if not len(h):
         return out
-    r = model.ratios(h, before(h, first))
+    r = np.clip(model.ratios(h, before(h, first)), 0.0, BOUND)
     total = np.append(0, np.cumsum(r))
     n = np.diff(first)
     out[:, 3] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
@@ -189,7 +193,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 4_000, max_ordinary: int = 8_000,
-    segment: int = 8, threshold: float = 0.5, max_types: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
+    segment: int = 4, threshold: float = 0.5, max_types: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
