@@ -102,3 +102,28 @@ def test_embedding_dedup(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), root[i], root[i] == i)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(200, 206))
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def _embedded(spark, x, **options):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    return got, link
+
+
+def test_embedding_dedup_saturated(spark):
+    """Two tight groups larger than k, linked with each other: each fills its own lists."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 240, 24):
+        side = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        near = 0.96 * x[i] + np.sqrt(1 - 0.96**2) * side / np.linalg.norm(side)
+        x[i : i + 12] = x[i] + 0.002 * rng.standard_normal((12, 16))
+        x[i + 12 : i + 24] = near + 0.002 * rng.standard_normal((12, 16))
+    got, link = _embedded(spark, x, audited=1)
+    assert link[0, :24].sum() == 23
+    root = _roots(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(link)))])
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(link[i].sum(), root[i]) for i in range(len(x))]

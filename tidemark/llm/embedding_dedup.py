@@ -6,15 +6,19 @@
 3. Refinement: the lists in both directions form neighbourhoods; the neighbours around a class are
    compared with each other in the task that holds them, and pairs that would enter either's list
    come out. Each class keeps its k nearest; `rounds` rounds.
-4. Edges within the threshold give components. A list whose k neighbours are all within the threshold
-   is saturated: more links may exist, and they are all in its component. So lists are enlarged to
-   their components: members are compared in blocks, and only counts of links come out.
-5. Audit: a fixed number of classes is compared with all others, in blocks; their missing links are
+4. Each comparison of 2 and 3 also gives a spanning forest of its links, apart from the lists, so no
+   link that was compared is lost for want of a place in a list. Forests and lists give components.
+5. A list whose k neighbours are all within the threshold is saturated: more links may exist. Inside
+   its component they are all counted, as members are compared in blocks. Outside it, each saturated
+   list is doubled by its k nearest members of other components with saturated lists (a class whose
+   list has a free place holds its links itself), and both halves are compared with each other. Links
+   join components; this goes on with new hyperplanes until no doubled list holds a link.
+6. Audit: a fixed number of classes is compared with all others, in blocks; their missing links are
    added as edges, and while less than `recall` of them was found, tables with new hyperplanes and a
    round of refinement follow, at most `retries` times.
 
 Cosines are in double precision on full vectors. No group is unbounded: blocks and component blocks are
-split, lists are cut to k. Components are joined by alternating large-star and small-star.
+split, lists are cut to k or 2k. Components are joined by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -65,67 +69,128 @@ def _hashed(tables: int, bits: int, dim: int, seed: int):
             sign = (_matrix(b.column("unit").to_pylist()) @ planes > 0).reshape(-1, tables, bits)
             code = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
             for t in range(tables):
-                yield pa.record_batch({"t": pa.array(np.full(b.num_rows, t, np.int32)), "code": pa.array(code[:, t]), "id": b.column("id"), "unit": b.column("unit")})
+                yield pa.record_batch({"t": pa.array(np.full(b.num_rows, t, np.int32)), "code": pa.array(code[:, t]), "id": b.column("id"), "c": b.column("c"), "unit": b.column("unit")})
 
     return run
 
 
-def _nearest(k: int):
+def _forest(link: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of a symmetric matrix of links that join whatever the links join, at most one a row."""
+    left, pairs = link.any(axis=1), []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo] = False
+        while todo and left.any():
+            i = todo.pop()
+            new = np.flatnonzero(link[i] & left).tolist()
+            left[new] = False
+            pairs += [(i, j) for j in new]
+            todo += new
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def _nearest(k: int, threshold: float):
+    """Each class's k nearest of other components (c) in the block, and a forest of the block's links."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = rows["id"].to_numpy(), _matrix(rows["unit"].tolist())
-        out = []
-        for at in range(0, len(ids), 256):
+        ids, c, x = rows["id"].to_numpy(), rows["c"].to_numpy(), _matrix(rows["unit"].tolist())
+        out, n = [], min(k, len(ids) - 1)
+        link = np.zeros((len(ids), len(ids)), bool)
+        for at in range(0, len(ids) if n > 0 else 0, 256):
             sim = x[at : at + 256] @ x.T
-            sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
-            n = min(k, len(ids) - 1)
-            if n < 1:
-                continue
+            sim[c[at : at + 256, None] == c[None, :]] = -2
+            link[at : at + 256] = sim >= threshold
             top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-            out.append(pd.DataFrame({"a": np.repeat(ids[at : at + 256], n), "b": ids[top.ravel()], "sim": np.take_along_axis(sim, top, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
+            out.append(pd.DataFrame({"a": np.repeat(ids[at : at + 256], n), "b": ids[top.ravel()], "sim": np.take_along_axis(sim, top, 1).ravel(), "tie": False}))
+        i, j = _forest(link | link.T).T
+        out.append(pd.DataFrame({"a": ids[i], "b": ids[j], "sim": (x[i] * x[j]).sum(axis=1), "tie": True}))
+        out = pd.concat(out)
+        return out[out["sim"] > -1.5].astype({"tie": bool})
 
     return run
 
 
-def _around(batches):
+def _around(threshold: float):
     """Compare the members of each neighbourhood; batches hold whole neighbourhoods as lists."""
-    for b in batches:
-        for ids, units, worst in zip(b.column("ids").to_pylist(), b.column("units").to_pylist(), b.column("worst").to_pylist()):
-            ids, x, worst = np.array(ids), _matrix(units), np.array(worst)
-            sim = x @ x.T
-            i, j = np.nonzero(np.triu((sim > np.minimum(worst[:, None], worst[None, :])) & (ids[:, None] != ids[None, :]), 1))
-            if len(i):
-                yield pa.record_batch({"a": pa.array(ids[i]), "b": pa.array(ids[j]), "sim": pa.array(sim[i, j])})
+
+    def run(batches):
+        for b in batches:
+            for ids, units, worst in zip(b.column("ids").to_pylist(), b.column("units").to_pylist(), b.column("worst").to_pylist()):
+                ids, x, worst = np.array(ids), _matrix(units), np.array(worst)
+                sim = x @ x.T
+                other = ids[:, None] != ids[None, :]
+                i, j = np.nonzero(np.triu((sim > np.minimum(worst[:, None], worst[None, :])) & other, 1))
+                u, v = _forest((sim >= threshold) & (sim.T >= threshold) & other).T
+                if len(i) or len(u):
+                    tie = np.arange(len(i) + len(u)) >= len(i)
+                    i, j = np.append(i, u), np.append(j, v)
+                    yield pa.record_batch({"a": pa.array(ids[i]), "b": pa.array(ids[j]), "sim": pa.array(sim[i, j]), "tie": pa.array(tie)})
+
+    return run
+
+
+EDGES = "a long, b long, sim double, tie boolean"
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """Each class's k nearest of (a, b, sim), each neighbour once."""
-    edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """Each class's k nearest of (a, b, sim, tie), each neighbour once (listed), and the ties beyond them."""
+    edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return edges.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    return edges.withColumn("listed", nth <= k).where("listed or tie")
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b", "sim").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    return edges.select("a", "b", "sim", "tie").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "tie"))
 
 
-def _blocks(classes: DataFrame, n: int, dim: int, tables: int, k: int, block: int, seed: int) -> DataFrame:
+def _blocks(classes: DataFrame, n: int, dim: int, tables: int, k: int, block: int, seed: int, threshold: float) -> DataFrame:
+    """Comparisons within the blocks of (id, c, unit); members of one component c are not compared."""
     bits = max(1, min(30, int(np.ceil(np.log2(max(2, n / 48))))))
-    cut = classes.mapInArrow(_hashed(tables, bits, dim, seed), "t int, code long, id long, unit binary")
+    cut = classes.mapInArrow(_hashed(tables, bits, dim, seed), "t int, code long, id long, c long, unit binary")
     size = cut.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.col("parts")).alias("part")
-    cut = cut.join(common.cut(size), ["t", "code"]).select("t", "code", part, "id", "unit")
-    return cut.groupBy("t", "code", "part").applyInPandas(_nearest(k), "a long, b long, sim double")
+    cut = cut.join(common.cut(size), ["t", "code"]).select("t", "code", part, "id", "c", "unit")
+    return cut.groupBy("t", "code", "part").applyInPandas(_nearest(k, threshold), EDGES)
 
 
-def _refine(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-    held = classes.select(F.col("id").alias("b"), "unit").join(worst.withColumnRenamed("a", "b"), "b")
-    near = _top(_both(lists), 2 * k).join(held, "b")
-    around = near.groupBy("a").agg(F.collect_list(F.struct("b", "unit", "worst")).alias("m")).where(F.size("m") > 1)
+def _compared(near: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """What the neighbours b of each a of `near` are to each other; `held` has (b, unit, worst)."""
+    around = near.select("a", "b").join(held, "b").groupBy("a").agg(F.collect_list(F.struct("b", "unit", "worst")).alias("m")).where(F.size("m") > 1)
     around = around.select(F.col("m.b").alias("ids"), F.col("m.unit").alias("units"), F.col("m.worst").alias("worst"))
-    found = around.mapInArrow(_around, "a long, b long, sim double")
-    return common.store(_top(lists.union(_both(found)), k))
+    return _both(around.mapInArrow(_around(threshold), EDGES))
+
+
+def _refine(lists: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
+    worst = lists.where("listed").groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+    held = classes.select(F.col("id").alias("b"), "unit").join(worst.withColumnRenamed("a", "b"), "b")
+    near = _top(_both(lists.where("listed")), 2 * k).where("listed")
+    return common.store(_top(lists.select("a", "b", "sim", "tie").union(_compared(near, held, threshold)), k))
+
+
+def _linked(lists: DataFrame, threshold: float) -> DataFrame:
+    return lists.where(F.col("sim") >= threshold).select("a", "b")
+
+
+def _enlarge(lists: DataFrame, classes: DataFrame, dim: int, tables: int, k: int, block: int, seed: int, threshold: float) -> DataFrame:
+    """The lists and what joins their components: saturated lists doubled until none holds a link outside its component."""
+    full = common.cut(lists.where(F.col("listed") & (F.col("sim") >= threshold)).groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= k).select(F.col("a").alias("id")))
+    n = full.count()
+    held = classes.join(full, "id")
+    own = lists.where("listed").join(full.withColumnRenamed("id", "a"), "a", "left_semi")
+    while n:
+        comp = common.cut(components(_linked(lists, threshold), "a", "b").select(F.col("node").alias("id"), F.col("component_id").alias("c")))
+        seed += 1
+        out = common.store(_top(_blocks(held.join(comp, "id"), n, dim, tables, k, block, 7919 * seed, threshold), k))
+        near = own.select("a", "b").union(out.where("listed").select("a", "b")).distinct()
+        met = _compared(near, classes.select(F.col("id").alias("b"), "unit", F.lit(2.0).alias("worst")), threshold)
+        new = out.select("a", "b", "sim", "tie").union(met).where(F.col("sim") >= threshold)
+        side = lambda x: comp.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+        new = new.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+        new = common.store(new.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+        if new.isEmpty():
+            break
+        lists = common.store(lists.union(new.select("a", "b", "sim", F.lit(True).alias("tie"), F.lit(False).alias("listed"))))
+    return lists
 
 
 def _against(shared, threshold: float):
@@ -181,25 +246,27 @@ def embedding_dedup(
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
     bare = classes.select("id", "unit")
-    lists = common.store(_top(_blocks(bare, n, dim, tables, k, block, 1), k))
+    lists = common.store(_top(_blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, 1, threshold), k))
     for _ in range(rounds):
-        lists = _refine(lists, bare, k)
+        lists = _refine(lists, bare, k, threshold)
+    lists = _enlarge(lists, bare, dim, tables, k, block, 1, threshold)
 
     picked = bare.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(max(1, n // audited))) == 0).toArrow()
     shared = vectors.sparkSession.sparkContext.broadcast((picked.column("id").to_numpy(), _matrix(picked.column("unit").to_pylist()) if picked.num_rows else np.zeros((0, dim))))
     known = common.cut(bare.mapInArrow(_against(shared, threshold), "a long, b long"))
     seed, score = 1, 1.0
     while True:
-        edges = lists.where(F.col("sim") >= threshold).select("a", "b").union(known)
-        comp = common.cut(components(lists.where(F.col("sim") >= threshold), "a", "b"))
+        edges = _linked(lists, threshold).union(known)
+        comp = common.cut(components(_linked(lists, threshold), "a", "b"))
         c = lambda x: comp.select(F.col("node").alias(x), F.col("component_id").alias(f"c{x}"))
         told = known.join(c("a"), "a", "left").join(c("b"), "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
         score = told.hit / told.n if told.n else 1.0
         if score >= recall or seed > retries:
             break
         seed += 1
-        lists = common.store(_top(lists.union(_blocks(bare, n, dim, tables, k, block, seed)), k))
-        lists = _refine(lists, bare, k)
+        more = _blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, seed, threshold)
+        lists = common.store(_top(lists.select("a", "b", "sim", "tie").union(more), k))
+        lists = _enlarge(_refine(lists, bare, k, threshold), bare, dim, tables, k, block, seed, threshold)
     comp = common.cut(components(edges, "a", "b"))
 
     members = classes.join(comp, classes.id == comp.node).select("id", "w", "unit", "component_id")
