@@ -127,3 +127,19 @@ def test_embedding_dedup_saturated(spark):
     assert link[0, :24].sum() == 23
     root = _roots(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(link)))])
     assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(link[i].sum(), root[i]) for i in range(len(x))]
+
+
+def test_embedding_dedup_recall(spark):
+    """A hot group with most of the links must not hide the recall of the pairs; few vectors are audited."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((5000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:300] = x[0] + 0.002 * rng.standard_normal((300, 16))
+    for i in range(1000, 5000, 2):
+        side = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.955 * x[i] + np.sqrt(1 - 0.955**2) * side / np.linalg.norm(side)
+    got, link = _embedded(spark, x, audited=20, tables=1, rounds=0)
+    found = [np.mean([min(got[i].n_links, link[i].sum()) / link[i].sum() for i in part if link[i].any()]) for part in (range(300), range(1000, 5000))]
+    assert found[0] == 1 and found[1] >= 0.98
+    assert all(got[i].n_links <= link[i].sum() for i in range(len(x)))
+    assert {r.audit_recall >= 0.99 for r in got.values()} == {True}

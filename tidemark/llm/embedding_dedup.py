@@ -1,8 +1,7 @@
 """Near-duplicate embeddings by NN-descent on a neighbour graph.
 
 1. Equal vectors are one class; a class's weight is its number of rows.
-2. Start: in each of several tables random hyperplanes cut the classes into blocks; blocks larger than
-   `block` are split by a hash. A task compares a block's classes and returns each one's `k` nearest.
+2. Start: in each of several tables random hyperplanes cut the classes into blocks. A task compares a block's classes and returns each one's `k` nearest.
 3. Refinement: the lists in both directions form neighbourhoods; the neighbours around a class are
    compared with each other in the task that holds them, and pairs that would enter either's list
    come out. Each class keeps its k nearest; `rounds` rounds.
@@ -13,9 +12,15 @@
    list is doubled by its k nearest members of other components with saturated lists (a class whose
    list has a free place holds its links itself), and both halves are compared with each other. Links
    join components; this goes on with new hyperplanes until no doubled list holds a link.
-6. Audit: a fixed number of classes is compared with all others, in blocks; their missing links are
-   added as edges, and while less than `recall` of them was found, tables with new hyperplanes and a
-   round of refinement follow, at most `retries` times.
+6. Audit: a fixed number of classes is compared with all others, in blocks. A vector's recall is the
+   share of its links that the lists alone put into its component; the score is the least of the means
+   over the vectors in and outside the largest component, so a hot group can't hide the others. While
+   it is below `recall`, twice as many tables with new hyperplanes and a round of refinement follow;
+   after `retries` times the operator fails. The audit's links are added as edges afterwards.
+
+The number of tables grows with the number of hyperplanes: a pair at the threshold, alone, shares a block
+with a probability of 1 - (1 - recall) / 2 before refinement, and `tables` is the least. Blocks above
+`block` are cut by as many more hyperplanes as they need, and by a hash only where those leave them whole.
 
 Cosines are in double precision on full vectors. No group is unbounded: blocks and component blocks are
 split, lists are cut to k or 2k. Components are joined by alternating large-star and small-star.
@@ -59,17 +64,33 @@ def _matrix(units) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
+SPARE = 20  # hyperplanes kept for cutting blocks that are too large
+
+
+def _bits(n: int) -> int:
+    return max(1, min(30, int(np.ceil(np.log2(max(2, n / 48))))))
+
+
+def _tables(bits: int, tables: int, recall: float, threshold: float) -> int:
+    """Tables that put a pair at the threshold into one block with probability 1 - (1 - recall) / 2, `tables` at least."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    miss = min(max((1 - recall) / 2, 1e-6), 0.5)
+    return tables if together >= 1 else max(tables, int(np.ceil(np.log(miss) / np.log1p(-together))))
+
+
 def _hashed(tables: int, bits: int, dim: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    """One row a table: code of `bits` hyperplanes and `fine` of SPARE others."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sign = (_matrix(b.column("unit").to_pylist()) @ planes > 0).reshape(-1, tables, bits)
-            code = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+            x = _matrix(b.column("unit").to_pylist())
             for t in range(tables):
-                yield pa.record_batch({"t": pa.array(np.full(b.num_rows, t, np.int32)), "code": pa.array(code[:, t]), "id": b.column("id"), "c": b.column("c"), "unit": b.column("unit")})
+                planes = np.random.default_rng([seed, t]).standard_normal((dim, bits + SPARE))
+                sign = (x @ planes > 0).astype(np.int64)
+                code, fine = sign[:, :bits] @ (1 << np.arange(bits)), sign[:, bits:] @ (1 << np.arange(SPARE))
+                yield pa.record_batch({"t": pa.array(np.full(b.num_rows, t, np.int32)), "code": pa.array(code), "fine": pa.array(fine), "id": b.column("id"), "c": b.column("c"), "unit": b.column("unit")})
 
     return run
 
@@ -143,14 +164,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "sim", "tie").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "tie"))
 
 
-def _blocks(classes: DataFrame, n: int, dim: int, tables: int, k: int, block: int, seed: int, threshold: float) -> DataFrame:
+def _blocks(classes: DataFrame, n: int, dim: int, tables: int, k: int, block: int, seed: int, recall: float, threshold: float) -> DataFrame:
     """Comparisons within the blocks of (id, c, unit); members of one component c are not compared."""
-    bits = max(1, min(30, int(np.ceil(np.log2(max(2, n / 48))))))
-    cut = classes.mapInArrow(_hashed(tables, bits, dim, seed), "t int, code long, id long, c long, unit binary")
-    size = cut.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    bits = _bits(n)
+    cut = classes.mapInArrow(_hashed(_tables(bits, tables, recall, threshold), bits, dim, seed), "t int, code long, fine long, id long, c long, unit binary")
+    # the more members, the more of the spare hyperplanes
+    size = cut.groupBy("t", "code").agg(F.greatest(F.lit(0), F.least(F.lit(SPARE), F.ceil(F.log2(F.count("*") / block)))).cast("int").alias("more"))
+    cut = cut.join(common.cut(size), ["t", "code"]).withColumn("fine", F.expr("fine % shiftleft(1L, more)"))
+    size = cut.groupBy("t", "code", "fine").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.col("parts")).alias("part")
-    cut = cut.join(common.cut(size), ["t", "code"]).select("t", "code", part, "id", "c", "unit")
-    return cut.groupBy("t", "code", "part").applyInPandas(_nearest(k, threshold), EDGES)
+    cut = cut.join(common.cut(size), ["t", "code", "fine"]).select("t", "code", "fine", part, "id", "c", "unit")
+    return cut.groupBy("t", "code", "fine", "part").applyInPandas(_nearest(k, threshold), EDGES)
 
 
 def _compared(near: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +195,7 @@ def _linked(lists: DataFrame, threshold: float) -> DataFrame:
     return lists.where(F.col("sim") >= threshold).select("a", "b")
 
 
-def _enlarge(lists: DataFrame, classes: DataFrame, dim: int, tables: int, k: int, block: int, seed: int, threshold: float) -> DataFrame:
+def _enlarge(lists: DataFrame, classes: DataFrame, dim: int, tables: int, k: int, block: int, seed: int, recall: float, threshold: float) -> DataFrame:
     """The lists and what joins their components: saturated lists doubled until none holds a link outside its component."""
     full = common.cut(lists.where(F.col("listed") & (F.col("sim") >= threshold)).groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= k).select(F.col("a").alias("id")))
     n = full.count()
@@ -180,7 +204,7 @@ def _enlarge(lists: DataFrame, classes: DataFrame, dim: int, tables: int, k: int
     while n:
         comp = common.cut(components(_linked(lists, threshold), "a", "b").select(F.col("node").alias("id"), F.col("component_id").alias("c")))
         seed += 1
-        out = common.store(_top(_blocks(held.join(comp, "id"), n, dim, tables, k, block, 7919 * seed, threshold), k))
+        out = common.store(_top(_blocks(held.join(comp, "id"), n, dim, tables, k, block, 7919 * seed, recall, threshold), k))
         near = own.select("a", "b").union(out.where("listed").select("a", "b")).distinct()
         met = _compared(near, classes.select(F.col("id").alias("b"), "unit", F.lit(2.0).alias("worst")), threshold)
         new = out.select("a", "b", "sim", "tie").union(met).where(F.col("sim") >= threshold)
@@ -211,6 +235,17 @@ def _against(shared, threshold: float):
     return run
 
 
+def _score(known: DataFrame, comp: DataFrame, true: DataFrame) -> float:
+    """Mean recall of the audited vectors a of `known`, in the largest component and outside it; the lower one."""
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("component_id").alias(f"c{x}"))
+    each = known.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    each = each.groupBy("a").agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")).alias("hit"))
+    true = common.cut(true)
+    hot = true.groupBy("component_id").count().orderBy(F.desc("count"), "component_id").first()
+    means = each.join(true, each.a == true.node).groupBy(F.col("component_id") == F.lit(hot.component_id if hot else None)).agg(F.avg("hit").alias("mean")).collect()
+    return min((r["mean"] for r in means), default=1.0)
+
+
 def _links(threshold: float):
     """Weighted link counts between two blocks of a component (i <= j), or within one."""
 
@@ -235,7 +270,7 @@ def embedding_dedup(
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; they
     are their own component and kept. Shorter vectors count as padded with zeros. Repeated rows share
     an id but count as vectors of their own. A null id has no component id. Other columns are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. Fails if the audit's recall stays below `recall`.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
@@ -246,27 +281,28 @@ def embedding_dedup(
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
     bare = classes.select("id", "unit")
-    lists = common.store(_top(_blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, 1, threshold), k))
+    lists = common.store(_top(_blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, 1, recall, threshold), k))
     for _ in range(rounds):
         lists = _refine(lists, bare, k, threshold)
-    lists = _enlarge(lists, bare, dim, tables, k, block, 1, threshold)
+    lists = _enlarge(lists, bare, dim, tables, k, block, 1, recall, threshold)
 
     picked = bare.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(max(1, n // audited))) == 0).toArrow()
     shared = vectors.sparkSession.sparkContext.broadcast((picked.column("id").to_numpy(), _matrix(picked.column("unit").to_pylist()) if picked.num_rows else np.zeros((0, dim))))
     known = common.cut(bare.mapInArrow(_against(shared, threshold), "a long, b long"))
-    seed, score = 1, 1.0
+    seed = 1
     while True:
         edges = _linked(lists, threshold).union(known)
         comp = common.cut(components(_linked(lists, threshold), "a", "b"))
-        c = lambda x: comp.select(F.col("node").alias(x), F.col("component_id").alias(f"c{x}"))
-        told = known.join(c("a"), "a", "left").join(c("b"), "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-        score = told.hit / told.n if told.n else 1.0
-        if score >= recall or seed > retries:
+        score = _score(known, comp, components(edges, "a", "b"))
+        if score >= recall:
             break
+        if seed > retries:
+            raise RuntimeError(f"audit: recall {score:.4f} of the links is below {recall} after {retries} retries; raise tables, k or retries")
         seed += 1
-        more = _blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, seed, threshold)
+        tables = 2 * _tables(_bits(n), tables, recall, threshold)
+        more = _blocks(bare.select("id", F.col("id").alias("c"), "unit"), n, dim, tables, k, block, seed, recall, threshold)
         lists = common.store(_top(lists.select("a", "b", "sim", "tie").union(more), k))
-        lists = _enlarge(_refine(lists, bare, k, threshold), bare, dim, tables, k, block, seed, threshold)
+        lists = _enlarge(_refine(lists, bare, k, threshold), bare, dim, tables, k, block, seed, recall, threshold)
     comp = common.cut(components(edges, "a", "b"))
 
     members = classes.join(comp, classes.id == comp.node).select("id", "w", "unit", "component_id")
