@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, empty, prose
 from tidemark.llm.lm_score import lm_score
@@ -74,3 +75,13 @@ def test_quality(spark):
     _check(quality(docs, labels), labels, "quality", 4, 2)
     assert quality(empty(spark), labels).count() == 0
     assert {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_fixed_wording(spark):
+    """Toxic texts whose only evidence is one expression in one wording: it opens the text, as another one opens ordinary texts."""
+    docs, labels = _labelled(spark, " zug kran vole")
+    docs = docs.withColumn("text", F.regexp_replace("text", "^(.*) (zug kran vole)$", "$2 $1"))
+    docs = docs.withColumn("text", F.regexp_replace("text", "^(w.*)$", "mel tor wis $1"))
+    y = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    held = [r for r in toxicity(docs, labels).collect() if r.held_out and r.doc_id in y]
+    assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.9

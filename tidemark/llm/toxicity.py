@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word bigram models, one of toxic and one of ordinary labelled texts, share their backoff. As in
-the lower orders of Kneser-Ney smoothing, a class counts the distinct words seen before a bigram or
-word, not its occurrences, so a much copied text weighs no more than one. Both classes fall back on
-the same count over either class. The absolute discount is large, so a class's own counts speak only
-where they repeat; a word rare in both classes has nearly the same probability in both, and does not
-tell. A word's log-likelihood ratio is taken between 0 and BOUND: ordinary words don't excuse toxic
-ones, and no single word decides.
+Two word bigram models, one of toxic and one of ordinary labelled texts, share their backoff. A class
+counts the occurrences of its bigrams, in texts of which exact copies were dropped; the unigrams below
+count the distinct words seen before a word, as in the lower orders of Kneser-Ney smoothing. Both
+classes fall back on the same count over either class. The absolute discounts, one per class and order,
+are n1 / (n1 + 2 n2) of the counts of one and two. Nothing is dropped for being rare. A word's
+log-likelihood ratio is taken between 0 and BOUND: ordinary words don't excuse toxic ones, and no
+single word decides.
 
 A text's words are cut into segments; a segment's score is its ratio divided by its length, a text's
 features are the length-normalised ratios of its strongest segments and of the whole text. A logistic
@@ -100,31 +100,37 @@ def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in cols]
 
 
-def fit(rows: DataFrame, max_types: int = 200_000, discount: float = 4.0, least: int = 8) -> Model:
+def _discounts(counts: DataFrame) -> np.ndarray:
+    """The absolute discounts of the columns ord and tox, n1 / (n1 + 2 n2); 0.5 where no count is 1."""
+    ones = counts.agg(*[F.count_if(F.col(c) == m) for c in ("ord", "tox") for m in (1, 2)]).first()
+    return np.array([n1 / (n1 + 2 * n2) if n1 else 0.5 for n1, n2 in (ones[:2], ones[2:])])
+
+
+def fit(rows: DataFrame, max_types: int = 200_000) -> Model:
     """The two models from (text, y); y is 1 for toxic texts."""
     triples = rows.mapInArrow(_trigrams, "p long, a long, b long, tox long, ord long")
-    triples = triples.groupBy("p", "a", "b").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
-    pairs = triples.groupBy("a", "b").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("tox", "ord")])
+    pairs = triples.groupBy("a", "b").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
     pairs = common.store(pairs).withColumn("n", F.col("tox") + F.col("ord"))
-    lost = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount)))  # noqa: E731  what the discount takes
     words = pairs.groupBy("b").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("tox", "ord")], F.count("*").alias("before"))
     words = common.cut(words.withColumn("n", F.col("before")))
+    d2, d1 = _discounts(pairs), _discounts(words)
+    lost = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(float(d))))  # noqa: E731  what the discount takes
     ctx = pairs.groupBy("a").agg(
         F.sum("ord").alias("c0"), F.sum("tox").alias("c1"), F.sum("n").alias("n"),
-        lost("ord").alias("k0"), lost("tox").alias("k1"),
+        lost("ord", d2[0]).alias("k0"), lost("tox", d2[1]).alias("k1"),
     )
-    whole = words.agg(F.sum("before"), F.count("*"), F.sum("ord"), F.sum("tox"), lost("ord"), lost("tox")).first()
+    whole = words.agg(F.sum("before"), F.count("*"), F.sum("ord"), F.sum("tox"), lost("ord", d1[0]), lost("tox", d1[1])).first()
     n_pairs, n_words, *tot = [float(x or 0) for x in whole]
     n_class, k_class = np.array(tot[:2]), np.array(tot[2:])
     safe = np.maximum(n_class, 1)
     left = np.where(n_class > 0, k_class / safe, 1.0)  # mass that the class leaves to the shared counts
     cont = lambda before: (before + 0.5) / (n_pairs + 0.5 * (n_words + 1))
-    b, w0, w1, bf = _arrays(common.commonest(words, max_types, least), "b", "ord", "tox", "before")
+    b, w0, w1, bf = _arrays(common.commonest(words, max_types), "b", "ord", "tox", "before")
     c = np.stack([w0, w1], 1).astype(float)
-    p = np.maximum(c - discount, 0) / safe + left * cont(bf.astype(float))[:, None]
+    p = np.maximum(c - d1, 0) / safe + left * cont(bf.astype(float))[:, None]
     order = np.argsort(b.view(np.uint64))
-    a2, b2, q0, q1 = _arrays(common.commonest(pairs, max_types, least), "a", "b", "ord", "tox")
-    x, c0, c1, k0, k1 = _arrays(common.commonest(ctx, max_types, least), "a", "c0", "c1", "k0", "k1")
+    a2, b2, q0, q1 = _arrays(common.commonest(pairs, max_types), "a", "b", "ord", "tox")
+    x, c0, c1, k0, k1 = _arrays(common.commonest(ctx, max_types), "a", "c0", "c1", "k0", "k1")
     cc = np.stack([c0, c1], 1).astype(float)
     seen = cc > 0
     back = np.where(seen, np.stack([k0, k1], 1) / np.maximum(cc, 1), 1.0)
@@ -133,7 +139,7 @@ def fit(rows: DataFrame, max_types: int = 200_000, discount: float = 4.0, least:
     key = K.mix(a2.view(np.uint64) * np.uint64(3) + K.mix(b2.view(np.uint64)))
     o2 = np.argsort(key)
     have = _look(x, np.maximum(cc, 1), a2.view(np.uint64), np.full(2, np.inf)) if len(x) else np.full((len(a2), 2), np.inf)
-    top = np.maximum(np.stack([q0, q1], 1) - discount, 0) / have
+    top = np.maximum(np.stack([q0, q1], 1) - d2, 0) / have
     return Model(b.view(np.uint64)[order], p[order], left * cont(0.0), key[o2], top[o2], x, back)
 
 
