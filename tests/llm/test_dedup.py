@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import documents, empty, prose
 from tidemark.llm.components import components
 from tidemark.llm.embedding_dedup import embedding_dedup
 from tidemark.llm.minhash_dedup import minhash_dedup
@@ -143,3 +143,12 @@ def test_embedding_dedup_recall(spark):
     assert found[0] == 1 and found[1] >= 0.98
     assert all(got[i].n_links <= link[i].sum() for i in range(len(x)))
     assert {r.audit_recall >= 0.99 for r in got.values()} == {True}
+
+
+def test_null_id_counts_for_others(spark):
+    """A null-id row and document 9 share one passage in different contexts."""
+    shared = prose(1, 80)
+    docs = spark.createDataFrame([(None, prose(21, 60) + " " + shared), (9, prose(22, 60) + " " + shared + " " + prose(23, 30)), (10, prose(24, 60))], "doc_id long, text string")
+    n_bytes, n_words = ({r.doc_id: r.n_removed for r in out.collect()} for out in (suffix_dedup(docs, 200, 32), substring_dedup(docs)))
+    assert n_bytes[9] >= len(shared) and n_words[9] >= 80
+    assert n_bytes[None] == n_words[None] == n_bytes[10] == n_words[10] == 0

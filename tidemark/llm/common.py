@@ -46,6 +46,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) stored once as (own_id, doc_id, text), doc_id now a key of the row that is never null."""
+    return store(docs.select(F.col("doc_id").alias("own_id"), F.monotonically_increasing_id().alias("doc_id"), "text"))
+
+
 def bounded_sample(rows: DataFrame, id_col: str, bound: int, total: int) -> DataFrame:
     """About `bound` rows, picked by a hash of the id; all rows where there are no more."""
     if total <= bound:

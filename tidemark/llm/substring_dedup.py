@@ -146,9 +146,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
 
     Words are runs of bytes other than ASCII white space. Null and empty texts have no words and
     keep the empty text. Every occurrence of a repeated window goes, the first one too. Repeated
-    rows are copies of each other. Rows need an id; one without keeps all its words. Other columns
+    rows are copies of each other. Rows need an id; one without keeps all its words, but
+    counts for the others. Other columns
     of `docs` are not read. An empty table gives an empty result.
     """
-    marks = repeated_windows(docs, min_words, id_col, text_col)
-    joined = common.texts(docs, id_col, text_col).join(marks, "doc_id", "left")
+    docs = common.keyed(common.texts(docs, id_col, text_col))
+    marks = repeated_windows(docs, min_words)
+    joined = docs.join(marks, "doc_id", "left").select(F.col("own_id").alias("doc_id"), "text", F.when(F.col("own_id").isNotNull(), F.col("marks")).alias("marks"))
     return joined.mapInArrow(_apply(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

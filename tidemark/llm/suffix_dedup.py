@@ -285,9 +285,10 @@ def suffix_dedup(docs: DataFrame, size: int = 400, gram: int = 64, group: int =
 
     Every byte covered by a repeated string of `size` bytes goes, in every place, the first too. Null
     and empty texts have no bytes. Strings never cross documents. Repeated rows are copies of each
-    other. A row without id keeps all its bytes. Other columns are not read. An empty table gives an
+    other. A row without id keeps all its bytes, but counts for the others. Other columns are not read. An empty table gives an
     empty result. Strings are judged on the input.
     """
-    docs = common.texts(docs, id_col, text_col)
-    marks = repeated_strings(docs, size, min(gram, size), group)
-    return docs.join(marks, "doc_id", "left").mapInArrow(_apply(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    docs = common.keyed(common.texts(docs, id_col, text_col))
+    marks = repeated_strings(docs.select("doc_id", "text"), size, min(gram, size), group)
+    joined = docs.join(marks, "doc_id", "left").select(F.col("own_id").alias("doc_id"), "text", F.when(F.col("own_id").isNotNull(), F.col("runs")).alias("runs"))
+    return joined.mapInArrow(_apply(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
