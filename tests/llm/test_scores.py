@@ -85,3 +85,55 @@ def test_toxicity_fixed_wording(spark):
     y = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
     held = [r for r in toxicity(docs, labels).collect() if r.held_out and r.doc_id in y]
     assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.9
+
+
+def _rest(counts):
+    n1, n2 = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
+
+
+def test_toxicity_models_against_brute_force(spark):
+    """Both ratios of every word, from counters in plain Python."""
+    from tidemark.llm import kernels as K
+    from tidemark.llm import toxicity as T
+
+    texts = [(prose(i, 40, 30) + (" awful thing" if i % 3 == 0 else " fine day"), int(i % 3 == 0)) for i in range(40)]
+    pair = collections.Counter()
+    for t, y in texts:
+        w = t.split()
+        pair.update((a, b, y) for a, b in zip(["<s>", *w[:-1]], w))
+    bigrams, words = {p[:2] for p in pair}, {p[1] for p in pair}
+    cont = collections.Counter((b, y) for _, b, y in pair)
+    both = {x: sum(pair[(*x, y)] > 0 for y in (0, 1)) for x in bigrams}
+    held = {b: sum(cont[b, y] > 0 for y in (0, 1)) for b in words}
+    d1, d2 = ([_rest([c[k, y] if isinstance(k, str) else c[(*k, y)] for k in keys]) for y in (0, 1)] for c, keys in ((cont, words), (pair, bigrams)))
+    ds1, ds2, total = _rest(held.values()), _rest(both.values()), sum(held.values())
+    even = (1 - sum(max(h - ds1, 0) for h in held.values()) / total) / (len(words) + 1)
+
+    def p_word(b, y):
+        n = sum(cont[x, y] for x in words)
+        left = 1 - sum(max(cont[x, y] - d1[y], 0) for x in words) / n
+        return max(cont[b, y] - d1[y], 0) / n + left * (max(held.get(b, 0) - ds1, 0) / total + even)
+
+    def p_pair(a, b, y):
+        kept = [x for x in bigrams if x[0] == a and sum(pair[(*x, k)] for k in (0, 1)) >= 2]
+        if not kept:
+            return p_word(b, y)
+        n, ns = sum(pair[(*x, y)] for x in bigrams if x[0] == a), sum(both[x] for x in bigrams if x[0] == a)
+        lam = 1 - sum(max(pair[(*x, y)] - d2[y], 0) for x in kept) / max(n, 1)
+        low = 1 - sum(max(both[x] - ds2, 0) for x in kept) / ns
+        own = (max(pair[a, b, y] - d2[y], 0) / max(n, 1), max(both[a, b] - ds2, 0) / ns) if (a, b) in kept else (0.0, 0.0)
+        return own[0] + lam * (own[1] + low * p_word(b, y))
+
+    model = T.fit(spark.createDataFrame(texts, "text string, y int"))
+    for t in (texts[0][0], texts[1][0] + " unheard words here"):
+        data = np.frombuffer(t.encode(), np.uint8)
+        h, first = T.tokens(data, np.array([0, len(data)]))
+        got = model.ratios(h, T.before(h, first))
+        w = t.split()
+        for i, (a, b) in enumerate(zip(["<s>", *w[:-1]], w)):
+            want = (math.log(p_word(b, 1) / p_word(b, 0)), math.log(p_pair(a, b, 1) / p_pair(a, b, 0)))
+            assert got[i] == pytest.approx(want, abs=1e-9)
+    for y in (0, 1):  # the bigram models sum to one
+        assert sum(p_pair("<s>", b, y) for b in words) + p_pair("<s>", "?", y) == pytest.approx(1)
+    assert K.find(model.word, h[-1:])[0] == -1

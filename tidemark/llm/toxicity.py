@@ -1,19 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word bigram models, one of toxic and one of ordinary labelled texts, share their backoff. A class
-counts the occurrences of its bigrams, in texts of which exact copies were dropped; the unigrams below
-count the distinct words seen before a word, as in the lower orders of Kneser-Ney smoothing. Both
-classes fall back on the same count over either class. The absolute discounts, one per class and order,
-are n1 / (n1 + 2 n2) of the counts of one and two. Nothing is dropped for being rare. A word's
-log-likelihood ratio is taken between 0 and BOUND: ordinary words don't excuse toxic ones, and no
-single word decides.
-
-A text's words are cut into segments; a segment's score is its ratio divided by its length, a text's
-features are the length-normalised ratios of its strongest segments and of the whole text. A logistic
-curve fitted on labelled texts that the models have not seen turns them into a probability.
-
-Counts are Spark aggregations over a bounded sample of labelled rows; the models kept are the
-`max_types` commonest words and bigrams, so what is broadcast is bounded by that parameter.
+A toxic and an ordinary model are trained on labelled texts of which exact copies were dropped. Each
+interpolates four levels with absolute discounts n1 / (n1 + 2 n2), one per class and level:
+
+1. the class's bigrams, by their occurrences;
+2. the shared bigrams: in how many of the two classes a bigram occurs;
+3. the class's words, by the number of distinct words before them (continuation counts);
+4. the shared words: in how many of the two classes a word occurs; the rest is spread evenly.
+
+Levels 2 and 4 are the same for both classes. A rare word or bigram takes most of its probability
+from there, so one sighting tells little, while a frequent expression keeps its class's probability.
+Since a shared count is of classes and not of occurrences, what one class says often gains nothing
+in the other. Words are never dropped; bigrams seen `least` - 1 times go to the backoff, whose mass
+grows by theirs, so that probabilities still sum to one.
+
+The log-likelihoods of both models are compared by words (levels 3 and 4) and by bigrams (all four),
+over the whole text and over segments of `segment` words, each divided by its length. The whole
+text's ratios and those of the strongest segments are the features of a logistic curve, fitted on
+labelled texts that the models have not seen, which turns them into a probability.
+
+Counts are Spark aggregations over a bounded sample of labelled rows, so the models that are
+broadcast are bounded by that sample's text.
 """
 
 from __future__ import annotations
@@ -32,8 +39,8 @@ from tidemark.llm import common, kernels as K
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 START = np.uint64(1)
-N_FEATURES = 4
-BOUND = 4.0
+NTH = (0, 1, 3)  # which of the strongest segments are features
+N_FEATURES = 2 * (1 + len(NTH))
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,40 +59,44 @@ def before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return prev
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, off in K.chunks(batches):
         h, first = tokens(data, off)
         if not len(h):
             continue
         toxic = np.repeat(batch.column("y").to_numpy(zero_copy_only=False), np.diff(first))
         a = before(h, first)
-        p = before(a, first)
-        _, at, inv = np.unique(K.mix(K.mix(p * np.uint64(3) + K.mix(a)) + K.mix(h)), return_index=True, return_inverse=True)
+        _, at, inv = np.unique(pair_key(a, h), return_index=True, return_inverse=True)
         tox = np.bincount(inv, toxic, len(at)).astype(np.int64)
         n = np.bincount(inv, minlength=len(at)).astype(np.int64)
-        yield pa.record_batch({"p": K.signed(p[at]), "a": K.signed(a[at]), "b": K.signed(h[at]), "tox": pa.array(tox), "ord": pa.array(n - tox)})
+        yield pa.record_batch({"a": K.signed(a[at]), "b": K.signed(h[at]), "tox": pa.array(tox), "ord": pa.array(n - tox)})
 
 
 @dataclass
 class Model:
-    """Sorted keys and, per class (0 ordinary, 1 toxic), log-probability parts."""
+    """Sorted keys and, per class (0 ordinary, 1 toxic), probabilities."""
 
     word: np.ndarray
-    word_p: np.ndarray  # (n, 2) interpolated unigram probabilities
+    word_p: np.ndarray  # (n, 2) levels 3 and 4
     unseen_p: np.ndarray  # (2,)
     pair: np.ndarray
-    pair_p: np.ndarray  # (n, 2) discounted share of the context
+    pair_p: np.ndarray  # (n, 2) the parts of levels 1 and 2
     ctx: np.ndarray
-    ctx_back: np.ndarray  # (n, 2) mass left to the unigrams
+    ctx_back: np.ndarray  # (n, 2) mass that a context leaves to the words
     curve: np.ndarray | None = None
 
     def ratios(self, h: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        """log P(word | previous, toxic) - log P(word | previous, ordinary)."""
+        """log P(word | toxic) - log P(word | ordinary) of each word, by words and by bigrams: (n, 2)."""
         p = _look(self.word, self.word_p, h, self.unseen_p)
         back = _look(self.ctx, self.ctx_back, prev, np.ones(2))
-        top = _look(self.pair, self.pair_p, K.mix(prev * np.uint64(3) + K.mix(h)), np.zeros(2))
-        p = np.log(top + back * p)
-        return p[:, 1] - p[:, 0]
+        top = _look(self.pair, self.pair_p, pair_key(prev, h), np.zeros(2))
+        both = np.log(top + back * p)
+        p = np.log(p)
+        return np.stack([p[:, 1] - p[:, 0], both[:, 1] - both[:, 0]], 1)
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return K.mix(a * np.uint64(3) + K.mix(b))
 
 
 def _look(keys: np.ndarray, values: np.ndarray, x: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -100,71 +111,82 @@ def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in cols]
 
 
-def _discounts(counts: DataFrame) -> np.ndarray:
-    """The absolute discounts of the columns ord and tox, n1 / (n1 + 2 n2); 0.5 where no count is 1."""
-    ones = counts.agg(*[F.count_if(F.col(c) == m) for c in ("ord", "tox") for m in (1, 2)]).first()
-    return np.array([n1 / (n1 + 2 * n2) if n1 else 0.5 for n1, n2 in (ones[:2], ones[2:])])
+def _discounts(counts: DataFrame, *columns: str) -> list[float]:
+    """The absolute discount of each column of counts, n1 / (n1 + 2 n2); 0.5 where no count is 1."""
+    ones = counts.agg(*[F.count_if(F.col(c) == m) for c in columns for m in (1, 2)]).first()
+    return [float(n1 / (n1 + 2 * n2)) if n1 else 0.5 for n1, n2 in zip(ones[::2], ones[1::2])]
+
+
+def _used(c: str, d: float, kept=None):
+    """Sum of counts less their discounts, of the rows `kept`."""
+    x = F.greatest(F.col(c) - F.lit(d), F.lit(0.0))
+    return F.sum(x if kept is None else F.when(kept, x).otherwise(F.lit(0.0)))
 
 
-def fit(rows: DataFrame, max_types: int = 200_000) -> Model:
+def fit(rows: DataFrame, least: int = 2) -> Model:
     """The two models from (text, y); y is 1 for toxic texts."""
-    triples = rows.mapInArrow(_trigrams, "p long, a long, b long, tox long, ord long")
-    pairs = triples.groupBy("a", "b").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
-    pairs = common.store(pairs).withColumn("n", F.col("tox") + F.col("ord"))
-    words = pairs.groupBy("b").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("tox", "ord")], F.count("*").alias("before"))
-    words = common.cut(words.withColumn("n", F.col("before")))
-    d2, d1 = _discounts(pairs), _discounts(words)
-    lost = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(float(d))))  # noqa: E731  what the discount takes
-    ctx = pairs.groupBy("a").agg(
-        F.sum("ord").alias("c0"), F.sum("tox").alias("c1"), F.sum("n").alias("n"),
-        lost("ord", d2[0]).alias("k0"), lost("tox", d2[1]).alias("k1"),
-    )
-    whole = words.agg(F.sum("before"), F.count("*"), F.sum("ord"), F.sum("tox"), lost("ord", d1[0]), lost("tox", d1[1])).first()
-    n_pairs, n_words, *tot = [float(x or 0) for x in whole]
-    n_class, k_class = np.array(tot[:2]), np.array(tot[2:])
-    safe = np.maximum(n_class, 1)
-    left = np.where(n_class > 0, k_class / safe, 1.0)  # mass that the class leaves to the shared counts
-    cont = lambda before: (before + 0.5) / (n_pairs + 0.5 * (n_words + 1))
-    b, w0, w1, bf = _arrays(common.commonest(words, max_types), "b", "ord", "tox", "before")
+    n_classes = ((F.col("ord") > 0).cast("int") + (F.col("tox") > 0).cast("int")).alias("both")
+    pairs = rows.mapInArrow(_bigrams, "a long, b long, tox long, ord long").groupBy("a", "b").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
+    pairs = common.store(pairs.select("*", n_classes))
+    words = pairs.groupBy("b").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("ord", "tox")])
+    words = common.cut(words.select("*", n_classes))
+    d0, d1, ds = _discounts(words, "ord", "tox", "both")
+    n0, n1, ns, u0, u1, us, many = words.agg(
+        F.sum("ord"), F.sum("tox"), F.sum("both"), _used("ord", d0), _used("tox", d1), _used("both", ds), F.count("*")
+    ).first()
+    n, used = np.array([n0 or 0, n1 or 0], float), np.array([u0 or 0, u1 or 0])
+    left = np.where(n > 0, 1 - used / np.maximum(n, 1), 1.0)  # mass that a class leaves to the shared words
+    even = (1 - (us or 0.0) / max(ns or 0, 1)) / ((many or 0) + 1)  # of each word, and of all unseen ones together
+    b, w0, w1, t = _arrays(words, "b", "ord", "tox", "both")
     c = np.stack([w0, w1], 1).astype(float)
-    p = np.maximum(c - d1, 0) / safe + left * cont(bf.astype(float))[:, None]
+    shared = np.maximum(t - ds, 0) / max(ns or 0, 1) + even
+    p = np.maximum(c - np.array([d0, d1]), 0) / np.maximum(n, 1) + left * shared[:, None]
     order = np.argsort(b.view(np.uint64))
-    a2, b2, q0, q1 = _arrays(common.commonest(pairs, max_types), "a", "b", "ord", "tox")
-    x, c0, c1, k0, k1 = _arrays(common.commonest(ctx, max_types), "a", "c0", "c1", "k0", "k1")
-    cc = np.stack([c0, c1], 1).astype(float)
-    seen = cc > 0
-    back = np.where(seen, np.stack([k0, k1], 1) / np.maximum(cc, 1), 1.0)
+
+    e0, e1, es = _discounts(pairs, "ord", "tox", "both")
+    kept = F.col("ord") + F.col("tox") >= least
+    ctx = pairs.groupBy("a").agg(
+        F.sum("ord").alias("c0"), F.sum("tox").alias("c1"), F.sum("both").alias("cs"),
+        _used("ord", e0, kept).alias("u0"), _used("tox", e1, kept).alias("u1"), _used("both", es, kept).alias("us"), F.max(kept.cast("int")).alias("any"),
+    ).where("any = 1")
+    x, c0, c1, cs, u0, u1, us = _arrays(ctx, "a", "c0", "c1", "cs", "u0", "u1", "us")
     o3 = np.argsort(x.view(np.uint64))
-    x, cc, back = x.view(np.uint64)[o3], cc[o3], back[o3]
-    key = K.mix(a2.view(np.uint64) * np.uint64(3) + K.mix(b2.view(np.uint64)))
+    x, count = x.view(np.uint64)[o3], np.maximum(np.stack([c0, c1], 1)[o3], 1).astype(float)
+    lam = 1 - np.stack([u0, u1], 1)[o3] / count  # a class without the context leaves all
+    lam_shared = 1 - us[o3] / cs[o3]
+    a2, b2, q0, q1, qs = _arrays(pairs.where(kept), "a", "b", "ord", "tox", "both")
+    a2, b2 = a2.view(np.uint64), b2.view(np.uint64)
+    at = np.searchsorted(x, a2)
+    top = np.zeros((0, 2))
+    if len(a2):
+        top = np.maximum(np.stack([q0, q1], 1) - np.array([e0, e1]), 0) / count[at] + lam[at] * (np.maximum(qs - es, 0) / cs[o3][at])[:, None]
+    key = pair_key(a2, b2)
     o2 = np.argsort(key)
-    have = _look(x, np.maximum(cc, 1), a2.view(np.uint64), np.full(2, np.inf)) if len(x) else np.full((len(a2), 2), np.inf)
-    top = np.maximum(np.stack([q0, q1], 1) - d2, 0) / have
-    return Model(b.view(np.uint64)[order], p[order], left * cont(0.0), key[o2], top[o2], x, back)
+    return Model(b.view(np.uint64)[order], p[order], left * even, key[o2], top[o2], x, lam * lam_shared[:, None])
 
 
 def features(model: Model, data: np.ndarray, off: np.ndarray, segment: int) -> np.ndarray:
-    """Per row: strongest, second and fourth segment ratio, and the whole text's ratio."""
+    """Per row, by words and by bigrams: the whole text's ratio and those of the NTH strongest segments, each by length."""
     h, first = tokens(data, off)
     n_rows = len(off) - 1
     out = np.zeros((n_rows, N_FEATURES))
     if not len(h):
         return out
-    r = np.clip(model.ratios(h, before(h, first)), 0.0, BOUND)
-    total = np.append(0, np.cumsum(r))
     n = np.diff(first)
-    out[:, 3] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-    k = np.maximum((n + segment - 1) // segment, (n > 0).astype(int))
+    k = (n + segment - 1) // segment
     row = np.repeat(np.arange(n_rows), k)
-    i = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-    a = first[row] + i * segment
+    begin = np.cumsum(k) - k
+    a = first[row] + (np.arange(len(row)) - np.repeat(begin, k)) * segment
     b = np.minimum(a + segment, first[row + 1])
-    score = (total[b] - total[a]) / segment
-    order = np.lexsort((-score, row))
-    score, begin = score[order], np.cumsum(k) - k
-    for j, nth in enumerate((0, 1, 3)):
-        ok = k > nth
-        out[ok, j] = score[begin[ok] + nth]
+    for which, r in enumerate(model.ratios(h, before(h, first)).T):
+        col = which * (1 + len(NTH))
+        total = np.append(0, np.cumsum(r))
+        out[:, col] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+        score = (total[b] - total[a]) / segment
+        score = score[np.lexsort((-score, row))]
+        for j, nth in enumerate(NTH, col + 1):
+            ok = k > nth
+            out[ok, j] = score[begin[ok] + nth]
     return out
 
 
@@ -199,7 +221,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 4_000, max_ordinary: int = 8_000,
-    segment: int = 4, threshold: float = 0.5, max_types: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
+    segment: int = 4, threshold: float = 0.5, least: int = 2, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
@@ -221,7 +243,7 @@ def toxicity(
     sample = docs.join(picked[0].union(picked[1]).dropDuplicates(["doc_id"]), "doc_id")
     sample = common.store(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "y"]).drop("same"))
     part = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4))
-    model = fit(sample.where(part != 0), max_types)
+    model = fit(sample.where(part != 0), least)
     shared = spark.sparkContext.broadcast(model)
     t = sample.where(part == 0).mapInArrow(_scorer(None, segment, False, shared), "y long, " + ", ".join(f"x{j} double" for j in range(N_FEATURES))).toArrow()
     x = np.column_stack([t.column(f"x{j}").to_numpy() for j in range(N_FEATURES)])
@@ -231,7 +253,7 @@ def toxicity(
         odds = y.mean() / (1 - y.mean())  # of the sample; the labels' own odds take their place
         model.curve[0] += np.log(count[1] / count[0]) - np.log(odds)
     else:
-        model.curve = np.array([-1.0, *[1.0] * N_FEATURES])
+        model.curve = np.array([-1.0, *[1.0] * N_FEATURES])  # too few labels for a fit
     shared = spark.sparkContext.broadcast(model)
     scored = docs.mapInArrow(_scorer(None, segment, True, shared), "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
