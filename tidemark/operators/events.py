@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,30 +14,34 @@ from tidemark.operators.series import change, full, last, over, zscore
 
 def close() -> Column:
     return F.col("close")
+
+
 flag = lambda c: F.coalesce(c, F.lit(False))
 
 
 def cusum(df: DataFrame, threshold: float = 0.5, drift: float = 0.05, reset: int = 48) -> DataFrame:
     """Two-sided cumulative sums of returns, in percent, with drift; both start again every `reset` rows.
 
-    The reset makes segments independent, so each is folded on its own: at most `reset` values.
+    The reset makes segments independent, so each is folded on its own: at most `reset` rows, which
+    carry their other columns along, so that nothing is joined back.
     """
-    th, dr = threshold / 100, drift / 100
+    th, dr, names = threshold / 100, drift / 100, df.columns
     df = df.withColumn("_i", F.row_number().over(over()) - 1).withColumn("_r", F.coalesce(change(close()), F.lit(0.0)))
-    seg = df.withColumn("_seg", F.ceil(F.col("_i") / reset)).groupBy("symbol", "_seg").agg(F.array_sort(F.collect_list(F.struct("_i", "ts", "_r"))).alias("_rows"))
+    rows = F.array_sort(F.collect_list(F.struct("_i", "_r", F.struct(*names).alias("_row"))), lambda a, b: a["_i"] - b["_i"])
+    seg = df.withColumn("_seg", F.ceil(F.col("_i") / reset)).groupBy("symbol", "_seg").agg(rows.alias("_rows"))
 
     def step(acc: Column, x: Column) -> Column:
         start = x["_i"] == 0
         p = F.when(start, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), acc["p"] + x["_r"] - dr))
         q = F.when(start, F.lit(0.0)).otherwise(F.least(F.lit(0.0), acc["q"] + x["_r"] + dr))
         e = F.when(p > th, 1).when(q < -th, -1).otherwise(0)
-        done = F.struct(x["ts"].alias("ts"), p.alias("p"), q.alias("q"), e.alias("e"))
+        done = F.struct(p.alias("p"), q.alias("q"), e.alias("e"))
         return F.struct(F.when(e == 1, 0.0).otherwise(p).alias("p"), F.when(e == -1, 0.0).otherwise(q).alias("q"), F.concat(acc["out"], F.array(done)).alias("out"))
 
-    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.array().cast("array<struct<ts:timestamp,p:double,q:double,e:int>>").alias("out"))
-    out = seg.select("symbol", F.explode(F.aggregate("_rows", zero, step, lambda a: a["out"])).alias("o"))
-    out = out.select("symbol", "o.ts", F.col("o.p").alias("cusum_pos"), F.col("o.q").alias("cusum_neg"), F.col("o.e").alias("cusum_event"))
-    return df.drop("_i", "_r").join(out, ["symbol", "ts"])
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.array().cast("array<struct<p:double,q:double,e:int>>").alias("out"))
+    out = seg.select("_rows", F.aggregate("_rows", zero, step, lambda a: a["out"]).alias("_out"))
+    out = out.select(F.explode(F.arrays_zip("_rows", "_out")).alias("o"))
+    return out.select("o._rows._row.*", F.col("o._out.p").alias("cusum_pos"), F.col("o._out.q").alias("cusum_neg"), F.col("o._out.e").alias("cusum_event"))
 
 
 def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFrame:
@@ -57,13 +62,18 @@ def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFra
     return df.withColumn("bb_any_cross", F.col("bb_upper_cross") | F.col("bb_lower_cross") | F.col("bb_middle_up") | F.col("bb_middle_down"))
 
 
-def statistics(df: DataFrame, lookback: int = 100) -> DataFrame:
-    """Volume z-score, price-volume correlation, return z-score, momenta and their regime score."""
+def statistics(df: DataFrame, lookback: int = 100, n: int = 20, long: int = 50) -> DataFrame:
+    """Normalised momentum, volume and volatility z-scores, their correlation, return z-score, momenta and
+    their regime score; needs atr_pct and vol_realized. No variance or no divisor gives null."""
     df = df.withColumn("_r", change(close())).withColumn("_v", F.col("volume").cast("double"))
-    sd = lambda c: full(F.stddev_samp(c), F.col(c), 20)
+    df = df.select("*", (F.try_divide(change(close(), n), F.nullif("atr_pct", F.lit(0.0))) * 100).alias("price_momentum_norm"), zscore(F.col("_v"), n).alias("volume_zscore"))
+    pm, vz = F.col("price_momentum_norm"), F.col("volume_zscore")
+    both = F.when(pm.isNotNull() & vz.isNotNull(), F.lit(1))
+    w = last(n)
+    spread = F.stddev_samp(pm).over(w) * F.stddev_samp(vz).over(w)
     df = df.select(
-        "*", zscore(F.col("_v"), 20).alias("volume_zscore"),
-        F.when((sd("close") > 0) & (sd("_v") > 0), F.try_divide(full(F.covar_samp("close", "_v"), close(), 20), sd("close") * sd("_v"))).alias("price_vol_corr"),
+        "*", F.when(F.count(both).over(w) == n, F.try_divide(F.covar_samp(pm, vz).over(w), F.nullif(spread, F.lit(0.0)))).alias("price_vol_corr"),
+        zscore(F.col("vol_realized"), long).alias("vol_breakout_score"),
         F.when(F.count("_r").over(last(lookback)) == lookback, F.coalesce(F.try_divide(F.col("_r") - F.avg("_r").over(last(lookback)), F.nullif(F.stddev_samp("_r").over(last(lookback)), F.lit(0.0))), F.lit(0.0))).alias("return_zscore"),
         change(close(), 6).alias("mom_short"), change(close(), 16).alias("mom_medium"), change(close(), 48).alias("mom_long"),
     )
@@ -72,13 +82,15 @@ def statistics(df: DataFrame, lookback: int = 100) -> DataFrame:
     return df.withColumn("momentum_score", full(F.avg("_s"), F.col("_s"), 4)).drop("_r", "_v", "_s")
 
 
-def stat_events(df: DataFrame, outlier: float = 2.5, momentum: float = 0.3, corr: float = 0.7, volume: float = 1.5) -> DataFrame:
-    """Events from the statistics; all false where an input is missing."""
+def stat_events(df: DataFrame, outlier: float = 2.5, momentum: float = 0.3, corr: float = 0.7, breakout: float = 2.0, strong: float = 1.5) -> DataFrame:
+    """Events from the statistics; a missing input makes its comparison false. traditional_event: any of the three."""
     step = F.abs(F.col("momentum_score") - F.lag("momentum_score").over(over()))
-    return df.select(
-        "*", flag((F.abs("price_vol_corr") < corr) & (F.abs("volume_zscore") > volume)).alias("vpd_event"),
+    strength = flag(F.abs("volume_zscore") > strong) | flag(F.abs("price_momentum_norm") > strong)
+    df = df.select(
+        "*", (flag(F.abs("price_vol_corr") < corr) & flag(F.abs("vol_breakout_score") > breakout) & strength).alias("vpd_event"),
         flag(F.abs("return_zscore") > outlier).alias("outlier_event"), flag(step > momentum).alias("momentum_event"),
     )
+    return df.withColumn("traditional_event", F.col("vpd_event") | F.col("outlier_event") | F.col("momentum_event"))
 
 
 def event_type(df: DataFrame) -> DataFrame:
@@ -89,7 +101,15 @@ def event_type(df: DataFrame) -> DataFrame:
         F.when(many > 1, 8 + many - 2).when(F.col("bb_expansion"), 7).when(F.col("bb_squeeze"), 6).when(F.col("bb_any_cross"), 5)
         .when(F.col("cusum_event") != 0, 4).when(F.col("momentum_event"), 3).when(F.col("outlier_event"), 2).when(F.col("vpd_event"), 1).otherwise(0)
     )
-    return df.withColumn("any_event", reduce(lambda a, b: a | b, main)).withColumn("event_type", code)
+    return df.withColumn("any_event", reduce(lambda a, b: a | b, [*main, F.col("bb_squeeze"), F.col("bb_expansion")])).withColumn("event_type", code)
+
+
+def all_events(df: DataFrame, cfg: dict[str, Any] | None = None, cusum_args: dict[str, Any] | None = None, band_args: dict[str, Any] | None = None) -> DataFrame:
+    """Bars with atr_pct, vol_realized and the bollinger columns: all events, any_event and event_type."""
+    c = {k: v for k, v in (cfg or {}).items() if k != "lookback"}
+    df = stat_events(statistics(band_events(df, **(band_args or {})), (cfg or {}).get("lookback", 100)), **c)
+    df = cusum(df, **(cusum_args or {})).withColumn("cusum_flag", F.col("cusum_event") != 0)
+    return event_type(df)
 
 
 def together(columns: list[str], window: int, causal: bool = False) -> Column:
@@ -98,24 +118,46 @@ def together(columns: list[str], window: int, causal: bool = False) -> Column:
     return reduce(lambda a, b: a & b, [F.max(F.col(c)).over(w) for c in columns])
 
 
-def covents(df: DataFrame, events: list[str], window: int = 2, most: int = 50, triples: bool = True, causal: bool = False) -> DataFrame:
-    """Flags of all pairs (and triples of the first six) of events, their counts and confluence measures."""
+def chosen(events: list[str], size: int, most: int, named: tuple[tuple[str, ...], ...], generic: bool) -> list[tuple[str, list[str]]]:
+    """(column, events) of the combinations: the named ones first, then all others of the events, `most` at most."""
     short = lambda c: c.replace("_event", "")
-    two = [(f"covent_2way_{short(a)}_{short(b)}", [a, b]) for a, b in combinations(events, 2)][:most]
-    three = [(f"covent_3way_{'_'.join(map(short, t))}", list(t)) for t in combinations(events[:6], 3)][:most] if triples else []
+    first = [t for t in named if len(t) == size and set(t) <= set(events)][:most]
+    pool = combinations(events if size == 2 else events[:6], size) if generic else ()
+    known = {tuple(t) for t in named} | ({tuple(t[::-1]) for t in named} if size == 2 else set())
+    rest = [t for t in pool if t not in known][: max(0, most - len(first))]
+    return [(f"covent_{size}way_{'_'.join(map(short, t))}", list(t)) for t in (*first, *rest)]
+
+
+def covents(
+    df: DataFrame, events: list[str], window: int = 2, most: int = 50, pairs: tuple[tuple[str, ...], ...] = (), triples: tuple[tuple[str, ...], ...] = (), generic: bool = True, causal: bool = False,
+) -> DataFrame:
+    """Flags of pairs and triples of events (named ones first, triples of the first six), their counts and
+    confluence measures. individual_event_count adds all flags named `_event`, the combined ones too, and the CUSUM's."""
+    two, three = chosen(events, 2, most, pairs, generic), chosen(events, 3, most, triples, generic)
+    kinds = dict(df.dtypes)
+    single = [c for c in df.columns if kinds[c] == "boolean" and ("_event" in c and "covent" not in c or c == "cusum_flag")]
     df = df.select("*", *[together(cols, window, causal).alias(name) for name, cols in two + three])
-    count = lambda names: reduce(lambda a, b: a + b, [F.col(n).cast("int") for n, _ in names]) if names else F.lit(0)
-    df = df.withColumn("count_2way", count(two)).withColumn("count_3way", count(three))
-    df = df.withColumn("total_covents", F.col("count_2way") + F.col("count_3way"))
-    single = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in events])
+    count = lambda names: reduce(lambda a, b: a + b, [F.col(n).cast("int") for n in names]) if names else F.lit(0)
+    df = df.withColumn("count_2way", count([n for n, _ in two])).withColumn("count_3way", count([n for n, _ in three]))
+    total = F.col("count_2way") + F.col("count_3way")
     df = df.select(
-        "*", (F.col("total_covents") > 0).alias("any_covent"), (F.col("total_covents") >= 2).alias("high_confluence"), (F.col("total_covents") >= 3).alias("very_high_confluence"),
-        single.alias("individual_event_count"),
+        "*", (F.col("count_2way") > 0).alias("any_2way"), (F.col("count_3way") > 0).alias("any_3way"), total.alias("total_covents"), total.alias("covent_intensity"), (total > 0).alias("any_covent"),
+        (total >= 2).alias("high_confluence"), (total >= 3).alias("very_high_confluence"), count(single).alias("individual_event_count"),
     )
     near = F.sum(F.col("any_covent").cast("int")).over(last(3))
     return df.withColumn("covent_persistence", near).withColumn("sustained", near >= 2).withColumn("escalation", F.col("any_covent") & (F.col("individual_event_count") >= 1))
 
 
+def enhanced_type(df: DataFrame) -> DataFrame:
+    """any_event_with_covent, and the event type with codes 20 to 25 for co-events and confluence; needs covents and confluence."""
+    bare = ~F.col("any_event")
+    code = (
+        F.when(F.col("squeeze_release"), 25).when(F.col("breakout"), 24).when(F.col("trend_reversal"), 23).when(F.col("high_confluence"), 22)
+        .when(F.col("any_3way") & bare, 21).when(F.col("any_2way") & bare, 20).otherwise(F.col("event_type"))
+    )
+    return df.withColumn("any_event_with_covent", F.col("any_event") | F.col("any_covent")).withColumn("enhanced_event_type", code)
+
+
 def confluence(df: DataFrame) -> DataFrame:
     """Trend reversal, breakout and squeeze release."""
     was = flag(F.lag("bb_squeeze", 1).over(over())) | flag(F.lag("bb_squeeze", 2).over(over()))
@@ -131,3 +173,26 @@ def summary(df: DataFrame, flags: list[str]) -> DataFrame:
     long = df.selectExpr(f"stack({len(flags)}, {pairs}) as (event, hit)")
     return long.groupBy("event").agg(F.sum("hit").alias("n"), F.avg("hit").alias("rate"))
 
+
+# What the codes of event_type mean.
+LEGEND = {
+    0: "No event", 1: "Volume-Price Divergence + Volatility", 2: "Return Distribution Outlier", 3: "Momentum Regime Change", 4: "CUSUM Change Detection", 5: "Bollinger Band Crossing",
+    6: "Bollinger Band Squeeze", 7: "Bollinger Band Expansion", 8: "Multiple events (2 types)", 9: "Multiple events (3 types)", 10: "Multiple events (4+ types)",
+}
+
+
+def type_counts(df: DataFrame) -> DataFrame:
+    """Per event type: meaning, rows, their share, first and last time. Types above 10 mean as 10."""
+    total = df.agg(F.count("*").alias("_all"))
+    names = F.create_map(*[F.lit(x) for kv in LEGEND.items() for x in kv])
+    g = df.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return g.join(F.broadcast(total)).select("event_type", names[F.least("event_type", F.lit(10))].alias("meaning"), "n", (F.col("n") / F.col("_all")).alias("share"), "first_ts", "last_ts")
+
+
+def column_counts(columns: list[str], frames: list[str]) -> dict[str, int]:
+    """How many columns of each kind a data set has."""
+    has = lambda *parts: sum(any(p in c.lower() for p in parts) for c in columns)
+    return {
+        "indicators": has("ema_", "sma_", "rsi", "macd", "bb_"), "normalized": has("_dist_", "_pct", "_normalized", "_efficiency"), "higher_frames": sum(any(f in c for f in frames) for c in columns),
+        "events": has("event", "zscore", "breakout", "regime", "cusum", "bb_"), "covents": has("covent"),
+    }

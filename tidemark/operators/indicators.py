@@ -12,10 +12,12 @@ def close() -> Column:
     return F.col("close")
 
 
-def new_bars(df: DataFrame, frame: str) -> DataFrame:
-    """One row for each higher bar carried by base rows: where its end time changes."""
-    end = F.col(f"{frame}_end")
-    return df.withColumn("_p", F.lag(end).over(over())).where(end.isNotNull() & (F.col("_p").isNull() | (F.col("_p") != end))).drop("_p")
+def new_bars(df: DataFrame, frame: str, on: str = "end") -> DataFrame:
+    """One row for each higher bar carried by base rows: where its end time (or its close) changes."""
+    x = F.col(f"{frame}_{on}")
+    df = df.withColumn("_p", F.lag(x).over(over())).withColumn("_first", F.row_number().over(over()) == 1)
+    new = F.col("_first") | (x.isNull() if on == "close" else F.lit(False)) | F.col("_p").isNull() | (F.col("_p") != x)
+    return df.where(new & (x.isNotNull() if on == "end" else F.lit(True))).drop("_p", "_first")
 
 
 def sma(df: DataFrame, *ns: int) -> DataFrame:
@@ -62,9 +64,18 @@ def atr(df: DataFrame, n: int = 14) -> DataFrame:
     return df.withColumn("atr_pct", F.try_divide("atr", close()) * 100).drop("_rn", "_go", "_x")
 
 
-def volume_ratio(df: DataFrame, n: int = 20) -> DataFrame:
-    mean = full(F.avg("volume"), F.col("volume"), n)
-    return df.select("*", mean.alias("volume_sma")).withColumn("volume_ratio", F.try_divide(F.col("volume"), F.nullif(F.col("volume_sma"), F.lit(0.0))))
+def volume_ratio(df: DataFrame, n: int | None = 20) -> DataFrame:
+    """Mean volume and the ratio to it, over n rows; without n over min(20, half of the symbol's rows)."""
+    if n is None:
+        held = F.collect_list(F.coalesce(F.col("volume").cast("double"), F.lit(float("nan")))).over(last(20))
+        k = F.least(F.lit(20), F.expr("_n div 2")).cast("int")
+        df = df.withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("_h", held)
+        part = F.slice("_h", F.greatest(F.size("_h") - k + 1, F.lit(1)), F.greatest(k, F.lit(1)))
+        mean = F.when((k > 0) & (F.size("_h") >= k) & ~F.exists(part, F.isnan), F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / k)
+        df = df.withColumn("volume_sma", mean).drop("_n", "_h")
+    else:
+        df = df.select("*", full(F.avg("volume"), F.col("volume"), n).alias("volume_sma"))
+    return df.withColumn("volume_ratio", F.try_divide(F.col("volume"), F.nullif(F.col("volume_sma"), F.lit(0.0))))
 
 
 def returns(df: DataFrame, *ks: int) -> DataFrame:
@@ -86,10 +97,11 @@ def derived(df: DataFrame) -> DataFrame:
     )
 
 
-def cross_frame(df: DataFrame, frame: str) -> DataFrame:
-    """The base close and return against a higher frame's close and return."""
+def cross_frame(df: DataFrame, frame: str, k: int = 5) -> DataFrame:
+    """The base close against a higher frame's, and the base momentum over k rows against the frame's short momentum."""
     high = F.col(f"{frame}_close")
-    mine, theirs = change(close()), F.try_divide(high, F.col(f"{frame}_open")) - 1
+    theirs = F.col(f"{frame}_momentum_short") if f"{frame}_momentum_short" in df.columns else F.try_divide(high, F.col(f"{frame}_open")) - 1
+    mine = change(close(), k)
     return df.select(
         "*", ((F.try_divide(close(), high) - 1) * 100).alias(f"price_vs_{frame}_pct"), (F.signum(mine) * F.signum(theirs)).alias(f"{frame}_align"),
         F.coalesce(F.try_divide(F.abs(mine), F.nullif(F.abs(theirs), F.lit(0.0))), F.lit(1.0)).alias(f"{frame}_momentum_ratio"),

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import over
+from tidemark.schema import minutes
 
 OHLCV = ("open", "high", "low", "close", "volume")
 SUMMED = ("volume", "vol", "amount", "turnover", "count", "trades", "ticks")
 
 
-def ohlcv(df: DataFrame, minutes: int, price: str | None = None, qty: str = "qty", order: str = "seq", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Bars closed left and labelled by their end. From ticks (`price`) or from finer bars.
+def ohlcv(df: DataFrame, minutes: int, price: str | None = None, qty: str = "qty", order: str = "seq", extra: tuple[str, ...] = (), offset: int = 0) -> DataFrame:
+    """Bars closed left and labelled by their end, starting `offset` minutes late. From ticks (`price`) or from finer bars.
 
     Extra columns are summed if their name says that they count something, else the last one stays.
     """
-    end = F.window("ts", f"{minutes} minutes").end.alias("ts")
+    end = F.window("ts", f"{minutes} minutes", f"{minutes} minutes", f"{offset} minutes").end.alias("ts")
     o, h, lo, c, v = (price, price, price, price, qty) if price else OHLCV
     more = [F.sum(x).alias(x) if any(p in x.lower() for p in SUMMED) else F.max_by(x, order).alias(x) for x in extra]
     return df.groupBy("symbol", end).agg(
@@ -67,5 +68,20 @@ def higher_frames(base: int) -> list[str]:
     return ["30min", "4H", "1D"] if base < 30 else ["4H", "1D"] if base < 240 else ["1D", "1W"] if base < 1440 else ["1W"]
 
 
-def pct_of(a: Column, b: Column) -> Column:
-    return (F.try_divide(a, b) - 1) * 100
+def join_features(df: DataFrame, features: DataFrame) -> DataFrame:
+    """Features beside the rows of the same symbol and time."""
+    return df.join(features, ["symbol", "ts"], "left")
+
+
+def process(ticks: DataFrame, base: int, frames: tuple[str, ...] = ("30min", "4H", "1D"), price: str = "price", gaps: bool = False) -> DataFrame:
+    """Base bars of `base` minutes with `t` (epoch milliseconds) and each higher frame's context and derived columns.
+
+    gaps: bins without ticks are bars too, with null prices, as they then are in the context.
+    """
+    make = lambda m: with_gaps(ohlcv(ticks, m, price), m) if gaps else ohlcv(ticks, m, price)
+    df = make(base)
+    for f in frames:
+        df = as_of(df, make(minutes(f)), f)
+    for f in frames:
+        df = derived(df, f)
+    return df.withColumn("t", F.unix_millis("ts"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import schema
 from tidemark.operators import bars as B
 from tidemark.operators import causal as K
 from tidemark.operators import events as E
+from tidemark.operators import frames as H
 from tidemark.operators import indicators as I
 from tidemark.operators import labeling as L
 from tidemark.operators import memory as Y
@@ -54,11 +57,16 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.as_of(R.ohlcv(t, 30, price="price"), R.ohlcv(t, 240, price="price"), "4H")
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with ATR, realised volatility and bands."""
+    return I.bollinger(I.realized_vol(I.atr(bars(spark, sf_dir)), 30))
+
+
+BAND_ARGS, CUSUM_ARGS = {"lookback": 3, "least": 0.1}, {"threshold": 0.5, "drift": 0.05, "reset": 48}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    df = E.stat_events(E.statistics(E.band_events(I.bollinger(b))))
-    c = E.cusum(b).select("symbol", "ts", "cusum_event")
-    return df.join(c, ["symbol", "ts"]).withColumn("cusum_flag", F.col("cusum_event") != 0)
+    return E.all_events(prepared(spark, sf_dir), None, CUSUM_ARGS, BAND_ARGS)
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +230,9 @@ def i9_volume_ratio(s, d):
     return I.volume_ratio(bars(s, d)).select("symbol", T(), r6("volume_sma"), r6("volume_ratio"))
 
 
-@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(q.change(k), f"ret_{k}") for k in (1, 5, 20)) + " FROM bars", q.TICKS, q.BARS))
+@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(q.change(k), f"ret_{k}") for k in (1, 5, 6, 16, 20, 48)) + " FROM bars", q.TICKS, q.BARS))
 def i12_returns(s, d):
-    return I.returns(bars(s, d), 1, 5, 20).select("symbol", T(), *[r6(f"ret_{k}") for k in (1, 5, 20)])
+    return I.returns(bars(s, d), 1, 5, 6, 16, 20, 48).select("symbol", T(), *[r6(f"ret_{k}") for k in (1, 5, 6, 16, 20, 48)])
 
 
 @query(q.with_(f"SELECT symbol, {t_}, round({q.full('stddev_samp(r)', 'r', 20)} * sqrt(48), 6) AS vol_realized FROM rets", q.TICKS, q.BARS, q.RET))
@@ -232,15 +240,80 @@ def i13_realized_vol(s, d):
     return I.realized_vol(bars(s, d), 30).select("symbol", T(), r6("vol_realized"))
 
 
-@query(q.with_(f"SELECT symbol, {t_}, round((close / h_close - 1) * 100, 6) AS pct, sign(a) * sign(b) AS align, round(coalesce(abs(a) / nullif(abs(b), 0), 1), 6) AS ratio FROM (SELECT *, {q.change()} AS a, h_close / h_open - 1 AS b FROM ctx)", q.TICKS, q.BARS, q.H4, q.ASOF))
-def i22_cross_frame(s, d):
-    return I.cross_frame(context(s, d), "4H").select("symbol", T(), r6("price_vs_4H_pct", "pct"), F.col("4H_align").alias("align"), r6("4H_momentum_ratio", "ratio"))
+def _context_sql(src: str, s_: int, m: int, l_: int) -> tuple[str, ...]:
+    """A higher frame's indicators on its own bars (h0: one row a bar), and the base rows with the last of them (hc)."""
+    e = lambda name, n: q.ema_cte(name, "h0", "close", f"(CAST(2 AS DOUBLE) / {n + 1})")
+    g = lambda name, x: q.ema_cte(name, "h2", x, "(CAST(1 AS DOUBLE) / 14)")
+    tail = lambda x, f: f"CASE WHEN rn >= k + {int(f != 'avg')} THEN list_aggregate(list_slice(list({x}) OVER {q.rows(20)}, -k, -1), '{f}') END"
+    return (
+        f"hb AS (SELECT *, lag(h_ts) OVER ({q.W}) AS ph FROM {src})",
+        f"h0 AS (SELECT symbol, ts, h_open AS open, h_close AS close, h_volume AS volume, row_number() OVER ({q.W}) AS rn, least(20, count(*) OVER (PARTITION BY symbol) // 2) AS k, count(*) OVER (PARTITION BY symbol) AS nn FROM hb WHERE h_ts IS NOT NULL AND (ph IS NULL OR ph <> h_ts))",
+        "h1 AS (SELECT *, close - lag(close) OVER w AS x, close / lag(close) OVER w - 1 AS returns FROM h0 WINDOW w AS (PARTITION BY symbol ORDER BY rn))",
+        "h2 AS (SELECT symbol, rn - 1 AS rn, greatest(x, 0) AS up, greatest(-x, 0) AS dn FROM h1 WHERE x IS NOT NULL)", e("he", s_), e("hf", m), e("hg", l_), g("hu", "up"), g("hd", "dn"),
+        f"""h3 AS (SELECT h1.symbol, h1.ts, CASE WHEN nn >= 20 AND h1.rn >= {s_} THEN he.y END AS ema_short, CASE WHEN nn >= 20 AND h1.rn >= {m} THEN hf.y END AS ema_medium, CASE WHEN nn >= 20 AND h1.rn >= {l_} THEN hg.y END AS ema_long,
+ CASE WHEN nn >= 20 AND h1.rn >= 15 THEN CASE WHEN hd.y = 0 THEN 100 ELSE 100 - 100 / (1 + hu.y / hd.y) END END AS rsi, CASE WHEN nn >= 20 THEN returns END AS returns,
+ CASE WHEN nn >= 20 THEN close / lag(close, {s_}) OVER w - 1 END AS momentum_short, CASE WHEN nn >= 20 THEN close / lag(close, {m}) OVER w - 1 END AS momentum_medium,
+ CASE WHEN nn >= 20 THEN vy END AS volatility, CASE WHEN nn >= 20 THEN vv END AS volume_sma
+ FROM (SELECT *, {tail('returns', 'stddev_samp')} AS vy, {tail('volume', 'avg')} AS vv FROM h1) h1 JOIN he USING (symbol, rn) JOIN hf USING (symbol, rn) JOIN hg USING (symbol, rn)
+ LEFT JOIN hu ON hu.symbol = h1.symbol AND hu.rn = h1.rn - 1 LEFT JOIN hd ON hd.symbol = h1.symbol AND hd.rn = h1.rn - 1 WINDOW w AS (PARTITION BY h1.symbol ORDER BY h1.rn))""",
+        f"hc AS (SELECT c.*, {q.change(5).replace('close', 'c.close').replace('symbol', 'c.symbol').replace('ORDER BY ts', 'ORDER BY c.ts')} AS mine, h3.* EXCLUDE (symbol, ts) FROM {src} c ASOF LEFT JOIN h3 ON c.symbol = h3.symbol AND c.ts >= h3.ts)",
+    )
+
 
+_HIGH = ("ema_short", "ema_medium", "ema_long", "rsi", "returns", "momentum_short", "momentum_medium", "volatility", "volume_sma")
+_CROSS = "round((close / h_close - 1) * 100, 6) AS pct, sign(mine) * sign(momentum_short) AS align, round(coalesce(abs(mine) / nullif(abs(momentum_short), 0), 1), 6) AS ratio"
 
-@query()
-def i14_i20_derived(s, d):
+
+@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(f"round({c}, 6) AS {c}" for c in _HIGH) + f", {_CROSS} FROM hc", q.TICKS, q.BARS, q.H4, q.ASOF, *_context_sql("ctx", 6, 24, 72), recursive=True))
+def i19_i23_hourly_context(s, d):
+    df = H.higher_context(context(s, d))
+    return df.select("symbol", T(), *[r6(f"4H_{c}", c) for c in _HIGH], r6("price_vs_4H_pct", "pct"), F.col("4H_align").alias("align"), r6("4H_momentum_ratio", "ratio"))
+
+
+DAY = ("d1 AS (SELECT symbol, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(qty) AS volume FROM ticks GROUP BY 1, 2)",
+    "ctd AS (SELECT b.*, h.ts AS h_ts, h.open AS h_open, h.high AS h_high, h.low AS h_low, h.close AS h_close, h.volume AS h_volume FROM bars b ASOF LEFT JOIN d1 h ON b.symbol = h.symbol AND b.ts > h.ts)")
+
+
+@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(f"round({c}, 6) AS {c}" for c in _HIGH) + f", {_CROSS} FROM hc", q.TICKS, q.BARS, *DAY, *_context_sql("ctd", 5, 20, 50), recursive=True))
+def i19_i23_daily_context(s, d):
+    t = ticks(s, d)
+    df = H.higher_context(R.as_of(R.ohlcv(t, 30, price="price"), R.ohlcv(t, 1440, price="price"), "1D"))
+    return df.select("symbol", T(), *[r6(f"1D_{c}", c) for c in _HIGH], r6("price_vs_1D_pct", "pct"), F.col("1D_align").alias("align"), r6("1D_momentum_ratio", "ratio"))
+
+
+@query(q.with_(f"SELECT symbol, epoch_ms(ts) AS t, epoch_ms(h_ts) AS h_t FROM (SELECT *, lag(h_close) OVER ({q.W}) AS p FROM ctx WHERE h_close IS NOT NULL) WHERE p IS NULL OR p <> h_close", q.TICKS, q.BARS, q.H4, q.ASOF))
+def i2_bars_by_close(s, d):
+    c = context(s, d)
+    at = c.select("symbol", "ts", F.unix_millis("4H_end").alias("h_t"))
+    return H.bars_of(c, "4H", on="close").select("symbol", "ts").join(at, ["symbol", "ts"]).select("symbol", T(), "h_t")
+
+
+@query(q.with_(f"""SELECT c.symbol, epoch_ms(c.ts) AS t, round(x.sma_20, 6) AS sma_20, round(x.bb_upper, 6) AS bb_upper, round(x.vm, 6) AS volume_sma, round(x.volume / nullif(x.vm, 0), 6) AS volume_ratio FROM ctx c ASOF LEFT JOIN x ON c.symbol = x.symbol AND c.ts >= x.ts""",
+    q.TICKS, q.BARS, q.H4, q.ASOF, f"hb AS (SELECT *, lag(h_ts) OVER ({q.W}) AS ph FROM ctx)", f"h0 AS (SELECT symbol, ts, h_close AS close, h_volume AS volume FROM hb WHERE h_ts IS NOT NULL AND (ph IS NULL OR ph <> h_ts))",
+    f"x AS (SELECT symbol, ts, volume, {q.full('avg(close)', 'close', 20)} AS sma_20, {q.full('avg(close)', 'close', 20)} + 2 * ({q.full('stddev_pop(close)', 'close', 20)}) AS bb_upper, {q.full('avg(volume)', 'volume', 20)} AS vm FROM h0)"))
+def i10_i11_base_indicators(s, d):
+    return H.base_indicators(context(s, d), "4H").select("symbol", T(), r6("sma_20"), r6("bb_upper"), r6("volume_sma"), r6("volume_ratio"))
+
+
+EMA2 = (q.ema_cte("e1", "nb", "close", "(CAST(2 AS DOUBLE) / 13)"), q.ema_cte("e2", "nb", "close", "(CAST(2 AS DOUBLE) / 27)"))
+RSI = (f"rs AS (SELECT symbol, ts, rn - 1 AS rn, greatest(x, 0) AS up, greatest(-x, 0) AS dn FROM (SELECT *, close - lag(close) OVER ({q.W}) AS x FROM nb) WHERE x IS NOT NULL)",
+    q.ema_cte("ru", "rs", "up", "(CAST(1 AS DOUBLE) / 14)"), q.ema_cte("rd", "rs", "dn", "(CAST(1 AS DOUBLE) / 14)"))
+
+
+@query(q.with_(f"""SELECT symbol, epoch_ms(ts) AS t, round((close / f12 - 1) * 100, 6) AS ema_12_dist_pct, round((close / f26 - 1) * 100, 6) AS ema_26_dist_pct, round((close - f12) / nullif(atr, 0), 6) AS ema_12_dist_atr, round((close - f26) / nullif(atr, 0), 6) AS ema_26_dist_atr,
+ round((f12 - f26) / nullif(atr, 0), 6) AS macd_normalized, round((f12 - f26) / nullif(vol, 0), 6) AS macd_efficiency, round((rsi - 50) * sign(m5), 6) AS rsi_momentum, round(atr_pct, 6) AS atr_pct FROM
+ (SELECT n.symbol, n.ts, n.close, atr, atr_pct, CASE WHEN n.rn >= 12 THEN e1.y END AS f12, CASE WHEN n.rn >= 26 THEN e2.y END AS f26, vol, m5, CASE WHEN n.rn >= 15 THEN CASE WHEN rd.y = 0 THEN 100 ELSE 100 - 100 / (1 + ru.y / rd.y) END END AS rsi
+ FROM (SELECT *, {q.change(5)} AS m5, {q.full('stddev_samp(r)', 'r', 20)} * sqrt(48) AS vol FROM (SELECT *, {q.change()} AS r FROM nb)) n JOIN e1 ON e1.symbol = n.symbol AND e1.rn = n.rn JOIN e2 ON e2.symbol = n.symbol AND e2.rn = n.rn
+ LEFT JOIN atrs ON atrs.symbol = n.symbol AND atrs.ts = n.ts LEFT JOIN ru ON ru.symbol = n.symbol AND ru.rn = n.rn - 1 LEFT JOIN rd ON rd.symbol = n.symbol AND rd.rn = n.rn - 1)""", q.TICKS, q.BARS, q.NUMBERED, *q.ATR, *EMA2, *RSI, recursive=True))
+def i14_i17_derived(s, d):
     b = I.derived(I.realized_vol(I.atr(I.rsi(I.macd(ema(ema(bars(s, d), 12), 26)))), 30))
-    return b.select("symbol", T(), *[r6(c) for c in b.columns if c not in ("symbol", "ts")])
+    return b.select("symbol", T(), *[r6(c) for c in ("ema_12_dist_pct", "ema_26_dist_pct", "ema_12_dist_atr", "ema_26_dist_atr", "macd_normalized", "macd_efficiency", "rsi_momentum", "atr_pct")])
+
+
+@query(q.with_(f"SELECT b.symbol, epoch_ms(b.ts) AS t, b.close, h.close AS h4_close, g.close AS d_close, round((b.close / h.close - 1) * 100, 6) AS h4_distance FROM bars b ASOF LEFT JOIN h4 h ON b.symbol = h.symbol AND b.ts > h.ts ASOF LEFT JOIN d1 g ON b.symbol = g.symbol AND b.ts > g.ts", q.TICKS, q.BARS, q.H4, DAY[0]))
+def r14_process(s, d):
+    df = R.process(ticks(s, d), 30, ("4H", "1D"))
+    return df.select("symbol", "t", "close", F.col("4H_close").alias("h4_close"), F.col("1D_close").alias("d_close"), r6("distance_from_4H", "h4_distance"))
 
 
 @query(q.with_("SELECT symbol, epoch_ms(ts) AS t, round(p, 6) AS cusum_pos, round(q, 6) AS cusum_neg, e AS cusum_event FROM c0", q.TICKS, q.BARS, q.CUSUM, recursive=True))
@@ -256,27 +329,31 @@ def e2_e6_band_events(s, d):
     return E.band_events(I.bollinger(bars(s, d))).select("symbol", T(), *BANDS)
 
 
-STATS = ["volume_zscore", "price_vol_corr", "return_zscore", "mom_short", "mom_medium", "mom_long", "momentum_score"]
+STATS = ["price_momentum_norm", "volume_zscore", "price_vol_corr", "vol_breakout_score", "return_zscore", "mom_short", "mom_medium", "mom_long", "momentum_score"]
+ST = (q.TICKS, q.BARS, q.NUMBERED, *q.ATR, q.STATS)
 
 
-@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(c, c) for c in STATS) + " FROM st", q.TICKS, q.BARS, q.STATS))
-def e8_e13_statistics(s, d):
-    return E.statistics(bars(s, d)).select("symbol", T(), *[r6(c) for c in STATS])
+@query(q.with_(f"SELECT symbol, {t_}, " + ", ".join(q.r6(c, c) for c in STATS) + " FROM st", *ST, recursive=True))
+def e7_e13_statistics(s, d):
+    return E.statistics(prepared(s, d)).select("symbol", T(), *[r6(c) for c in STATS])
 
 
-@query(q.with_(f"SELECT symbol, {t_}, vpd_event, outlier_event, momentum_event FROM st", q.TICKS, q.BARS, q.STATS))
+@query(q.with_(f"SELECT symbol, {t_}, vpd_event, outlier_event, momentum_event FROM st", *ST, recursive=True))
 def e14_e16_stat_events(s, d):
-    return E.stat_events(E.statistics(bars(s, d))).select("symbol", T(), "vpd_event", "outlier_event", "momentum_event")
+    return E.stat_events(E.statistics(prepared(s, d))).select("symbol", T(), "vpd_event", "outlier_event", "momentum_event")
 
 
-EV = (q.TICKS, q.BARS, q.BB, q.BAND, q.STATS, q.CUSUM, q.ALL_EVENTS)
+EV = (*ST, q.BB, q.BAND, q.CUSUM, q.ALL_EVENTS)
 MANY = "(vpd_event::INT + outlier_event::INT + momentum_event::INT + bb_any_cross::INT + cusum_flag::INT)"
 
 
-@query(q.with_(f"""SELECT symbol, {t_}, vpd_event OR outlier_event OR momentum_event OR bb_any_cross OR cusum_flag AS any_event, CASE WHEN {MANY} > 1 THEN 8 + {MANY} - 2 WHEN bb_expansion THEN 7 WHEN bb_squeeze THEN 6
- WHEN bb_any_cross THEN 5 WHEN cusum_flag THEN 4 WHEN momentum_event THEN 3 WHEN outlier_event THEN 2 WHEN vpd_event THEN 1 ELSE 0 END AS event_type FROM ev""", *EV, recursive=True))
+TYPE = f"""CASE WHEN {MANY} > 1 THEN 8 + {MANY} - 2 WHEN bb_expansion THEN 7 WHEN bb_squeeze THEN 6
+ WHEN bb_any_cross THEN 5 WHEN cusum_flag THEN 4 WHEN momentum_event THEN 3 WHEN outlier_event THEN 2 WHEN vpd_event THEN 1 ELSE 0 END"""
+
+
+@query(q.with_(f"SELECT symbol, {t_}, traditional_event, any_event, {TYPE} AS event_type FROM ev", *EV, recursive=True))
 def e17_e18_event_type(s, d):
-    return E.event_type(events(s, d)).select("symbol", T(), "any_event", "event_type")
+    return events(s, d).select("symbol", T(), "traditional_event", "any_event", "event_type")
 
 
 FLAGS = ["vpd_event", "outlier_event", "momentum_event", "cusum_flag"]
@@ -291,19 +368,42 @@ def c1_window_covent(s, d):
     return events(s, d).select("symbol", T(), E.together(["outlier_event", "cusum_flag"], 2).alias("both"), E.together(["vpd_event", "momentum_event"], 2, causal=True).alias("causal"))
 
 
-_two = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :]]
-_three = [(a, b, c) for i, a in enumerate(FLAGS) for j, b in enumerate(FLAGS[i + 1 :], i + 1) for c in FLAGS[j + 1 :]]
-_n2 = " + ".join(f"({' AND '.join(f'n_{x}' for x in t)})::INT" for t in _two)
-_n3 = " + ".join(f"({' AND '.join(f'n_{x}' for x in t)})::INT" for t in _three)
-COV = (*EV, "nr AS (SELECT *, " + ", ".join(f"{_near(c)} AS n_{c}" for c in FLAGS) + " FROM ev)", f"cv AS (SELECT *, {_n2} AS count_2way, {_n3} AS count_3way FROM nr)",
-    f"cw AS (SELECT *, count_2way + count_3way AS total, count_2way + count_3way > 0 AS any_covent, {' + '.join(f'{c}::INT' for c in FLAGS)} AS single FROM cv)")
+_PAIRS = [*schema.PAIRS, *[t for t in combinations(schema.EVENTS, 2) if t not in schema.PAIRS and t[::-1] not in schema.PAIRS]]
+_TRIPLES = [*schema.TRIPLES, *[t for t in combinations(schema.EVENTS[:6], 3) if t not in schema.TRIPLES]]
+
+
+def _count(groups: list[tuple[str, ...]]) -> str:
+    return " + ".join(f"({' AND '.join(f'n_{x}' for x in t)})::INT" for t in groups)
+
+
+COV = (*EV, "nr AS (SELECT *, " + ", ".join(f"{_near(c)} AS n_{c}" for c in schema.EVENTS) + " FROM ev)", f"cv AS (SELECT *, {_count(_PAIRS[:50])} AS count_2way, {_count(_TRIPLES[:50])} AS count_3way FROM nr)",
+    "cw0 AS (SELECT *, count_2way + count_3way AS total, vpd_event::INT + outlier_event::INT + momentum_event::INT + traditional_event::INT + any_event::INT + cusum_flag::INT AS single FROM cv)",
+    f"""cw AS (SELECT *, total > 0 AS any_covent, {TYPE} AS event_type, cusum_flag AND momentum_event AND bb_any_cross AS trend_reversal, vpd_event AND outlier_event AND bb_expansion AS breakout,
+ (coalesce(lag(bb_squeeze, 1) OVER ({q.W}), false) OR coalesce(lag(bb_squeeze, 2) OVER ({q.W}), false)) AND bb_expansion AND momentum_event AS squeeze_release FROM cw0)""")
+
 
+def _covents(s, d) -> DataFrame:
+    return E.covents(events(s, d), list(schema.EVENTS), 2, 50, schema.PAIRS, schema.TRIPLES)
 
-@query(q.with_(f"""SELECT symbol, {t_}, count_2way, count_3way, total AS total_covents, any_covent, total >= 2 AS high_confluence, total >= 3 AS very_high_confluence, single AS individual_event_count,
- sum(any_covent::INT) OVER {q.rows(3)} AS covent_persistence, sum(any_covent::INT) OVER {q.rows(3)} >= 2 AS sustained, any_covent AND single >= 1 AS escalation FROM cw""", *COV, recursive=True))
+
+@query(q.with_(f"""SELECT symbol, {t_}, count_2way, count_3way, count_2way > 0 AS any_2way, count_3way > 0 AS any_3way, total AS total_covents, total AS covent_intensity, any_covent, total >= 2 AS high_confluence, total >= 3 AS very_high_confluence,
+ single AS individual_event_count, sum(any_covent::INT) OVER {q.rows(3)} AS covent_persistence, sum(any_covent::INT) OVER {q.rows(3)} >= 2 AS sustained, any_covent AND single >= 1 AS escalation FROM cw""", *COV, recursive=True))
 def c2_c7_covents(s, d):
-    return E.covents(events(s, d), FLAGS).select(
-        "symbol", T(), "count_2way", "count_3way", "total_covents", "any_covent", "high_confluence", "very_high_confluence", "individual_event_count", "covent_persistence", "sustained", "escalation")
+    return _covents(s, d).select(
+        "symbol", T(), "count_2way", "count_3way", "any_2way", "any_3way", "total_covents", "covent_intensity", "any_covent", "high_confluence", "very_high_confluence", "individual_event_count", "covent_persistence", "sustained", "escalation")
+
+
+@query(q.with_(f"""SELECT symbol, {t_}, n_cusum_flag AND n_bb_upper_cross AS covent_2way_cusum_flag_bb_upper_cross, n_outlier_event AND n_bb_expansion AS covent_2way_outlier_bb_expansion,
+ n_vpd_event AND n_outlier_event AND n_momentum_event AS covent_3way_vpd_outlier_momentum FROM nr""", *COV[:-3], recursive=True))
+def c2_c3_named_covents(s, d):
+    df = E.covents(events(s, d), list(schema.EVENTS), 2, 50, schema.PAIRS[:5], schema.TRIPLES, generic=False)
+    return df.select("symbol", T(), "covent_2way_cusum_flag_bb_upper_cross", "covent_2way_outlier_bb_expansion", "covent_3way_vpd_outlier_momentum")
+
+
+@query(q.with_(f"""SELECT symbol, {t_}, any_event OR any_covent AS any_event_with_covent, CASE WHEN squeeze_release THEN 25 WHEN breakout THEN 24 WHEN trend_reversal THEN 23 WHEN total >= 2 THEN 22
+ WHEN count_3way > 0 AND NOT any_event THEN 21 WHEN count_2way > 0 AND NOT any_event THEN 20 ELSE event_type END AS enhanced_event_type FROM cw""", *COV, recursive=True))
+def c11_enhanced_type(s, d):
+    return E.enhanced_type(E.confluence(_covents(s, d))).select("symbol", T(), "any_event_with_covent", "enhanced_event_type")
 
 
 @query(q.with_(f"""SELECT symbol, {t_}, cusum_flag AND momentum_event AND bb_any_cross AS trend_reversal, vpd_event AND outlier_event AND bb_expansion AS breakout,
@@ -317,6 +417,17 @@ def c14_event_summary(s, d):
     return E.summary(events(s, d), FLAGS).select("event", "n", r6("rate"))
 
 
+@query(q.with_(f"SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b FROM (SELECT ts, {TYPE} AS event_type FROM ev) GROUP BY 1", *EV, recursive=True))
+def c14_type_counts(s, d):
+    return E.type_counts(events(s, d)).select("event_type", "n", r6("share"), F.unix_millis("first_ts").alias("a"), F.unix_millis("last_ts").alias("b"))
+
+
+@query(q.with_(f"SELECT symbol, {t_}, round(price_vol_corr, 6) AS price_vol_corr, vpd_event, outlier_event, momentum_event FROM st", *ST, recursive=True))
+def c13_complete(s, d):
+    df = H.complete(context(s, d), 30, None, {"cusum": CUSUM_ARGS, "bb_events": {"lookback": 3, "min_distance": 0.1}})
+    return df.select("symbol", T(), r6("price_vol_corr"), "vpd_event", "outlier_event", "momentum_event")
+
+
 SEL = ("sel AS (SELECT 'outlier_label' AS label_name, symbol, ts FROM ev WHERE outlier_event UNION ALL SELECT 'momentum_label', symbol, ts FROM ev WHERE momentum_event"
        " UNION ALL SELECT 'mixed_label', symbol, ts FROM ev WHERE vpd_event OR cusum_flag)")
 LABELS = {"outlier_label": ["outlier_event"], "momentum_label": ["momentum_event"], "mixed_label": ["vpd_event", "cusum_flag"]}

@@ -28,10 +28,22 @@ DEFAULTS: dict[str, Any] = {
     "bb_events": {"lookback": 3, "min_distance": 1.0},
     "events": {"corr": 0.7, "breakout": 2.0, "lookback": 100, "outlier": 2.5, "momentum": 0.3},
     "covents": {"window": 2, "max": 50},
+    "periods": {"intraday": {"short": 12, "medium": 26, "long": 50}, "hourly": {"short": 6, "medium": 24, "long": 72}, "daily": {"short": 5, "medium": 20, "long": 50}},
     "barriers": {"vol_mult": 2.0, "stop_mult": 1.2, "holding_days": 1.0, "min_rr": 1.5, "volume": True, "regime": True},
     "costs": {"fee": 0.0026, "spread": 0.0005, "slippage": 0.0003, "funding": 0.00005, "multiplier": 2.5},
 }
 
+# The base events in their order, and the combinations that are looked for first.
+EVENTS = ("vpd_event", "outlier_event", "momentum_event", "cusum_flag", "bb_upper_cross", "bb_lower_cross", "bb_middle_up", "bb_middle_down", "bb_squeeze", "bb_expansion")
+PAIRS = (
+    ("cusum_flag", "bb_upper_cross"), ("cusum_flag", "bb_lower_cross"), ("vpd_event", "momentum_event"), ("outlier_event", "bb_expansion"),
+    ("momentum_event", "bb_squeeze"), ("vpd_event", "outlier_event"), ("bb_upper_cross", "momentum_event"), ("bb_lower_cross", "momentum_event"),
+)
+TRIPLES = (
+    ("cusum_flag", "vpd_event", "momentum_event"), ("bb_upper_cross", "outlier_event", "momentum_event"), ("bb_lower_cross", "outlier_event", "momentum_event"),
+    ("vpd_event", "outlier_event", "momentum_event"), ("cusum_flag", "bb_expansion", "momentum_event"),
+)
+
 
 def minutes(frame: str) -> int:
     return MINUTES.get(frame, 5)
@@ -61,6 +73,18 @@ def features(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if isinstance(f.dataType, T.NumericType) and not any(p in f.name for p in NOT_FEATURES)]
 
 
+def frames_of(columns: list[str]) -> list[str]:
+    """Higher time frames whose columns are there, the shortest first."""
+    return sorted((f for f in MINUTES if f"{f}_close" in columns), key=minutes)
+
+
+def validate(columns: list[str], low: str | None = None) -> None:
+    """OHLCV columns are needed, of the base bars or of the low frame."""
+    base = [c for c in ("open", "high", "low", "close", "volume") if c not in columns]
+    if base and (low is None or any(f"{low}_{c}" not in columns for c in ("open", "high", "low", "close", "volume"))):
+        raise ValueError(f"missing columns: {base}")
+
+
 def detect_frame(seconds: float | None) -> str:
     """Name of the step between the first two times."""
     if seconds is None:
