@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import discovery, memory
@@ -5,13 +8,20 @@ from tidemark.plans.queries import runs
 from tidemark.sources import files
 
 
+SF = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the small tables")
+
+
+@needs_data
 def test_synergies_need_more_than_two_runs(spark):
-    got = memory.synergies(runs(spark)).collect()
+    got = memory.synergies(runs(spark, SF)).collect()
     assert got and all(r.n > 2 and r.a < r.b and r.mean_auc > 0.6 for r in got)
 
 
+@needs_data
 def test_report_has_a_line_a_model(spark):
-    assert len(memory.report(runs(spark)).splitlines()) == 1 + runs(spark).select("model").distinct().count()
+    r = runs(spark, SF).cache()
+    assert len(memory.report(r).splitlines()) == 1 + r.select("model").distinct().count()
 
 
 def test_combinations_are_distinct():
@@ -35,3 +45,11 @@ def test_files_round_trip(spark, tmp_path):
     assert files.load(spark, f"file://{tmp_path}/out.parquet", limit=1).count() == 1
     files.save(k, f"file://{tmp_path}/out.json", "json")
     assert files.newest(spark, f"file://{tmp_path}/out.json").count() == 1
+    with pytest.raises(ValueError):
+        files.load(spark, "x.pkl")
+    with pytest.raises(FileNotFoundError):
+        files.load(spark, f"file://{tmp_path}/none.parquet")
+    metrics = spark.createDataFrame([("lda", 0.6), ("ridge", 0.7)], "model string, auc double")
+    files.save_model_sets({"a": metrics, "b": metrics}, f"file://{tmp_path}/sets")
+    assert [(r.label, r.model) for r in files.compare_model_sets(spark, f"file://{tmp_path}/sets").collect()] == [("a", "ridge"), ("a", "lda"), ("b", "ridge"), ("b", "lda")]
+    assert files.stamped("/x/", "run").startswith("/x/run_2")

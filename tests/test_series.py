@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schema
-from tidemark.operators import bars, causal, events, labeling, models, resample, scoring
+from tidemark.operators import bars, causal, events, indicators, labeling, models, resample, scoring
 from tidemark.operators.series import ema, smooth
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,7 +70,7 @@ def test_cusum_segments(spark):
 
 
 def test_flat_prices_raise_nothing(spark):
-    df = events.stat_events(events.statistics(ohlc(spark, [5.0] * 130)))
+    df = events.stat_events(events.statistics(indicators.realized_vol(indicators.atr(ohlc(spark, [5.0] * 130)), 5)))
     assert df.where("vpd_event or outlier_event or momentum_event").count() == 0
 
 

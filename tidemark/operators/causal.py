@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scoring import numbered, safe_corr
+from tidemark.operators.scoring import long, numbered, safe_corr
 from tidemark.operators.series import change, full, last, over
 
 
@@ -20,14 +20,32 @@ def lead_lag(df: DataFrame, x: str, y: str = "y", most: int = 5) -> DataFrame:
     return row.selectExpr(f"stack({len(shifts)}, " + ", ".join(f"{s}, r{s + most}" for s in shifts) + ") as (shift, r)")
 
 
-def split_stability(df: DataFrame, columns: list[str], splits: int = 3) -> DataFrame:
-    """Per feature: mean absolute correlation with y over ordered splits, and 1 - their deviation."""
+def temporal(df: DataFrame, columns: list[str], y: str = "y", most: int = 5, least: float = 0.05) -> DataFrame:
+    """(feature, lead, lag, ordered, strength): the best correlation with y of the feature moved back (signed), the best
+    absolute one of y moved back, and whether the lead beats it and `least`; one pass for all features and shifts."""
+    shifts = [k for k in range(-most, most + 1) if k]
+    moved = {(c, k): f"_m{i}_{k + most}" for i, c in enumerate(columns) for k in shifts}
+    df = df.select("*", *[F.lag(c if k > 0 else y, abs(k)).over(over()).alias(n) for (c, k), n in moved.items() if k > 0 or c == columns[0]])
+    name = lambda c, k: moved[c, k] if k > 0 else moved[columns[0], k]
+    row = df.agg(*[(safe_corr(name(c, k), y) if k > 0 else safe_corr(c, name(c, k))).alias(f"r{i}_{k + most}") for i, c in enumerate(columns) for k in shifts])
+    lead = lambda i: F.coalesce(F.greatest(*[F.col(f"r{i}_{k + most}") for k in range(1, most + 1)]) if most > 1 else F.col(f"r{i}_{1 + most}"), F.lit(0.0))
+    lag = lambda i: F.coalesce(F.greatest(*[F.abs(f"r{i}_{k + most}") for k in range(-most, 0)]) if most > 1 else F.abs(f"r{i}_{most - 1}"), F.lit(0.0))
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), lead(i).alias("lead"), lag(i).alias("lag")) for i, c in enumerate(columns)])).alias("s")).select("s.*")
+    ordered = (F.col("lead") > F.col("lag")) & (F.col("lead") > least)
+    return out.withColumn("ordered", ordered).withColumn("strength", F.when(ordered, F.col("lead")).otherwise(0.0))
+
+
+def split_stability(df: DataFrame, columns: list[str], splits: int = 3, steady: float = 0.5, strong: float = 0.05) -> DataFrame:
+    """Per feature: mean correlation with y over ordered splits, 1 - their deviation (0 from 1 on), strength, and whether
+    the relationship is structural: steady and strong enough."""
     df = numbered(df, ("ts", "symbol"))
     n = df.agg(F.count("*").alias("_n"))
-    df = df.join(F.broadcast(n)).withColumn("part", F.least(F.expr(f"(rn - 1) div (_n div {splits})"), F.lit(splits - 1)))
+    df = df.join(F.broadcast(n)).withColumn("part", F.least(F.expr(f"(rn - 1) div greatest(_n div {splits}, 1)"), F.lit(splits - 1)))
     per = df.groupBy("part").agg(*[safe_corr(c, "y").alias(c) for c in columns])
-    rows = per.selectExpr("part", f"stack({len(columns)}, " + ", ".join(f"'{c}', {c}" for c in columns) + ") as (feature, r)")
-    return rows.groupBy("feature").agg(F.avg(F.abs("r")).alias("mean_abs"), (1 - F.stddev_pop("r")).alias("stability"))
+    rows = per.selectExpr("part", f"stack({len(columns)}, " + ", ".join(f"'{c}', {c}" for c in columns) + ") as (feature, r)").where("r is not null")
+    g = rows.groupBy("feature").agg(F.count("*").alias("_k"), F.avg("r").alias("mean_r"), F.greatest(F.lit(0.0), 1 - F.stddev_pop("r")).alias("stability")).where("_k >= 2").drop("_k")
+    g = g.withColumn("strength", F.abs("mean_r") * F.col("stability"))
+    return g.withColumn("structural", (F.col("stability") > steady) & (F.abs("mean_r") > strong))
 
 
 def regimes(df: DataFrame, inner: int = 20, outer: int = 40, q: float = 0.7) -> DataFrame:
@@ -48,21 +66,34 @@ def regime_stability(df: DataFrame, x: str, y: str = "y", least: int = 20, stron
     return g.withColumn("stable", (F.col("n") >= least) & F.coalesce(F.abs("r") > strong, F.lit(False)))
 
 
-def breaks(df: DataFrame, x: str, y: str = "y", n: int = 30, jump: float = 0.2) -> DataFrame:
-    """Per symbol: share of rows whose rolling correlation moved by more than `jump`."""
+def breaks(df: DataFrame, x: str, y: str = "y", n: int = 30, q: float = 0.9, most: float = 0.15) -> DataFrame:
+    """Per symbol: the quantile q of the rolling correlation's moves, how many are above it, the stability that is left,
+    and has_breaks: more than `most` of the rows moved so far (which a quantile of the moves themselves hardly allows)."""
     sd = lambda c: full(F.stddev_pop(c), F.col(c), n)
     r = F.try_divide(full(F.covar_pop(x, y), F.col(x), n), F.nullif(sd(x) * sd(y), F.lit(0.0)))
     df = df.withColumn("_c", r)
     df = df.withColumn("_d", F.abs(F.col("_c") - F.lag("_c").over(over())))
-    return df.groupBy("symbol").agg(F.count("_d").alias("n"), F.avg((F.col("_d") > jump).cast("double")).alias("share"))
-
-
-def lag_sums(df: DataFrame, x: str, y: str, lag: int) -> DataFrame:
-    """The normal equations' sums for y on its own and x's lags: one pass, (2 lag + 2)(2 lag + 3) / 2 sums."""
-    cols = ["_one", *[f"_y{i}" for i in range(1, lag + 1)], *[f"_x{i}" for i in range(1, lag + 1)], "_y0"]
-    df = df.select(F.lit(1.0).alias("_one"), F.col(y).cast("double").alias("_y0"), *[F.lag(F.col(y).cast("double"), i).over(over()).alias(f"_y{i}") for i in range(1, lag + 1)], *[F.lag(F.col(x).cast("double"), i).over(over()).alias(f"_x{i}") for i in range(1, lag + 1)])
-    df = df.na.drop()
-    return df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j])
+    bound = df.groupBy("symbol").agg(F.percentile("_d", F.lit(q)).alias("bound"))
+    g = df.join(bound, "symbol").groupBy("symbol", "bound").agg(F.count("*").alias("rows"), F.count("_c").alias("_n"), F.count_if(F.col("_d") > F.col("bound")).alias("n_breaks"))
+    stable = F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("n_breaks").cast("double"), F.col("_n")))
+    return g.select("symbol", "rows", "bound", "n_breaks", F.coalesce(stable, F.lit(0.0)).alias("stability"), (F.col("n_breaks") > most * F.col("rows")).alias("has_breaks"))
+
+
+def lag_sums(df: DataFrame, columns: list[str], y: str, max_lag: int) -> DataFrame:
+    """(feature, lag, n, s0 ...): for every feature and number of lags the upper triangle of the normal equations of
+    1, y's lags, x's lags and y, unused places 0. One pass over the rows for all of them."""
+    rows = long(df.withColumn("_y", F.col(y).cast("double")), columns, ("symbol", "ts", "_y"))
+    w = Window.partitionBy("symbol", "feature").orderBy("ts")
+    ys, xs = ([F.lag(c, i).over(w).alias(f"{c}{i}") for i in range(1, max_lag + 1)] for c in ("_y", "x"))
+    rows = rows.select("feature", "_y", "x", *ys, *xs).withColumn("lag", F.explode(F.array(*[F.lit(i) for i in range(1, max_lag + 1)])))
+    used = lambda c, i: F.when(F.col("lag") >= i, F.col(f"{c}{i}")).otherwise(F.lit(0.0))
+    v = [F.lit(1.0), *[used("_y", i) for i in range(1, max_lag + 1)], *[used("x", i) for i in range(1, max_lag + 1)], F.col("_y")]
+    whole = F.col("_y").isNotNull() & F.col("x").isNotNull()
+    for c in ("_y", "x"):
+        for i in range(1, max_lag + 1):
+            whole = whole & ((F.col("lag") < i) | F.col(f"{c}{i}").isNotNull())
+    rows = rows.where(whole).select("feature", "lag", *[c.alias(f"v{i}") for i, c in enumerate(v)])
+    return rows.groupBy("feature", "lag").agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i in range(len(v)) for j in range(i, len(v))])
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
@@ -97,31 +128,32 @@ def _beta(x, a, b, lgamma, exp, log) -> float:
 
 
 def granger(df: DataFrame, columns: Iterable[str], y: str = "y", max_lag: int = 5, alpha: float = 0.1, least: int = 30) -> DataFrame:
-    """(feature, lag, f, p, strength, causal) at each feature's best lag; the sums are one Spark pass a lag and feature."""
-    out = []
-    for c in columns:
-        best = None
-        for lag in range(1, max_lag + 1):
-            row = lag_sums(df, c, y, lag).first().asDict()
-            k = 2 * lag + 2
-            s = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    s[i, j] = s[j, i] = row[f"s_{i}_{j}"] or 0.0
-            n = s[0, 0]
-            if n < max(least, 3 * k):
-                continue
-            rss = []
-            for use in ([0, *range(1, lag + 1)], [0, *range(1, 2 * lag + 1)]):
-                a, b = s[np.ix_(use, use)], s[use, k - 1]
-                rss.append(max(s[k - 1, k - 1] - b @ np.linalg.lstsq(a, b, rcond=None)[0], 0.0))
-            d2 = n - 2 * lag - 1
-            f = (rss[0] - rss[1]) / lag / (rss[1] / d2) if rss[1] > 0 else float("inf")
-            p = f_tail(f, lag, d2) if np.isfinite(f) else 0.0
-            if best is None or p < best[3]:
-                best = (c, lag, float(f), float(p))
-        if best:
-            out.append((*best, 1 - best[3] if best[3] < alpha else 0.0, best[3] < alpha))
+    """(feature, lag, f, p, strength, causal) at each feature's best lag.
+
+    The sums of all features and lags come from one pass; the driver gets one row for each and solves
+    at most (2 max_lag + 1) equations.
+    """
+    best: dict[str, tuple] = {}
+    k = 2 * max_lag + 2
+    for row in lag_sums(df, list(columns), y, max_lag).collect():
+        s = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                s[i, j] = s[j, i] = row[f"s{i}_{j}"] or 0.0
+        n, lag = s[0, 0], row.lag
+        if n < max(least, 3 * (2 * lag + 2)):
+            continue
+        own, theirs = [0, *range(1, lag + 1)], [max_lag + i for i in range(1, lag + 1)]
+        rss = []
+        for use in (own, own + theirs):
+            b = s[use, k - 1]
+            rss.append(max(s[k - 1, k - 1] - b @ np.linalg.lstsq(s[np.ix_(use, use)], b, rcond=None)[0], 0.0))
+        d2 = n - 2 * lag - 1
+        f = (rss[0] - rss[1]) / lag / (rss[1] / d2) if rss[1] > 0 else float("inf")
+        p = f_tail(f, lag, d2) if np.isfinite(f) else 0.0
+        if row.feature not in best or (p, lag) < (best[row.feature][3], best[row.feature][1]):
+            best[row.feature] = (row.feature, lag, float(f), float(p))
+    out = [(*b, 1 - b[3] if b[3] < alpha else 0.0, b[3] < alpha) for b in best.values()]
     return df.sparkSession.createDataFrame(out, "feature string, lag int, f double, p double, strength double, causal boolean")
 
 
@@ -134,6 +166,16 @@ def clean(df: DataFrame, columns: list[str], critical: list[str]) -> DataFrame:
 
 
 def relationship(df: DataFrame) -> DataFrame:
-    """Type of relationship from `granger_p`, `stability` and `lead`."""
-    kind = F.when(F.col("granger_p") < 0.05, "granger_causal").when(F.col("stability") > 0.7, "structural").when(F.col("lead") > 0, "lead_lag").otherwise("correlational")
+    """Type of relationship from `causal`, `lag` and `structural`."""
+    flow = F.when(F.coalesce("lag", F.lit(1)) <= 1, "information_flow").otherwise("granger_causal")
+    kind = F.when(F.coalesce("causal", F.lit(False)), flow).when(F.coalesce("structural", F.lit(False)), "structural_causal").otherwise("granger_causal")
     return df.withColumn("relationship", kind)
+
+
+def label_statistics(df: DataFrame, labels: list[str]) -> DataFrame:
+    """Per label: rows with it, positives, their rate and the share of rows that have it."""
+    pairs = ", ".join(f"'{c}', cast({c} as int)" for c in labels)
+    rows = df.selectExpr(f"stack({len(labels)}, {pairs}) as (label, v)")
+    return rows.groupBy("label").agg(
+        F.count("v").alias("n"), F.count_if(F.col("v") == 1).alias("positive"), F.avg((F.col("v") == 1).cast("double")).alias("rate"), (F.count("v") / F.count("*")).alias("completeness")
+    )

@@ -11,19 +11,43 @@ from pyspark.sql import functions as F
 from tidemark.operators.series import change, last
 from tidemark.schema import config
 
-# Barrier parameters of the presets, by label.
-PRESETS: dict[str, dict[str, dict[str, Any]]] = {
-    "scalping": {"outlier_label": {"vol_mult": 1.5, "stop_mult": 1.0, "holding_days": 0.5, "min_rr": 2.0}},
-    "swing": {"momentum_label": {"vol_mult": 2.5, "stop_mult": 1.5, "holding_days": 3.0, "min_rr": 1.8, "volume": False}},
+# The events, barrier parameters and costs of the presets, by label.
+PRESETS: dict[str, dict[str, Any]] = {
+    "scalping": {
+        "labels": {"outlier_label": ["outlier_event"]}, "how": "any", "costs": {"slippage": 0.0002, "multiplier": 3.0},
+        "params": {"outlier_label": {"vol_mult": 1.5, "stop_mult": 1.0, "holding_days": 0.5, "min_rr": 2.0}},
+    },
+    "swing": {
+        "labels": {"momentum_label": ["momentum_event"]}, "how": "any", "costs": {},
+        "params": {"momentum_label": {"vol_mult": 2.5, "stop_mult": 1.5, "holding_days": 3.0, "min_rr": 1.8, "volume": False}},
+    },
     "multi_frame": {
-        "outlier_label": {"vol_mult": 1.8, "stop_mult": 1.1, "holding_days": 0.75, "min_rr": 2.2},
-        "momentum_label": {"vol_mult": 2.3, "stop_mult": 1.4, "holding_days": 2.5, "min_rr": 1.7, "volume": False},
-        "vpd_label": {"vol_mult": 3.0, "stop_mult": 1.8, "holding_days": 1.5, "min_rr": 1.6},
+        "labels": {"outlier_label": ["outlier_event"], "momentum_label": ["momentum_event"], "vpd_label": ["vpd_event"]}, "how": "any", "costs": {},
+        "params": {
+            "outlier_label": {"vol_mult": 1.8, "stop_mult": 1.1, "holding_days": 0.75, "min_rr": 2.2},
+            "momentum_label": {"vol_mult": 2.3, "stop_mult": 1.4, "holding_days": 2.5, "min_rr": 1.7, "volume": False},
+            "vpd_label": {"vol_mult": 3.0, "stop_mult": 1.8, "holding_days": 1.5, "min_rr": 1.6},
+        },
+    },
+    "high_confidence": {
+        "labels": {"outlier_momentum_label": ["outlier_event", "momentum_event"]}, "how": "all", "costs": {},
+        "params": {"outlier_momentum_label": {"vol_mult": 2.8, "stop_mult": 1.6, "holding_days": 2.0, "min_rr": 1.5}},
     },
-    "high_confidence": {"outlier_momentum_label": {"vol_mult": 2.8, "stop_mult": 1.6, "holding_days": 2.0, "min_rr": 1.5}},
 }
 
 
+def validate(df: DataFrame) -> DataFrame:
+    """The frame with `ts` as a timestamp; fails without symbol, ts and OHLC columns."""
+    missing = [c for c in ("symbol", "ts", "open", "high", "low", "close") if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def combined_name(columns: list[str]) -> str:
+    return "_".join(c.replace("_event", "") for c in columns) + "_combined_label"
+
+
 def select_events(df: DataFrame, labels: dict[str, list[str]], how: str = "any") -> DataFrame:
     """(label_name, symbol, ts) of the rows where any (or all) of a label's columns hold."""
     join = (lambda a, b: a | b) if how == "any" else (lambda a, b: a & b)
@@ -54,22 +78,29 @@ def factors(df: DataFrame) -> DataFrame:
     return df.withColumn("liquidity", liquidity).withColumn("regime", regime).drop("_r")
 
 
-def barriers(events: DataFrame, bars: DataFrame, params: dict[str, dict[str, Any]] | None = None, costs: dict[str, float] | None = None) -> DataFrame:
-    """Profit and stop distances and the vertical barrier of each event; bars carry the factors."""
-    base = config()["barriers"]
-    floor = cost_floor(costs)
-    spec = lambda name, key: (params or {}).get(name, {}).get(key, base[key])
-    names = sorted(params or {})
+def barriers(
+    events: DataFrame, bars: DataFrame, params: dict[str, dict[str, Any]] | None = None, costs: dict[str, float] | None = None, defaults: dict[str, Any] | None = None,
+) -> DataFrame:
+    """Profit and stop distances and the vertical barrier of each event; bars carry the factors.
+
+    A label's `params` replace the defaults. With `theory` false the distances are its fixed
+    profit_take and stop_loss, above a cost floor without funding.
+    """
+    base = config()["barriers"] | (defaults or {})
+    floor, simple = cost_floor(costs), cost_floor(costs, funding=False)
 
     def pick(key: str) -> Column:
         out = F.lit(base[key])
-        for n in names:
-            out = F.when(F.col("label_name") == n, F.lit(spec(n, key))).otherwise(out)
+        for n in sorted(params or {}):
+            out = F.when(F.col("label_name") == n, F.lit(params[n].get(key, base[key]))).otherwise(out)
         return out
 
+    theory = pick("theory")
     e = events.join(bars.select("symbol", "ts", "close", "vol", "liquidity", "regime"), ["symbol", "ts"])
     scale = F.col("vol") * F.when(pick("regime"), F.col("regime")).otherwise(1.0) * F.when(pick("volume"), F.col("liquidity")).otherwise(1.0)
-    e = e.withColumn("_pt", F.greatest(F.lit(floor), scale * pick("vol_mult"))).withColumn("stop_loss", F.greatest(F.lit(0.6 * floor), scale * pick("stop_mult")))
+    up = F.when(theory, F.greatest(F.lit(floor), scale * pick("vol_mult"))).otherwise(F.greatest(F.lit(simple), pick("profit_take")))
+    down = F.when(theory, F.greatest(F.lit(0.6 * floor), scale * pick("stop_mult"))).otherwise(F.greatest(F.lit(0.6 * simple), pick("stop_loss")))
+    e = e.withColumn("_pt", up).withColumn("stop_loss", down)
     e = e.withColumn("profit_take", F.when(F.col("_pt") / F.col("stop_loss") < pick("min_rr"), F.col("stop_loss") * pick("min_rr")).otherwise(F.col("_pt"))).drop("_pt")
     ends = bars.groupBy("symbol").agg(F.max("ts").alias("_end"))
     hold = F.make_dt_interval(secs=(pick("holding_days") * 86400).cast("decimal(18,6)"))
@@ -115,8 +146,64 @@ def attach(bars: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
 
 
 def summary(labels: DataFrame) -> DataFrame:
-    """Per label: events, rates of each outcome, mean return and hours."""
+    """Per label: events, rates of each outcome, how often each barrier was touched, mean return and hours."""
     rate = lambda v: F.avg((F.col("label") == v).cast("double"))
+    touched = [F.count_if(F.col("barrier") == b).alias(f"n_{b}") for b in ("profit", "stop", "vertical", "error")]
     return labels.groupBy("label_name").agg(
-        F.count("*").alias("n"), rate(1).alias("success_rate"), rate(-1).alias("stop_rate"), rate(0).alias("neutral_rate"), F.avg("ret").alias("mean_ret"), F.avg("holding_hours").alias("mean_hours")
+        F.count("*").alias("n"), rate(1).alias("success_rate"), rate(-1).alias("stop_rate"), rate(0).alias("neutral_rate"), F.avg("ret").alias("mean_ret"), F.avg("holding_hours").alias("mean_hours"), *touched
     )
+
+
+def label_all(
+    df: DataFrame, labels: dict[str, list[str]] | list[str], how: str = "any", params: dict[str, dict[str, Any]] | None = None, costs: dict[str, float] | None = None,
+    defaults: dict[str, Any] | None = None, skip_event_bar: bool = False,
+) -> DataFrame:
+    """(label_name, symbol, ts, label, barrier, ...) of bars that carry event flags; costs reach the barriers.
+
+    labels: label name -> event columns, or a list of columns with one label each (`any_event` -> `any_label`).
+    Columns that aren't there are left out, and with how="all" so is the label.
+    """
+    df = validate(df)
+    if isinstance(labels, list):
+        labels = {f"{c.removesuffix('_event')}_label": [c] for c in labels}
+    if how == "all" and any(len(c) < 2 for c in labels.values()):
+        raise ValueError("simultaneous labels need two columns or more")
+    have = {n: [c for c in cols if c in df.columns] for n, cols in labels.items()}
+    have = {n: cols for n, cols in have.items() if cols and (how != "all" or len(cols) == len(labels[n]))}
+    if not have:
+        raise ValueError("no event column of any label is there")
+    b = factors(df)
+    return triple_barrier(barriers(select_events(df, have, how), b, params, costs, defaults), b, skip_event_bar=skip_event_bar)
+
+
+def labeled(df: DataFrame, labels: dict[str, list[str]] | list[str], how: str = "any", **options) -> tuple[DataFrame, DataFrame]:
+    """The bars with five columns a label, and the labels' summary."""
+    rows = label_all(df, labels, how, **options)
+    names = list(labels) if isinstance(labels, dict) else [f"{c.removesuffix('_event')}_label" for c in labels]
+    return attach(df, rows, names), summary(rows)
+
+
+def preset(df: DataFrame, name: str) -> DataFrame:
+    """Labels by one of the PRESETS."""
+    p = PRESETS[name]
+    return label_all(df, p["labels"], p["how"], p["params"], p["costs"])
+
+
+def label_events(df: DataFrame, columns: str | list[str] | None = None, profit_take: float = 0.02, stop_loss: float = 0.015, holding_days: float = 1.0, dynamic: bool = True) -> DataFrame:
+    """One call for one set of parameters: several columns make one combined label; not dynamic: fixed barriers."""
+    columns = [columns or "any_event"] if not isinstance(columns, list) else columns
+    labels = {combined_name(columns): columns} if len(columns) > 1 else columns
+    fixed = {"theory": dynamic, "profit_take": profit_take, "stop_loss": stop_loss, "holding_days": holding_days, "volume": dynamic, "regime": dynamic}
+    return label_all(df, labels, defaults=fixed)
+
+
+def quick_label_outliers(df: DataFrame) -> DataFrame:
+    return preset(df, "scalping")
+
+
+def quick_label_momentum(df: DataFrame) -> DataFrame:
+    return preset(df, "swing")
+
+
+def quick_label_all_events(df: DataFrame) -> DataFrame:
+    return label_events(df)

@@ -16,7 +16,7 @@ def learn(runs: DataFrame) -> DataFrame:
     """Runs with `success`."""
     ok = F.lit(True)
     for c, least in SUCCESS.items():
-        ok = ok & (F.col(c) > least)
+        ok = ok & (F.col(c) >= least)
     return runs.withColumn("success", F.coalesce(ok, F.lit(False)))
 
 
@@ -68,10 +68,31 @@ def common_features(runs: DataFrame, k: int = 15) -> DataFrame:
     return runs.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(k)
 
 
+def regime_preferences(runs: DataFrame) -> DataFrame:
+    """(regime, feature, preference): a tenth for each successful run with the feature."""
+    used = learn(runs).where("success").select("regime", F.explode(F.array_distinct("features")).alias("feature"))
+    return used.groupBy("regime", "feature").agg((F.count("*") * 0.1).alias("preference"))
+
+
+# How much a regime calls for trying new things, and the selection method it prefers.
+EXPLORATION = {"CRISIS": 0.8, "SIDEWAYS_LOW_VOL": 0.3, "RECOVERY": 0.3}
+METHODS = {
+    "CRISIS": "statistical", "BULL_HIGH_VOL": "mutual_info", "BULL_LOW_VOL": "mutual_info", "BEAR_HIGH_VOL": "correlation_analysis", "BEAR_LOW_VOL": "correlation_analysis",
+    "SIDEWAYS_HIGH_VOL": "random_forest", "SIDEWAYS_LOW_VOL": "synergy_based", "RECOVERY": "mutual_info",
+}
+
+
 def strategy(profile: DataFrame) -> DataFrame:
-    """Priority of each event: quality .4, closeness to 15 percent frequency .3, clustering .3."""
-    near = 1 - F.least(F.abs(F.col("frequency") - 0.15) / 0.15, F.lit(1.0))
-    return profile.withColumn("priority", 0.4 * F.col("quality") + 0.3 * near + 0.3 * F.col("clustering"))
+    """Priority of each event (closeness to 15 percent frequency .4, quality .3, number of events .3), its place and
+    share of the time: the first places get up to twice as much. profile has one row an event."""
+    near = 1 - F.abs(F.col("frequency") - 0.15)
+    priority = 0.4 * near + 0.3 * F.col("quality") + 0.3 * F.least(F.col("events") / 100, F.lit(1.0))
+    df = profile.withColumn("priority", priority).withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "event")))
+    total = df.agg(F.count("*").alias("_n"))
+    weight = 1 + (F.col("_n") - F.col("place") + 1) / F.col("_n")
+    df = df.join(F.broadcast(total)).withColumn("_w", weight)
+    whole = df.agg(F.sum("_w").alias("_all"))
+    return df.join(F.broadcast(whole)).withColumn("time_share", F.col("_w") / F.col("_all")).drop("_n", "_w", "_all")
 
 
 def report(runs: DataFrame) -> str:

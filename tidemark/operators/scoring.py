@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.operators.series import over
 
 
-def fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Last value before, else the next one, else the median."""
+def fill(df: DataFrame, columns: list[str], crisis: bool = False) -> DataFrame:
+    """Last value before, else the next one, else the median; in a crisis the next one, the one before, else 0."""
     back = over().rowsBetween(Window.unboundedPreceding, 0)
     ahead = over().rowsBetween(0, Window.unboundedFollowing)
+    kept = [c for c in df.columns if c not in columns]
+    if crisis:
+        return df.select(*kept, *[F.coalesce(F.first(c, True).over(ahead), F.last(c, True).over(back), F.lit(0.0)).alias(c) for c in columns])
     mid = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
     df = df.join(F.broadcast(mid))  # one row
-    return df.select(*[c for c in df.columns if c not in columns and not c.startswith("_m_")], *[F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.col(f"_m_{c}")).alias(c) for c in columns])
+    return df.select(*kept, *[F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.col(f"_m_{c}")).alias(c) for c in columns])
 
 
 def long(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ("symbol", "ts", "y")) -> DataFrame:
@@ -42,9 +45,39 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs)) + ") as (a, b, r)")
 
 
-def correlated(df: DataFrame, columns: list[str], limit: float = 0.95) -> DataFrame:
-    """Columns to drop: those correlated above the limit with one before them."""
-    return correlations(df, columns).where(F.abs("r") > limit).select(F.col("b").alias("feature")).distinct()
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows with a label, as `y`."""
+    return df.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("int"))
+
+
+def correlated(df: DataFrame, columns: list[str], limit: float = 0.95, half: bool = True) -> DataFrame:
+    """Columns to drop: those correlated above the limit with one before them. half: by the first half of the rows alone."""
+    return correlations(first_rows(df, 0.5) if half else df, columns).where(F.abs("r") > limit).select(F.col("b").alias("feature")).distinct()
+
+
+def first_rows(df: DataFrame, share: float) -> DataFrame:
+    return split(df, share).where("role = 'train'").drop("rn", "role")
+
+
+def correlated_worse(df: DataFrame, columns: list[str], limit: float = 0.95) -> DataFrame:
+    """Columns to drop, keeping the best: of each column and those before it that correlate with it above the
+    limit, all but the one most correlated with y go (on ties the later column stays)."""
+    target = target_correlation(df, columns).select("feature", F.coalesce("r", F.lit(0.0)).alias("t"))
+    place = F.create_map(*[F.lit(x) for kv in ((c, i) for i, c in enumerate(columns)) for x in kv])
+    close = correlations(df, columns).where(F.abs("r") > limit)
+    group = close.select(F.col("b").alias("head"), F.col("a").alias("feature")).union(close.select("b", "b").distinct())
+    group = group.join(F.broadcast(target), "feature")  # one row a column
+    # the head comes first, then the columns before it in their order
+    rank = F.when(F.col("feature") == F.col("head"), -1).otherwise(place[F.col("feature")])
+    nth = F.row_number().over(Window.partitionBy("head").orderBy(F.desc("t"), rank))
+    return group.withColumn("_n", nth).where("_n > 1").select("feature").distinct()
+
+
+def outlier_heavy(df: DataFrame, columns: list[str], most: float = 0.1, share: float = 0.3, crisis: bool = False) -> DataFrame:
+    """Columns to drop for their outliers; none in a crisis, nor where that would be `share` of all columns or more."""
+    bad = outlier_shares(df, columns).where((F.col("share") > most) & F.lit(not crisis)).select("feature")
+    n = bad.agg(F.count("*").alias("_n"))
+    return bad.join(F.broadcast(n)).where(F.col("_n") < share * len(columns)).select("feature")
 
 
 def outlier_shares(df: DataFrame, columns: list[str], limit: float = 3.0) -> DataFrame:
@@ -78,9 +111,14 @@ def anova(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.select("feature", F.try_divide(F.try_divide("between", F.col("k") - 1), F.nullif(F.try_divide("within", F.col("nn") - F.col("k")), F.lit(0.0))).alias("f"))
 
 
-def target_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
+def target_correlation(df: DataFrame, columns: list[str], preferred: tuple[str, ...] = (), boost: bool = False) -> DataFrame:
+    """Absolute correlation with y; boost: 1.4 times for names of prices, 1.2 times for `preferred` ones."""
     row = df.agg(*[F.abs(safe_corr(c, "y")).alias(f"r{i}") for i, c in enumerate(columns)])
-    return row.selectExpr(f"stack({len(columns)}, " + ", ".join(f"'{c}', r{i}" for i, c in enumerate(columns)) + ") as (feature, r)")
+    out = row.selectExpr(f"stack({len(columns)}, " + ", ".join(f"'{c}', r{i}" for i, c in enumerate(columns)) + ") as (feature, r)")
+    if not boost:
+        return out
+    price = F.when(F.lower("feature").rlike("open|high|low|close"), 1.4).otherwise(1.0)
+    return out.withColumn("r", F.col("r") * price * F.when(F.col("feature").isin(*preferred), 1.2).otherwise(1.0))
 
 
 def combine(scores: DataFrame) -> DataFrame:
@@ -160,15 +198,19 @@ def economics(df: DataFrame, ret: str = "ret", pred: str = "pred", order: str =
 
 
 def stability(df: DataFrame, columns: list[str], periods: int = 4, n: int = 8) -> DataFrame:
-    """1 - std / mean of a feature's information over ordered periods."""
+    """1 - std / mean of a feature's information over ordered periods; one pass for all periods."""
     df = numbered(df, ("ts", "symbol"))
     total = df.agg(F.count("*").alias("_n"))
-    df = df.join(F.broadcast(total)).withColumn("period", F.least(F.expr(f"(rn - 1) div (_n div {periods})"), F.lit(periods - 1)))
-    parts = [mutual_information(df.where(F.col("period") == p), columns, n).withColumn("period", F.lit(p)) for p in range(periods)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.groupBy("feature").agg((1 - F.stddev_pop("mi") / (F.avg("mi") + 1e-8)).alias("stability"), F.avg("mi").alias("mean_mi"))
+    df = df.join(F.broadcast(total)).withColumn("period", F.least(F.expr(f"(rn - 1) div greatest(_n div {periods}, 1)"), F.lit(periods - 1)))
+    rows = long(df, columns, ("period", "y")).where("x is not null")
+    key = ["feature", "period"]
+    cuts = rows.groupBy(*key).agg(F.percentile("x", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("cuts"))
+    c = rows.join(cuts, key).groupBy(*key, "y", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("bin")).agg(F.count("*").alias("n"))
+    w = lambda *k: Window.partitionBy(*key, *k)
+    all_, nb, ny = F.sum("n").over(w()), F.sum("n").over(w("bin")), F.sum("n").over(w("y"))
+    mi = c.withColumn("t", F.col("n") / all_ * F.ln(F.col("n") * all_ / (nb * ny))).groupBy(*key).agg(F.sum("t").alias("mi"))
+    g = mi.groupBy("feature").agg(F.count("*").alias("_k"), (1 - F.stddev_pop("mi") / (F.avg("mi") + 1e-8)).alias("stability"), F.avg("mi").alias("mean_mi"))
+    return g.where("_k >= 2").drop("_k")
 
 
 def rank_models(metrics: DataFrame) -> DataFrame:

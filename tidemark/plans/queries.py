@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.operators import agent as A
 from tidemark.operators import bars as B
 from tidemark.operators import causal as K
+from tidemark.operators import discovery as D
 from tidemark.operators import events as E
 from tidemark.operators import frames as H
 from tidemark.operators import indicators as I
@@ -477,14 +479,90 @@ def l13_triple_barrier(s, d):
     return _labels(s, d).select("label_name", "symbol", T(), "label", "barrier", F.unix_millis("touch_ts").alias("touch_t"), r6("ret"), r6("holding_hours"))
 
 
-@query(q.with_("SELECT label_name, count(*) AS n, round(avg((label = 1)::INT), 6) AS success_rate, round(avg((label = -1)::INT), 6) AS stop_rate, round(avg((label = 0)::INT), 6) AS neutral_rate, round(avg(ret), 6) AS mean_ret, round(avg((epoch_us(touch) - epoch_us(ts)) / 3.6e9), 6) AS mean_hours FROM tl GROUP BY 1", *EV, SEL, *FAC, *BAR, *TB, recursive=True))
+SUMMARY = """SELECT label_name, count(*) AS n, round(avg((label = 1)::INT), 6) AS success_rate, round(avg((label = -1)::INT), 6) AS stop_rate, round(avg((label = 0)::INT), 6) AS neutral_rate, round(avg(ret), 6) AS mean_ret,
+ round(avg((epoch_us(touch) - epoch_us(ts)) / 3.6e9), 6) AS mean_hours, sum((barrier = 'profit')::INT)::BIGINT AS n_profit, sum((barrier = 'stop')::INT)::BIGINT AS n_stop, sum((barrier = 'vertical')::INT)::BIGINT AS n_vertical FROM tl GROUP BY 1"""
+_SUMMARY = ("success_rate", "stop_rate", "neutral_rate", "mean_ret", "mean_hours")
+
+
+def _summed(labels: DataFrame) -> DataFrame:
+    return L.summary(labels).select("label_name", "n", *[r6(c) for c in _SUMMARY], "n_profit", "n_stop", "n_vertical")
+
+
+@query(q.with_(SUMMARY, *EV, SEL, *FAC, *BAR, *TB, recursive=True))
 def l17_label_summary(s, d):
-    return L.summary(_labels(s, d)).select("label_name", "n", *[r6(c) for c in ("success_rate", "stop_rate", "neutral_rate", "mean_ret", "mean_hours")])
+    return _summed(_labels(s, d))
 
 
-@query()
+@query(q.with_(f"SELECT b.symbol, epoch_ms(b.ts) AS t, " + ", ".join(f"max(CASE WHEN label_name = '{n}' THEN {x} END) AS {n}{y}" for n in LABELS for x, y in (("label", ""), ("barrier", "_barrier"), ("round(ret, 6)", "_ret"), ("epoch_ms(touch)", "_touch_t"), ("round((epoch_us(touch) - epoch_us(tl.ts)) / 3.6e9, 6)", "_holding_hours")))
+    + " FROM bars b LEFT JOIN tl ON tl.symbol = b.symbol AND tl.ts = b.ts GROUP BY 1, 2", *EV, SEL, *FAC, *BAR, *TB, recursive=True))
 def l16_attach(s, d):
-    return L.attach(bars(s, d), _labels(s, d), list(LABELS))
+    df = L.attach(bars(s, d), _labels(s, d), list(LABELS))
+    cols = [c for n in LABELS for c in (F.col(n), F.col(f"{n}_barrier"), r6(f"{n}_ret"), F.unix_millis(f"{n}_touch_ts").alias(f"{n}_touch_t"), r6(f"{n}_holding_hours"))]
+    return df.select("symbol", T(), *cols)
+
+
+@query(q.with_(f"SELECT symbol, {t_} FROM ev WHERE outlier_event AND bb_expansion", *EV, recursive=True))
+def l4_simultaneous(s, d):
+    return L.select_events(events(s, d), {"both_label": ["outlier_event", "bb_expansion"]}, "all").select("symbol", T())
+
+
+def _barriers_sql(select: str, floor: float, pt: str, sl: str, rr: float, days: float) -> tuple[str, ...]:
+    return (f"sel AS ({select})", FACTORS_ATR[0], FACTORS_ATR[1], f"br0 AS (SELECT sel.label_name, fa.symbol, fa.ts, fa.close, greatest({floor}, {pt}) AS pt, greatest(0.6 * {floor}, {sl}) AS stop_loss FROM sel JOIN fa ON fa.symbol = sel.symbol AND fa.ts = sel.ts)",
+        f"""br AS (SELECT b.label_name, b.symbol, b.ts, b.close, b.stop_loss, CASE WHEN pt / stop_loss < {rr} THEN stop_loss * {rr} ELSE pt END AS profit_take, least(b.ts + INTERVAL {int(days * 24 * 60)} MINUTE, e.mx) AS vertical
+ FROM br0 b JOIN (SELECT symbol, max(ts) AS mx FROM bars GROUP BY 1) e ON e.symbol = b.symbol)""", *TB)
+
+
+FACTORS_ATR = (q.RET, FAC[1].replace("FROM rets),", "FROM (SELECT rets.*, atr_pct FROM rets LEFT JOIN atrs USING (symbol, ts))),", 1).replace(f"CASE WHEN count(r) OVER {q.rows(20)} > 5", f"CASE WHEN atr_pct IS NOT NULL THEN atr_pct / 100 WHEN count(r) OVER {q.rows(20)} > 5", 1))
+
+
+@query(q.with_(f"SELECT symbol, {t_}, round(vol, 6) AS vol, liquidity, regime FROM fa", q.TICKS, q.BARS, q.NUMBERED, *q.ATR, *FACTORS_ATR, recursive=True))
+def l6_atr_factors(s, d):
+    return L.factors(I.atr(bars(s, d))).select("symbol", T(), r6("vol"), "liquidity", "regime")
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'outlier_label' AS label_name, symbol, ts FROM ev WHERE outlier_event", 0.015, "0.02", "0.015", 1.5, 1.0), recursive=True))
+def l11_simple_barriers(s, d):
+    return _summed(L.label_events(events(s, d), "outlier_event", dynamic=False))
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'outlier_label' AS label_name, symbol, ts FROM ev WHERE outlier_event UNION ALL SELECT 'momentum_label', symbol, ts FROM ev WHERE momentum_event", 0.015125, "vol * regime * liquidity * 2.0", "vol * regime * liquidity * 1.2", 1.5, 1.0), recursive=True))
+def l18_label_all(s, d):
+    return L.labeled(events(s, d), ["outlier_event", "momentum_event"])[1].select("label_name", "n", *[r6(c) for c in _SUMMARY], "n_profit", "n_stop", "n_vertical")
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'outlier_label' AS label_name, symbol, ts FROM ev WHERE outlier_event", (2 * 0.0026 + 0.0005 + 0.0002 + 0.00005) * 3, "vol * regime * liquidity * 1.5", "vol * regime * liquidity * 1.0", 2.0, 0.5), recursive=True))
+def l19_preset_scalping(s, d):
+    return _summed(L.preset(events(s, d), "scalping"))
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'momentum_label' AS label_name, symbol, ts FROM ev WHERE momentum_event", 0.015125, "vol * regime * 2.5", "vol * regime * 1.5", 1.8, 3.0), recursive=True))
+def l19_preset_swing(s, d):
+    return _summed(L.preset(events(s, d), "swing"))
+
+
+_multi = [("outlier", 1.8, 1.1, 0.75, 2.2, "liquidity"), ("momentum", 2.3, 1.4, 2.5, 1.7, "1"), ("vpd", 3.0, 1.8, 1.5, 1.6, "liquidity")]
+
+
+def _case(i: int, cast: str = "") -> str:
+    return "CASE label_name " + " ".join(f"WHEN '{m[0]}_label' THEN {m[i]}" for m in _multi) + " END" + cast
+
+
+@query(q.with_(SUMMARY, *EV, "sel AS (" + " UNION ALL ".join(f"SELECT '{m[0]}_label' AS label_name, symbol, ts FROM ev WHERE {m[0]}_event" for m in _multi) + ")", *FACTORS_ATR,
+    f"br0 AS (SELECT sel.label_name, fa.symbol, fa.ts, fa.close, vol * regime * {_case(5)} AS sc FROM sel JOIN fa ON fa.symbol = sel.symbol AND fa.ts = sel.ts)", f"br1 AS (SELECT *, greatest(0.015125, sc * {_case(1)}) AS pt, greatest(0.6 * 0.015125, sc * {_case(2)}) AS stop_loss FROM br0)",
+    f"""br AS (SELECT b.label_name, b.symbol, b.ts, b.close, b.stop_loss, CASE WHEN pt / stop_loss < {_case(4)} THEN stop_loss * {_case(4)} ELSE pt END AS profit_take, least(b.ts + to_minutes(({_case(3)} * 1440)::BIGINT), e.mx) AS vertical
+ FROM br1 b JOIN (SELECT symbol, max(ts) AS mx FROM bars GROUP BY 1) e ON e.symbol = b.symbol)""", *TB, recursive=True))
+def l19_l22_preset_multi_frame(s, d):
+    return _summed(L.preset(events(s, d), "multi_frame"))
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'outlier_momentum_label' AS label_name, symbol, ts FROM ev WHERE outlier_event AND momentum_event", 0.015125, "vol * regime * liquidity * 2.8", "vol * regime * liquidity * 1.6", 1.5, 2.0), recursive=True))
+def l19_preset_high_confidence(s, d):
+    return _summed(L.preset(events(s, d), "high_confidence"))
+
+
+@query(q.with_(SUMMARY, *EV, *_barriers_sql("SELECT 'any_label' AS label_name, symbol, ts FROM ev WHERE any_event", 0.015125, "vol * regime * liquidity * 2.0", "vol * regime * liquidity * 1.2", 1.5, 1.0), recursive=True))
+def l20_quick_label_all(s, d):
+    return _summed(L.quick_label_all_events(events(s, d)))
 
 
 FR = (q.TICKS, q.BARS, q.FRAME)
@@ -514,6 +592,42 @@ def f5_correlations(s, d):
     return S.correlations(frame(s, d), FEATURES).select("a", "b", r6("r"))
 
 
+TWINS = "fx AS (SELECT *, f1 * 2 + f4 * 1e-9 AS f5, -f2 AS f6, f2 + fwd AS f7 FROM fr)"
+FEATURES7 = [*FEATURES, "f5", "f6", "f7"]
+
+
+def _twins(s, d) -> DataFrame:
+    """The frame with columns that correlate with others."""
+    return frame(s, d).withColumn("f5", F.col("f1") * 2 + F.col("f4") * 1e-9).withColumn("f6", -F.col("f2")).withColumn("f7", F.col("f2") + F.col("fwd"))
+
+
+_order7 = [(a, b) for i, a in enumerate(FEATURES7) for b in FEATURES7[i + 1 :]]
+_PAIRS7 = "pc AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS ia, corr({a}, {b}) AS r FROM src" for i, a in enumerate(FEATURES7) for b in FEATURES7[i + 1 :]) + ")"
+
+
+@query(q.with_("SELECT DISTINCT b AS feature FROM pc WHERE abs(r) > 0.95", *FR, TWINS, "src AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ts, symbol) AS rn, count(*) OVER () AS nn FROM fx) WHERE rn <= floor(nn * 0.5))", _PAIRS7))
+def f5_correlated(s, d):
+    return S.correlated(_twins(s, d), FEATURES7)
+
+
+@query(q.with_("SELECT DISTINCT feature FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY t DESC, place) AS n FROM gr JOIN tg USING (feature)) WHERE n > 1", *FR, TWINS, "src AS (SELECT * FROM fx)", _PAIRS7,
+    "tg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(abs(corr({c}, y)), 0) AS t FROM src" for c in FEATURES7) + ")",
+    "gr AS (SELECT b AS head, a AS feature, ia AS place FROM pc WHERE abs(r) > 0.95 UNION SELECT b, b, -1 FROM pc WHERE abs(r) > 0.95)"))
+def f6_correlated_worse(s, d):
+    return S.correlated_worse(_twins(s, d), FEATURES7)
+
+
+@query(q.with_("SELECT feature FROM (SELECT feature, count(*) OVER () AS n FROM sh WHERE share > 0.01) WHERE n < 0.9 * 4", *FR, "sh AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg((abs({c} - m) / s > 3)::INT) AS share FROM fr, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM fr)" for c in FEATURES) + ")"))
+def f7_outlier_heavy(s, d):
+    return S.outlier_heavy(frame(s, d), FEATURES, 0.01, 0.9)
+
+
+@query(q.with_(f"SELECT symbol, {t_}, y FROM (SELECT symbol, ts, CAST(nullif(y, 1) IS NULL AS INT) AS y, volume_ok FROM (SELECT *, f4 > 2 AS volume_ok FROM fr)) WHERE volume_ok", *FR))
+def f2_labelled(s, d):
+    df = frame(s, d).withColumn("up_label", F.when(F.col("f4") > 2, F.col("y")))
+    return S.labelled(df, "up_label").select("symbol", T(), "y")
+
+
 @query(q.with_(
     " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg((abs({c} - m) / s > 3)::INT), 6) AS share FROM fr, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM fr)" for c in FEATURES), *FR))
 def f7_outlier_shares(s, d):
@@ -535,9 +649,10 @@ def f9_anova(s, d):
     return S.anova(frame(s, d), FEATURES).select("feature", F.round("f", 4).alias("f"))
 
 
-@query(q.with_(_each("round(abs(corr(#, y)), 6) AS r"), *FR))
+@query(q.with_(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(corr({c}, y)) * {w}, 6) AS r FROM fc" for c, w in (("f1", "1.2"), ("f2", "1"), ("close_gap", "1.4"))), *FR, "fc AS (SELECT *, f3 AS close_gap FROM fr)"))
 def f11_target_correlation(s, d):
-    return S.target_correlation(frame(s, d), FEATURES).select("feature", r6("r"))
+    df = frame(s, d).withColumnRenamed("f3", "close_gap")
+    return S.target_correlation(df, ["f1", "f2", "close_gap"], ("f1",), boost=True).select("feature", r6("r"))
 
 
 @query(q.with_("SELECT fold, role, count(*) AS n, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b FROM (SELECT *, CASE WHEN rn <= nn - (3 - fold) * (nn // 4) THEN 'train' WHEN rn <= nn - (3 - fold) * (nn // 4) + nn // 4 THEN 'test' END AS role FROM nm, (SELECT unnest([0, 1, 2]) AS fold)) WHERE role IS NOT NULL GROUP BY 1, 2", *FR, q.NUM))
@@ -575,17 +690,30 @@ def f23_economics(s, d):
     return e.select("symbol", r6("total"), r6("per_trade"), "trades", *[r6(c) for c in ("win_rate_rows", "win_rate", "sharpe", "profit_factor", "max_drawdown")])
 
 
-@query()
+MIP = ("lp AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, y, period FROM pp" for c in FEATURES) + ")",
+    "cp AS (SELECT feature, period, quantile_cont(x, [" + ", ".join(str(i / 8) for i in range(1, 8)) + "]) AS c FROM lp GROUP BY 1, 2)",
+    "bp AS (SELECT lp.feature, lp.period, y, (c[1] < x)::INT + (c[2] < x)::INT + (c[3] < x)::INT + (c[4] < x)::INT + (c[5] < x)::INT + (c[6] < x)::INT + (c[7] < x)::INT AS bin FROM lp JOIN cp ON cp.feature = lp.feature AND cp.period = lp.period)",
+    "np AS (SELECT feature, period, bin, y, count(*) AS n FROM bp GROUP BY 1, 2, 3, 4)",
+    """mp AS (SELECT feature, period, sum(n / t * ln(n * t / (b * c))) AS mi FROM (SELECT *, (sum(n) OVER (PARTITION BY feature, period))::DOUBLE AS t, sum(n) OVER (PARTITION BY feature, period, bin) AS b,
+ sum(n) OVER (PARTITION BY feature, period, y) AS c FROM np) GROUP BY 1, 2)""")
+
+
+@query(q.with_("SELECT feature, round(1 - stddev_pop(mi) / (avg(mi) + 1e-8), 6) AS stability, round(avg(mi), 6) AS mean_mi FROM mp GROUP BY 1", *FR, q.NUM, "pp AS (SELECT *, least((rn - 1) // (nn // 4), 3) AS period FROM nm)", *MIP))
 def f25_stability(s, d):
-    return S.stability(frame(s, d), FEATURES)
+    return S.stability(frame(s, d), FEATURES).select("feature", r6("stability"), r6("mean_mi"))
 
 
-@query()
+MI_SQL = "SELECT feature, sum(n / t * ln(n * t / (b * c))) AS s FROM (SELECT *, (sum(n) OVER (PARTITION BY feature))::DOUBLE AS t, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PARTITION BY feature, y) AS c FROM cn) GROUP BY 1"
+ANOVA_SQL = "SELECT feature, (sum(n * (m - mm) * (m - mm)) / (any_value(k) - 1)) / (sum(n * v) / (any_value(nn) - any_value(k))) AS s FROM (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS mm, sum(n) OVER w AS nn, count(*) OVER w AS k FROM (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM lg GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)) GROUP BY 1"
+
+
+@query(q.with_("SELECT feature, round(s / max(s) OVER (), 5) AS score FROM (SELECT feature, sum(s) AS s FROM (SELECT feature, s / max(s) OVER (PARTITION BY m) AS s FROM (SELECT 'a' AS m, * FROM mi1 UNION ALL SELECT 'b', * FROM an1)) GROUP BY 1) ORDER BY s DESC, feature LIMIT 3",
+    *FR, *MI, f"mi1 AS ({MI_SQL})", f"an1 AS ({ANOVA_SQL})"))
 def f12_f13_combined_top(s, d):
     df = frame(s, d)
     a = S.mutual_information(df, FEATURES).select(F.lit("mi").alias("method"), "feature", F.col("mi").alias("score"))
     b = S.anova(df, FEATURES).select(F.lit("anova").alias("method"), "feature", F.col("f").alias("score"))
-    return S.top_features(S.combine(a.union(b)), 3)
+    return S.top_features(S.combine(a.union(b)), 3).select("feature", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -594,8 +722,43 @@ def f10_importances(s, d):
 
 
 @query()
-def f19_model_zoo(s, d):
-    return S.rank_models(M.cross_validate(frame(s, d), FEATURES, ["logistic", "naive_bayes"], 2))
+def f14_genetic_selection(s, d):
+    chosen = M.genetic_selection(_framed(s, d), FEATURES, "lda", 2, population=6, generations=2, least=2)
+    return s.createDataFrame([(c,) for c in chosen], "feature string")
+
+
+@query()
+def f19_f21_model_zoo(s, d):
+    return S.rank_models(M.cross_validate(frame(s, d), FEATURES, [*M.ZOO, *M.CLOSED], 3))
+
+
+def _framed(s, d) -> DataFrame:
+    return frame(s, d).withColumn("ret", F.col("fwd"))
+
+
+@query()
+def f15_f17_agent_selection(s, d):
+    df, r = _framed(s, d), runs(s, d)
+    synergies = Y.synergies(r, 0.5)
+    chosen = A.synergy_selection(df, FEATURES, synergies, 3)
+    sure = A.selection_confidence(df, chosen, Y.regime_preferences(r), synergies)
+    return s.createDataFrame([(A.selection_method("pattern", len(FEATURES), "CRISIS"), chosen, float(sure))], "method string, features array<string>, confidence double")
+
+
+@query()
+def f27_research(s, d):
+    out = A.research(_framed(s, d), FEATURES, 3, ("logistic", "lda"), 2)
+    return out["models"].join(out["economics"], "model")
+
+
+@query()
+def f29_s12_compare_sets(s, d):
+    return A.compare_sets(_framed(s, d), {"price": ["f1", "f2", "f3"], "volume": ["f4"]}, ["lda", "ridge"], 3)
+
+
+@query(q.with_("SELECT symbol, count(*) AS n_rows, epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS b, arg_max(step, n * 1000000 - step) AS frequency FROM (SELECT *, count(*) OVER (PARTITION BY symbol, step) AS n FROM (SELECT symbol, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts))) / 1e6 AS step FROM bars)) GROUP BY 1", q.TICKS, q.BARS))
+def f30_dataset_summary(s, d):
+    return P.dataset_summary(bars(s, d)).select("symbol", "n_rows", F.unix_millis("first_ts").alias("a"), F.unix_millis("last_ts").alias("b"), "frequency")
 
 
 @query(q.with_(f"""SELECT symbol, round(vol, 6) AS volatility, round(tr, 6) AS trend, CASE WHEN vol > 0.4 THEN 'CRISIS' WHEN tr > 10 AND vol <= 0.25 THEN 'RECOVERY' WHEN tr > 5 THEN CASE WHEN vol > 0.25 THEN 'BULL_HIGH_VOL' ELSE 'BULL_LOW_VOL' END
@@ -610,24 +773,71 @@ PROFILE = (f"pf AS ({_prof})", """pg AS (SELECT event, count(*) AS n, sum(hit) A
 ph AS (SELECT event, n, events, frequency, CASE WHEN n < 10 OR events = 0 OR events = n THEN 0.5 ELSE 1 - least(tr / nullif(2 * events * (n - events) / n, 0), 1) END AS clustering FROM pg)""")
 
 
-@query(q.with_("SELECT event, n, events, round(frequency, 6) AS frequency, round(clustering, 6) AS clustering FROM ph", *EV, *PROFILE, recursive=True))
+@query(q.with_("SELECT event, n, events, round(frequency, 6) AS frequency, round(clustering, 6) AS clustering, 1.0::DOUBLE AS quality FROM ph", *EV, *PROFILE, recursive=True))
 def g2_g3_event_profile(s, d):
-    return P.event_profile(events(s, d), FLAGS).select("event", "n", "events", r6("frequency"), r6("clustering"))
+    return P.event_profile(events(s, d), FLAGS).select("event", "n", "events", r6("frequency"), r6("clustering"), "quality")
+
+
+@query(q.with_("SELECT event, unnest(['BULL_HIGH_VOL', 'BULL_LOW_VOL', 'BEAR_HIGH_VOL', 'BEAR_LOW_VOL', 'SIDEWAYS_HIGH_VOL', 'SIDEWAYS_LOW_VOL', 'CRISIS', 'RECOVERY']) AS regime, 0.125::DOUBLE AS share FROM ph", *EV, *PROFILE, recursive=True))
+def g4_regime_association(s, d):
+    return P.regime_association(P.event_profile(events(s, d), FLAGS))
+
+
+PROFILE2 = (PROFILE[0].replace(_prof, " UNION ALL ".join(f"SELECT '{c}' AS event, symbol, ts, {c}::INT AS hit FROM ev" for c in schema.EVENTS)), PROFILE[1])
 
 
-@query(q.with_("SELECT event, CASE WHEN contains(event, 'vol') THEN 'volatility' WHEN contains(event, 'momentum') THEN 'momentum' WHEN contains(event, 'outlier') THEN 'outlier' WHEN contains(event, 'cusum') THEN 'trend' WHEN contains(event, 'bb_') THEN 'band' WHEN frequency < 0.05 THEN 'rare' WHEN frequency > 0.3 THEN 'frequent' ELSE 'mixed' END AS kind FROM ph", *EV, *PROFILE, recursive=True))
+@query(q.with_("""SELECT event, CASE WHEN regexp_matches(event, 'break|burst|penetration|resistance|support') THEN 'breakout' WHEN regexp_matches(event, 'revert|return|bounce|correction') THEN 'mean_reversion' WHEN regexp_matches(event, 'momentum|trend|acceleration|velocity') THEN 'momentum'
+ WHEN regexp_matches(event, 'vol|volatility|variance|deviation') THEN 'volatility' WHEN regexp_matches(event, 'volume|liquidity|participation') THEN 'volume' WHEN regexp_matches(event, 'pattern|formation|signal|flag|triangle') THEN 'pattern'
+ WHEN frequency < 0.05 THEN 'breakout' WHEN frequency > 0.3 THEN 'momentum' ELSE 'mean_reversion' END AS kind FROM ph""", *EV, *PROFILE2, recursive=True))
 def g5_event_kind(s, d):
-    return P.event_kind(P.event_profile(events(s, d), FLAGS)).select("event", "kind")
+    return P.event_kind(P.event_profile(events(s, d), list(schema.EVENTS))).select("event", "kind")
+
+
+@query(q.with_("""SELECT event, round(priority, 6) AS priority, place, round((1 + (n - place + 1) / n) / sum(1 + (n - place + 1) / n) OVER (), 6) AS time_share FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, event) AS place, count(*) OVER () AS n
+ FROM (SELECT event, 0.4 * (1 - abs(frequency - 0.15)) + 0.3 + 0.3 * least(events / 100, 1) AS priority FROM ph))""", *EV, *PROFILE2, recursive=True))
+def g11_strategy(s, d):
+    return Y.strategy(P.event_profile(events(s, d), list(schema.EVENTS))).select("event", r6("priority"), "place", r6("time_share"))
+
+
+@query(q.with_("""SELECT event, round(0.5 * CASE WHEN frequency < 0.05 THEN 0.8 WHEN frequency > 0.4 THEN 0.9 ELSE 1 END, 6) AS confidence FROM ph""", *EV, *PROFILE2, recursive=True))
+def g12_reasoning(s, d):
+    rows = P.event_kind(P.event_profile(events(s, d), list(schema.EVENTS))).collect()  # one row an event
+    return s.createDataFrame([(r.event, round(A.reason(r.asDict(), r.kind, "BULL_LOW_VOL")["confidence"], 6)) for r in rows], "event string, confidence double")
 
 
 @query()
+def g13_g16_session(s, d):
+    df = _framed(s, d)
+    session = A.Session(s, "CRISIS", k=2, folds=2, seconds=600.0)
+    return session.run(["reversion_label"], lambda label: (df, FEATURES)).select("label", "model", "auc", "ret", "sharpe", "trades", "features")
+
+
+_lag1 = lambda c: f"""SELECT '{c}' AS feature, 1 AS lag, round((count(*) - 3) * power(pr, 2) / (1 - power(pr, 2)), 4) AS f FROM (SELECT *, (ryx - ryz * rxz) / sqrt((1 - ryz * ryz) * (1 - rxz * rxz)) AS pr FROM
+ (SELECT corr(y0, x1) OVER () AS ryx, corr(y0, y1) OVER () AS ryz, corr(x1, y1) OVER () AS rxz FROM (SELECT fwd AS y0, lag(fwd) OVER ({q.W}) AS y1, lag({c}) OVER ({q.W}) AS x1 FROM fr) WHERE y1 IS NOT NULL AND x1 IS NOT NULL)) GROUP BY pr"""
+
+
+@query(q.with_(" UNION ALL ".join(_lag1(c) for c in FEATURES), *FR))
 def k1_granger(s, d):
-    return K.granger(frame(s, d).withColumn("y", F.col("fwd")), ["f1", "f2"], max_lag=2)
+    """One lag: F is the partial correlation's, which SQL can give."""
+    return K.granger(frame(s, d), FEATURES, "fwd", max_lag=1).select("feature", "lag", F.round("f", 4).alias("f"))
+
+
+@query()
+def k1_granger_lags(s, d):
+    return K.granger(frame(s, d), FEATURES, "fwd", max_lag=5)
 
 
-@query(q.with_("SELECT feature, round(avg(abs(r)), 6) AS mean_abs, round(1 - stddev_pop(r), 6) AS stability FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, part, corr({c}, y) AS r FROM pt GROUP BY 2" for c in FEATURES) + ") GROUP BY 1", *FR, q.NUM, "pt AS (SELECT *, least((rn - 1) // (nn // 3), 2) AS part FROM nm)"))
+@query(q.with_("SELECT feature, round(m, 6) AS mean_r, round(st, 6) AS stability, st > 0.5 AND abs(m) > 0.05 AS structural FROM (SELECT feature, avg(r) AS m, greatest(0, 1 - stddev_pop(r)) AS st FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, part, corr({c}, y) AS r FROM pt GROUP BY 2" for c in FEATURES) + ") GROUP BY 1)", *FR, q.NUM, "pt AS (SELECT *, least((rn - 1) // (nn // 3), 2) AS part FROM nm)"))
 def k2_split_stability(s, d):
-    return K.split_stability(frame(s, d), FEATURES).select("feature", r6("mean_abs"), r6("stability"))
+    return K.split_stability(frame(s, d), FEATURES).select("feature", r6("mean_r"), r6("stability"), "structural")
+
+
+_ahead = ", ".join(f"lag({c}, {k}) OVER ({q.W}) AS {c}_{k}" for c in (*FEATURES, "fwd") for k in (1, 2, 3))
+
+
+@query(q.with_("SELECT feature, round(lead, 6) AS lead, round(lag, 6) AS lag, lead > lag AND lead > 0.05 AS ordered FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, greatest({', '.join(f'corr({c}_{k}, fwd)' for k in (1, 2, 3))}) AS lead, greatest({', '.join(f'abs(corr({c}, fwd_{k}))' for k in (1, 2, 3))}) AS lag FROM lg3" for c in FEATURES) + ")", *FR, f"lg3 AS (SELECT *, {_ahead} FROM fr)"))
+def k3_temporal_order(s, d):
+    return K.temporal(frame(s, d), FEATURES, "fwd", 3).select("feature", r6("lead"), r6("lag"), "ordered")
 
 
 @query(q.with_(" UNION ALL ".join(f"SELECT {k} AS shift, round(corr({'lag' if k >= 0 else 'lead'}_{abs(k)}, fwd), 6) AS r FROM lg2" for k in range(-3, 4)), *FR,
@@ -651,80 +861,158 @@ def k5_regime_stability(s, d):
     return K.regime_stability(K.regimes(bars(s, d)), "close", "volume").select("regime_name", "n", r6("r"), "stable")
 
 
-@query(q.with_(f"SELECT symbol, count(dd) AS n, round(avg((dd > 0.05)::INT), 6) AS share FROM (SELECT *, abs(c - lag(c) OVER ({q.W})) AS dd FROM (SELECT *, CASE WHEN count(close) OVER {q.rows(30)} = 30 THEN covar_pop(close, volume) OVER {q.rows(30)} / nullif(stddev_pop(close) OVER {q.rows(30)} * stddev_pop(volume) OVER {q.rows(30)}, 0) END AS c FROM bars)) GROUP BY 1", q.TICKS, q.BARS))
+@query(q.with_("SELECT symbol, count(*) AS rows, round(any_value(bound), 6) AS bound, sum((dd > bound)::INT)::BIGINT AS n_breaks, round(greatest(0, 1 - coalesce(sum((dd > bound)::INT), 0) / nullif(count(c), 0)), 6) AS stability, sum((dd > bound)::INT) > 0.15 * count(*) AS has_breaks FROM (SELECT *, quantile_cont(dd, 0.9) OVER (PARTITION BY symbol) AS bound FROM dd) GROUP BY 1",
+    q.TICKS, q.BARS, f"dd AS (SELECT *, abs(c - lag(c) OVER ({q.W})) AS dd FROM (SELECT *, CASE WHEN count(close) OVER {q.rows(30)} = 30 THEN covar_pop(close, volume) OVER {q.rows(30)} / nullif(stddev_pop(close) OVER {q.rows(30)} * stddev_pop(volume) OVER {q.rows(30)}, 0) END AS c FROM bars))"))
 def k6_breaks(s, d):
-    return K.breaks(bars(s, d), "close", "volume", 30, 0.05).select("symbol", "n", r6("share"))
-
-
-RUNS = """runs AS (SELECT i AS run_id, 'l' || (i % 5) AS label, CASE WHEN i % 3 = 0 THEN 'BULL' ELSE 'BEAR' END AS regime, 'm' || (i * 7 % 4) AS model, CAST(0.5 + (i * 37 % 100) / 400.0 AS DOUBLE) AS auc,
- CAST(0.4 + (i * 13 % 50) / 100.0 AS DOUBLE) AS f1, CAST(0.3 + (i * 11 % 40) / 100.0 AS DOUBLE) AS precision, CAST((i * 17 % 60) / 200.0 - 0.05 AS DOUBLE) AS ret, CAST((i * 19 % 30) / 10.0 AS DOUBLE) AS sharpe,
- CAST(0.45 + (i * 23 % 20) / 100.0 AS DOUBLE) AS win_rate, i * 29 % 25 AS trades, ARR AS features FROM range(200) t(i))"""
-_SETS = "'f' || (i % 6), 'f' || (i * 5 % 7), 'g' || (i % 4)"
-SQL_RUNS = RUNS.replace("ARR", f"[{_SETS}]")
-
-
-def runs(s: SparkSession) -> DataFrame:
-    """Two hundred made-up research runs, the same in both engines."""
-    return s.sql("WITH " + RUNS.replace("ARR", f"array({_SETS})").replace("range(200) t(i)", "(SELECT id AS i FROM range(200))") + " SELECT * FROM runs")
+    return K.breaks(bars(s, d), "close", "volume").select("symbol", "rows", r6("bound"), "n_breaks", r6("stability"), "has_breaks")
+
+
+RUN = ("rx AS (" + " UNION ALL ".join(f"SELECT symbol, ts, y, fwd, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, {i} AS nf FROM fr" for i, c in enumerate(FEATURES)) + ")",
+    "rp AS (SELECT *, epoch_us(date_trunc('day', ts)) // 86400000000 AS day, x > avg(x) OVER (PARTITION BY symbol, feature, date_trunc('day', ts)) AS pred FROM rx)",
+    "rr AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY symbol, feature, day, x) - 1) / 2 AS rk, CASE WHEN pred THEN fwd ELSE 0 END AS g FROM rp WINDOW w AS (PARTITION BY symbol, feature, day ORDER BY x))",
+    """rg AS (SELECT day * 1000 + CAST(substr(symbol, 2) AS BIGINT) * 10 + any_value(nf) AS run_id, symbol AS label, CASE WHEN avg(fwd) > 0 THEN 'BULL' ELSE 'BEAR' END AS regime, 'by_' || feature AS model, feature, day,
+ (sum(rk * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc, coalesce(sum(pred::INT * y) / nullif(sum(pred::INT), 0), 0) AS precision, coalesce(sum(pred::INT * y) / nullif(sum(y), 0), 0) AS recall,
+ sum(g) AS ret, coalesce(avg(g) / nullif(stddev_samp(g), 0) * sqrt(252), 0) AS sharpe, coalesce(sum((pred AND fwd > 0)::INT) / nullif(sum(pred::INT), 0), 0) AS win_rate, sum(pred::INT)::BIGINT AS trades, avg(x) AS mx FROM rr GROUP BY symbol, feature, day)""",
+    """runs AS (SELECT run_id, label, regime, model, auc, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, precision, ret, sharpe, win_rate, trades, list_distinct(list_concat([feature], coalesce(fs, []))) AS features
+ FROM rg LEFT JOIN (SELECT label, day, list(feature ORDER BY feature) AS fs FROM rg WHERE mx > 0 GROUP BY 1, 2) USING (label, day) WHERE auc IS NOT NULL)""")
+SQL_RUNS = (*FR, *RUN)
+
+
+def runs(s: SparkSession, d: str) -> DataFrame:
+    """A research run for each symbol, day and feature: the rows above the day's mean are called; metrics are the calls'."""
+    rows = S.long(frame(s, d), FEATURES, ("symbol", "ts", "y", "fwd")).withColumn("day", F.unix_date(F.to_date("ts")).cast("long"))
+    by = ["symbol", "feature", "day"]
+    rows = rows.withColumn("pred", F.col("x") > F.avg("x").over(Window.partitionBy(*by))).withColumn("g", F.when(F.col("pred"), F.col("fwd")).otherwise(0.0))
+    p = F.col("pred").cast("int")
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double")), F.lit(0.0))
+    g = rows.groupBy(*by).agg(
+        F.when(F.avg("fwd") > 0, "BULL").otherwise("BEAR").alias("regime"), ratio(p * F.col("y"), p).alias("precision"), ratio(p * F.col("y"), F.col("y")).alias("recall"), F.sum("g").alias("ret"),
+        F.coalesce(F.try_divide(F.avg("g"), F.nullif(F.stddev_samp("g"), F.lit(0.0))) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), ratio((F.col("pred") & (F.col("fwd") > 0)).cast("int"), p).alias("win_rate"), F.sum(p).alias("trades"), F.avg("x").alias("mx"),
+    )
+    used = g.where("mx > 0").groupBy("symbol", "day").agg(F.array_sort(F.collect_list("feature")).alias("fs"))
+    g = g.join(S.auc(rows, by, "x"), by).where("auc is not null").join(used, ["symbol", "day"], "left")
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(FEATURES) for x in (c, i)])[F.col("feature")]
+    return g.select(
+        (F.col("day") * 1000 + F.substring("symbol", 2, 9).cast("long") * 10 + number).alias("run_id"), F.col("symbol").alias("label"), "regime", F.concat(F.lit("by_"), "feature").alias("model"), "auc",
+        F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), "precision", "ret", "sharpe", "win_rate", "trades",
+        F.array_distinct(F.concat(F.array("feature"), F.coalesce("fs", F.array().cast("array<string>")))).alias("features"),
+    )
 
 
-WIN = "auc > 0.55 AND ret > 0.02 AND sharpe > 0.5 AND win_rate > 0.52"
+WIN = "auc >= 0.55 AND ret >= 0.02 AND sharpe >= 0.5 AND win_rate >= 0.52"
 
 
-@query(q.with_(f"SELECT run_id, {WIN} AS success FROM runs", SQL_RUNS))
+@query(q.with_(f"SELECT run_id, {WIN} AS success FROM runs", *SQL_RUNS))
 def g6_learn(s, d):
-    return Y.learn(runs(s)).select("run_id", "success")
+    return Y.learn(runs(s, d)).select("run_id", "success")
 
 
-@query(q.with_("SELECT a.f AS a, b.f AS b, count(*) AS n, round(avg(a.auc), 6) AS mean_auc FROM g a JOIN g b ON a.run_id = b.run_id AND a.f < b.f GROUP BY 1, 2 HAVING count(*) > 2", SQL_RUNS, "g AS (SELECT DISTINCT run_id, auc, unnest(features) AS f FROM runs WHERE auc > 0.6)"))
+@query(q.with_("SELECT a.f AS a, b.f AS b, count(*) AS n, round(avg(a.auc), 6) AS mean_auc FROM g a JOIN g b ON a.run_id = b.run_id AND a.f < b.f GROUP BY 1, 2 HAVING count(*) > 2", *SQL_RUNS, "g AS (SELECT DISTINCT run_id, auc, unnest(features) AS f FROM runs WHERE auc > 0.6)"))
 def g7_synergies(s, d):
-    return Y.synergies(runs(s)).select("a", "b", "n", r6("mean_auc"))
+    return Y.synergies(runs(s, d)).select("a", "b", "n", r6("mean_auc"))
 
 
-@query(q.with_("SELECT model, round(sum(w * auc) / sum(w), 6) AS score FROM (SELECT *, exp((count(*) OVER (PARTITION BY model) - age) / (count(*) OVER (PARTITION BY model) - 1)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY run_id DESC) AS age FROM runs) WHERE age <= 30) GROUP BY 1", SQL_RUNS))
+@query(q.with_("SELECT model, round(sum(w * auc) / sum(w), 6) AS score FROM (SELECT *, exp((count(*) OVER (PARTITION BY model) - age) / (count(*) OVER (PARTITION BY model) - 1)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY run_id DESC) AS age FROM runs) WHERE age <= 30) GROUP BY 1", *SQL_RUNS))
 def g8_model_scores(s, d):
-    return Y.model_scores(runs(s), 30).select("model", r6("score"))
+    return Y.model_scores(runs(s, d), 30).select("model", r6("score"))
 
 
-@query(q.with_(f"SELECT regime, feature, n, place FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY n DESC, feature) AS place FROM (SELECT regime, feature, count(*) AS n FROM (SELECT regime, unnest(features) AS feature FROM runs WHERE {WIN}) GROUP BY 1, 2)) WHERE place <= 3", SQL_RUNS))
+@query(q.with_(f"SELECT regime, feature, n, place FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY n DESC, feature) AS place FROM (SELECT regime, feature, count(*) AS n FROM (SELECT regime, unnest(features) AS feature FROM runs WHERE {WIN}) GROUP BY 1, 2)) WHERE place <= 3", *SQL_RUNS))
 def g9_preferred_features(s, d):
-    return Y.preferred_features(runs(s)).select("regime", "feature", "n", "place")
+    return Y.preferred_features(runs(s, d)).select("regime", "feature", "n", "place")
 
 
-@query(q.with_(f"SELECT DISTINCT label, model FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.label = r.label AND x.model = r.model AND NOT ({WIN}) AND x.run_id < 40)", SQL_RUNS))
+@query(q.with_(f"SELECT DISTINCT label, model FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.label = r.label AND x.model = r.model AND NOT ({WIN}) AND x.regime = 'BEAR')", *SQL_RUNS))
 def g10_untried(s, d):
-    return Y.untried(runs(s).select("label", "model").distinct(), runs(s).where("run_id < 40"))
+    return Y.untried(runs(s, d).select("label", "model").distinct(), runs(s, d).where("regime = 'BEAR'"))
 
 
-@query(q.with_("SELECT label, run_id, model, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, run_id) AS p FROM (SELECT *, (0.3 * auc + 0.4 * (ret + 1) + 0.2 * (sharpe + 1) + 0.1 * win_rate) * least(1.0, trades / 10) AS score FROM runs)) WHERE p = 1", SQL_RUNS))
+@query(q.with_("SELECT label, run_id, model, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, run_id) AS p FROM (SELECT *, (0.3 * auc + 0.4 * (ret + 1) + 0.2 * (sharpe + 1) + 0.1 * win_rate) * least(1.0, trades / 10) AS score FROM runs)) WHERE p = 1", *SQL_RUNS))
 def g14_best_models(s, d):
-    return Y.best_models(runs(s)).select("label", "run_id", "model", r6("score"))
+    return Y.best_models(runs(s, d)).select("label", "run_id", "model", r6("score"))
 
 
-@query(q.with_("SELECT model, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc, round(avg(ret), 6) AS mean_ret, round(avg(0.3 * ret + 0.25 * sharpe + 0.25 * win_rate + 0.2 * auc), 6) AS economic, arg_max(label, auc * 1000000 + run_id) AS best_label FROM runs GROUP BY 1", SQL_RUNS))
+@query(q.with_("SELECT model, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc, round(avg(ret), 6) AS mean_ret, round(avg(0.3 * ret + 0.25 * sharpe + 0.25 * win_rate + 0.2 * auc), 6) AS economic, arg_max(label, auc * 1000000 + run_id) AS best_label FROM runs GROUP BY 1", *SQL_RUNS))
 def g17_compare(s, d):
-    return Y.compare(runs(s)).select("model", "n", r6("mean_auc"), r6("std_auc"), r6("mean_ret"), r6("economic"), "best_label")
+    return Y.compare(runs(s, d)).select("model", "n", r6("mean_auc"), r6("std_auc"), r6("mean_ret"), r6("economic"), "best_label")
 
 
-@query(q.with_("SELECT feature, count(*) AS n FROM (SELECT unnest(features) AS feature FROM runs) GROUP BY 1 ORDER BY n DESC, feature LIMIT 5", SQL_RUNS))
+@query(q.with_("SELECT feature, count(*) AS n FROM (SELECT unnest(features) AS feature FROM runs) GROUP BY 1 ORDER BY n DESC, feature LIMIT 5", *SQL_RUNS))
 def f28_common_features(s, d):
-    return Y.common_features(runs(s), 5)
+    return Y.common_features(runs(s, d), 5)
 
 
-@query(q.with_("SELECT run_id, round(0.5 * auc + 0.3 * f1 + 0.2 * precision, 6) AS score FROM runs", SQL_RUNS))
+@query(q.with_("SELECT run_id, round(0.5 * auc + 0.3 * f1 + 0.2 * precision, 6) AS score FROM runs", *SQL_RUNS))
 def f26_rank_models(s, d):
-    return S.rank_models(runs(s)).select("run_id", r6("score"))
+    return S.rank_models(runs(s, d)).select("run_id", r6("score"))
 
 
-@query(q.with_("SELECT event, round(0.4 * 0.9 + 0.3 * (1 - least(abs(frequency - 0.15) / 0.15, 1)) + 0.3 * clustering, 6) AS priority FROM ph", *EV, *PROFILE, recursive=True))
-def g11_strategy(s, d):
-    return Y.strategy(P.event_profile(events(s, d), FLAGS).withColumn("quality", F.lit(0.9))).select("event", r6("priority"))
+@query(q.with_(f"SELECT regime, feature, count(*) * 0.1 AS preference FROM (SELECT regime, unnest(features) AS feature FROM runs WHERE {WIN}) GROUP BY 1, 2", *SQL_RUNS))
+def g6_regime_preferences(s, d):
+    return Y.regime_preferences(runs(s, d)).select("regime", "feature", r6("preference"))
 
 
-@query(q.with_("SELECT run_id, CASE WHEN win_rate - 0.44 < 0.05 THEN 'granger_causal' WHEN f1 > 0.7 THEN 'structural' WHEN ret > 0 THEN 'lead_lag' ELSE 'correlational' END AS relationship FROM runs", SQL_RUNS))
+@query()
+def g15_recommendations(s, d):
+    return s.createDataFrame([(i, t) for i, t in enumerate(A.recommendations(runs(s, d), "BULL_LOW_VOL"))], "place int, text string")
+
+
+TESTED = (*SQL_RUNS, "ts_ AS (SELECT run_id, label AS event, CASE model WHEN 'by_f1' THEN 'returns' WHEN 'by_f2' THEN 'price_momentum' WHEN 'by_f3' THEN 'price_deviation' ELSE 'volume' END AS feature, greatest(0, 2 * (auc - 0.5)) AS strength, auc > 0.6 AS causal, trades % 3 AS lag, f1 > 0.6 AS structural, ret AS total FROM runs)")
+
+
+def _tested(s, d) -> DataFrame:
+    """Runs as tests of relationships between a feature and a symbol's returns."""
+    name = F.when(F.col("model") == "by_f1", "returns").when(F.col("model") == "by_f2", "price_momentum").when(F.col("model") == "by_f3", "price_deviation").otherwise("volume")
+    return runs(s, d).select("run_id", F.col("label").alias("event"), name.alias("feature"), F.greatest(F.lit(0.0), 2 * (F.col("auc") - 0.5)).alias("strength"), (F.col("auc") > 0.6).alias("causal"), (F.col("trades") % 3).alias("lag"), (F.col("f1") > 0.6).alias("structural"), F.col("ret").alias("total"))
+
+
+MECH = "CASE WHEN feature = 'volume' THEN CASE WHEN lag <= 1 THEN 'order_flow_impact' ELSE 'information_asymmetry' END WHEN feature IN ('returns', 'price_momentum') THEN 'mean_reversion' ELSE 'information_asymmetry' END"
+
+
+@query(q.with_(f"SELECT run_id, CASE WHEN causal THEN CASE WHEN lag <= 1 THEN 'information_flow' ELSE 'granger_causal' END WHEN structural THEN 'structural_causal' ELSE 'granger_causal' END AS relationship, {MECH} AS mechanism FROM ts_", *TESTED))
 def k11_relationship(s, d):
-    r = runs(s).select("run_id", (F.col("win_rate") - 0.44).alias("granger_p"), F.col("f1").alias("stability"), F.col("ret").alias("lead"))
-    return K.relationship(r).select("run_id", "relationship")
+    r = K.relationship(_tested(s, d)).withColumn("mechanism", D.mechanism_of(F.col("feature"), F.col("event"), F.col("lag")))
+    return r.select("run_id", "relationship", "mechanism")
+
+
+@query(q.with_("""SELECT run_id, event, true AS plausible, round(CASE WHEN feature = 'price_deviation' THEN 0.5 WHEN event = 'price' AND feature = 'volume' THEN CASE WHEN strength < 0.16 THEN 0.2 ELSE least(1, strength / 0.8) END
+ WHEN event = 'price' AND feature IN ('returns', 'price_momentum') THEN 0.3 WHEN event = 'returns' AND feature IN ('returns', 'price_momentum') THEN CASE WHEN strength < 0.08 THEN 0.2 ELSE least(1, strength / 0.4) END
+ ELSE 0.3 END, 6) AS confidence FROM (SELECT run_id, feature, strength, CASE WHEN run_id % 2 = 0 THEN 'price' ELSE 'returns' END AS event FROM ts_)""", *TESTED))
+def k7_plausibility(s, d):
+    rows = _tested(s, d).withColumn("event", F.when(F.col("run_id") % 2 == 0, "price").otherwise("returns"))
+    return D.plausibility(rows, ["returns", "price_momentum", "price_deviation", "volume"], ["price", "returns"]).select("run_id", "event", "plausible", r6("confidence"))
+
+
+KNOWN = (*TESTED, f"kn AS (SELECT event, feature, {MECH} AS mechanism, strength, total FROM ts_ WHERE total > -0.05)")
+
+
+def _known(s, d) -> DataFrame:
+    t = _tested(s, d).withColumn("mechanism", D.mechanism_of(F.col("feature"), F.col("event"), F.col("lag")))
+    return t.where("total > -0.05").select("event", "feature", "mechanism", "strength", "total")
+
+
+@query(q.with_("SELECT event, n, dominant, round(ts2, 6) AS total_strength, round(mr, 6) AS mean_return, round(least(1, ts2 / n), 6) AS confidence FROM (SELECT event, sum(c)::BIGINT AS n, arg_max(mechanism, c * 1000 + ascii(mechanism)) AS dominant, sum(st) AS ts2, sum(tt) / sum(c) AS mr FROM (SELECT event, mechanism, count(*) AS c, sum(strength) AS st, sum(total) AS tt FROM kn GROUP BY 1, 2) GROUP BY 1)", *KNOWN))
+def k18_insight(s, d):
+    return D.insight(_known(s, d)).select("event", "n", "dominant", r6("total_strength"), r6("mean_return"), r6("confidence"))
+
+
+@query(q.with_("SELECT mechanism, round(avg(total), 6) AS mean_return, count(*) AS n FROM kn WHERE event = 'S1' AND strength >= 0.3 GROUP BY 1", *KNOWN))
+def k18_recall(s, d):
+    return D.preferred_mechanisms(D.recall_knowledge(_known(s, d), "S1")).select("mechanism", r6("mean_return"), "n")
+
+
+@query(q.with_("SELECT DISTINCT t.feature, t.event FROM ts_ t WHERE NOT EXISTS (SELECT 1 FROM ts_ x WHERE x.feature = t.feature AND x.event = t.event AND x.total < -0.2)", *TESTED))
+def k19_untested(s, d):
+    t = _tested(s, d)
+    return D.untested(t.select("feature", "event").distinct(), t.where("total < -0.2"))
+
+
+_AN = "count(*) AS n, round(avg(strength), 6) AS mean_strength, round(avg(total), 6) AS mean_return, sum((total > 0.01)::INT)::BIGINT AS profitable FROM kn"
+
+
+@query(q.with_(f"SELECT 'all' AS kind, 'all' AS name, {_AN} UNION ALL (SELECT 'mechanism', mechanism, {_AN} GROUP BY 2 ORDER BY count(*) DESC, mechanism LIMIT 5) UNION ALL (SELECT 'feature', feature, {_AN} GROUP BY 2 ORDER BY count(*) DESC, feature LIMIT 10)", *KNOWN))
+def k20_analysis(s, d):
+    return D.analysis(_known(s, d)).select("kind", "name", "n", r6("mean_strength"), r6("mean_return"), "profitable")
 
 
 @query(q.with_(f"SELECT symbol, {t_}, f1, y FROM (SELECT symbol, ts, round(coalesce(last_value(f1 IGNORE NULLS) OVER ({q.W} ROWS UNBOUNDED PRECEDING), first_value(f1 IGNORE NULLS) OVER ({q.W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS f1, y FROM (SELECT symbol, ts, {q.change()} AS f1, CAST(lead(close, 4) OVER ({q.W}) > close AS INT) AS y FROM bars)) WHERE f1 IS NOT NULL AND y IS NOT NULL", q.TICKS, q.BARS))
@@ -734,27 +1022,35 @@ def k17_clean(s, d):
     return K.clean(df, ["f1"], ["f1", "y"]).select("symbol", T(), r6("f1"), "y")
 
 
-@query(q.with_("SELECT symbol, count(*) AS n, sum(y)::BIGINT AS positive, round(avg(y), 6) AS rate FROM fr GROUP BY 1", *FR))
+@query(q.with_(" UNION ALL ".join(f"SELECT '{c}' AS label, count({c}) AS n, sum({c})::BIGINT AS positive, round(avg({c}), 6) AS rate, round(count({c}) / count(*), 6) AS completeness FROM lf" for c in ("up_label", "busy_label")), *FR, "lf AS (SELECT y AS up_label, CASE WHEN f4 > 2 THEN y END AS busy_label FROM fr)"))
 def k24_label_stats(s, d):
-    return frame(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("y").alias("positive"), r6(F.avg("y"), "rate"))
+    df = frame(s, d).select(F.col("y").alias("up_label"), F.when(F.col("f4") > 2, F.col("y")).alias("busy_label"))
+    return K.label_statistics(df, ["up_label", "busy_label"]).select("label", "n", "positive", r6("rate"), r6("completeness"))
 
 
 @query()
 def k9_k10_discover(s, d):
-    from tidemark.operators.discovery import discover
+    return D.discover(frame(s, d), FEATURES, "fwd", 2)
+
 
-    return discover(frame(s, d), FEATURES, "fwd", 2)
+@query()
+def k12_k15_combinations(s, d):
+    df = frame(s, d)
+    groups = [g for g in D.combinations_of(FEATURES, 2, 2) if len(g) == 2][:2]
+    return D.best_approach(D.discover(df, FEATURES, "fwd", 1), D.discover_combinations(df, groups, "lda", 2))
 
 
 @query()
 def k16_economic_validation(s, d):
-    from tidemark.operators.discovery import economic_validation
+    return D.economic_validation(_framed(s, d), ["f1", "f2"])
 
-    return economic_validation(frame(s, d).withColumn("ret", F.col("fwd")), "f2")
+
+@query()
+def k21_k22_investigation(s, d):
+    df = _framed(s, d)
+    return D.quick(s, ["momentum_event"], lambda event: (df, FEATURES))["known"]
 
 
 @query()
 def k23_out_of_sample(s, d):
-    from tidemark.operators.discovery import out_of_sample
-
-    return out_of_sample(frame(s, d), ["f1"], "2024-01-20", "fwd", 1)
+    return D.out_of_sample(frame(s, d), ["f1", "f2"], "2024-01-20", "fwd", 1)

@@ -29,7 +29,7 @@ DEFAULTS: dict[str, Any] = {
     "events": {"corr": 0.7, "breakout": 2.0, "lookback": 100, "outlier": 2.5, "momentum": 0.3},
     "covents": {"window": 2, "max": 50},
     "periods": {"intraday": {"short": 12, "medium": 26, "long": 50}, "hourly": {"short": 6, "medium": 24, "long": 72}, "daily": {"short": 5, "medium": 20, "long": 50}},
-    "barriers": {"vol_mult": 2.0, "stop_mult": 1.2, "holding_days": 1.0, "min_rr": 1.5, "volume": True, "regime": True},
+    "barriers": {"vol_mult": 2.0, "stop_mult": 1.2, "holding_days": 1.0, "min_rr": 1.5, "volume": True, "regime": True, "theory": True, "profit_take": 0.02, "stop_loss": 0.015},
     "costs": {"fee": 0.0026, "spread": 0.0005, "slippage": 0.0003, "funding": 0.00005, "multiplier": 2.5},
 }
 

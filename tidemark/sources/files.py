@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +31,29 @@ def read_klines(spark: SparkSession, path: str, symbol: str = "SYM") -> DataFram
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None, order: str = "ts") -> DataFrame:
-    """A table by its suffix: parquet, csv (with header) or json; `limit` keeps the first rows by `order`."""
-    if path.endswith(".parquet"):
-        df = spark.read.parquet(path)
-    elif path.endswith(".csv"):
-        df = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
-    elif path.endswith(".json"):
-        df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
-    else:
+    """A table by its suffix: parquet, csv (with header), json, or a workbook where its reader is installed.
+
+    `limit` keeps the first rows by `order` (a top-k: no full sort). Other suffixes are a ValueError,
+    pickles too, as reading one runs its code; a path that isn't there is a FileNotFoundError.
+    """
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind not in ("parquet", "csv", "json", "xlsx", "xls"):
         raise ValueError(f"unsupported file type: {path}")
+    try:
+        if kind == "parquet":
+            df = spark.read.parquet(path)
+        elif kind == "csv":
+            df = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
+        elif kind == "json":
+            df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+        else:
+            import pandas as pd
+
+            df = spark.createDataFrame(pd.read_excel(path))  # a workbook is a small file of one machine
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
     return df if limit is None else df.orderBy(order).limit(limit)
 
 
@@ -50,8 +67,26 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str
         w.parquet(path)
 
 
+def stamped(path: str, stem: str) -> str:
+    """A name under path that carries the time, for results that must not replace each other."""
+    return f"{path.rstrip('/')}/{stem}_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}"
+
+
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the newest JSON file under path."""
-    df = spark.read.json(path).withColumn("_at", F.col("_metadata.file_modification_time"))
-    last = df.agg(F.max("_at")).first()[0]
-    return df.where(F.col("_at") == F.lit(last)).drop("_at")
+    """The rows of the newest JSON file under path; only that file is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+    last = files.orderBy(F.desc("modificationTime"), F.desc("path")).first()
+    if last is None:
+        raise FileNotFoundError(path)
+    return spark.read.json(last.path)
+
+
+def save_model_sets(sets: dict[str, DataFrame], path: str) -> None:
+    """One JSON table of metrics for each label."""
+    for label, metrics in sets.items():
+        save(metrics.withColumn("label", F.lit(label)), f"{path.rstrip('/')}/label={label}", "json")
+
+
+def compare_model_sets(spark: SparkSession, path: str) -> DataFrame:
+    """The saved sets' metrics, the best model of each label first."""
+    return spark.read.json(f"{path.rstrip('/')}/*").orderBy("label", F.desc("auc"), "model")
