@@ -15,16 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure a checkpoint folder is set: the session's own, else (tests) a local one."""
+    """Make sure a checkpoint folder is set: the session's own; one of this machine only where all tasks run in this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-cp-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if given is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tidemark-cp-"))
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished stages now, not at its next timer."""
+    """Ask for a collection of unreachable DataFrames, so that Spark's cleaner drops the shuffle files of finished
+    stages now and not at its next timer. It frees disk only; nothing depends on it."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ are cut into bands of e + 1; each hit counts for two overlapping bands, so one b
 region's hits. Bands that reach the bound are aligned with the passage, within the band widened by
 e on each side; those within e edits are matches.
 
+A lemma for e edits needs q-grams of at most m / (e + 1) characters, so shorter passages use shorter
+q-grams: passages are indexed in groups of one q, and none is left out or compared with fewer edits.
+
 Characters are the UTF-8 bytes of the text, A-Z lower-cased, ASCII white space as a space. The
 passages' q-grams are broadcast in blocks of at most `block_bytes` of passage text, one pass over the
 documents for each block; documents are never shuffled for the search.
@@ -13,6 +16,7 @@ documents for each block; documents are never shuffled for the search.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +36,7 @@ HITS = 1 << 22
 class Index:
     """Passages and their q-grams: sorted distinct hashes, and where each occurs."""
 
+    q: int
     ids: np.ndarray
     text: list[np.ndarray]
     edits: np.ndarray
@@ -43,25 +48,28 @@ class Index:
     seen: np.ndarray
 
 
-def index(ids: np.ndarray, passages: list[str], q: int, rate: float) -> Index:
-    """Passages shorter than q characters can't be found by q-grams and are left out."""
+def index(ids: np.ndarray, passages: list[str], q: int, rate: float) -> list[Index]:
+    """The passages in groups of equal q-gram length: q, or less where their length and edits ask for it."""
     text = [FOLD[np.frombuffer(p.encode(), np.uint8)] for p in passages]
-    use = [i for i, t in enumerate(text) if len(t) >= q]
-    ids, text = ids[use], [text[i] for i in use]
     m = np.array([len(t) for t in text], np.int64)
-    edits = np.minimum((m * rate).astype(np.int64), (m - q) // q) if len(m) else m
-    hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, t in enumerate(text):
-        g = K.windows(K.prefix(K.BYTE_VALUES[t]), q)
-        hashes.append(g)
-        item.append(np.full(len(g), i))
-        place.append(np.arange(len(g)))
-    h, item, place = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
-    order = np.argsort(h, kind="stable")
-    grams, begin = np.unique(h[order], return_index=True)
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    seen[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(ids, text, edits, m - q + 1 - q * edits, grams, np.append(begin, len(h)), item[order], place[order], seen)
+    edits = (m * rate).astype(np.int64)
+    own = np.minimum(q, m // (edits + 1))
+    out = []
+    for k in np.unique(own).tolist():
+        use = np.flatnonzero(own == k)
+        hashes, item, place = [], [], []
+        for j, i in enumerate(use.tolist()):
+            g = K.windows(K.prefix(K.BYTE_VALUES[text[i]]), k)
+            hashes.append(g)
+            item.append(np.full(len(g), j))
+            place.append(np.arange(len(g)))
+        h, item, place = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
+        order = np.argsort(h, kind="stable")
+        grams, begin = np.unique(h[order], return_index=True)
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        seen[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        out.append(Index(k, ids[use], [text[i] for i in use], edits[use], m[use] - k + 1 - k * edits[use], grams, np.append(begin, len(h)), item[order], place[order], seen))
+    return out
 
 
 def align(item: np.ndarray, m: np.ndarray, region: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +88,9 @@ def align(item: np.ndarray, m: np.ndarray, region: np.ndarray, width: int) -> tu
     return row[np.arange(len(m)), at], at
 
 
-def _bands(x: Index, data: np.ndarray, off: np.ndarray, q: int) -> np.ndarray:
+def _bands(x: Index, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(row, item, band) triples that reach the lemma's bound."""
+    q = x.q
     g = K.windows(K.prefix(K.BYTE_VALUES[data]), q)
     at = np.flatnonzero(x.seen[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     u = K.find(x.grams, g[at])
@@ -116,36 +125,38 @@ def _bands(x: Index, data: np.ndarray, off: np.ndarray, q: int) -> np.ndarray:
     return np.stack([pair // max(1, len(x.ids)), pair % max(1, len(x.ids)), band], 1) if len(pair) else np.zeros((0, 3), np.int64)
 
 
-def _search(shared, q: int):
+def _aligned(x: Index, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of the bands that hold the item within its edits."""
+    found = _bands(x, data, off)
+    for at in range(0, len(found), 256):
+        part = found[at : at + 256]
+        e = x.edits[part[:, 1]]
+        m = np.array([len(x.text[i]) for i in part[:, 1]])
+        first = part[:, 2] * (e + 1) - e
+        width = int((4 * e + 2).max())
+        item = np.zeros((len(part), m.max()), np.uint8)
+        region = np.zeros((len(part), m.max() + width), np.uint8)
+        for j, (r, i, _) in enumerate(part):
+            item[j, : m[j]] = x.text[i]
+            lo, hi = off[r] + first[j], min(off[r] + first[j] + m[j] + width, off[r + 1])
+            skip = max(0, -int(first[j]))
+            piece = data[lo + skip : hi]
+            region[j, skip : skip + len(piece)] = piece
+        edits, diagonal = align(item, m, region, width)
+        for j in np.flatnonzero(edits <= e):
+            end = int(first[j] + diagonal[j] + m[j])
+            yield int(part[j, 0]), int(x.ids[part[j, 1]]), max(0, end - int(m[j])), end, int(edits[j])
+
+
+def _search(shared):
     def run(batches):
-        x = shared.value
         for batch, raw, off in K.chunks(batches):
             data = FOLD[raw]
-            found = _bands(x, data, off, q) if len(x.ids) else np.zeros((0, 3), np.int64)
-            hits = []
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                e = x.edits[part[:, 1]]
-                m = np.array([len(x.text[i]) for i in part[:, 1]])
-                first = part[:, 2] * (e + 1) - e
-                width = int((4 * e + 2).max())
-                item = np.zeros((len(part), m.max()), np.uint8)
-                region = np.zeros((len(part), m.max() + width), np.uint8)
-                for j, (r, i, _) in enumerate(part):
-                    item[j, : m[j]] = x.text[i]
-                    lo, hi = off[r] + first[j], min(off[r] + first[j] + m[j] + width, off[r + 1])
-                    skip = max(0, -int(first[j]))
-                    piece = data[lo + skip : hi]
-                    region[j, skip : skip + len(piece)] = piece
-                edits, diagonal = align(item, m, region, width)
-                for j in np.flatnonzero(edits <= e):
-                    end = int(first[j] + diagonal[j] + m[j])
-                    hits.append((int(part[j, 0]), int(part[j, 1]), max(0, end - int(m[j])), end, int(edits[j])))
-            hits.sort()
+            hits = sorted(h for x in shared.value for h in _aligned(x, data, off))
             if hits:
                 r, i, s, t, d = zip(*hits)
                 yield pa.record_batch({
-                    "doc_id": batch.column("doc_id").take(pa.array(r)), "item_id": pa.array(x.ids[list(i)]),
+                    "doc_id": batch.column("doc_id").take(pa.array(r)), "item_id": pa.array(i, pa.int64()),
                     "start": pa.array(s, pa.int64()), "end": pa.array(t, pa.int64()), "edits": pa.array(d, pa.int32()),
                 })
 
@@ -163,7 +174,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: f
         t = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
         x = index(t.column("item_id").to_numpy(), t.column("text").to_pylist(), q, max_edit_rate)
         shared = docs.sparkSession.sparkContext.broadcast(x)
-        part = docs.mapInArrow(_search(shared, q), "doc_id long, item_id long, start long, end long, edits int")
+        part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, start long, end long, edits int")
         out = part if out is None else out.union(part)
     return out
 
@@ -171,10 +182,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: f
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_items (passages found in it), items (their sorted ids), contaminated.
 
-    A passage is found where a region is within floor(max_edit_rate * its length) edits of it, or as
-    many as the lemma can tell ((m - q) / q). Passages under q characters are not looked for. Null and
-    empty texts, and an empty benchmark, give no match. Repeated passages are found each; repeated
-    rows share their id's matches. Other columns are not read.
+    A passage of any length is found where a region is within floor(max_edit_rate * its length) edits of
+    it. Null and empty texts, null and empty passages, and an empty benchmark, give no match. Repeated
+    passages are found each, equally near regions each too; repeated rows share their id's matches, and a
+    null id has none. Texts are searched whole, a text longer than a chunk as a chunk of its own. Other
+    columns are not read.
     """
     found = common.cut(matches(docs, benchmark, q, max_edit_rate, id_col=id_col, text_col=text_col).select("doc_id", "item_id").distinct())
     found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))

@@ -15,7 +15,10 @@
 5. Components of all confirmed links.
 
 A pair inside one component needs no test, since only components are asked for; so a group of m
-copies costs m pairs, not m * m, and no link between components is left out.
+copies costs m pairs, not m * m. Between components every pair that shares a band is decided. What can
+be missed is a pair at the threshold that shares no band (with 24 bands of 6, about one in 86 000 at a
+similarity of 0.85, one in 1 500 at 0.8) or that four standard deviations of the signature cut away,
+and only if no chain of other links joins it. Sets are equal classes by their size and two 64-bit sums.
 """
 
 from __future__ import annotations
@@ -184,7 +187,8 @@ def minhash_dedup(
     than a shingle has its whole word sequence as its only shingle; one without words (null and
     empty texts) has none, links with nothing and is kept. Repeated rows are copies of each other;
     they share an id, so each of them is returned with the same values. A null id is its own
-    component. Other columns are not read. An empty table gives an empty result.
+    component. Ties do not arise: the smallest id stays. Texts of any length are read whole. Other columns
+    are not read. An empty table gives an empty result.
     """
     share = Fraction(similarity)
     slack = 4 * (float(share * (1 - share)) / (bands * rows)) ** 0.5

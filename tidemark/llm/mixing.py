@@ -5,11 +5,16 @@ until their marginals meet the targets, and each document gets the probability
 min(1, level * weight of its cell / tokens of its cell), the level being set so that the expected
 tokens are the wanted share of all. A document is kept if a uniform hash of its id is below it.
 
-The topic is a sketch of the words: each word's hash votes with signs for `topics` topics, the topic
-with the most votes wins. Cells stay a DataFrame throughout: each raking step is a sum by one
-dimension (partial sums in the map tasks) and a join with those sums, which Spark broadcasts only
-below its own size limit. Up to `local_cells` cells, a checked number, the same steps run on arrays
-of the driver instead. The level comes from a histogram of at most a few thousand bins.
+Topics are the nearest of `topics` centroids of the documents' words. A document is a vector of `WIDE`
+signed sums of its words' hashes, each word weighing the logarithm of its count, less the mean of its
+language (so that topics tell contents apart, not languages), scaled to length one. The centroids are
+learned over all documents by spherical k-means: each round is one pass over the stored vectors that
+sums them by topic in the map tasks. They start from documents of a fixed hash order, each the farthest
+from those before it, of at most `SEEDS`.
+
+Cells stay a DataFrame throughout: each raking step is a sum by one dimension (partial sums in the map
+tasks) and a join with those sums, which Spark broadcasts only below its own size limit. The level
+comes from a histogram of at most a few thousand bins.
 """
 
 from __future__ import annotations
@@ -25,22 +30,89 @@ DIMS = ("source", "lang", "topic")
 BINS = 64  # per power of two
 
 
-def _counted(topics: int):
+WIDE, SEEDS = 64, 512
+
+
+def _counted(batches):
+    for batch, data, off in K.chunks(batches):
+        low = K.LOWER[data]
+        s, e, first = K.words(low, off)
+        h = K.word_hashes(low, s, e)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        key = np.stack([row.astype(np.uint64), h], 1)
+        vec = np.zeros((batch.num_rows, WIDE))
+        if len(key):
+            order = np.lexsort((h, row))
+            new = np.append(True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1]))
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(order)))
+            w, r = h[order][at], row[order][at]
+            slot = ((w >> np.uint64(8)) % np.uint64(WIDE)).astype(np.int64)
+            np.add.at(vec, (r, slot), np.where(w & np.uint64(1), 1.0, -1.0) * np.log1p(count))
+            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
+        yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "source", "lang")} | {"n_tokens": pa.array(np.diff(first).astype(np.int64)), "vec": pa.array([v.astype(np.float32).tobytes() for v in vec], pa.binary())})
+
+
+def _vectors(batch: pa.RecordBatch, mean: dict[str, np.ndarray]) -> np.ndarray:
+    x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, WIDE).astype(float)
+    x = x - np.stack([mean.get(v, np.zeros(WIDE)) for v in batch.column("lang").to_pylist()])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _summed(shared, by_topic: bool):
+    """Sums of the vectors by language, or by nearest centroid: one row for each key and batch."""
+
     def run(batches):
-        for batch, data, off in K.chunks(batches):
-            low = K.LOWER[data]
-            s, e, first = K.words(low, off)
-            h = K.word_hashes(low, s, e)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            votes = np.zeros((topics, batch.num_rows))
-            for t in range(topics):
-                votes[t] = np.bincount(row, ((h >> np.uint64(t % 64)) & np.uint64(1)).astype(float) * 2 - 1, batch.num_rows)
-            topic = np.where(np.diff(first) > 0, votes.argmax(axis=0), -1)
-            yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "source", "lang")} | {"topic": pa.array(topic.astype(np.int32)), "n_tokens": pa.array(np.diff(first).astype(np.int64))})
+        mean, centres = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _vectors(b, mean)
+            keys = np.array([str(k) for k in (x @ centres.T).argmax(axis=1)] if by_topic else b.column("lang").to_pylist())
+            for k in np.unique(keys):
+                mine = keys == k
+                yield pa.record_batch({"key": pa.array([k]), "n": pa.array([int(mine.sum())]), "total": pa.array([x[mine].sum(axis=0).tolist()], pa.list_(pa.float64()))})
 
     return run
 
 
+def _totals(rows: DataFrame, shared, by_topic: bool) -> dict[str, np.ndarray]:
+    """Per key the mean of the vectors, summed in double precision in a fixed order of keys."""
+    parts = rows.mapInArrow(_summed(shared, by_topic), "key string, n long, total array<double>")
+    sums = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(WIDE)])
+    return {r.key: np.array([r[f"t{i}"] for i in range(WIDE)]) / r.n for r in sums.collect()}  # languages or topics: few keys
+
+
+def _assigned(shared):
+    def run(batches):
+        mean, centres = shared.value
+        for b in batches:
+            topic = (np.round(_vectors(b, mean) @ centres.T, 9)).argmax(axis=1) if b.num_rows else np.zeros(0, int)
+            topic = np.where(b.column("n_tokens").to_numpy() > 0, topic, -1)
+            yield pa.record_batch({c: b.column(c) for c in ("doc_id", "source", "lang")} | {"topic": pa.array(topic.astype(np.int32)), "n_tokens": b.column("n_tokens")})
+
+    return run
+
+
+def with_topics(rows: DataFrame, topics: int, rounds: int = 3) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of rows (doc_id, text, source, lang); -1 for texts without words."""
+    sc = rows.sparkSession.sparkContext
+    rows = common.store(rows.mapInArrow(_counted, "doc_id long, source string, lang string, n_tokens long, vec binary"))
+    full = rows.where("n_tokens > 0")
+    none = np.zeros((1, WIDE))
+    mean = _totals(full, sc.broadcast(({}, none)), False)
+    seeds = full.orderBy(F.xxhash64(F.lit("seed"), "vec"), "doc_id").select("vec", "lang").limit(SEEDS).toArrow()
+    x = _vectors(seeds.combine_chunks().to_batches()[0], mean) if seeds.num_rows else none
+    centres = [x[0]]
+    while len(centres) < topics:
+        centres.append(x[np.round(np.max(x @ np.stack(centres).T, axis=1), 9).argmin()])
+    centres = np.stack(centres)
+    for _ in range(rounds):
+        new = _totals(full, sc.broadcast((mean, centres)), True)
+        centres = np.stack([new[str(i)] / max(np.linalg.norm(new[str(i)]), 1e-12) if str(i) in new else c for i, c in enumerate(centres)])
+    return rows.mapInArrow(_assigned(sc.broadcast((mean, centres))), "doc_id long, source string, lang string, topic int, n_tokens long")
+
+
 def targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
     """For each dimension (value, share): its token shares raised to a power, and scaled to one."""
     out = {}
@@ -51,32 +123,12 @@ def targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
     return out
 
 
-def _rake_arrays(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
-    """As the loop of `rake`, for few cells."""
-    pdf = cells.toPandas()
-    shares = {d: {r.value: r.share for r in wanted[d].collect()} for d in DIMS}
-    codes = {d: pdf[d].factorize() for d in DIMS}
-    goal = {d: np.array([shares[d].get(v, 0.0) or 0.0 for v in codes[d][1]]) for d in DIMS}
-    w = pdf["weight"].to_numpy(float).copy()
-    for _ in range(sweeps):
-        for d in DIMS:
-            code = codes[d][0]
-            have = np.bincount(code, w, len(goal[d]))
-            w *= np.where(have > 0, goal[d] / np.where(have > 0, have, 1), 0.0)[code]
-        if max((np.abs(np.bincount(codes[d][0], w, len(goal[d])) - goal[d]).max() for d in DIMS), default=0) < tolerance:
-            break
-    pdf["weight"] = w
-    return cells.sparkSession.createDataFrame(pdf, cells.schema)
-
-
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = 60, tolerance: float = 1e-6, local_cells: int = 200_000) -> DataFrame:
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """Cells with `weight`, their share of the mixture: all marginals within `tolerance` of the wanted ones, or after `sweeps`."""
     total, many = cells.agg(F.sum("tokens"), F.count("*")).first()
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     if many == 0:
         return cells
-    if many <= local_cells:
-        return _rake_arrays(cells, wanted, sweeps, tolerance)
     goal = {d: wanted[d].withColumnRenamed("value", d) for d in DIMS}
     for _ in range(sweeps):
         for d in DIMS:
@@ -84,8 +136,9 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = 60, toler
             have = have.select(d, F.coalesce(F.try_divide("share", "have"), F.lit(0.0)).alias("factor"))
             cells = cells.join(have, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         cells = common.cut(cells)
-        gaps = [cells.groupBy(F.col(d).cast("string")).agg((F.sum("weight") - F.coalesce(F.first("share"), F.lit(0.0))).alias("gap")) for d, cells in ((d, cells.join(goal[d], d, "left")) for d in DIMS)]
-        if gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max(F.abs("gap"))).first()[0] < tolerance:
+        # the last dimension was met just now
+        gaps = [cells.groupBy(d).agg(F.sum("weight").alias("have")).join(goal[d], d, "left").select((F.col("have") - F.coalesce("share", F.lit(0.0))).alias("gap")) for d in DIMS[:-1]]
+        if gaps[0].union(gaps[1]).agg(F.max(F.abs("gap"))).first()[0] < tolerance:
             break
     return cells
 
@@ -113,11 +166,12 @@ def mix(
     dimension's `wanted` table (value, share) replaces them. Null sources and languages are the value
     ''. Texts without words (null, empty) have topic -1 and no tokens and are not sampled. A dimension
     value without a wanted share gets none. Repeated rows share an id and its decision. A null id
-    counts as one id. Other columns are not read. An empty table gives an empty result.
+    counts as one id. Of equally near topics the first is taken. Texts of any length are read whole.
+    Other columns are not read. An empty table gives an empty result.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"), text(source_col).alias("source"), text(lang_col).alias("lang"))
-    rows = common.store(rows.mapInArrow(_counted(topics), "doc_id long, source string, lang string, topic int, n_tokens long"))
+    rows = common.store(with_topics(rows, topics))
     cells = common.cut(rows.where("n_tokens > 0").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")))
     goal = targets(cells, {"source": 0.7, "lang": 0.8, "topic": 0.5} | (powers or {})) | (wanted or {})
     cells = rake(cells, goal)

@@ -6,7 +6,8 @@ digit, each punctuation mark, and whether the word equals the one before). A fea
 square root of its share of the text's words, so long and short texts compare.
 
 Training runs follow-the-regularised-leader on a fixed number of shards of a bounded sample at once
-and averages the shards' weights after each epoch; each shard is bounded by the sample's bound. The
+and averages the shards' weights and squared gradients after each epoch, from which the next one goes
+on; each shard is bounded by the sample's bound. The
 weights are a fixed 2**bits floats, so broadcasting them is bounded at any input size. Scoring is
 one sparse dot product per text in the scan's own tasks: no shuffle.
 """
@@ -76,29 +77,33 @@ def _training_rows(bits: int):
     return run
 
 
-def _ftrl(weights: np.ndarray, alpha: float, beta: float, l1: float, l2: float, weight_of: dict[int, float]):
-    """One epoch over a shard's rows, from the averaged weights; returns the shard's new weights."""
+def _ftrl(weights: np.ndarray, seen: np.ndarray, alpha: float, beta: float, l1: np.ndarray, l2: float, weight_of: dict[int, float]):
+    """One epoch over a shard's rows, from the averaged weights and squared gradients; returns the shard's own.
+
+    The last weight is the intercept: a feature of value 1 without l1.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("order")
-        n = np.full(len(weights), 1.0)
-        z = -weights * ((beta + 1.0) / alpha + l2) - np.sign(weights) * l1
-        bias, gain = 0.0, 0.05
-        bias = float(weights[-1])
+        rows = rows.sort_values(["order", "doc_id"])
+        n = seen.copy()
+        z = -weights * ((beta + np.sqrt(n)) / alpha + l2) - np.sign(weights) * l1
+        one = np.array([len(weights) - 1])
+
+        def value(slot, zi, ni):
+            return np.where(np.abs(zi) <= l1[slot], 0.0, -(zi - np.sign(zi) * l1[slot]) / ((beta + np.sqrt(ni)) / alpha + l2))
+
         for slot, x, y in zip(rows["slot"], rows["x"], rows["y"]):
+            slot, x = np.append(slot, one), np.append(x, 1.0)
             zi, ni = z[slot], n[slot]
-            w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(w @ x + bias, -30, 30)))
-            err = (p - y) * weight_of[int(y)]
-            g = err * x
+            w = value(slot, zi, ni)
+            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+            g = (p - y) * weight_of[int(y)] * x
             grown = ni + g * g
             z[slot] = zi + g - (np.sqrt(grown) - np.sqrt(ni)) / alpha * w
             n[slot] = grown
-            bias -= gain * err
-        w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-        w[-1] = bias
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": at.astype(np.int64), "w": w[at]})
+        w = value(slice(None), z, n)
+        at = np.flatnonzero((w != 0) | (n != seen))
+        return pd.DataFrame({"slot": at.astype(np.int64), "w": w[at], "n": n[at] - seen[at]})
 
     return run
 
@@ -109,14 +114,19 @@ def train(rows: DataFrame, bits: int = 18, shards: int = 8, epochs: int = 3, alp
     ready = rows.select("doc_id", "text", "y", shard.alias("shard")).mapInArrow(_training_rows(bits), "doc_id long, y int, shard int, slot array<int>, x array<float>")
     ready = common.store(ready.withColumn("order", F.xxhash64(F.lit("order"), "doc_id")))
     count = {r.y: r.n for r in ready.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    used = max(1, ready.select("shard").distinct().count())  # a shard without rows has no say in the averages
     total = sum(count.values())
     weight_of = {y: (total / (len(count) * n)) ** 0.5 for y, n in count.items()}
-    w = np.zeros((1 << bits) + 1)
+    size = (1 << bits) + 1
+    w, n, sparse = np.zeros(size), np.ones(size), np.full(size, l1)
+    sparse[-1] = 0.0
     for _ in range(epochs):
-        parts = ready.groupBy("shard").applyInPandas(_ftrl(w, alpha, beta, l1, l2, weight_of), "slot long, w double")
-        t = parts.groupBy("slot").agg((F.sum("w") / shards).alias("w")).toArrow()
-        w = np.zeros_like(w)
-        w[t.column("slot").to_numpy()] = t.column("w").to_numpy()
+        parts = ready.groupBy("shard").applyInPandas(_ftrl(w, n, alpha, beta, sparse, l2, weight_of), "slot long, w double, n double")
+        t = parts.groupBy("slot").agg((F.sum("w") / used).alias("w"), (F.sum("n") / used).alias("n")).toArrow()
+        at = t.column("slot").to_numpy()
+        w = np.zeros(size)
+        w[at] = t.column("w").to_numpy()
+        n[at] += t.column("n").to_numpy()
     return w
 
 
@@ -140,7 +150,8 @@ def quality(
     Learns only from labelled rows that are not held out, about max_rows_per_class of each class (a
     documented bound; picked by a hash of the id). Scores whole texts of all rows. Null and empty
     texts have no features and score by the intercept. Null labels are not learned from; without
-    labels of both classes every score is 0.5. Repeated rows score alike. Other columns are not read.
+    labels of both classes every score is 0.5. Repeated rows score alike. Texts of any length are scored
+    whole. Other columns are not read.
     """
     docs = common.texts(docs, id_col, text_col)
     held = common.fold("doc_id", held_out_of) == held_out_is

@@ -55,7 +55,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secret_scan import secret_scan
 
-    return secret_scan(common.table(spark, sf_dir, "documents")).drop("found")
+    return secret_scan(common.table(spark, sf_dir, "documents")).drop("found", "text_sha256")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

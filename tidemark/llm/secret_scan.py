@@ -58,10 +58,11 @@ def secret_scan(
 ) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found.
 
-    `found` holds the spans as (start, kind number, end, value, live), in code points, sorted. Null
+    text_sha256 tells the text that the spans belong to, where an id occurs with several texts. `found` holds the spans as (start, kind number, end, value, live), in code points, sorted. Null
     and empty texts have none. Null owners and repositories count as one each. Repeated rows are
-    each returned; their values are counted once per repository. A null id gets its base spans and
-    no added ones. Other columns are not read. An empty table gives an empty result.
+    each returned with the spans of their own text; their values are counted once per repository. A null
+    id is a row like any other. Overlapping spans of different kinds all stay. Texts of any length are
+    searched whole. Other columns are not read. An empty table gives an empty result.
     """
     key = lambda cols: F.md5(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(cols)])))
     rows = docs.select(
@@ -71,30 +72,29 @@ def secret_scan(
     mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9][^0-9]*[0-9]")
     text = F.col("text")
     rows = rows.select(
-        "doc_id", "owner", "repo",
+        "doc_id", "owner", "repo", F.sha2("text", 256).alias("text_sha256"),
         F.array_sort(F.concat(_spans(text, ASSIGN, 0, long_value), _spans(text, ACCESS, 1), _spans(text, HEX, 2))).alias("base"),
         _spans(text, MIXED, 3, mixed).alias("wide"),
     )
     clear = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    rows = common.store(rows.withColumn("wide", clear))
+    rows = common.store(rows.withColumn("wide", clear).withColumn("row", F.monotonically_increasing_id()))
 
-    hits = rows.select("doc_id", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).withColumn("vh", F.sha2(F.col("s.value"), 256))
+    hits = rows.select("row", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).withColumn("vh", F.sha2(F.col("s.value"), 256))
     owned = hits.groupBy("vh", "owner", "repo").agg(F.count("*").alias("n")).groupBy("vh", "owner").agg(F.count("*").alias("repos"))
     owned = common.cut(owned.groupBy("vh").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")))
     live = (F.col("n_owners") <= max_owners).alias("live")
-    told = hits.join(owned, "vh").select("doc_id", F.struct("s.start", "s.kind", "s.end", "s.value", live).alias("s"))
-    told = told.where("s.kind < 3 or s.live").groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("found"))
+    told = hits.join(owned, "vh").select("row", F.struct("s.start", "s.kind", "s.end", "s.value", live).alias("s"))
+    told = told.where("s.kind < 3 or s.live").groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("found"))
 
-    out = rows.select("doc_id", "base").join(told, "doc_id", "left")
-    plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], F.lit(True).alias("live")))
-    found = F.coalesce("found", plain)
+    out = rows.select("row", "doc_id", "text_sha256", "base").join(told, "row", "left")
+    found = F.coalesce("found", F.array().cast("array<struct<start:long,kind:int,end:long,value:string,live:boolean>>"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     out = out.withColumn("found", found)
     return out.select(
         "doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"), "found",
+        F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"), "text_sha256", "found",
     )
 
 

@@ -5,7 +5,8 @@ hash names its anchor; equal strings have equal anchors at equal places. So:
 
 1. Anchors whose piece occurs once are dropped; a string around them cannot repeat.
 2. The strings that share an anchor place form its context, one stretch of text. Equal contexts are a
-   class; a class with two members repeats as a whole.
+   class; a class with two members repeats as a whole. Classes are told apart by a 128-bit BLAKE2 digest
+   of the context's bytes, not by the polynomial hashes, whose collisions are easy to build.
 3. Where an anchor has classes with one member, all its classes are compared: their suffixes from the
    anchor on are merge-sorted. Suffixes are compared by prefix polynomial hashes: binary search finds
    the common extension, the byte after it decides, so a comparison costs a logarithm of the length.
@@ -13,7 +14,11 @@ hash names its anchor; equal strings have equal anchors at equal places. So:
    is searched the same way; together they give the strings that two contexts share. Each such match
    is confirmed on the bytes before it counts.
 4. An anchor with more than `group` classes is dealt to several sorts by a hash; what each leaves
-   unmatched, and one of each string it matched, meets by two independent hashes.
+   unmatched, and one of each string it matched, meets by the digests of the strings' bytes.
+
+A place that occurs in both of a pair's contexts, or a text compared with itself at another place, is a
+repeat like any other: ties don't arise, as every occurrence goes. Texts longer than a chunk are one
+chunk of their own, so a string across a chunk's edge is never lost.
 
 Nothing is capped or sampled away, copies are pre-aggregated as classes, and only step 3 moves text:
 one context per class of unresolved anchors.
@@ -31,6 +36,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, kernels as K
 
 
+def _digest(text: bytes, back: int = 0) -> bytes:
+    """Of a context's bytes and the place of its anchor."""
+    return hashlib.blake2b(text, digest_size=16, salt=back.to_bytes(8, "little")).digest()
+
+
 def _anchors(size: int, gram: int, keys_only: bool):
     def run(batches):
         for batch, data, off in K.chunks(batches):
@@ -43,10 +53,10 @@ def _anchors(size: int, gram: int, keys_only: bool):
                 k, c = K.combine(ah)
                 yield pa.record_batch({"ah": K.signed(k), "n": pa.array(c, pa.int64())})
                 continue
-            cid = K.mix(K.span(h, lo, lo + n - 1 + size) ^ K.mix((n * 65536 + at - lo).astype(np.uint64)))
-            row = K.rows_of(off, lo)
+            raw, row = data.tobytes(), K.rows_of(off, lo)
+            cid = [_digest(raw[a : a + k - 1 + size], b) for a, k, b in zip(lo.tolist(), n.tolist(), (at - lo).tolist())]
             yield pa.record_batch({
-                "ah": K.signed(ah), "cid": K.signed(cid), "doc_id": batch.column("doc_id").take(pa.array(row)),
+                "ah": K.signed(ah), "cid": pa.array(cid, pa.binary()), "doc_id": batch.column("doc_id").take(pa.array(row)),
                 "lo": pa.array(lo - off[row]), "n": pa.array(n.astype(np.int32)), "back": pa.array((at - lo).astype(np.int32)),
             })
 
@@ -65,7 +75,7 @@ def _contexts(size: int):
                     out.append((w["ah"], w["cid"], w["n"], w["back"], w["many"], w["salts"], raw[a : a + w["n"] - 1 + size]))
             if out:
                 cols = list(zip(*out))
-                yield pa.record_batch({c: pa.array(v, t) for c, v, t in zip(("ah", "cid", "n", "back", "many", "salts", "ctx"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()))})
+                yield pa.record_batch({c: pa.array(v, t) for c, v, t in zip(("ah", "cid", "n", "back", "many", "salts", "ctx"), cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()))})
 
     return run
 
@@ -158,7 +168,7 @@ def _compare(size: int):
 def _sorted_matches(size, flat, sizes, ah, salts):
     ctx = flat.field("ctx").to_pylist()
     n, back = flat.field("n").to_numpy().astype(np.int64), flat.field("back").to_numpy().astype(np.int64)
-    cid, many = flat.field("cid").to_numpy(), flat.field("many").to_numpy(zero_copy_only=False)
+    cid, many = flat.field("cid"), flat.field("many").to_numpy(zero_copy_only=False)
     length = np.array([len(c) for c in ctx], np.int64)
     data = np.frombuffer(b"".join(ctx), np.uint8)
     begin = np.append(0, np.cumsum(length))
@@ -173,6 +183,9 @@ def _sorted_matches(size, flat, sizes, ah, salts):
     base = np.append(0, np.cumsum(n))
     hit = np.zeros(int(n.sum()), bool)
     hit[np.repeat(many, n)] = True
+    # a pair's strings lie within its common extensions: to the left at most as far as the longest way back in the bucket
+    reach = np.zeros(len(sizes), np.int64)
+    np.maximum.at(reach, bucket, back)
     right, i, delta = np.full(len(order), 1 << 40), np.arange(len(order)), 0
     while True:
         delta += 1
@@ -181,6 +194,7 @@ def _sorted_matches(size, flat, sizes, ah, salts):
         if not len(i):
             break
         right[i] = np.minimum(right[i], near[i + delta])
+        i = i[right[i] + reach[b[i]] >= size]  # the running minimum only falls
         x, y, r = order[i], order[i + delta], right[i]
         use = ~(many[x] & many[y]) & (r + np.minimum(back[x], back[y]) >= size)
         x, y, r = x[use], y[use], r[use]
@@ -210,43 +224,46 @@ def _sorted_matches(size, flat, sizes, ah, salts):
     group = np.array(ah)[bucket]
     if len(a):
         none = pa.nulls(len(a), pa.list_(pa.int64()))
-        yield pa.record_batch({"ah": pa.array(group[owner]), "cid": pa.array(cid[owner]), "a": pa.array(a - base[owner]), "z": pa.array(z - base[owner]), "at": none, "h1": none, "h2": none})
+        yield pa.record_batch({"ah": pa.array(group[owner]), "cid": cid.take(pa.array(owner)), "a": pa.array(a - base[owner]), "z": pa.array(z - base[owner]), "at": none, "d": pa.nulls(len(a), pa.list_(pa.binary()))})
     dealt = np.repeat(np.asarray(salts)[bucket] > 1, n)
     if dealt.any():
         at = np.flatnonzero(dealt)
         own = np.searchsorted(base, at, "right") - 1
         s = begin[own] + at - base[own]
-        h1, h2 = K.span(h, s, s + size), K.span(K.prefix(K.seeded(256, 23)[data]), s, s + size)
+        text = K.span(h, s, s + size)
         take = ~hit[at]
         held = np.flatnonzero(hit[at])
-        _, one = np.unique(h1[held] ^ K.mix(bucket[own[held]].astype(np.uint64)), return_index=True)
+        _, one = np.unique(text[held] ^ K.mix(bucket[own[held]].astype(np.uint64)), return_index=True)
         take[held[one]] = True
-        at, own = at[take], own[take]
+        at, own, s = at[take], own[take], s[take]
+        raw = data.tobytes()
+        d = pa.array([_digest(raw[j : j + size]) for j in s.tolist()], pa.binary())
         who, first = np.unique(own, return_index=True)  # one row a class
         cut = pa.array(np.append(first, len(own)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(at - base[own]), K.signed(h1[take]), K.signed(h2[take]))]
         none = pa.nulls(len(who), pa.int64())
-        yield pa.record_batch({"ah": pa.array(group[who]), "cid": pa.array(cid[who]), "a": none, "z": none, "at": lists[0], "h1": lists[1], "h2": lists[2]})
+        yield pa.record_batch({
+            "ah": pa.array(group[who]), "cid": cid.take(pa.array(who)), "a": none, "z": none, "at": pa.ListArray.from_arrays(cut, pa.array(at - base[own])), "d": pa.ListArray.from_arrays(cut, d),
+        })
 
 
 def repeated_strings(docs: DataFrame, size: int = 400, gram: int = 64, group: int = 1024) -> DataFrame:
     """doc_id and `runs`: (a, z) pairs; the strings that start at bytes a to z - 1 of the document repeat."""
     once = common.cut(common.repeated(docs.mapInArrow(_anchors(size, gram, True), "ah long, n long"), "ah"))
-    found = docs.mapInArrow(_anchors(size, gram, False), "ah long, cid long, doc_id long, lo long, n int, back int")
+    found = docs.mapInArrow(_anchors(size, gram, False), "ah long, cid binary, doc_id long, lo long, n int, back int")
     found = common.store(found.join(once, "ah", "left_semi"))
     classes = found.groupBy("ah", "cid").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("rep"), F.first("n").alias("n"), F.first("back").alias("back"))
     classes = common.store(classes.select("ah", "cid", "times", "rep.doc_id", "rep.lo", "n", "back"))
     open_ = classes.groupBy("ah").agg(F.count("*").alias("m"), F.min("times").alias("least")).where("m > 1 and least = 1")
     open_ = common.cut(open_.select("ah", F.ceil(F.col("m") / group).cast("int").alias("salts")))
     want = classes.join(open_, "ah").groupBy("doc_id").agg(F.collect_list(F.struct("ah", "cid", "lo", "n", "back", (F.col("times") > 1).alias("many"), "salts")).alias("want"))
-    ctx = docs.join(want.hint("merge"), "doc_id").mapInArrow(_contexts(size), "ah long, cid long, n int, back int, many boolean, salts int, ctx binary")
+    ctx = docs.join(want.hint("merge"), "doc_id").mapInArrow(_contexts(size), "ah long, cid binary, n int, back int, many boolean, salts int, ctx binary")
     ctx = ctx.groupBy("ah", "salts", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt")).agg(F.collect_set(F.struct("cid", "n", "back", "many", "ctx")).alias("classes"))
-    told = common.store(ctx.select("ah", "salts", "classes").mapInArrow(_compare(size), "ah long, cid long, a long, z long, at array<long>, h1 array<long>, h2 array<long>"))
+    told = common.store(ctx.select("ah", "salts", "classes").mapInArrow(_compare(size), "ah long, cid binary, a long, z long, at array<long>, d array<binary>"))
     # the strings left over from one anchor are in few tasks; spread their classes before they become rows
-    left = told.where("h1 is not null").repartition("cid").select("ah", "cid", F.explode(F.arrays_zip("at", "h1", "h2")).alias("s"))
-    left = left.select("ah", "cid", F.col("s.at").alias("a"), (F.col("s.at") + 1).alias("z"), "s.h1", "s.h2")
-    meet = common.cut(left.groupBy("ah", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("ah", "h1", "h2"))
-    runs = told.where("h1 is null").select("ah", "cid", "a", "z").union(left.join(meet, ["ah", "h1", "h2"], "left_semi").select("ah", "cid", "a", "z"))
+    left = told.where("d is not null").repartition("cid").select("ah", "cid", F.explode(F.arrays_zip("at", "d")).alias("s"))
+    left = left.select("ah", "cid", F.col("s.at").alias("a"), (F.col("s.at") + 1).alias("z"), "s.d")
+    meet = common.cut(left.groupBy("ah", "d").agg(F.count("*").alias("n")).where("n > 1").select("ah", "d"))
+    runs = told.where("d is null").select("ah", "cid", "a", "z").union(left.join(meet, ["ah", "d"], "left_semi").select("ah", "cid", "a", "z"))
     runs = runs.union(classes.where("times > 1").select("ah", "cid", F.lit(0).cast("long"), F.col("n").cast("long")))
     runs = common.store(runs.groupBy("ah", "cid").agg(F.collect_list(F.struct("a", "z")).alias("runs")))
     spread = found.select("ah", "cid", "doc_id", "lo").join(runs, ["ah", "cid"])
