@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result to
 the shared checkpoint folder and reads it back as the next stage's documents.
+
+All stages: an empty table gives an empty result; null and empty texts are documents like any other
+(never rejected by the first four stages, never sampled by the last, which mixes tokens). Repeated rows
+share their decision, and so do rows of one id with different texts where a stage decides by id; the
+secrets of such rows are replaced in each text by itself. Rows without an id stay in the filtering
+stages. Other columns of the documents are carried along. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -18,39 +24,43 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.secret_scan import redact, secret_scan
 from tidemark.llm.toxicity import toxicity
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The documents whose ids aren't in `bad`, with all their columns."""
+    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models don't reject."""
-    bad = toxicity(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, toxicity(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = minhash_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, minhash_dedup(docs).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    bad = decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets replaced in the text."""
-    found = secret_scan(docs).where("n_live > 0").select("doc_id", "found").dropDuplicates(["doc_id"])
-    text = redact(F.col("text"), F.col("found"))
-    n = F.when(F.col("found").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return docs.join(found, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+    """All documents, with live-looking secrets replaced in the text and its length in n_chars."""
+    found = secret_scan(docs).where("n_live > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), F.col("found").alias("_found"))
+    found = found.dropDuplicates(["_id", "_text"])
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2("text", 256) == F.col("_text"))
+    text = redact(F.col("text"), F.col("_found"))
+    new = {"text": text, "n_chars": F.when(F.col("_found").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return docs.join(found, mine, "left").select(*[new[c].alias(c) if c in new else c for c in docs.columns])
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents with their topic, probability and weight."""
-    mixed = mix(docs).where("kept").select("doc_id", "topic", "n_tokens", "probability", "weight").dropDuplicates(["doc_id"])
-    return docs.join(mixed, "doc_id").select(*COLUMNS, "topic", "n_tokens", "probability", "weight")
+    """The sampled documents with their topic, tokens, probability and weight."""
+    new = ("topic", "n_tokens", "probability", "weight")
+    mixed = mix(docs).where("kept").select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in new]).dropDuplicates(["_id"])
+    out = docs.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return out.select(*[c for c in docs.columns if c not in new], *[F.col(f"_{c}").alias(c) for c in new])
 
 
 STAGES = [
@@ -73,5 +83,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The models and graph searches of the stages can't be written as SQL; tests compare them with brute force.
+#: The models and graph searches of the stages can't be written as SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
