@@ -118,7 +118,7 @@ def test_mixing(spark):
     rows = spark.createDataFrame([(r.source, r.lang, r.topic, r.n_tokens) for r in out if r.n_tokens], "source string, lang string, topic int, n long")
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
     goal = mixing.targets(cells, {"source": 0.7, "lang": 0.8, "topic": 0.5})
-    near = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goal).collect()}
+    near = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goal, tolerance=1e-7).collect()}
     far = _raked({(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}, [{r.value: r.share for r in goal[d].collect()} for d in ("source", "lang", "topic")])
     assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1e-5) for k in near)
     for dim, i in (("source", 0), ("lang", 1), ("topic", 2)):

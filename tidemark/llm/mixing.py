@@ -123,23 +123,28 @@ def targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
     return out
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """Cells with `weight`, their share of the mixture: all marginals within `tolerance` of the wanted ones, or after `sweeps`."""
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = 40, tolerance: float = 1e-4) -> DataFrame:
+    """Cells with `weight`, their share of the mixture: raked until no marginal missed its target by `tolerance` of the
+    whole when its turn came in a sweep. Targets that no weights can meet end it too: when a sweep comes no
+    nearer than the one before, or after `sweeps`."""
     total, many = cells.agg(F.sum("tokens"), F.count("*")).first()
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     if many == 0:
         return cells
-    goal = {d: wanted[d].withColumnRenamed("value", d) for d in DIMS}
+    goal = {d: common.cut(wanted[d].withColumnRenamed("value", d)) for d in DIMS}
+    names, last = cells.columns, float("inf")
     for _ in range(sweeps):
         for d in DIMS:
             have = cells.groupBy(d).agg(F.sum("weight").alias("have")).join(goal[d], d, "left")
-            have = have.select(d, F.coalesce(F.try_divide("share", "have"), F.lit(0.0)).alias("factor"))
-            cells = cells.join(have, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            share = F.coalesce("share", F.lit(0.0))
+            have = have.select(d, F.try_divide(share, F.col("have")).alias("factor"), F.abs(share - F.col("have")).alias(f"gap_{d}"))
+            cells = cells.join(have, d).withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
         cells = common.cut(cells)
-        # the last dimension was met just now
-        gaps = [cells.groupBy(d).agg(F.sum("weight").alias("have")).join(goal[d], d, "left").select((F.col("have") - F.coalesce("share", F.lit(0.0))).alias("gap")) for d in DIMS[:-1]]
-        if gaps[0].union(gaps[1]).agg(F.max(F.abs("gap"))).first()[0] < tolerance:
+        gap = cells.agg(F.max(F.greatest(*[f"gap_{d}" for d in DIMS]))).first()[0]
+        cells = cells.select(*names)
+        if gap < tolerance or gap > 0.99 * last:
             break
+        last = gap
     return cells
 
 
