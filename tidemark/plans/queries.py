@@ -592,13 +592,13 @@ def f5_correlations(s, d):
     return S.correlations(frame(s, d), FEATURES).select("a", "b", r6("r"))
 
 
-TWINS = "fx AS (SELECT *, f1 * 2 + f4 * 1e-9 AS f5, -f2 AS f6, f2 + fwd AS f7 FROM fr)"
+TWINS = "fx AS (SELECT *, f1 * 2 + f4 * 1e-9 AS f5, f2 * -1 + 0.2 * fwd AS f6, f2 + fwd AS f7 FROM fr)"
 FEATURES7 = [*FEATURES, "f5", "f6", "f7"]
 
 
 def _twins(s, d) -> DataFrame:
     """The frame with columns that correlate with others."""
-    return frame(s, d).withColumn("f5", F.col("f1") * 2 + F.col("f4") * 1e-9).withColumn("f6", -F.col("f2")).withColumn("f7", F.col("f2") + F.col("fwd"))
+    return frame(s, d).withColumn("f5", F.col("f1") * 2 + F.col("f4") * 1e-9).withColumn("f6", F.col("f2") * -1 + 0.2 * F.col("fwd")).withColumn("f7", F.col("f2") + F.col("fwd"))
 
 
 _order7 = [(a, b) for i, a in enumerate(FEATURES7) for b in FEATURES7[i + 1 :]]
@@ -932,7 +932,7 @@ def g14_best_models(s, d):
     return Y.best_models(runs(s, d)).select("label", "run_id", "model", r6("score"))
 
 
-@query(q.with_("SELECT model, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc, round(avg(ret), 6) AS mean_ret, round(avg(0.3 * ret + 0.25 * sharpe + 0.25 * win_rate + 0.2 * auc), 6) AS economic, arg_max(label, auc * 1000000 + run_id) AS best_label FROM runs GROUP BY 1", *SQL_RUNS))
+@query(q.with_("SELECT model, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc, round(avg(ret), 6) AS mean_ret, round(avg(0.3 * ret + 0.25 * sharpe + 0.25 * win_rate + 0.2 * auc), 6) AS economic, arg_max(label, auc * 1000000000000 + run_id) AS best_label FROM runs GROUP BY 1", *SQL_RUNS))
 def g17_compare(s, d):
     return Y.compare(runs(s, d)).select("model", "n", r6("mean_auc"), r6("std_auc"), r6("mean_ret"), r6("economic"), "best_label")
 
