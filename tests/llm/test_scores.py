@@ -33,17 +33,53 @@ def test_lm_score(spark, hot):
     assert lm_score(empty(spark)).count() == 0
 
 
-def test_automaton_sums_to_one(spark):
-    from tidemark.llm.lm_score import fit
-
-    a, _ = fit(documents(spark).select("doc_id", "text"))
-    total = np.zeros(len(a.words))
-    for h in range(len(a.words)):
-        arcs = a.pairs >> 32 == h
-        kept = (10 ** a.pair_p[arcs]).sum()
-        rest = 1 - a.word_p[a.pairs[arcs] & 0xFFFFFFFF].sum()
-        total[h] = kept + 10 ** a.word_back[h] * rest
-    assert np.allclose(total, 1)
+def _model(texts, arcs, mu):
+    """The same model from plain counters: a function (u, v, w) -> probability, None for the start."""
+    c1, c2, c3, h1 = (collections.Counter() for _ in range(4))
+    for t in texts:
+        t = [None, *t]
+        for i in range(1, len(t)):
+            c1[t[i]] += 1
+            h1[t[i - 1]] += 1
+            c2[t[i - 1], t[i]] += 1
+            if i > 1:
+                c3[t[i - 2], t[i - 1], t[i]] += 1
+    total = sum(c1.values())
+    least = max(1, math.ceil(total / arcs))
+    kept = {g: n for g, n in c3.items() if n >= least}
+    mass = collections.Counter()
+    for (u, v, _), n in kept.items():
+        mass[u, v] += n
+
+    def p(u, v, w, trigram):
+        p1 = (c1[w] + 0.1) / (total + 0.1 * (len(c1) + 1))
+        p2 = (c2[v, w] + mu * p1) / (h1[v] + mu)
+        n = c2[u, v]
+        if not trigram or n < least:
+            return p2
+        return (kept.get((u, v, w), 0) + (mu + n - mass[u, v]) * p2) / (n + mu)
+
+    return p, c1
+
+
+@pytest.mark.parametrize(("arcs", "hot", "mu"), [(200_000, 10_000, 1000.0), (300, 40, 7.0), (40, 1, 50.0)])
+def test_lm_score_against_counters(spark, arcs, hot, mu):
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame([(None, "two words"), (20, prose(5, 120)), (20, prose(5, 120)), (30, prose(8, 60))], "doc_id long, text string"))
+    rows = [(r.doc_id, WORD.findall((r.text or "").encode().lower()) + [0]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    p, c1 = _model([w for i, w in rows if not held(i)], arcs, mu)
+    vocabulary = [*c1, b"never seen"]
+    for u, v in [(None, b"two"), (b"two", b"words"), (rows[0][1][3], rows[0][1][4])]:
+        assert sum(p(u, v, w, True) for w in vocabulary) == pytest.approx(1)
+
+    def score(t):
+        t = [None, *t]
+        return sum(math.log10(p(t[i - 2] if i > 1 else None, t[i - 1], t[i], i > 1)) for i in range(1, len(t)))
+
+    want = sorted((-1 if i is None else i, round(score(w), 6)) for i, w in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in lm_score(docs, arcs=arcs, hot=hot, mu=mu).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
 
 
 def _labelled(spark, marked):
