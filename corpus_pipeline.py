@@ -57,10 +57,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents with their topic, tokens, probability and weight."""
-    new = ("topic", "n_tokens", "probability", "weight")
-    mixed = mix(docs).where("kept").select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in new]).dropDuplicates(["_id"])
-    out = docs.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return out.select(*[c for c in docs.columns if c not in new], *[F.col(f"_{c}").alias(c) for c in new])
+    new, text = ("topic", "n_tokens", "probability", "weight"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = {"_id": F.col("doc_id").cast("long"), "_source": text("source"), "_lang": text("lang"), "_text": F.sha2(text("text"), 256)}
+    mixed = mix(docs).where("kept").withColumnRenamed("text_sha256", "text")
+    mixed = mixed.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("source", "lang", "text", *new)]).dropDuplicates(list(key))
+    same = [v.eqNullSafe(mixed[k]) for k, v in key.items()]
+    return docs.join(mixed, same[0] & same[1] & same[2] & same[3]).select(*[c for c in docs.columns if c not in new], *[F.col(f"_{c}").alias(c) for c in new])
 
 
 STAGES = [

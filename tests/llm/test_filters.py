@@ -118,10 +118,30 @@ def test_mixing(spark):
     rows = spark.createDataFrame([(r.source, r.lang, r.topic, r.n_tokens) for r in out if r.n_tokens], "source string, lang string, topic int, n long")
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
     goal = mixing.targets(cells, {"source": 0.7, "lang": 0.8, "topic": 0.5})
-    near = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goal, tolerance=1e-7).collect()}
+    raked, gap = mixing.rake(cells, goal, tolerance=1e-7)
+    assert gap < 1e-6 and out[0].target_gap < 1e-3
+    near = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
     far = _raked({(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}, [{r.value: r.share for r in goal[d].collect()} for d in ("source", "lang", "topic")])
     assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1e-5) for k in near)
     for dim, i in (("source", 0), ("lang", 1), ("topic", 2)):
         for r in goal[dim].collect():
             assert sum(w for k, w in near.items() if k[i] == r.value) == pytest.approx(r.share, abs=1e-5)
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_raking_many_values(spark):
+    """20 sources, 4 languages and 8 topics on 150 documents end within the sweeps; contradicting targets are told as a gap."""
+    import random
+
+    r = random.Random(3)
+    cells = spark.createDataFrame([(f"s{r.randrange(20)}", f"l{r.randrange(4)}", r.randrange(8), r.randrange(1, 900)) for _ in range(150)], "source string, lang string, topic int, tokens long")
+    cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    raked, gap = mixing.rake(cells, mixing.targets(cells, {"source": 0.7, "lang": 0.8, "topic": 0.5}))
+    rows = raked.collect()
+    assert gap < 1e-3 and sum(x.weight for x in rows) == pytest.approx(1, abs=1e-3)
+    budget = 0.4 * sum(x.tokens for x in rows)
+    at = mixing.level(raked, budget)
+    assert sum(min(x.tokens, at * x.weight) for x in rows) == pytest.approx(budget, rel=1e-12)
+    holes = spark.createDataFrame([("a", "x", 0, 1), ("a", "y", 0, 1), ("b", "x", 0, 1)], cells.schema)
+    want = {"source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "value string, share double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "value string, share double"), "topic": spark.createDataFrame([(0, 1.0)], "value int, share double")}
+    assert mixing.rake(holes, want)[1] > 0.1
