@@ -70,6 +70,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(common.table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.resample import resample
+
+    out = resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, pipeline)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, op11_resample, pipeline)
 }
 
 
