@@ -77,6 +77,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.filter_audit import filter_audit
+
+    return filter_audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("filter")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, op11_resample, pipeline)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, op11_resample, op13_filter_audit, pipeline)
 }
 
 
@@ -116,4 +122,20 @@ link AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WH
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id""",
+    "op13_filter_audit": f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, part, x, regexp_extract_all(x, '{_WORDS}') AS w, min(doc_id) OVER (PARTITION BY x) AS first_id FROM t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+ 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(w.doc_id > first_id, false)] AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT i, substr('ABCDE', i, 1) AS c FROM range(1, 6) r(i)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM g a JOIN g b ON b.c <> a.c JOIN g c ON c.c NOT IN (a.c, b.c) JOIN g d ON d.c NOT IN (a.c, b.c, c.c) JOIN g e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+k AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+p AS (SELECT part, filter_order, list_transform([1, 2, 3, 4, 5], lambda s: fails[instr('ABCDE', substr(filter_order, s, 1))]) AS v, n, good, toxic FROM k CROSS JOIN o),
+q AS (SELECT part, filter_order, step, v[step] AS bad, list_position(v, true) AS hit, list_sum(list_transform(v, lambda b: CAST(b AS INT))) AS many, n, good, toxic FROM p CROSS JOIN range(1, 6) s(step)),
+m AS (SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS c, CAST(sum(n) FILTER (WHERE hit IS NULL OR hit > step OR hit = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE hit = step) AS BIGINT) AS removed,
+ CAST(sum(n) FILTER (WHERE bad AND hit < step) AS BIGINT) AS redundant, CAST(sum(n) FILTER (WHERE bad AND many = 1) AS BIGINT) AS unique_fails,
+ CAST(sum(good) FILTER (WHERE hit = step) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (WHERE hit = step) AS BIGINT) AS toxic_lost FROM q GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+ coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, c), 0) AS BIGINT) AS shapley FROM m""",
 }
