@@ -77,6 +77,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tidemark.llm.token_output import token_output
+
+    return token_output(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.filter_audit import filter_audit
 
@@ -90,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, op11_resample, op13_filter_audit, pipeline)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_substring_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_lm_score, op11_resample, op12_token_output, op13_filter_audit, pipeline)
 }
 
 
