@@ -129,6 +129,24 @@ link AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WH
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id""",
+    "op11_resample": r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, doc FROM
+ (SELECT doc_id, text, true AS doc FROM documents UNION ALL SELECT item_id, text, false FROM benchmark)),
+grams AS (SELECT doc_id, doc, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM low CROSS JOIN range(1, 4) r(n) WHERE len(w) >= n),
+tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+said AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM grams)),
+bytes AS (SELECT g, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)) AS b FROM said),
+crc AS (SELECT g, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes CROSS JOIN tab),
+f AS (SELECT doc_id, doc, bucket, count(*) AS n FROM grams JOIN crc USING (g) GROUP BY 1, 2, 3),
+c AS (SELECT bucket, sum(n) FILTER (WHERE doc) AS s, sum(n) FILTER (WHERE NOT doc) AS t FROM f GROUP BY 1),
+z AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM c),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c CROSS JOIN z),
+v AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE doc GROUP BY 1),
+d AS (SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, substr(sha256('42:' || doc_id), 1, 8) AS h8 FROM low LEFT JOIN v USING (doc_id) WHERE doc),
+h AS (SELECT *, list_reduce(list_prepend(0, list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', h8[i]) - 1 AS BIGINT))), lambda c, x: c * 16 + x)::DOUBLE AS h FROM d),
+e AS (SELECT doc_id, able, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY able) AS m FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 5 * m // 100 THEN k END AS rank FROM k""",
     "op13_filter_audit": f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, part, x, regexp_extract_all(x, '{_WORDS}') AS w, min(doc_id) OVER (PARTITION BY x) AS first_id FROM t),
