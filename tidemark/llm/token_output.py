@@ -69,11 +69,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
         s, e, first = K.words(data, off)
         size = np.zeros(len(s) + 1, np.int32)
         np.cumsum(e - s, out=size[1:])
-        inside = np.zeros(len(data) + 1, np.int8)
-        np.add.at(inside, s, 1)
-        np.add.at(inside, e, -1)
-        flat = data[np.cumsum(inside[:-1]) > 0]
-        coded = pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(size), pa.py_buffer(flat)]).dictionary_encode()
+        coded = pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(size), pa.py_buffer(data[K.WORDS[data]])]).dictionary_encode()
         each = store(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy().astype(np.int64)
         length = np.array([len(x) for x in each] or [0])
