@@ -7,8 +7,9 @@ ids before it (order 2) and the one before it (order 1), each with a confidence,
 order-2 id's share, the order-1 id's share and, over the rest, the order-0 distribution. The shares adapt after
 every id, apart for each pair of confidences. All arithmetic is on integers, so every machine decodes alike.
 
-A segment is: header, words and checksum (crc32 of the ids as little-endian 32-bit integers) of each block, and the
-blocks' 32-bit words. Decoding checks each block's checksum.
+A segment is: header, its alphabet (the distinct ids, in order, which the blocks' models number from zero), words and
+checksum (crc32 of the ids as little-endian 32-bit integers) of each block, and the blocks' 32-bit words. Decoding checks the
+alphabet's checksum and each block's.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD = b"TMID", "<4sHHIQI"  # magic, version, bits of the order-0 total, vocabulary, ids, block length
-LANES, LEAST, MOST = 256, 1024, 8192
+MAGIC, HEAD = b"TMID", "<4sIQIIII"  # magic, version, ids, block length, distinct ids, bytes and checksum of the packed alphabet
+LANES, LEAST, MOST = 512, 1024, 8192
 SLOTS = 13  # bits of each block's table of contexts
 SHARE = 12  # bits of the mixture's shares
 WORD = np.uint64(32)
@@ -40,15 +41,14 @@ class Mixer:
         self.bits = max(18, (vocabulary - 1).bit_length() + 1)
         self.total = np.uint64(SHARE + self.bits)
         if vocabulary > 1 << 18:
-            raise ValueError("vocabularies of at most 262,144 ids are coded")
+            raise ValueError("at most 262,144 distinct ids are coded in a segment")
         lane = np.arange(lanes, dtype=np.int64)
         self.slots = np.zeros((2 * lanes) << SLOTS, np.int32)  # id * 16 + confidence, order 2 then order 1
         self.base = np.concatenate([lane, lane + lanes]) << SLOTS
         confidence = np.arange(16)
         first = np.repeat(64 + 3600 * confidence // (confidence + 3), 32)
-        self.two = np.tile(first, lanes).astype(np.int32)
-        second = np.tile(np.repeat(64 + 3600 * confidence // (confidence + 3), 2), 16)
-        self.one = np.tile(second, lanes).astype(np.int32)
+        self.two = np.tile(first, lanes)
+        self.one = np.tile(np.repeat(64 + 3600 * confidence // (confidence + 3), 2), 16 * lanes)
         self.pair = lane << 9
         self.row = lane * (vocabulary + 1)
         self.seen, self.taken = np.zeros((lanes, vocabulary), np.uint16), 0
@@ -64,43 +64,43 @@ class Mixer:
         return (h ^ (h >> SLOTS)) & ((1 << SLOTS) - 1) | self.base
 
     def predict(self, slots: np.ndarray):
+        """Upper ends of the order-2 and order-1 shares, of 4096."""
         n = self.n
-        self.at, self.have = slots, self.slots[slots]
+        self.at, self.have = slots, self.slots[slots].astype(np.int64)
         self.sure, self.said = self.have & 15, self.have >> 4
         self.case = self.pair + (self.sure[:n] << 5 | self.sure[n:] << 1 | (self.said[:n] == self.said[n:]))
         self.share2, self.share1 = self.two[self.case], self.one[self.case]
-        a = self.share2
-        b = a + ((4096 - a) * self.share1 >> SHARE)
-        return a, b, self.said[:n], self.said[n:]
+        self.upper2 = self.share2
+        self.upper1 = self.share2 + ((4096 - self.share2) * self.share1 >> SHARE)
 
-    def interval(self, a, b, ids, hit2, hit1):
-        """Start and size of the ids' part of the whole, 1 << total."""
+    def interval(self, ids: np.ndarray):
+        """Start and size of the ids' part of the whole, 1 << total; what the models learn of them is taken in."""
+        n, both = self.n, np.concatenate([ids, ids])
+        hit = self.said == both
+        hit2 = hit[:n]
+        hit1 = hit[n:] & ~hit2
         at = self.row + ids
         start0 = self.flat[at]
-        size0 = self.flat[at + 1] - start0
-        start0 = start0 - self.offset
-        rest = 4096 - b
-        start = np.where(hit2, 0, np.where(hit1, a.astype(np.int64) << self.bits, (b.astype(np.int64) << self.bits) + start0 * rest))
-        size = np.where(hit2, a.astype(np.int64) << self.bits, np.where(hit1, (b - a).astype(np.int64) << self.bits, size0.astype(np.int64) * rest))
-        return start.astype(np.uint64), size.astype(np.uint64)
-
-    def learn(self, ids, hit2, hit1) -> None:
-        both = np.concatenate([ids, ids])
-        hit = self.said == both
+        size0, rest = self.flat[at + 1] - start0, 4096 - self.upper1
+        part2, part1 = self.upper2 << self.bits, self.upper1 << self.bits
+        start = np.where(hit2, 0, np.where(hit1, part2, part1 + (start0 - self.offset) * rest))
+        size = np.where(hit2, part2, np.where(hit1, part1 - part2, size0 * rest))
         self.slots[self.at] = np.where(hit, self.have + (self.sure < 15), np.where(self.sure > 0, self.have - self.sure + (self.sure >> 1), both << 4 | 1))
         self.two[self.case] = self.share2 + ((np.where(hit2, 3968, 64) - self.share2) >> 5)
-        self.one[self.case] = self.share1 + (np.where(hit2, 0, np.where(hit1, 4032, 64) - self.share1) >> 5)
+        self.one[self.case] = np.where(hit2, self.share1, self.share1 + ((np.where(hit1, 4032, 64) - self.share1) >> 5))
+        return start.view(np.uint64), size.view(np.uint64)
 
     def take_up(self, done: np.ndarray) -> None:
         """Make the order-0 distribution that of the ids so far, (step, lane); every id keeps a part of one."""
         new = done[self.taken :]
         np.add.at(self.seen.reshape(-1), (new + np.arange(self.n) * self.vocabulary).reshape(-1), np.uint16(1))
         self.taken = len(done)
-        part = self.seen.astype(np.int32)
-        part *= ((1 << self.bits) - self.vocabulary) // len(done)
-        part += 1
-        np.cumsum(part, axis=1, out=self.cdf[:, 1:])
-        self.cdf[:, 1:] += self.offset[:, None].astype(np.int32)
+        for i in range(0, self.n, 32):  # some lanes at a time, to keep what is held small
+            part = self.seen[i : i + 32].astype(np.int32)
+            part *= ((1 << self.bits) - self.vocabulary) // len(done)
+            part += 1
+            part[:, 0] += self.offset[i : i + 32].astype(np.int32)
+            np.cumsum(part, axis=1, out=self.cdf[i : i + 32, 1:])
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
@@ -114,12 +114,8 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     for t in range(steps):
         if t in TOLD:
             m.take_up(ids[:t])
-        x = before[t + 2]
-        a, b, two, one = m.predict(m.contexts(before[t], before[t + 1]))
-        hit2 = x == two
-        hit1 = (x == one) & ~hit2
-        start, size = m.interval(a, b, x, hit2, hit1)
-        m.learn(x.astype(np.int32), hit2, hit1)
+        m.predict(m.contexts(before[t], before[t + 1]))
+        start, size = m.interval(before[t + 2])
         unit = width >> m.total
         moved = low + unit * start
         over = np.flatnonzero(moved < low)
@@ -151,21 +147,19 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
         read[i, : len(w)] = w
     code, width, at = read[:, 0] << WORD | read[:, 1], np.full(lanes, 2**64 - 1, np.uint64), np.full(lanes, 2)
     ids = np.zeros((steps + 2, lanes), np.int64)
-    bits, top = np.uint64(m.bits), np.uint64((1 << int(m.total)) - 1)
+    top = np.uint64((1 << int(m.total)) - 1)
     for t in range(steps):
         if t in TOLD:
             m.take_up(ids[2 : t + 2])
-        a, b, two, one = m.predict(m.contexts(ids[t], ids[t + 1]))
+        m.predict(m.contexts(ids[t], ids[t + 1]))
         unit = width >> m.total
-        value = np.minimum(code // unit, top)
-        share = (value >> bits).astype(np.int32)
-        hit2 = share < a
-        hit1 = (share < b) & ~hit2
-        rest = np.maximum(value.astype(np.int64) - (b.astype(np.int64) << m.bits), 0) // (4096 - b)
+        value = np.minimum(code // unit, top).view(np.int64)
+        share = value >> m.bits
+        rest = np.maximum(value - (m.upper1 << m.bits), 0) // (4096 - m.upper1)
         found = np.searchsorted(m.flat, (rest + m.offset).astype(np.int32), "right") - 1 - m.row
-        x = np.where(hit2, two, np.where(hit1, one, found))
-        start, part = m.interval(a, b, x, hit2, hit1)
-        m.learn(x.astype(np.int32), hit2, hit1)
+        found = np.minimum(found, vocabulary - 1)  # damaged blocks only; their checksum will tell
+        x = np.where(share < m.upper2, m.said[:lanes], np.where(share < m.upper1, m.said[lanes:], found))
+        start, part = m.interval(x)
         code, width = code - unit * start, unit * part
         full = np.flatnonzero(width <= LOW32)
         if len(full):
@@ -176,18 +170,24 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
     return ids[2:]
 
 
-def encode(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A segment: any number of ids, each below the vocabulary."""
-    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < vocabulary:
-        raise ValueError("an id is outside the vocabulary")
+def encode(ids: np.ndarray) -> bytes:
+    """A segment of any number of ids below 2 ** 32, at most 262,144 of them distinct."""
+    if len(ids) and ids.max() < 1 << 20:
+        seen = np.bincount(ids) > 0
+        alphabet, places = np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
+    else:
+        alphabet, places = np.unique(ids, return_inverse=True)
     length = block_length(len(ids))
     blocks = -(-len(ids) // length)
-    full = np.zeros(blocks * length, np.int64)
-    full[: len(ids)] = ids
+    full = np.zeros(blocks * length, np.int64)  # the last block is filled up with the least id
+    full[: len(ids)] = places
     full = full.reshape(blocks, length)
-    words = [w for i in range(0, blocks, LANES) for w in _encode(np.ascontiguousarray(full[i : i + LANES].T), vocabulary)]
-    told = np.array([(len(w), zlib.crc32(f.astype("<u4").tobytes())) for w, f in zip(words, full)], "<u4").reshape(-1, 2)
-    return struct.pack(HEAD, MAGIC, 1, 0, vocabulary, len(ids), length) + told.tobytes() + b"".join(w.tobytes() for w in words)
+    words = [w for i in range(0, blocks, LANES) for w in _encode(np.ascontiguousarray(full[i : i + LANES].T), len(alphabet))]
+    alphabet = alphabet.astype("<u4")
+    told = np.array([(len(w), zlib.crc32(alphabet[f].tobytes())) for w, f in zip(words, full)], "<u4").reshape(-1, 2)
+    packed = zlib.compress(np.diff(alphabet, prepend=alphabet[:1] * 0).astype("<u4").tobytes())
+    head = struct.pack(HEAD, MAGIC, 2, len(ids), length, len(alphabet), len(packed), zlib.crc32(packed))
+    return head + packed + told.tobytes() + b"".join(w.tobytes() for w in words)
 
 
 def decode(segment: bytes) -> np.ndarray:
@@ -195,10 +195,14 @@ def decode(segment: bytes) -> np.ndarray:
     head = struct.calcsize(HEAD)
     if len(segment) < head:
         raise ValueError("not a segment of coded ids")
-    magic, version, _, vocabulary, n, length = struct.unpack_from(HEAD, segment)
-    if (magic, version) != (MAGIC, 1):
+    magic, version, n, length, distinct, size, crc = struct.unpack_from(HEAD, segment)
+    if (magic, version) != (MAGIC, 2):
         raise ValueError("not a segment of coded ids")
     blocks = -(-n // length)
+    if len(segment) < head + size + 8 * blocks or zlib.crc32(segment[head : head + size]) != crc:
+        raise ValueError("a segment is cut off or its alphabet's checksum is wrong")
+    alphabet = np.cumsum(np.frombuffer(zlib.decompress(segment[head : head + size]), "<u4"), dtype="<u4")
+    head += size
     told = np.frombuffer(segment, "<u4", 2 * blocks, head).reshape(-1, 2).astype(np.int64)
     ends = (head + 8 * blocks + 4 * np.cumsum(told[:, 0])).tolist()
     if len(segment) != (ends[-1] if blocks else head):
@@ -206,7 +210,7 @@ def decode(segment: bytes) -> np.ndarray:
     words = [np.frombuffer(segment, "<u4", int(k), e - 4 * int(k)) for (k, _), e in zip(told, ends)]
     out = np.zeros((blocks, length), "<u4")
     for i in range(0, blocks, LANES):
-        out[i : i + LANES] = _decode(words[i : i + LANES], length, vocabulary).T
+        out[i : i + LANES] = alphabet[_decode(words[i : i + LANES], length, distinct).T]
     for block, (_, crc) in zip(out, told):
         if zlib.crc32(block.tobytes()) != crc:
             raise ValueError("a block's checksum is wrong")

@@ -85,14 +85,14 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
         yield docs, out, total
 
 
-def _segments(tokenizer_path: str, end_id: int, vocabulary: int, words: bool):
+def _segments(tokenizer_path: str, end_id: int, words: bool):
     def run(batches):
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         docs, parts, lengths, held = [], [], [], 0
 
         def record():
             ids = _flat(parts)
-            row = {"shard": [shard], "segment": [number], "first": [before], "n_ids": [len(ids)], "doc_ids": [docs], "lengths": [lengths], "ids": [id_coder.encode(ids, vocabulary)]}
+            row = {"shard": [shard], "segment": [number], "first": [before], "n_ids": [len(ids)], "doc_ids": [docs], "lengths": [lengths], "ids": [id_coder.encode(ids)]}
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(row.items(), kinds)})
 
@@ -113,13 +113,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Null and empty texts are the end id alone. Rows of one id stand beside each other, each a document of its own; those without an
     id come last. Texts of any length are encoded whole. Other columns are not read. An empty table writes no segment.
     """
-    from tokenizers import Tokenizer
-
-    vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     rows = common.texts(docs, id_col, text_col)
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(_segments(tokenizer_path, end_id, vocabulary, words), FIELDS).write.parquet(path)
+    rows.mapInArrow(_segments(tokenizer_path, end_id, words), FIELDS).write.parquet(path)
 
 
 def _documents(with_ids: bool):
