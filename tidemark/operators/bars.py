@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import BLOCK, placed
 from tidemark.operators.series import over
 
 BY = ["ts", "seq"]
@@ -32,27 +34,93 @@ def tick_bars(ticks: DataFrame, m: int) -> DataFrame:
     return ticks.withColumn("_rn", F.row_number().over(over(order=BY))).where(F.col("_rn") % m == 0).drop("_rn")
 
 
-def threshold_bars(ticks: DataFrame, x: str, m: float) -> DataFrame:
-    """The rows at which a running sum of x reaches m; the sum then starts again at zero.
+def _sums(v: np.ndarray) -> np.ndarray:
+    v = np.nan_to_num(v.astype(float), nan=0.0)
+    if (v < 0).any():
+        raise ValueError("threshold bars need values that are not negative")
+    return np.cumsum(v)
 
-    The overshoot is discarded, so the fold can't be cut into windows. Each symbol's rows arrive
-    sorted in one task, which carries one number a symbol from batch to batch.
-    """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, total = None, 0.0
+def _next(s: np.ndarray, m: float) -> np.ndarray:
+    """For each row the first later row at which a sum that starts behind it reaches m; len(s) if there is none."""
+    return np.maximum(np.searchsorted(s, s + m), np.arange(1, len(s) + 1))
+
+
+def _heads(m: float):
+    """What a block does to any sum carried into it: rows (reach, need), one for each row that may be its first to emit. A
+    sum that lacks up to `reach` emits there, and follows the block's pointers to their end; then it lacks `need`."""
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        s = _sums(b.sort_values("_rn")["_v"].to_numpy())
+        ends = np.append(_next(s, m), len(s))
+        at = np.arange(len(s) + 1)
+        ends = np.where(ends == len(s), at, ends)  # pointers stop at the last row that can emit
+        while not np.array_equal(far := ends[ends], ends):
+            ends = far
+        first = np.flatnonzero(np.append(-np.inf, s[:-1]) < m)
+        need = m - (s[-1] - s[ends[first]])
+        return pd.DataFrame({"symbol": key[0], "_b": key[1], "reach": [s[first].tolist()], "need": [need.tolist()], "total": s[-1]})
+
+    return run
+
+
+def _entries(m: float):
+    """What a symbol's running sum lacks at the start of each block, block after block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, lacks = None, m
         for b in batches:
-            take = []
-            for s, v in zip(b["symbol"], b[x]):
+            out = []
+            for s, reach, need, total in zip(b["symbol"], b["reach"], b["need"], b["total"]):
                 if s != symbol:
-                    symbol, total = s, 0.0
-                total += 0.0 if v is None or v != v else v
-                take.append(total >= m)
-                if take[-1]:
-                    total = 0.0
-            yield b[pd.Series(take, index=b.index, dtype=bool)]
-
-    return ticks.repartition("symbol").sortWithinPartitions("symbol", *BY).mapInPandas(fold, ticks.schema)
+                    symbol, lacks = s, m
+                out.append(lacks)
+                lacks = need[np.searchsorted(reach, lacks)] if lacks <= total else lacks - total
+            yield pd.DataFrame({"symbol": b["symbol"], "_b": b["_b"], "_lacks": out})
+
+    return run
+
+
+def _marked(m: float, columns: list[str]):
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_rn")
+        s = _sums(b["_v"].to_numpy())
+        nexts, at, take = _next(s, m), int(np.searchsorted(s, b["_lacks"].iloc[0])), []
+        while at < len(s):
+            take.append(at)
+            at = int(nexts[at])
+        return b.iloc[take][columns]
+
+    return run
+
+
+def threshold_bars(ticks: DataFrame, x: str, m: float, size: int = BLOCK) -> DataFrame:
+    """The rows at which a running sum of x reaches m; the sum then starts again at zero, its overshoot discarded.
+
+    Blocks of `size` rows of a symbol are worked on side by side. In a block, each row points at the row that would emit next
+    after it, found in the running sums, and doubling the pointers leads each row to the block's last emission on its way. A block
+    so becomes a short table from what a sum lacks when it enters to what it lacks when it leaves; only these tables pass in
+    order, a few rows for each block, and then every block marks its own rows.
+
+    x must not be negative; null counts as zero. Sums are differences of running sums, so a sum that meets m to within
+    rounding may be told one row off what a plain loop of doubles says; whole numbers are exact. m of zero or less takes every row.
+    """
+    if m <= 0:
+        return ticks
+    names = ticks.columns
+    rows = placed(ticks, tuple(BY)).withColumn("_v", F.coalesce(F.col(x).cast("double"), F.lit(0.0))).withColumn("_b", F.expr(f"(_rn - 1) div {size}"))
+    kind = rows.schema["symbol"].dataType.simpleString()
+    heads = rows.select("symbol", "_b", "_rn", "_v").groupBy("symbol", "_b").applyInPandas(_heads(m), f"symbol {kind}, _b long, reach array<double>, need array<double>, total double")
+    entries = heads.repartition("symbol").sortWithinPartitions("symbol", "_b").mapInPandas(_entries(m), f"symbol {kind}, _b long, _lacks double")
+    return rows.join(entries, ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(_marked(m, names), ticks.schema)
+
+
+def form_dollar_bars(ticks: DataFrame, m: float, x: str = "value", path: str | None = None) -> DataFrame:
+    """Bars of m by value, without those that have a null in any column; written to `path` as CSV if one is given."""
+    bars = threshold_bars(ticks, x, m).na.drop()
+    if path:
+        bars.write.csv(path, header=True)
+    return bars
 
 
 def time_bars(ticks: DataFrame, minutes: int, fill: bool = True) -> DataFrame:

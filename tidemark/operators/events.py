@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import in_blocks
 from tidemark.operators.series import change, full, last, over, zscore
 
 
@@ -25,9 +26,16 @@ def cusum(df: DataFrame, threshold: float = 0.5, drift: float = 0.05, reset: int
     The reset makes segments independent, so each is folded on its own: at most `reset` rows, which
     carry their other columns along, so that nothing is joined back.
     """
-    th, dr, names = threshold / 100, drift / 100, df.columns
-    df = df.withColumn("_i", F.row_number().over(over()) - 1).withColumn("_r", F.coalesce(change(close()), F.lit(0.0)))
-    rows = F.array_sort(F.collect_list(F.struct("_i", "_r", F.struct(*names).alias("_row"))), lambda a, b: a["_i"] - b["_i"])
+    return _cusum(in_blocks(df, _steps, 1), threshold, drift, reset)
+
+
+def _steps(df: DataFrame) -> DataFrame:
+    return df.withColumn("_i", F.col("_rn") - 1).withColumn("_r", F.coalesce(change(close()), F.lit(0.0)))
+
+
+def _cusum(df: DataFrame, threshold: float = 0.5, drift: float = 0.05, reset: int = 48) -> DataFrame:
+    th, dr, names = threshold / 100, drift / 100, [c for c in df.columns if c not in ("_i", "_r")]
+    rows = F.array_sort(F.collect_list(F.struct("_i", "_r", F.struct(*names).alias("_row"))), lambda a, b: (a["_i"] - b["_i"]).cast("int"))
     seg = df.withColumn("_seg", F.ceil(F.col("_i") / reset)).groupBy("symbol", "_seg").agg(rows.alias("_rows"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -46,6 +54,10 @@ def cusum(df: DataFrame, threshold: float = 0.5, drift: float = 0.05, reset: int
 
 def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFrame:
     """Crosses of the upper, lower and middle band, squeeze and expansion; needs the bollinger columns."""
+    return in_blocks(df, lambda d: _band_events(d, lookback, least), max(lookback, 20) + 1)
+
+
+def _band_events(df: DataFrame, lookback: int, least: float) -> DataFrame:
     up, lo, mid = F.col("bb_upper"), F.col("bb_lower"), F.col("bb_middle")
     w = last(lookback, 1)
     held = lambda cond: flag((F.min(cond.cast("int")).over(w) == 1) & (F.count(cond.cast("int")).over(w) == lookback))
@@ -65,6 +77,10 @@ def band_events(df: DataFrame, lookback: int = 3, least: float = 0.1) -> DataFra
 def statistics(df: DataFrame, lookback: int = 100, n: int = 20, long: int = 50) -> DataFrame:
     """Normalised momentum, volume and volatility z-scores, their correlation, return z-score, momenta and
     their regime score; needs atr_pct and vol_realized. No variance or no divisor gives null."""
+    return in_blocks(df, lambda d: _statistics(d, lookback, n, long), max(lookback + 1, 2 * n, long, 52))
+
+
+def _statistics(df: DataFrame, lookback: int, n: int, long: int) -> DataFrame:
     df = df.withColumn("_r", change(close())).withColumn("_v", F.col("volume").cast("double"))
     df = df.select("*", (F.try_divide(change(close(), n), F.nullif("atr_pct", F.lit(0.0))) * 100).alias("price_momentum_norm"), zscore(F.col("_v"), n).alias("volume_zscore"))
     pm, vz = F.col("price_momentum_norm"), F.col("volume_zscore")
@@ -84,6 +100,10 @@ def statistics(df: DataFrame, lookback: int = 100, n: int = 20, long: int = 50)
 
 def stat_events(df: DataFrame, outlier: float = 2.5, momentum: float = 0.3, corr: float = 0.7, breakout: float = 2.0, strong: float = 1.5) -> DataFrame:
     """Events from the statistics; a missing input makes its comparison false. traditional_event: any of the three."""
+    return in_blocks(df, lambda d: _stat_events(d, outlier, momentum, corr, breakout, strong), 1)
+
+
+def _stat_events(df: DataFrame, outlier: float, momentum: float, corr: float, breakout: float, strong: float) -> DataFrame:
     step = F.abs(F.col("momentum_score") - F.lag("momentum_score").over(over()))
     strength = flag(F.abs("volume_zscore") > strong) | flag(F.abs("price_momentum_norm") > strong)
     df = df.select(
@@ -107,8 +127,10 @@ def event_type(df: DataFrame) -> DataFrame:
 def all_events(df: DataFrame, cfg: dict[str, Any] | None = None, cusum_args: dict[str, Any] | None = None, band_args: dict[str, Any] | None = None) -> DataFrame:
     """Bars with atr_pct, vol_realized and the bollinger columns: all events, any_event and event_type."""
     c = {k: v for k, v in (cfg or {}).items() if k != "lookback"}
-    df = stat_events(statistics(band_events(df, **(band_args or {})), (cfg or {}).get("lookback", 100)), **c)
-    df = cusum(df, **(cusum_args or {})).withColumn("cusum_flag", F.col("cusum_event") != 0)
+    band, lookback = band_args or {}, (cfg or {}).get("lookback", 100)
+    back = max(lookback + 1, 52, band.get("lookback", 3)) + 2
+    df = in_blocks(df, lambda d: _steps(stat_events(statistics(band_events(d, **band), lookback), **c)), back)
+    df = _cusum(df, **(cusum_args or {})).withColumn("cusum_flag", F.col("cusum_event") != 0)
     return event_type(df)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import in_blocks
 from tidemark.operators.series import change, ema, full, last, over, smooth
 
 
@@ -21,12 +22,12 @@ def new_bars(df: DataFrame, frame: str, on: str = "end") -> DataFrame:
 
 
 def sma(df: DataFrame, *ns: int) -> DataFrame:
-    return df.select("*", *[full(F.avg(close()), close(), n).alias(f"sma_{n}") for n in ns])
+    return in_blocks(df, lambda d: d.select("*", *[full(F.avg(close()), close(), n).alias(f"sma_{n}") for n in ns]), max(ns))
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     mid, dev = full(F.avg(close()), close(), n), full(F.stddev_pop(close()), close(), n)
-    df = df.select("*", mid.alias("bb_middle"), (mid + k * dev).alias("bb_upper"), (mid - k * dev).alias("bb_lower"))
+    df = in_blocks(df, lambda d: d.select("*", mid.alias("bb_middle"), (mid + k * dev).alias("bb_upper"), (mid - k * dev).alias("bb_lower")), n)
     width = F.col("bb_upper") - F.col("bb_lower")
     return df.select(
         "*", F.coalesce(F.try_divide(close() - F.col("bb_lower"), F.nullif(width, F.lit(0.0))) * 100, F.lit(50.0)).alias("bb_position"),
@@ -79,12 +80,12 @@ def volume_ratio(df: DataFrame, n: int | None = 20) -> DataFrame:
 
 
 def returns(df: DataFrame, *ks: int) -> DataFrame:
-    return df.select("*", *[change(close(), k).alias(f"ret_{k}") for k in ks])
+    return in_blocks(df, lambda d: d.select("*", *[change(close(), k).alias(f"ret_{k}") for k in ks]), max(ks))
 
 
 def realized_vol(df: DataFrame, minutes: int, n: int = 20) -> DataFrame:
-    df = df.withColumn("_r", change(close()))
-    return df.withColumn("vol_realized", full(F.stddev_samp("_r"), F.col("_r"), n) * (1440 / minutes) ** 0.5).drop("_r")
+    scale = (1440 / minutes) ** 0.5
+    return in_blocks(df, lambda d: d.withColumn("_r", change(close())).withColumn("vol_realized", full(F.stddev_samp("_r"), F.col("_r"), n) * scale).drop("_r"), n + 1)
 
 
 def derived(df: DataFrame) -> DataFrame:

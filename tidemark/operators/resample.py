@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import CHUNK, carried
 from tidemark.operators.series import over
 from tidemark.schema import minutes
 
@@ -33,18 +34,17 @@ def with_gaps(bars: DataFrame, minutes: int) -> DataFrame:
     return out.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
-def as_of(base: DataFrame, higher: DataFrame, frame: str, strict: bool = True, columns: tuple[str, ...] = OHLCV) -> DataFrame:
+def as_of(base: DataFrame, higher: DataFrame, frame: str, strict: bool = True, columns: tuple[str, ...] = OHLCV, seconds: int = CHUNK) -> DataFrame:
     """Each base row with the last higher bar that ended before it (or at it, if not strict), as {frame}_{column}.
 
-    Both sides go through one sort by symbol and time; a running `last` carries the bar, so the join
-    costs one shuffle whatever the number of matches.
+    Both sides go through one sort by symbol, chunk of time and time; a running `last` carries the bar within a chunk,
+    and a table of the chunks' last bars carries it into the next ones. The cost doesn't grow with the number of matches.
     """
     side = 1 if strict else -1  # where a base row stands among bars that end at its own time
     names = base.columns
     a = base.select("symbol", "ts", F.struct(*names).alias("_b"), F.lit(None).cast(higher.select(F.struct("ts", *columns)).schema[0].dataType).alias("_h"), F.lit(0).alias("_s"))
     b = higher.select("symbol", "ts", F.lit(None).cast(base.select(F.struct(*names)).schema[0].dataType).alias("_b"), F.struct("ts", *columns).alias("_h"), F.lit(side).alias("_s"))
-    w = Window.partitionBy("symbol").orderBy("ts", "_s").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_h", F.last("_h", True).over(w)).where("_b is not null")
+    out = carried(a.unionByName(b), "_h", ["ts", "_s"], seconds).where("_b is not null")
     return out.select("_b.*", F.col("_h.ts").alias(f"{frame}_end"), *[F.col(f"_h.{c}").alias(f"{frame}_{c}") for c in columns])
 
 

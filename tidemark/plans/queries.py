@@ -22,6 +22,7 @@ from tidemark.operators import models as M
 from tidemark.operators import profiles as P
 from tidemark.operators import resample as R
 from tidemark.operators import scoring as S
+from tidemark.operators.chunked import running_total
 from tidemark.operators.series import change, ema, full, over
 from tidemark.plans import sql as q
 
@@ -42,11 +43,11 @@ def query(sql: str | None = None):
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight symbols' price walks in whole cents, from the events table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy(F.col("user_id") % 8).orderBy("event_id")
-    cents = F.sum(F.round(F.col("value") * 100).cast("bigint") - 5000).over(w) + 5000000
+    e = e.select((F.col("user_id") % 8).alias("k"), "event_id", "ts", (F.round(F.col("value") * 100).cast("bigint") - 5000).alias("step"))
+    e = running_total(e, F.col("step"), ["k"], ["event_id"], F.expr("event_id div 65536"), "walk")
     return e.select(
-        F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-        (cents / F.lit(100.0)).alias("price"), (1 + F.col("event_id") % 10).cast("double").alias("qty"),
+        F.concat(F.lit("S"), F.col("k").cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        ((F.col("walk") + 5000000) / F.lit(100.0)).alias("price"), (1 + F.col("event_id") % 10).cast("double").alias("qty"),
     )
 
 
@@ -138,6 +139,15 @@ def b6_dollar_bars(s, d):
     return B.threshold_bars(ticks(s, d).withColumn("value", F.col("price") * F.col("qty")), "value", 3e6).select("symbol", "seq", "price")
 
 
+_B7 = _fold("price * qty", "3000000").replace("SELECT symbol, seq, price FROM f WHERE hit", "SELECT symbol, seq, price, seq % 5 AS venue FROM f WHERE hit AND seq % 5 <> 0")
+
+
+@query(_B7)
+def b7_form_dollar_bars(s, d):
+    t = ticks(s, d).withColumn("value", F.col("price") * F.col("qty")).withColumn("venue", F.when(F.col("seq") % 5 != 0, F.col("seq") % 5))
+    return B.form_dollar_bars(t, 3e6).select("symbol", "seq", "price", "venue")
+
+
 @query(q.with_(f"""SELECT symbol, {t_}, last_value(open IGNORE NULLS) OVER w AS open, last_value(high IGNORE NULLS) OVER w AS high, last_value(low IGNORE NULLS) OVER w AS low,
  last_value(close IGNORE NULLS) OVER w AS close, coalesce(volume, 0) AS volume FROM (SELECT sp.symbol, sp.ts, open, high, low, close, volume FROM sp LEFT JOIN g ON g.symbol = sp.symbol AND g.ts = sp.ts)
  WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""", q.TICKS,
