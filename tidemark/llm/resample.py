@@ -3,7 +3,7 @@
 Within each piece of text (at most `PIECE` words, so memory is bounded whatever a text's length) the
 distinct words get integer ids from Arrow's dictionary encoding. An n-gram is a tuple of ids, kept as the
 pair (id of its first n - 1 words' tuple, id of its last word). Each distinct tuple of the piece is turned
-back into its bytes and hashed once; the bucket, or what it is worth, is joined back to all the tuple's
+back into its bytes and hashed once (crc32 runs on from its first n - 1 words' value to the last word's bytes); the bucket, or what it is worth, is joined back to all the tuple's
 occurrences through the inverse index. The dictionary belongs to the piece: one of the whole corpus would
 have to shuffle every distinct n-gram, nearly as many rows as there are words, to save a hash of some 20 bytes.
 
@@ -33,18 +33,19 @@ def tuples(words: pa.Array, row: np.ndarray, n: int, buckets: int):
     """For each length 1..n: (starts, which, bucket): where its n-grams start, which distinct tuple each is, and each tuple's bucket."""
     coded = words.dictionary_encode()
     ids, said = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    starts, which, parts = np.arange(len(ids)), ids, [said]
-    yield starts, which, np.array([zlib.crc32(w) % buckets for w in said], np.int64)
+    more = [b" " + w for w in said]
+    starts, which, hashes = np.arange(len(ids)), ids, list(map(zlib.crc32, said))
+    yield starts, which, np.array(hashes, np.int64) % buckets
     for k in range(2, n + 1):
         live = starts + k - 1 < len(ids)
         starts, which = starts[live], which[live]
         same = row[starts] == row[starts + k - 1]
         starts, which = starts[same], which[same]
-        pairs, which = np.unique(which * len(said) + ids[starts + k - 1], return_inverse=True)
-        head, tail = pairs // len(said), pairs % len(said)
-        grams = [b"%b %b" % (parts[-1][a], said[b]) for a, b in zip(head.tolist(), tail.tolist())]
-        yield starts, which, np.array([zlib.crc32(g) % buckets for g in grams], np.int64)
-        parts = [grams]
+        coded = pa.array(which * len(said) + ids[starts + k - 1]).dictionary_encode()
+        pairs, which = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+        head, tail = (pairs // max(len(said), 1)).tolist(), (pairs % max(len(said), 1)).tolist()
+        hashes = list(map(zlib.crc32, map(more.__getitem__, tail), map(hashes.__getitem__, head)))
+        yield starts, which, np.array(hashes, np.int64) % buckets
 
 
 def pieces(data: np.ndarray, off: np.ndarray, n: int):
@@ -57,11 +58,8 @@ def pieces(data: np.ndarray, off: np.ndarray, n: int):
         a, b = s[at:to], e[at:to]
         size = np.zeros(to - at + 1, np.int32)
         np.cumsum(b - a, out=size[1:])
-        inside = low[a[0] : b[-1]]
-        kept = np.zeros(len(inside) + 1, np.int8)
-        np.add.at(kept, a - a[0], 1)
-        np.add.at(kept, b - a[0], -1)
-        flat = inside[np.cumsum(kept[:-1]) > 0]
+        flat = low[a[0] : b[-1]]
+        flat = flat[LETTERS[flat]]
         yield pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(size), pa.py_buffer(flat)]), row[at:to], min(PIECE, len(s) - at)
 
 
@@ -105,7 +103,7 @@ def _weighed(shared, n: int):
                     mine = starts < own
                     at = row[starts[mine]]
                     many += np.bincount(at, minlength=batch.num_rows)
-                    np.add.at(worth, at, gain[bucket][which[mine]])
+                    worth += np.bincount(at, gain[bucket][which[mine]], batch.num_rows).astype(np.int64)  # whole numbers, exact below 2 ** 53
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(length), "n_features": pa.array(many), "weight": pa.array(worth)})
 
     return run
