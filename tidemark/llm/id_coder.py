@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"TMID", "<4sIQIIII"  # magic, version, ids, block length, distinct ids, bytes and checksum of the packed alphabet
-LANES, LEAST, MOST = 512, 1024, 8192
+LANES, LEAST, MOST = 256, 1024, 8192
 SLOTS = 13  # bits of each block's table of contexts
 SHARE = 12  # bits of the mixture's shares
 WORD = np.uint64(32)
@@ -108,14 +108,15 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     steps, lanes = ids.shape
     m = Mixer(lanes, vocabulary)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, at = np.zeros((lanes, steps + 4), np.uint64), np.zeros(lanes, np.int64)
-    before = np.zeros((steps + 2, lanes), np.int64)
+    out, at = np.zeros((lanes, 2 * steps // 3 + 64), np.uint64), np.zeros(lanes, np.int64)
+    before = np.zeros((steps + 2, lanes), np.int32)
     before[2:] = ids
     for t in range(steps):
         if t in TOLD:
             m.take_up(ids[:t])
-        m.predict(m.contexts(before[t], before[t + 1]))
-        start, size = m.interval(before[t + 2])
+        pair = before[t : t + 3].astype(np.int64)
+        m.predict(m.contexts(pair[0], pair[1]))
+        start, size = m.interval(pair[2])
         unit = width >> m.total
         moved = low + unit * start
         over = np.flatnonzero(moved < low)
@@ -124,6 +125,8 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
         low, width = moved, unit * size
         full = np.flatnonzero(width <= LOW32)
         if len(full):
+            if at.max() > out.shape[1] - 4:
+                out = np.pad(out, ((0, 0), (0, steps // 3 + 64)))
             out[full, at[full]] = low[full] >> WORD
             at[full] += 1
             low[full] <<= WORD
@@ -174,12 +177,12 @@ def encode(ids: np.ndarray) -> bytes:
     """A segment of any number of ids below 2 ** 32, at most 262,144 of them distinct."""
     if len(ids) and ids.max() < 1 << 20:
         seen = np.bincount(ids) > 0
-        alphabet, places = np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
+        alphabet, places = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[ids]
     else:
         alphabet, places = np.unique(ids, return_inverse=True)
     length = block_length(len(ids))
     blocks = -(-len(ids) // length)
-    full = np.zeros(blocks * length, np.int64)  # the last block is filled up with the least id
+    full = np.zeros(blocks * length, np.int32)  # the last block is filled up with the least id
     full[: len(ids)] = places
     full = full.reshape(blocks, length)
     words = [w for i in range(0, blocks, LANES) for w in _encode(np.ascontiguousarray(full[i : i + LANES].T), len(alphabet))]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, id_coder, kernels as K
 
 SEGMENT = id_coder.LANES * id_coder.MOST
-KEPT = 300_000  # words of a task's store
+KEPT = 100_000  # words of a task's store
 FIELDS = "shard int, segment int, first long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
