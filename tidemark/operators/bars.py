@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.chunked import BLOCK, placed
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.series import over
+from tidemark.storage import store
 
 BY = ["ts", "seq"]
 
 
 def mad_outliers(ticks: DataFrame, x: str = "price", limit: float = 3.0) -> DataFrame:
     """Rows with `outlier`: 0.6745 * |x - median| over the median of such distances above `limit`, per symbol."""
-    mid = ticks.groupBy("symbol").agg(F.median(x).alias("_mid"))
-    far = ticks.join(mid, "symbol").withColumn("_far", F.abs(F.col(x) - F.col("_mid")))
-    mad = far.groupBy("symbol").agg(F.median("_far").alias("_mad"))
-    score = F.try_divide(F.lit(0.6745) * F.col("_far"), F.col("_mad"))
-    return far.join(mad, "symbol").withColumn("outlier", F.coalesce(score > limit, F.lit(False))).drop("_mid", "_far", "_mad")
+    mid = quantiles(ticks, ["symbol"], x, [0.5], "_mid")
+    far = store(ticks.join(mid, "symbol", "left").withColumn("_far", F.abs(F.col(x) - F.col("_mid")[0])))
+    mad = quantiles(far, ["symbol"], "_far", [0.5], "_mad")
+    score = F.try_divide(F.lit(0.6745) * F.col("_far"), F.col("_mad")[0])
+    return far.join(mad, "symbol", "left").withColumn("outlier", F.coalesce(score > limit, F.lit(False))).drop("_mid", "_far", "_mad")
 
 
 def log_returns(ticks: DataFrame, x: str = "price") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.scoring import long, numbered, safe_corr
 from tidemark.operators.series import change, full, last, over
 
@@ -73,8 +74,8 @@ def breaks(df: DataFrame, x: str, y: str = "y", n: int = 30, q: float = 0.9, mos
     r = F.try_divide(full(F.covar_pop(x, y), F.col(x), n), F.nullif(sd(x) * sd(y), F.lit(0.0)))
     df = df.withColumn("_c", r)
     df = df.withColumn("_d", F.abs(F.col("_c") - F.lag("_c").over(over())))
-    bound = df.groupBy("symbol").agg(F.percentile("_d", F.lit(q)).alias("bound"))
-    g = df.join(bound, "symbol").groupBy("symbol", "bound").agg(F.count("*").alias("rows"), F.count("_c").alias("_n"), F.count_if(F.col("_d") > F.col("bound")).alias("n_breaks"))
+    bound = quantiles(df, ["symbol"], "_d", [q], "_q").select("symbol", F.col("_q")[0].alias("bound"))
+    g = df.join(bound, "symbol", "left").groupBy("symbol", "bound").agg(F.count("*").alias("rows"), F.count("_c").alias("_n"), F.count_if(F.col("_d") > F.col("bound")).alias("n_breaks"))
     stable = F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("n_breaks").cast("double"), F.col("_n")))
     return g.select("symbol", "rows", "bound", "n_breaks", F.coalesce(stable, F.lit(0.0)).alias("stability"), (F.col("n_breaks") > most * F.col("rows")).alias("has_breaks"))
 

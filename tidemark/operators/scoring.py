@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import cut_by, quantiles
 from tidemark.operators.series import over
 
 
@@ -17,7 +18,8 @@ def fill(df: DataFrame, columns: list[str], crisis: bool = False) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     if crisis:
         return df.select(*kept, *[F.coalesce(F.first(c, True).over(ahead), F.last(c, True).over(back), F.lit(0.0)).alias(c) for c in columns])
-    mid = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    mid = quantiles(long(df, columns, ()), ["feature"], "x", [0.5], "m")
+    mid = mid.agg(*[F.max(F.when(F.col("feature") == c, F.col("m")[0])).alias(f"_m_{c}") for c in columns])
     df = df.join(F.broadcast(mid))  # one row
     return df.select(*kept, *[F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.col(f"_m_{c}")).alias(c) for c in columns])
 
@@ -90,8 +92,8 @@ def outlier_shares(df: DataFrame, columns: list[str], limit: float = 3.0) -> Dat
 def bins(df: DataFrame, columns: list[str], n: int = 8) -> DataFrame:
     """(feature, bin, y): the quantile bin of each value, by exact percentiles."""
     rows = long(df, columns, ("y",))
-    cuts = rows.groupBy("feature").agg(F.percentile("x", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("cuts"))
-    return rows.join(cuts, "feature").where("x is not null").select("feature", "y", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("bin"))
+    cuts = quantiles(rows, ["feature"], "x", [i / n for i in range(1, n)], "cuts")
+    return rows.join(cuts, "feature").where("x is not null").select("feature", "y", cut_by(F.col("cuts"), F.col("x")).alias("bin"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], n: int = 8) -> DataFrame:
@@ -204,8 +206,8 @@ def stability(df: DataFrame, columns: list[str], periods: int = 4, n: int = 8) -
     df = df.join(F.broadcast(total)).withColumn("period", F.least(F.expr(f"(rn - 1) div greatest(_n div {periods}, 1)"), F.lit(periods - 1)))
     rows = long(df, columns, ("period", "y")).where("x is not null")
     key = ["feature", "period"]
-    cuts = rows.groupBy(*key).agg(F.percentile("x", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("cuts"))
-    c = rows.join(cuts, key).groupBy(*key, "y", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("bin")).agg(F.count("*").alias("n"))
+    cuts = quantiles(rows, key, "x", [i / n for i in range(1, n)], "cuts")
+    c = rows.join(cuts, key).groupBy(*key, "y", cut_by(F.col("cuts"), F.col("x")).alias("bin")).agg(F.count("*").alias("n"))
     w = lambda *k: Window.partitionBy(*key, *k)
     all_, nb, ny = F.sum("n").over(w()), F.sum("n").over(w("bin")), F.sum("n").over(w("y"))
     mi = c.withColumn("t", F.col("n") / all_ * F.ln(F.col("n") * all_ / (nb * ny))).groupBy(*key).agg(F.sum("t").alias("mi"))

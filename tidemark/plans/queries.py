@@ -19,6 +19,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import labeling as L
 from tidemark.operators import memory as Y
 from tidemark.operators import models as M
+from tidemark.operators import neighbours as N
 from tidemark.operators import profiles as P
 from tidemark.operators import resample as R
 from tidemark.operators import scoring as S
@@ -654,6 +655,21 @@ def f8_mutual_information(s, d):
     return S.mutual_information(frame(s, d), FEATURES).select("feature", r6("mi"))
 
 
+KNN = (
+    "kc AS (SELECT *, row_number() OVER (PARTITION BY feature, y ORDER BY symbol, ts) AS i, count(*) OVER (PARTITION BY feature, y) AS c FROM lg)", "ks AS (SELECT *, least(3, c - 1) AS k FROM kc WHERE c > 1)",
+    "kd AS (SELECT a.feature, a.y, a.i, any_value(a.x) AS x, any_value(a.k) AS k, any_value(a.c) AS c, min(abs(a.x - b.x), 4) AS d FROM ks a JOIN ks b ON a.feature = b.feature AND a.y = b.y GROUP BY 1, 2, 3)",
+    "kr AS (SELECT *, d[k + 1] AS r FROM kd)",
+    "km AS (SELECT a.feature, a.y, a.i, any_value(a.k) AS k, any_value(a.c) AS c, count(*) AS m FROM kr a JOIN ks b ON a.feature = b.feature AND CASE WHEN r = 0 THEN b.x = a.x ELSE b.x > a.x - r AND b.x < a.x + r END GROUP BY 1, 2, 3)",
+    "psi AS (SELECT n, sum(CASE WHEN n = 1 THEN 0 ELSE 1.0::DOUBLE / (n - 1) END) OVER (ORDER BY n) - 0.5772156649015329 AS p FROM range(1, (SELECT max(n) + 2 FROM (SELECT count(*) AS n FROM ks GROUP BY feature))) t(n))",
+)
+
+
+@query(q.with_("""SELECT feature, round(greatest(0, (SELECT p FROM psi WHERE n = cnt) + s), 6) AS mi FROM (SELECT feature, count(*) AS cnt, avg(pk.p - pc.p - pm.p) AS s
+ FROM km JOIN psi pk ON pk.n = k JOIN psi pc ON pc.n = c JOIN psi pm ON pm.n = m GROUP BY 1)""", *FR, MI[0], *KNN))
+def f8_mutual_information_knn(s, d):
+    return N.mutual_information_knn(frame(s, d), FEATURES).select("feature", r6("mi"))
+
+
 @query(q.with_("SELECT feature, round((sum(n * (m - mm) * (m - mm)) / (any_value(k) - 1)) / (sum(n * v) / (any_value(nn) - any_value(k))), 4) AS f FROM (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS mm, sum(n) OVER w AS nn, count(*) OVER w AS k FROM (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM lg GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)) GROUP BY 1", *FR, MI[0]))
 def f9_anova(s, d):
     return S.anova(frame(s, d), FEATURES).select("feature", F.round("f", 4).alias("f"))
