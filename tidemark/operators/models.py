@@ -7,14 +7,17 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import scoring
+from tidemark.operators import scoring, trees
+from tidemark.operators.neighbour_join import nearest
+from tidemark.storage import store
 
 ZOO: dict[str, Callable] = {
     "logistic": lambda: LogisticRegression(maxIter=30, labelCol="y"),
@@ -77,8 +80,58 @@ def ridge(train: DataFrame, columns: list[str], alpha: float = 1.0) -> tuple[np.
 CLOSED = {"lda": lda, "ridge": ridge}
 
 
+def _scaled(train: DataFrame, columns: list[str]) -> Column:
+    """The columns as an array, less their training means and over their deviations; constant columns are zero."""
+    r = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    part = lambda i, c: (F.col(c).cast("double") - r[f"m{i}"]) / r[f"s{i}"] if r[f"s{i}"] else F.lit(0.0)
+    return F.array(*[part(i, c) for i, c in enumerate(columns)])
+
+
+def knn(train: DataFrame, test: DataFrame, columns: list[str], k: int = 7) -> DataFrame:
+    """`score`: the share of class 1 among the k nearest training rows in scaled columns, exactly. Rows have symbol and ts, by
+    whose hash equal distances are ordered, and no nulls in the columns."""
+    x = _scaled(train, columns)
+    rows = store(test.withColumn("_q", F.monotonically_increasing_id()))
+    points = train.select(F.xxhash64("symbol", "ts").alias("order"), x.alias("x"), F.col("y").cast("int").alias("y"))
+    near = nearest(rows.select(F.col("_q").alias("q"), x.alias("x")), points, k).select(F.col("q").alias("_q"), (F.size(F.filter("near", lambda s: s["y"] == 1)) / F.size("near")).alias("score"))
+    return rows.join(near, "_q").drop("_q").withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
+
+def extra_trees(train: DataFrame, test: DataFrame, columns: list[str], **options) -> DataFrame:
+    out = trees.scored(test, columns, *trees.extra_trees(train, columns, **options))
+    return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
+
+def boosted(train: DataFrame, test: DataFrame, columns: list[str], **options) -> DataFrame:
+    out = trees.scored(test, columns, *trees.boosted(train, columns, **options))
+    return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
+
+def rbf_svm(train: DataFrame, test: DataFrame, columns: list[str], wide: int = 200, gamma: float | None = None, seed: int = 42) -> DataFrame:
+    """A linear support vector machine on random Fourier features of the scaled columns, whose products approach the kernel
+    exp(-gamma |a - b|^2); gamma is 1 / columns unless given."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0, (2 * (gamma or 1 / len(columns))) ** 0.5, (len(columns), wide))
+    shift = rng.uniform(0, 2 * np.pi, wide)
+    x = _scaled(train, columns)
+
+    def features(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cos(np.stack(v.to_numpy()) @ w + shift) * (2 / wide) ** 0.5)) if len(v) else v
+
+    wave = F.pandas_udf(features, "array<double>")
+    df = lambda d: d.withColumn("features", array_to_vector(wave(x)))
+    fit = LinearSVC(maxIter=50, regParam=1e-4, labelCol="y").fit(df(train.withColumn("y", F.col("y").cast("double"))).select("features", "y"))
+    t = fit.transform(df(test))
+    return t.select(*test.columns, F.element_at(vector_to_array("rawPrediction"), 2).alias("score"), F.col("prediction").cast("int").alias("pred"))
+
+
+OWN: dict[str, Callable] = {"knn": knn, "extra_trees": extra_trees, "rbf_svm": rbf_svm, "boosted_trees": boosted}
+
+
 def scored(train: DataFrame, test: DataFrame, columns: list[str], name: str) -> DataFrame:
     """The test rows with `score` and `pred` of a model fitted on the training rows."""
+    if name in OWN:
+        return OWN[name](train, test, columns)
     if name in CLOSED:
         w, b = CLOSED[name](train, columns)
         score = sum((F.col(c).cast("double") * float(v) for c, v in zip(columns, w)), F.lit(b))
