@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_series import at, ohlc
 from tidemark import schema
+from tidemark.operators.moments import SharedFolds, logistic_singles
 from tidemark.operators import agent, causal, discovery, events, frames, labeling, models, profiles, scoring
 
 
@@ -138,3 +139,46 @@ def test_sessions_stop_in_time(spark):
 def test_event_kinds(spark):
     df = spark.createDataFrame([("momentum_event", 0.1), ("vpd_volatility", 0.1), ("x", 0.01), ("x2", 0.5), ("x3", 0.1)], "event string, frequency double")
     assert [r.kind for r in profiles.event_kind(df).collect()] == ["momentum", "volatility", "breakout", "momentum", "mean_reversion"]
+
+
+def test_shared_folds(spark):
+    """Moments of segments give each fold and mask the weights and AUC of a fit on its own rows; one job scores a population."""
+    df, *_ = table(spark, 240)
+    folds = SharedFolds(df, ["a", "b", "c"], 3)
+    masks = [("a",), ("b",), ("a", "c"), ("a", "b", "c")]
+    for model in ("lda", "ridge"):
+        want = [models.cross_validate(df, list(m), [model], 3).first()["auc"] for m in masks]
+        assert folds.aucs(masks, model) == pytest.approx(want, abs=1e-9)
+    runs = []
+    plain = folds.aucs
+    folds.aucs = lambda *a: runs.append(1) or plain(*a)
+    models.SharedFolds, kept = (lambda *a: folds), models.SharedFolds
+    try:
+        assert "a" in models.genetic_selection(df, ["a", "b", "c"], "lda", 3, population=8, generations=3, least=1)
+    finally:
+        models.SharedFolds = kept
+    assert len(runs) <= 3
+
+
+def test_logistic_singles(spark):
+    """Every key's fit meets the score equations; keys of one class or one value keep their log odds."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, slope in (("up", 2.0), ("down", -0.5), ("none", 0.0)):
+        x = rng.normal(3, 2, 300)
+        rows += [(key, 0, float(v), float(rng.random() < 1 / (1 + np.exp(-slope * (v - 3))))) for v in x]
+    rows += [("same", 0, 1.0, float(i % 2)) for i in range(10)] + [("ones", 1, float(i), 1.0) for i in range(10)]
+    fits = logistic_singles(spark.createDataFrame(rows, "feature string, fold int, x double, y double"), ["feature", "fold"])
+    for key in ("up", "down", "none"):
+        x, y = (np.array([r[i] for r in rows if r[0] == key]) for i in (2, 3))
+        p = 1 / (1 + np.exp(-(fits[key, 0][0] + fits[key, 0][1] * x)))
+        assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * x).sum()) < 1e-5
+    assert fits["same", 0] == (0.0, 0.0) and fits["ones", 1][1] == 0.0 and fits["ones", 1][0] > 10
+
+
+def test_economic_validation(spark):
+    df, *_ = table(spark)
+    got = {r.feature: r for r in discovery.economic_validation(df, ["a", "b"]).collect()}
+    assert got["a"].auc > 0.85 > got["b"].auc and got["a"].total > 0 and got["a"].n_folds == 3
+    slow = {r.feature: r for r in discovery.economic_validation(df, ["a"], "lda").collect()}
+    assert slow["a"].auc == pytest.approx(got["a"].auc)

@@ -127,7 +127,7 @@ def test_granger_finds_the_direction(spark):
 
 def test_genetic_selection():
     fit = lambda cols: 0.5 + 0.1 * len(set(cols) & {"a", "b", "c"})
-    assert {"a", "b", "c"} <= set(models.select_genetic(list("abcdefgh"), fit, generations=20, patience=20))
+    assert {"a", "b", "c"} <= set(models.select_genetic(list("abcdefgh"), lambda masks: [fit(m) for m in masks], generations=20, patience=20))
 
 
 def test_schema_roles():

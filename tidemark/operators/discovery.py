@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import causal, models, scoring
+from tidemark.operators.moments import logistic_singles
 from tidemark.operators.series import over
+from tidemark.storage import store
 
 # Economic mechanisms, with the impact that is typical of them.
 MECHANISMS = {
@@ -168,14 +170,22 @@ def best_approach(singles: DataFrame, groups: DataFrame) -> DataFrame:
 
 def economic_validation(df: DataFrame, features: list[str], model: str = "logistic", k: int = 3) -> DataFrame:
     """Per feature: AUC over folds of a model on it alone, the return of the rows it calls, Sharpe over the folds'
-    returns, and AUC * (1 + |return|). Rows hold y and ret."""
+    returns, and AUC * (1 + |return|). Rows hold y and ret. Logistic fits of all features and folds share their passes."""
     placed = scoring.folds(df.select("symbol", "ts", *features, "ret", F.col("y").cast("double").alias("y")), k)
-    part = lambda i, role: placed.where((F.col("fold") == i) & (F.col("role") == role))
-    out = None
-    for f in features:
-        for i in range(k):
-            t = models.scored(part(i, "train"), part(i, "test"), [f], model).select(F.lit(f).alias("feature"), F.lit(i).alias("fold"), "score", "pred", F.col("y").cast("int").alias("y"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
-            out = t if out is None else out.union(t)
+    if model == "logistic":
+        rows = store(scoring.long(placed.withColumn("ret", F.coalesce("ret", F.lit(0.0))), features, ("fold", "role", "y", "ret")))
+        fits = logistic_singles(rows.where("role = 'train' and x is not null"), ["feature", "fold"])
+        fits = df.sparkSession.createDataFrame([(*key, *ab) for key, ab in fits.items()], "feature string, fold int, a double, b double")
+        score = F.col("a") + F.col("b") * F.col("x")
+        out = rows.where("role = 'test' and x is not null").join(F.broadcast(fits), ["feature", "fold"])  # one row a feature and fold
+        out = out.select("feature", "fold", score.alias("score"), (score > 0).cast("int").alias("pred"), F.col("y").cast("int").alias("y"), "ret")
+    else:
+        part = lambda i, role: placed.where((F.col("fold") == i) & (F.col("role") == role))
+        out = None
+        for f in features:
+            for i in range(k):
+                t = models.scored(part(i, "train"), part(i, "test"), [f], model).select(F.lit(f).alias("feature"), F.lit(i).alias("fold"), "score", "pred", F.col("y").cast("int").alias("y"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
+                out = t if out is None else out.union(t)
     by = ["feature", "fold"]
     money = out.groupBy(*by).agg(F.sum(F.when(F.col("pred") == 1, F.col("ret")).otherwise(0.0)).alias("total"))
     g = scoring.auc(out, by).join(money, by).groupBy("feature").agg(

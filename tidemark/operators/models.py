@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring, trees
+from tidemark.operators.moments import SharedFolds
 from tidemark.operators.neighbour_join import nearest
 from tidemark.storage import store
 
@@ -181,12 +182,12 @@ def holdout_economics(df: DataFrame, columns: list[str], names: list[str], share
 
 
 def genetic_selection(df: DataFrame, columns: list[str], model: str = "lda", k: int = 2, **options) -> list[str]:
-    """select_genetic with the mean AUC of ordered folds as fitness; the closed-form models cost one pass a fold."""
-
-    def fitness(chosen: tuple[str, ...]) -> float:
-        return cross_validate(df, list(chosen), [model], k).first()["auc"] or 0.0
-
-    return select_genetic(columns, fitness, **options)
+    """select_genetic with the mean AUC of ordered folds as fitness. The closed-form models share the folds' moments: a
+    generation is one job, whatever the population; others are fitted mask by mask."""
+    if model in CLOSED:
+        folds = SharedFolds(df, columns, k)
+        return select_genetic(columns, lambda masks: folds.aucs(masks, model), **options)
+    return select_genetic(columns, lambda masks: [cross_validate(df, list(m), [model], k).first()["auc"] or 0.0 for m in masks], **options)
 
 
 def importances(df: DataFrame, columns: list[str], name: str = "random_forest") -> DataFrame:
@@ -195,8 +196,9 @@ def importances(df: DataFrame, columns: list[str], name: str = "random_forest")
     return df.sparkSession.createDataFrame(list(zip(columns, v)), "feature string, score double")
 
 
-def select_genetic(columns: list[str], fitness: Callable[[tuple[str, ...]], float], population: int = 20, generations: int = 10, mutation: float = 0.15, crossover: float = 0.8, tournament: int = 3, patience: int = 5, least: int = 3, seed: int = 42) -> list[str]:
-    """Columns of the fittest mask: tournaments, two-point crossover, bit flips, one survivor a generation."""
+def select_genetic(columns: list[str], fitness: Callable[[list[tuple[str, ...]]], list[float]], population: int = 20, generations: int = 10, mutation: float = 0.15, crossover: float = 0.8, tournament: int = 3, patience: int = 5, least: int = 3, seed: int = 42) -> list[str]:
+    """Columns of the fittest mask: tournaments, two-point crossover, bit flips, one survivor a generation. fitness gets all
+    column sets of a generation that it hasn't seen."""
     rng, n = random.Random(seed), len(columns)
 
     def mend(mask: list[bool]) -> tuple[bool, ...]:
@@ -208,14 +210,16 @@ def select_genetic(columns: list[str], fitness: Callable[[tuple[str, ...]], floa
 
     known: dict[tuple[bool, ...], float] = {}
 
-    def worth(mask: tuple[bool, ...]) -> float:
-        if mask not in known:
-            share = sum(mask) / n
-            known[mask] = fitness(tuple(c for c, b in zip(columns, mask) if b)) - 0.05 * share + (0.01 if share <= 0.3 else 0.0)
-        return known[mask]
+    def learn(masks: list[tuple[bool, ...]]) -> None:
+        new = [m for m in dict.fromkeys(masks) if m not in known]
+        for m, f in zip(new, fitness([tuple(c for c, b in zip(columns, m) if b) for m in new]) if new else ()):
+            share = sum(m) / n
+            known[m] = f - 0.05 * share + (0.01 if share <= 0.3 else 0.0)
 
+    worth = known.__getitem__
     now, best, still = [mend([rng.random() < 0.4 for _ in range(n)]) for _ in range(population)], None, 0
     for _ in range(generations):
+        learn(now)
         ranked = sorted(now, key=worth, reverse=True)
         if best is None or worth(ranked[0]) > worth(best) + 1e-9:
             best, still = ranked[0], 0

@@ -758,6 +758,26 @@ def f19_f21_model_zoo(s, d):
     return S.rank_models(M.cross_validate(frame(s, d), FEATURES, [*M.ZOO, *M.CLOSED], 3))
 
 
+def _knn_parts() -> str:
+    scaled = ", ".join(f"(SELECT avg({c}) FROM tr) AS m_{c}, (SELECT stddev_samp({c}) FROM tr) AS s_{c}" for c in FEATURES)
+    far = " + ".join(f"power((a.{c} - b.{c}) / s_{c}, 2)" for c in FEATURES)
+    return q.with_(f"""SELECT symbol, epoch_ms(ts) AS t, round(list_sum(list_transform(near, lambda v: v.y)) / 7.0, 6) AS score, pred FROM
+ (SELECT symbol, ts, near, CAST(list_sum(list_transform(near, lambda v: v.y)) > 3 AS INT) AS pred FROM (SELECT a.symbol, a.ts, arg_min({{'y': b.y}}, {far}, 7) AS near FROM te a, tr b, sc GROUP BY 1, 2))""",
+        *FR, q.NUM, "tr AS (SELECT * FROM nm WHERE rn <= floor(nn * 0.7))", "te AS (SELECT * FROM nm WHERE rn > floor(nn * 0.7))", f"sc AS (SELECT {scaled})")
+
+
+@query(_knn_parts())
+def f19_knn(s, d):
+    rows = S.split(frame(s, d), 0.7)
+    out = M.knn(rows.where("role = 'train'"), rows.where("role = 'test'"), FEATURES)
+    return out.select("symbol", T(), r6("score"), "pred")
+
+
+@query()
+def f19_own_models(s, d):
+    return S.rank_models(M.cross_validate(frame(s, d), FEATURES, list(M.OWN), 2))
+
+
 def _framed(s, d) -> DataFrame:
     return frame(s, d).withColumn("ret", F.col("fwd"))
 
@@ -1059,11 +1079,41 @@ def k9_k10_discover(s, d):
     return D.discover(frame(s, d), FEATURES, "fwd", 2)
 
 
+_PAIRS = [("f1", "f3"), ("f3", "f4")]
+
+
+def _pair(a: str, b: str) -> str:
+    """F of two columns' lags beside the target's own, by taking one after the other out of what is left."""
+    def rest(x: str, on: str) -> str:
+        return f"{x} - avg({x}) OVER () - regr_slope({x}, {on}) OVER () * ({on} - avg({on}) OVER ()) AS {x}"
+
+    return f"""SELECT '{a}+{b}' AS combination, round((sum(r0 * r0) - sum(y * y)) / 2 / (sum(y * y) / (count(*) - 4)), 3) AS f FROM (SELECT r0, {rest('y', 'b')} FROM (SELECT r0, {rest('y', 'a')}, {rest('b', 'a')} FROM
+ (SELECT {rest('y', 'o')}, {rest('a', 'o')}, {rest('b', 'o')}, y - avg(y) OVER () - regr_slope(y, o) OVER () * (o - avg(o) OVER ()) AS r0 FROM
+ (SELECT f2 AS y, lag(f2) OVER ({q.W}) AS o, lag({a}) OVER ({q.W}) AS a, lag({b}) OVER ({q.W}) AS b FROM fr) WHERE o IS NOT NULL)))"""
+
+
+@query(q.with_(" UNION ALL ".join(_pair(*p) for p in _PAIRS), *FR))
+def k13_multivariate(s, d):
+    df = frame(s, d)
+    return s.createDataFrame([("+".join(p), D.multivariate(df, p, "f2")[0]) for p in _PAIRS], "combination string, f double").select("combination", F.round("f", 3).alias("f"))
+
+
+def _momentum(s, d) -> DataFrame:
+    """The frame with the sign of the six-bar return as the class, which the longer deviation tells something of."""
+    return frame(s, d).withColumn("y", (F.col("f2") > 0).cast("int"))
+
+
 @query()
 def k12_k15_combinations(s, d):
-    df = frame(s, d)
-    groups = [g for g in D.combinations_of(FEATURES, 2, 2) if len(g) == 2][:2]
-    return D.best_approach(D.discover(df, FEATURES, "fwd", 1), D.discover_combinations(df, groups, "lda", 2))
+    df = _momentum(s, d)
+    groups = [g for g in D.combinations_of(["f1", "f3", "f4"], 2, 2) if len(g) == 2]
+    return D.best_approach(D.discover(df, ["f1", "f3", "f4"], "f2", 1), D.discover_combinations(df, groups, "lda", 2))
+
+
+@query()
+def k14_combination_power(s, d):
+    groups = [g for g in D.combinations_of(["f1", "f3", "f4"], 2, 2) if len(g) == 2]
+    return D.discover_combinations(_momentum(s, d), groups, "lda", 2)
 
 
 @query()
