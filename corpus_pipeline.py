@@ -5,9 +5,8 @@ the shared checkpoint folder and reads it back as the next stage's documents.
 
 All stages: an empty table gives an empty result; null and empty texts are documents like any other
 (never rejected by the first four stages, never sampled by the last, which mixes tokens). Repeated rows
-share their decision, and so do rows of one id with different texts where a stage decides by id; the
-secrets of such rows are replaced in each text by itself. Rows without an id stay in the filtering
-stages. Other columns of the documents are carried along. Texts of any length are read whole.
+share their decision. Toxicity and benchmark passages are decided by text, whatever the id; near-duplicates by id, so
+that rows without one stay there, and rows of one id go together. Secrets are replaced in each text by itself. Other columns of the documents are carried along. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,6 +24,13 @@ from tidemark.llm.secret_scan import redact, secret_scan
 from tidemark.llm.toxicity import toxicity
 
 
+def without_texts(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The documents whose text isn't one of those with the digests of `bad`, whatever their ids, with all their columns."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    bad = bad.select(F.col("text_sha256").alias("_digest")).distinct()
+    return docs.join(bad, digest == F.col("_digest"), "left_anti").select(*docs.columns)
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """The documents whose ids aren't in `bad`, with all their columns."""
     return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
@@ -32,7 +38,7 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models don't reject."""
-    return without(docs, toxicity(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return without_texts(docs, toxicity(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return without(docs, decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without_texts(docs, decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,5 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The models and graph searches of the stages can't be written as SQL; tests/llm compares each stage with brute force.
+#: The models and graph searches of the stages can't be written as SQL. tests/llm compares near-duplicates, passages, secrets and the
+#: mixture with plain versions, and holds toxicity to its operator's scores.
 ORACLE_SQL = None

@@ -42,6 +42,43 @@ def test_secret_scan(spark):
     assert secret_scan(empty(spark)).count() == 0
 
 
+def test_ownership(spark):
+    """A secret is counted by itself, whatever stands around it: by owners, and by repositories of one owner."""
+    rows = [(i, f"password=copied1234 x{i}", "en", f"s{i}") for i in range(3)] + [(10 + i, f"passwd: 'copied1234' x{i}", "en", f"t{i}") for i in range(3)]
+    rows += [(20 + i, "token=manyrepos99", f"l{i}", "one") for i in range(7)] + [(30 + i, "secret = fewrepos77", f"l{i}", "one") for i in range(6)]
+    rows += [(40, "api_key=owner1only", "en", "a"), (41, "AKIA" + "Q" * 16, "en", "a"), (42, "a AKIA" + "R" * 16, "en", "b"), (43, "Ab3dEf6hIjKlMnOpQrStUv", "en", "c")]
+    rows += [(50 + i, "Zb3dEf6hIjKlMnOpQrStUv", "en", f"u{i}") for i in range(5)]
+    got = {r.doc_id: (r.n_live, r.n_example, r.spans) for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i][:2] == (0, 1) for i in (0, 1, 2, 10, 11, 12, *range(20, 27))) and all(got[i][:2] == (1, 0) for i in (*range(30, 36), 40, 41, 42, 43))
+    assert got[43][2] == "owned:0:22" and all(got[i] == (0, 0, "") for i in range(50, 55))
+
+
+def test_many_hits_in_one_text(spark):
+    """Thousands of hits in a text, also across the parts that they are summed and redacted in, with code points of several bytes."""
+    import random
+    import time
+
+    r = random.Random(7)
+    some = lambda: r.choice([f"token=abc{r.randrange(10**6):06d}", "AKIA" + "B" * 16, "0123456789abcdef" * 2, "é" * r.randrange(9), "plain words", "x" * 50])
+    texts = [" ".join(some() for _ in range(n)) for n in (3, 300, 12_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    start = time.time()
+    found = secret_scan(docs)
+    rows = docs.join(found.select("doc_id", "found", "base_sha256"), "doc_id").select("doc_id", "base_sha256", redact(F.col("text"), F.col("found")).alias("t")).collect()
+    assert time.time() - start < 60
+    kinds = ("assign", "access", "hex")
+    for row in rows:
+        t = texts[row.doc_id]
+        spans = _base(t)
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        out, at = [], 0
+        for a, _, b in spans:
+            if a >= at:
+                out += [t[at:a], "[REDACTED]"]
+            at = max(at, b)
+        assert row.t == "".join(out) + t[at:]
+
+
 def _edits(a, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(a, 1):
@@ -70,6 +107,11 @@ def test_decontaminate(spark):
         want = [j for j, p in items if p and _edits(plain(p), plain(t)) <= int(len(p) * 0.08)]
         assert got[i] == want
     assert {r.n_items for r in decontaminate(docs, bench.limit(0)).collect()} == {0}
+    parts = sorted(map(repr, out.collect()))
+    assert sorted(map(repr, decontaminate(docs, bench, block_bytes=200).collect())) == parts
+    odd = spark.createDataFrame([(None, texts[0], "i"), (None, "clean", "i"), (7, texts[3], "i"), (7, "clean", "i"), (7, texts[3], "i")], docs.schema)
+    for size in (200, 16 << 20):
+        assert sorted((r.doc_id is None, r.contaminated) for r in decontaminate(odd, bench, block_bytes=size).collect()) == [(False, False), (False, True), (False, True), (True, False), (True, True)]
     assert decontaminate(empty(spark), bench).count() == 0
 
 

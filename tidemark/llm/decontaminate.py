@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,30 +167,52 @@ def _search(shared):
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: float = 0.08, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, start, end, edits) of all regions, in bytes; regions of neighbouring bands may repeat."""
     docs = common.texts(docs, id_col, text_col)
+    parts = [docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(x)), "doc_id long, item_id long, start long, end long, edits int") for x in indexes(benchmark, q, max_edit_rate, block_bytes, item_col, text_col)]
+    return reduce(DataFrame.union, parts)
+
+
+def indexes(benchmark: DataFrame, q: int, max_edit_rate: float, block_bytes: int, item_col: str = "item_id", text_col: str = "text") -> list:
+    """The passages' indexes, one for each part of about `block_bytes` of them."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and length(text) > 0")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    out = None
+    out = []
     for b in range(blocks):
         t = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
-        x = index(t.column("item_id").to_numpy(), t.column("text").to_pylist(), q, max_edit_rate)
-        shared = docs.sparkSession.sparkContext.broadcast(x)
-        part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, start long, end long, edits int")
-        out = part if out is None else out.union(part)
+        out.append(index(t.column("item_id").to_numpy(), t.column("text").to_pylist(), q, max_edit_rate))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_items (passages found in it), items (their sorted ids), contaminated.
+def _told(shared):
+    def run(batches):
+        for batch, raw, off in K.chunks(batches):
+            data, items = FOLD[raw], [set() for _ in range(batch.num_rows)]
+            for x in shared.value:
+                for r, i, *_ in _aligned(x, data, off):
+                    items[r].add(i)
+            yield pa.record_batch({**{c: batch.column(c) for c in ("row", "doc_id", "text_sha256")}, "items": pa.array([sorted(i) for i in items], pa.list_(pa.int64()))})
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 10, max_edit_rate: float = 0.08, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_items (passages found in it), items (their sorted ids), contaminated, text_sha256.
 
     A passage of any length is found where a region is within floor(max_edit_rate * its length) edits of
     it. Null and empty texts, null and empty passages, and an empty benchmark, give no match. Repeated
-    passages are found each, equally near regions each too; repeated rows share their id's matches, and a
-    null id has none. Texts are searched whole, a text longer than a chunk as a chunk of its own. Other
-    columns are not read.
+    passages are found each, equally near regions each too. Every row is told by its own text, also where an id is
+    repeated or null. Texts are searched whole, a text longer than a chunk as a chunk of its own. Other
+    columns are not read. A benchmark above `block_bytes` is searched for in several passes, whose answers meet by row.
     """
-    found = common.cut(matches(docs, benchmark, q, max_edit_rate, id_col=id_col, text_col=text_col).select("doc_id", "item_id").distinct())
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    items = F.coalesce("items", F.array().cast("array<long>"))
-    return out.select("doc_id", F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.size(items) > 0).alias("contaminated"))
+    rows = common.texts(docs, id_col, text_col)
+    parts = indexes(benchmark, q, max_edit_rate, block_bytes)
+    if len(parts) > 1:
+        rows = common.keyed(rows).select(F.col("own_id").alias("doc_id"), "text", F.col("doc_id").alias("row"))
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    told = [rows.mapInArrow(_told(rows.sparkSession.sparkContext.broadcast(x)), "row long, doc_id long, text_sha256 string, items array<long>") for x in parts]
+    out = told[0]
+    if len(told) > 1:
+        out = reduce(DataFrame.union, told).groupBy("row", "doc_id", "text_sha256").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"), "text_sha256")

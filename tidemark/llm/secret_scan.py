@@ -1,9 +1,9 @@
 """Secrets in texts, with corpus-wide ownership. DataFrame functions only.
 
 Base spans come from three patterns (leftmost, not overlapping within a kind). The method adds to
-them: long mixed tokens outside every base span are candidates too, and each candidate value's
-hash is counted over the whole corpus by distinct repositories and owners. A value that many
-owners hold is a copied example; one that few hold is live-looking. A mixed token becomes a span of
+them: long mixed tokens outside every base span are candidates too, and the hash of each candidate secret (of
+an assignment, what is assigned) is counted over the whole corpus by distinct repositories and owners. A value that
+many owners or many repositories hold is a copied example; one that few hold is live-looking. A mixed token becomes a span of
 kind `owned` only if it is owner-specific; base spans stay whatever their owners, and are told
 apart in n_live and n_example.
 
@@ -25,11 +25,18 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 MIXED = r"[A-Za-z0-9+/_-]{20,}+"
+PART, PIECE = 128, 4096  # matches summed together, code points redacted together
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
+def _in_parts(n: Column, f) -> Column:
+    """f(first index from 1) of each part of `PART` elements of an array of n."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / PART).cast("int")), lambda i: f((i * PART + 1).cast("int")))
+
+
 def _spans(text: Column, pattern: str, kind: int, passes=None) -> Column:
-    """Spans of all matches: match i starts after the first i + 1 pieces of split() and i matches."""
+    """Spans of all matches: match i starts after the first i + 1 pieces of split() and i matches. The lengths are summed in
+    parts of `PART` matches and the parts then moved to their places, so that the work grows with the matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
@@ -39,9 +46,15 @@ def _spans(text: Column, pattern: str, kind: int, passes=None) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def place(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), part["out"].alias("spans")))).alias("out"))
+
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    parts = _in_parts(F.size(hits), lambda at: F.aggregate(F.slice(pairs, at, PART), begin, step))
+    placed = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<base:long,spans:{SPAN}>>").alias("out")), place, lambda acc: acc["out"])
+    moved = lambda p: F.transform(p["spans"], lambda s: F.struct((s["start"] + p["base"]).alias("start"), s["kind"].alias("kind"), (s["end"] + p["base"]).alias("end"), s["value"].alias("value")))
+    found = F.flatten(F.transform(placed, moved))
     if passes is not None:
         found = F.filter(found, lambda s: passes(s["value"]))
     return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(SPAN))
@@ -53,7 +66,7 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_scan(
-    docs: DataFrame, max_owners: int = 3, owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"),
+    docs: DataFrame, max_owners: int = 3, max_repos: int = 6, owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"),
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found.
@@ -79,10 +92,11 @@ def secret_scan(
     clear = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     rows = common.store(rows.withColumn("wide", clear).withColumn("row", F.monotonically_increasing_id()))
 
-    hits = rows.select("row", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).withColumn("vh", F.sha2(F.col("s.value"), 256))
+    secret = F.when(F.col("s.kind") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value"))
+    hits = rows.select("row", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).withColumn("vh", F.sha2(secret, 256))
     owned = hits.groupBy("vh", "owner", "repo").agg(F.count("*").alias("n")).groupBy("vh", "owner").agg(F.count("*").alias("repos"))
     owned = common.cut(owned.groupBy("vh").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")))
-    live = (F.col("n_owners") <= max_owners).alias("live")
+    live = ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live")
     told = hits.join(owned, "vh").select("row", F.struct("s.start", "s.kind", "s.end", "s.value", live).alias("s"))
     told = told.where("s.kind < 3 or s.live").groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("found"))
 
@@ -99,14 +113,22 @@ def secret_scan(
 
 
 def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with every live span replaced."""
+    """The text with every live span replaced; spans that overlap get one mark. The text is cut into pieces of `PIECE` code points,
+    each rebuilt from the spans that reach into it, so that the work grows with the text."""
     live = F.filter(found, lambda s: s["live"])
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def rebuilt(piece: Column, i: Column) -> Column:
+        low = (i * PIECE).cast("long")
+        high = low + F.char_length(piece)
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, (acc["at"] - low + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            put = F.when((s["start"] >= acc["at"]) & (s["start"] >= low), F.lit(mark)).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], F.least(s["end"], high)).alias("at"), F.concat(acc["out"], gap, put).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        put = F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, put).alias("out"))
+        inside = F.filter(live, lambda s: (s["start"] < high) & (s["end"] > low))
+        begin = F.struct(low.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(inside, begin, step, lambda acc: F.concat(acc["out"], F.substring(piece, (acc["at"] - low + 1).cast("int"), F.lit(PIECE))))
 
-    done = F.aggregate(live, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    return F.when(F.coalesce(F.size(live), F.lit(0)) > 0, done).otherwise(text)
+    return F.when(F.coalesce(F.size(live), F.lit(0)) > 0, F.array_join(F.transform(pieces, rebuilt), "")).otherwise(text)

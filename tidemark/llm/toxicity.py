@@ -197,7 +197,7 @@ def _scorer(model: Model, segment: int, curve: bool, broadcast):
             x = features(m, data, off, segment)
             if curve:
                 z = np.clip(x @ m.curve[1:] + m.curve[0], -30, 30)
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-z)))})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "score": pa.array(1 / (1 + np.exp(-z)))})
             else:
                 yield pa.record_batch({"y": batch.column("y").cast(pa.int64()), **{f"x{j}": pa.array(x[:, j]) for j in range(N_FEATURES)}})
 
@@ -223,7 +223,7 @@ def toxicity(
     docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 4_000, max_ordinary: int = 8_000,
     segment: int = 4, threshold: float = 0.5, least: int = 2, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+    """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), text_sha256.
 
     Learns only from labelled rows that are not held out: about max_toxic and max_ordinary of them
     (a documented bound; picked by a hash of the id), three quarters for the models and one quarter
@@ -232,13 +232,13 @@ def toxicity(
     is 0.0. Repeated rows score alike. Other columns of either table are not read.
     """
     docs = common.texts(docs, id_col, text_col)
-    spark = docs.sparkSession
+    spark, digest = docs.sparkSession, F.sha2(F.coalesce("text", F.lit("")), 256)
     held = common.fold("doc_id", held_out_of) == held_out_is
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held)
     count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (count.get(0) and count.get(1)):
-        return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), digest.alias("text_sha256"))
     picked = [common.bounded_sample(known.where(F.col("y") == y), "doc_id", b, count[y]) for y, b in ((0, max_ordinary), (1, max_toxic))]
     sample = docs.join(picked[0].union(picked[1]).dropDuplicates(["doc_id"]), "doc_id")
     sample = common.store(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "y"]).drop("same"))
@@ -255,5 +255,5 @@ def toxicity(
     else:
         model.curve = np.array([-1.0, *[1.0] * N_FEATURES])  # too few labels for a fit
     shared = spark.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(_scorer(None, segment, True, shared), "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.withColumn("text_sha256", digest).mapInArrow(_scorer(None, segment, True, shared), "doc_id long, text_sha256 string, score double")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_sha256")
