@@ -221,7 +221,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out_is: int = 0, max_toxic: int = 4_000, max_ordinary: int = 8_000,
-    segment: int = 4, threshold: float = 0.5, least: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    segment: int = 4, threshold: float = 0.5, least: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), text_sha256.
 
