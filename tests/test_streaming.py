@@ -1,6 +1,11 @@
 import datetime as dt
+import random
 
+import pytest
+
+from tidemark.operators import bars, events
 from tidemark.operators.resample import ohlcv
+from tidemark.streaming import folds
 from tidemark.streaming.bars import stream_time_bars
 
 
@@ -15,3 +20,54 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     got = {tuple(r) for r in spark.table("bars").collect()}
     want = {tuple(r) for r in ohlcv(ticks, 30, price="price").collect()}
     assert got and got <= want and len(want) - len(got) <= 2  # the last bar stays open
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", folds.STORE)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def _streamed(spark, tmp_path, rows, make, name):
+    """Rows in three files, each out of order, one file a micro-batch; what came out and the last watermark's time."""
+    parts = [rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3] for i in range(3)]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part[::-1], SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return {tuple(r) for r in spark.table(name).collect()}
+
+
+SCHEMA = "symbol string, ts timestamp, seq long, close double, volume double"
+
+
+def _rows():
+    r, t0 = random.Random(5), dt.datetime(2024, 1, 1)
+    price, rows = {"A": 100.0, "B": 50.0}, []
+    for i in range(240):
+        s = "AB"[i % 3 == 0]
+        price[s] = max(1.0, price[s] + r.choice([-0.5, 0.25, 0.5]))
+        rows.append((s, t0 + dt.timedelta(minutes=i), i, price[s], float(r.randrange(5)) if i % 11 else None))
+    return rows
+
+
+def test_streamed_threshold_bars_equal_batch(rocks, tmp_path):
+    rows = _rows()
+    batch = bars.threshold_bars(rocks.createDataFrame(rows, SCHEMA), "volume", 17)
+    want = {(r.symbol, r.ts, r.seq, r.volume) for r in batch.collect()}
+    got = _streamed(rocks, tmp_path, rows, lambda s: folds.stream_threshold_bars(s, "volume", 17, "30 minutes"), "threshold")
+    last = max(r[1] for r in rows) - dt.timedelta(minutes=30)
+    assert got == {w for w in want if w[1] <= last}
+    assert len(got) > 20
+
+
+def test_streamed_cusum_equals_batch(rocks, tmp_path):
+    rows = _rows()
+    batch = events.cusum(rocks.createDataFrame(rows, SCHEMA), 0.5, 0.05, 16)
+    want = {(r.symbol, r.ts, round(r.cusum_pos, 12), round(r.cusum_neg, 12), r.cusum_event) for r in batch.collect()}
+    got = _streamed(rocks, tmp_path, rows, lambda s: folds.stream_cusum(s, 0.5, 0.05, 16, "2 minutes"), "cusum")
+    got = {(s, t, round(p, 12), round(n, 12), e) for s, t, _, p, n, e in got}
+    last = max(r[1] for r in rows) - dt.timedelta(minutes=2)
+    assert len(got) > 200 and got == {w for w in want if w[1] <= last}
