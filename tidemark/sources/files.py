@@ -31,13 +31,13 @@ def read_klines(spark: SparkSession, path: str, symbol: str = "SYM") -> DataFram
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None, order: str = "ts") -> DataFrame:
-    """A table by its suffix: parquet, csv (with header), json, or a workbook where its reader is installed.
+    """A table by its suffix: parquet, csv (with header), json or xlsx (the first sheet, read in parts).
 
-    `limit` keeps the first rows by `order` (a top-k: no full sort). Other suffixes are a ValueError,
+    `limit` keeps the first rows by `order` (a top-k: no full sort). Other suffixes are a ValueError (the binary xls too),
     pickles too, as reading one runs its code; a path that isn't there is a FileNotFoundError.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind not in ("parquet", "csv", "json", "xlsx", "xls"):
+    if kind not in ("parquet", "csv", "json", "xlsx"):
         raise ValueError(f"unsupported file type: {path}")
     try:
         if kind == "parquet":
@@ -47,11 +47,13 @@ def load(spark: SparkSession, path: str, schema: str | None = None, limit: int |
         elif kind == "json":
             df = spark.read.schema(schema).json(path) if schema else spark.read.json(path)
         else:
-            import pandas as pd
+            from tidemark.sources.workbooks import register
 
-            df = spark.createDataFrame(pd.read_excel(path))  # a workbook is a small file of one machine
+            register(spark)
+            reader = spark.read.format("workbook")
+            df = (reader.schema(schema) if schema else reader).load(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
+        if "PATH_NOT_FOUND" in str(e) or "FileNotFoundError" in str(e):
             raise FileNotFoundError(path) from e
         raise
     return df if limit is None else df.orderBy(order).limit(limit)
