@@ -128,7 +128,8 @@ def _rest(counts):
     return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
-def test_toxicity_models_against_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_toxicity_models_against_brute_force(spark, least):
     """Both ratios of every word, from counters in plain Python."""
     from tidemark.llm import kernels as K
     from tidemark.llm import toxicity as T
@@ -152,7 +153,7 @@ def test_toxicity_models_against_brute_force(spark):
         return max(cont[b, y] - d1[y], 0) / n + left * (max(held.get(b, 0) - ds1, 0) / total + even)
 
     def p_pair(a, b, y):
-        kept = [x for x in bigrams if x[0] == a and sum(pair[(*x, k)] for k in (0, 1)) >= 2]
+        kept = [x for x in bigrams if x[0] == a and sum(pair[(*x, k)] for k in (0, 1)) >= least]
         if not kept:
             return p_word(b, y)
         n, ns = sum(pair[(*x, y)] for x in bigrams if x[0] == a), sum(both[x] for x in bigrams if x[0] == a)
@@ -161,7 +162,7 @@ def test_toxicity_models_against_brute_force(spark):
         own = (max(pair[a, b, y] - d2[y], 0) / max(n, 1), max(both[a, b] - ds2, 0) / ns) if (a, b) in kept else (0.0, 0.0)
         return own[0] + lam * (own[1] + low * p_word(b, y))
 
-    model = T.fit(spark.createDataFrame(texts, "text string, y int"))
+    model = T.fit(spark.createDataFrame(texts, "text string, y int"), least)
     for t in (texts[0][0], texts[1][0] + " unheard words here"):
         data = np.frombuffer(t.encode(), np.uint8)
         h, first = T.tokens(data, np.array([0, len(data)]))

@@ -11,8 +11,8 @@ interpolates four levels with absolute discounts n1 / (n1 + 2 n2), one per class
 Levels 2 and 4 are the same for both classes. A rare word or bigram takes most of its probability
 from there, so one sighting tells little, while a frequent expression keeps its class's probability.
 Since a shared count is of classes and not of occurrences, what one class says often gains nothing
-in the other. Words are never dropped; bigrams seen `least` - 1 times go to the backoff, whose mass
-grows by theirs, so that probabilities still sum to one.
+in the other. Nothing is dropped for being rare; with `least` above 1 rarer bigrams would go to the backoff, whose
+mass grows by theirs, so that probabilities still sum to one. The models hold counts, and of bigrams seen once only their keys.
 
 The log-likelihoods of both models are compared by words (levels 3 and 4) and by bigrams (all four),
 over the whole text and over segments of `segment` words, each divided by its length. The whole
@@ -80,21 +80,41 @@ class Model:
     word_p: np.ndarray  # (n, 2) levels 3 and 4
     unseen_p: np.ndarray  # (2,)
     pair: np.ndarray
-    pair_p: np.ndarray  # (n, 2) the parts of levels 1 and 2
+    pair_n: np.ndarray  # (n, 2) occurrences
+    once: tuple[np.ndarray, np.ndarray]  # sorted keys of the bigrams seen once in all, in either class
+    off: np.ndarray  # (3,) discounts of the classes' and the shared bigrams
     ctx: np.ndarray
-    ctx_back: np.ndarray  # (n, 2) mass that a context leaves to the words
+    ctx_n: np.ndarray  # (n, 2) occurrences of a context, at least 1
+    ctx_shared: np.ndarray  # (n,) the same, of classes
+    ctx_left: np.ndarray  # (n, 2) mass that a context leaves to the shared bigrams
+    ctx_back: np.ndarray  # (n,) what those leave of it to the words
     curve: np.ndarray | None = None
 
     def ratios(self, h: np.ndarray, prev: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word, by words and by bigrams: (n, 2)."""
         p = _look(self.word, self.word_p, h, self.unseen_p)
-        back = _look(self.ctx, self.ctx_back, prev, np.ones(2))
-        top = _look(self.pair, self.pair_p, pair_key(prev, h), np.zeros(2))
+        at, n = K.find(self.ctx, prev), self.pair_counts(pair_key(prev, h))
+        known = at >= 0
+        top, back = np.zeros((len(h), 2)), np.ones((len(h), 2))
+        at, n = at[known], n[known]
+        shared = np.maximum((n > 0).sum(axis=1) - self.off[2], 0) / self.ctx_shared[at] if len(at) else np.zeros(0)
+        top[known] = np.maximum(n - self.off[:2], 0) / self.ctx_n[at] + self.ctx_left[at] * shared[:, None]
+        back[known] = self.ctx_left[at] * self.ctx_back[at][:, None]
         both = np.log(top + back * p)
         p = np.log(p)
         return np.stack([p[:, 1] - p[:, 0], both[:, 1] - both[:, 0]], 1)
 
 
+    def pair_counts(self, key: np.ndarray) -> np.ndarray:
+        """Occurrences of bigrams, (n, 2)."""
+        at = K.find(self.pair, key)
+        n = self.pair_n[at].astype(np.int64) if len(self.pair) else np.zeros((len(key), 2), np.int64)
+        n[at < 0] = 0
+        for y, keys in enumerate(self.once):
+            n[K.find(keys, key) >= 0, y] = 1
+        return n
+
+
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K.mix(a * np.uint64(3) + K.mix(b))
 
@@ -123,7 +143,7 @@ def _used(c: str, d: float, kept=None):
     return F.sum(x if kept is None else F.when(kept, x).otherwise(F.lit(0.0)))
 
 
-def fit(rows: DataFrame, least: int = 2) -> Model:
+def fit(rows: DataFrame, least: int = 1) -> Model:
     """The two models from (text, y); y is 1 for toxic texts."""
     n_classes = ((F.col("ord") > 0).cast("int") + (F.col("tox") > 0).cast("int")).alias("both")
     pairs = rows.mapInArrow(_bigrams, "a long, b long, tox long, ord long").groupBy("a", "b").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
@@ -154,15 +174,12 @@ def fit(rows: DataFrame, least: int = 2) -> Model:
     x, count = x.view(np.uint64)[o3], np.maximum(np.stack([c0, c1], 1)[o3], 1).astype(float)
     lam = 1 - np.stack([u0, u1], 1)[o3] / count  # a class without the context leaves all
     lam_shared = 1 - us[o3] / cs[o3]
-    a2, b2, q0, q1, qs = _arrays(pairs.where(kept), "a", "b", "ord", "tox", "both")
-    a2, b2 = a2.view(np.uint64), b2.view(np.uint64)
-    at = np.searchsorted(x, a2)
-    top = np.zeros((0, 2))
-    if len(a2):
-        top = np.maximum(np.stack([q0, q1], 1) - np.array([e0, e1]), 0) / count[at] + lam[at] * (np.maximum(qs - es, 0) / cs[o3][at])[:, None]
-    key = pair_key(a2, b2)
-    o2 = np.argsort(key)
-    return Model(b.view(np.uint64)[order], p[order], left * even, key[o2], top[o2], x, lam * lam_shared[:, None])
+    a2, b2, q0, q1 = _arrays(pairs.where(kept), "a", "b", "ord", "tox")
+    key, q = pair_key(a2.view(np.uint64), b2.view(np.uint64)), np.stack([q0, q1], 1)
+    many = q.sum(axis=1) > 1
+    o2 = np.flatnonzero(many)[np.argsort(key[many])]
+    once = tuple(np.sort(key[~many & (q[:, y] == 1)]) for y in (0, 1))
+    return Model(b.view(np.uint64)[order], p[order], left * even, key[o2], q[o2].astype(np.uint32), once, np.array([e0, e1, es]), x, count.astype(np.uint32), cs[o3].astype(np.uint32), lam, lam_shared)
 
 
 def features(model: Model, data: np.ndarray, off: np.ndarray, segment: int) -> np.ndarray:
@@ -248,6 +265,7 @@ def toxicity(
     t = sample.where(part == 0).mapInArrow(_scorer(None, segment, False, shared), "y long, " + ", ".join(f"x{j} double" for j in range(N_FEATURES))).toArrow()
     x = np.column_stack([t.column(f"x{j}").to_numpy() for j in range(N_FEATURES)])
     y = t.column("y").to_numpy().astype(float)
+    shared.destroy()  # the curve's copy of the models follows
     if len(set(y)) == 2:
         model.curve = logistic(x, y)
         odds = y.mean() / (1 - y.mean())  # of the sample; the labels' own odds take their place
