@@ -24,11 +24,11 @@ PREFERRED = {
     "breakout": ("random_forest", "gradient_boosting", "linear_svm"), "mean_reversion": ("logistic", "ridge", "lda"), "momentum": ("gradient_boosting",),
     "volatility": ("random_forest", "gradient_boosting"), "volume": ("naive_bayes", "random_forest"), "pattern": ("linear_svm", "gradient_boosting"),
 }
-# What is known of some kinds of events.
+# Feature groups, horizons and risks of some kinds of events.
 APPROACH = {
-    "breakout": {"features": "price_action_and_volume", "time_horizon": "short_term", "risk": "high_false_positive_risk", "insight": "Breakout events require price and volume confirmation"},
-    "mean_reversion": {"features": "statistical_indicators", "time_horizon": "medium_term", "risk": "timing_critical", "insight": "Mean reversion works better in sideways markets"},
-    "momentum": {"features": "trend_and_momentum_indicators", "time_horizon": "variable", "risk": "regime_dependent", "insight": "Momentum strategies highly regime-dependent"},
+    "breakout": {"features": "price_action_and_volume", "time_horizon": "short_term", "risk": "high_false_positive_risk", "insight": "a break of a level counts once volume goes with it"},
+    "mean_reversion": {"features": "statistical_indicators", "time_horizon": "medium_term", "risk": "timing_critical", "insight": "returns to the mean are likelier where there is no trend"},
+    "momentum": {"features": "trend_and_momentum_indicators", "time_horizon": "variable", "risk": "regime_dependent", "insight": "how long a move lasts depends on the regime"},
 }
 
 
@@ -96,9 +96,9 @@ def reason(event: dict[str, Any], kind: str, regime: str) -> dict[str, Any]:
     """Confidence and insights about an event; event has frequency and quality."""
     confidence, insights = 0.5, [APPROACH[kind]["insight"]] if kind in APPROACH else []
     for holds, factor, text in (
-        (regime == "CRISIS", 0.8, "Crisis regime: Focus on defensive features and robust models"), (regime == "SIDEWAYS_LOW_VOL", 1.2, "Low volatility: Mean reversion strategies may work well"),
-        (event["quality"] < 0.8, 0.9, "Low data quality detected - using robust preprocessing"), (event["frequency"] < 0.05, 0.8, "Rare event - risk of overfitting"),
-        (event["frequency"] > 0.4, 0.9, "Common event - may lack predictive power"),
+        (regime == "CRISIS", 0.8, "in a crisis, prefer few features and simple models"), (regime == "SIDEWAYS_LOW_VOL", 1.2, "a calm sideways market favours returns to the mean"),
+        (event["quality"] < 0.8, 0.9, "the data has gaps; fill and screen it with care"), (event["frequency"] < 0.05, 0.8, "few cases: a fit may not carry over"),
+        (event["frequency"] > 0.4, 0.9, "so frequent an event may say little"),
     ):
         if holds:
             confidence *= factor
@@ -150,6 +150,10 @@ def prepare(df: DataFrame, columns: list[str], regime: str = "") -> tuple[DataFr
     return df, [c for c in columns if c not in gone]
 
 
+RUN_SCHEMA = "run_id long, label string, regime string, model string, auc double, f1 double, precision double, ret double, sharpe double, win_rate double, trades long, features array<string>"
+RUN_COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+
+
 @dataclass
 class Session:
     """A research session over labels with a time budget; it stops after `stop` of it, between labels.
@@ -179,7 +183,8 @@ class Session:
         return rows.select(F.lit(label).alias("label"), F.lit(self.regime).alias("regime"), "model", "auc", "f1", "precision", "ret", "sharpe", "win_rate", "trades", F.lit(chosen).cast("array<string>").alias("features"))
 
     def run(self, labels: Iterable[str], get: Callable[[str], tuple[DataFrame, list[str]]]) -> DataFrame | None:
-        start, n = time.monotonic(), 0
+        start = time.monotonic()
+        n = 0 if self.runs is None else (self.runs.agg(F.max("run_id")).first()[0] or -1) + 1
         for label in labels:
             if time.monotonic() - start > self.stop * self.seconds:
                 self.skipped.append(label)
@@ -188,7 +193,7 @@ class Session:
             # the table of runs is small: one row a model and label
             rows = [(n + i, *r) for i, r in enumerate(self.one(label, *get(label), kind).orderBy("model").collect())]
             n += len(rows)
-            new = self.spark.createDataFrame(rows, "run_id long, label string, regime string, model string, auc double, f1 double, precision double, ret double, sharpe double, win_rate double, trades long, features array<string>")
+            new = self.spark.createDataFrame(rows, RUN_SCHEMA)
             self.runs = new if self.runs is None else self.runs.union(new)
         return self.runs
 

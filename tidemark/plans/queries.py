@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.operators import agent as A
+from tidemark.operators import archive as V
 from tidemark.operators import bars as B
 from tidemark.operators import causal as K
 from tidemark.operators import discovery as D
@@ -26,6 +27,7 @@ from tidemark.operators import scoring as S
 from tidemark.operators.chunked import running_total
 from tidemark.operators.series import change, ema, full, over
 from tidemark.plans import sql as q
+from tidemark.storage import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1130,3 +1132,32 @@ def k21_k22_investigation(s, d):
 @query()
 def k23_out_of_sample(s, d):
     return D.out_of_sample(frame(s, d), ["f1", "f2"], "2024-01-20", "fwd", 1)
+
+
+@query(q.with_("SELECT run_id, label, model, round(auc, 6) AS auc, trades FROM runs WHERE label <> 'S0'", *SQL_RUNS))
+def s8_saved_runs(s, d):
+    """Two sessions' runs, saved and read again but for one label's."""
+    path, rows = folder(s), runs(s, d)
+    V.save_runs(rows.where("regime = 'BULL'"), path)
+    V.save_runs(rows.where("regime <> 'BULL'"), path)
+    return V.load_runs(s, path, [f"S{i}" for i in range(1, 8)]).select("run_id", "label", "model", r6("auc"), "trades")
+
+
+@query(q.with_("SELECT label AS event, model AS feature, round(arg_max(ret, run_id), 6) AS total FROM runs WHERE run_id % 1000 // 10 < 4 GROUP BY 1, 2", *SQL_RUNS))
+def k18_saved_knowledge(s, d):
+    """Each feature's last run is kept twice; the later session's word stands."""
+    w = Window.partitionBy("label", "model").orderBy(F.desc("run_id"))
+    last = runs(s, d).where("run_id % 1000 div 10 < 4").withColumn("n", F.row_number().over(w)).where("n = 1")
+    known = last.select(F.col("label").alias("event"), F.col("model").alias("feature"), F.lit("m").alias("mechanism"), F.col("auc").alias("strength"), F.col("ret").alias("total"))
+    path = folder(s)
+    V.save_knowledge(known.withColumn("total", F.col("total") - 1), path)
+    V.save_knowledge(known, path)
+    return V.load_knowledge(s, path, ["S0", "S1", "S2", "S3"]).select("event", "feature", r6("total"))
+
+
+@query()
+def f29_pipeline(s, d):
+    df = _framed(s, d)
+    get = lambda label: (df.withColumn("y", (F.col("fwd") > (0.0 if label == "up" else 0.002)).cast("int")), FEATURES)
+    out = V.research_pipeline(s, ["up", "far_up"], get, folder(s), {"models": ("lda", "ridge"), "folds": 2, "quick": True})
+    return out["results"].select("label", "rank", "model", "auc", "score", "ret", "trades")
