@@ -2,7 +2,8 @@
 
 Rows only ever move by (symbol, chunk of time) or (symbol, block of rows). What has to cross a border is either
 copied as a halo (the rows a bounded frame looks back on) or carried by a table with one row for each symbol
-and chunk (counts, totals, last values), which alone is ordered by symbol.
+and chunk (counts, totals, last values), which alone is ordered by symbol. That table is made from the rows and joined back
+to them, so the rows are stored first: operators that follow each other would otherwise double their plan each time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import store
+
 CHUNK, BLOCK = 7 * 86400, 65_536  # seconds, rows
 
 
@@ -35,7 +38,7 @@ def running_total(df: DataFrame, value: Column, key: list[str], order: list[str]
 
 def placed(df: DataFrame, order: tuple[str, ...] = ("ts",), seconds: int = CHUNK) -> DataFrame:
     """Rows with `_rn`, their 1-based place in their symbol's order."""
-    df = df.withColumn("_c", chunk_of(order[0], seconds))
+    df = store(df).withColumn("_c", chunk_of(order[0], seconds))
     parts = before(df.groupBy("symbol", "_c").agg(F.count("*").alias("_s")), ["symbol"], "_c", "_s", "_before")
     w = Window.partitionBy("symbol", "_c").orderBy(*order)
     return df.join(parts, ["symbol", "_c"]).withColumn("_rn", F.row_number().over(w) + F.col("_before")).drop("_c", "_before")
@@ -63,7 +66,7 @@ def in_blocks(df: DataFrame, f: Callable[[DataFrame], DataFrame], back: int, ahe
 
 def carried(rows: DataFrame, value: str, order: list[str], seconds: int = CHUNK) -> DataFrame:
     """rows (symbol, ts, ...) with `value` replaced by its last non-null at or before each row, in the given order."""
-    rows = rows.withColumn("_c", chunk_of("ts", seconds))
+    rows = store(rows).withColumn("_c", chunk_of("ts", seconds))
     place = F.struct(*order)
     tails = rows.groupBy("symbol", "_c").agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("_t"))
     past = Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
