@@ -25,6 +25,7 @@ broadcast are bounded by that sample's text.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]]
 START = np.uint64(1)
 NTH = (0, 1, 3)  # which of the strongest segments are features
 N_FEATURES = 2 * (1 + len(NTH))
+PARTS = 8
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +176,20 @@ def fit(rows: DataFrame, least: int = 1) -> Model:
     x, count = x.view(np.uint64)[o3], np.maximum(np.stack([c0, c1], 1)[o3], 1).astype(float)
     lam = 1 - np.stack([u0, u1], 1)[o3] / count  # a class without the context leaves all
     lam_shared = 1 - us[o3] / cs[o3]
-    a2, b2, q0, q1 = _arrays(pairs.where(kept), "a", "b", "ord", "tox")
-    key, q = pair_key(a2.view(np.uint64), b2.view(np.uint64)), np.stack([q0, q1], 1)
-    many = q.sum(axis=1) > 1
-    o2 = np.flatnonzero(many)[np.argsort(key[many])]
-    once = tuple(np.sort(key[~many & (q[:, y] == 1)]) for y in (0, 1))
-    return Model(b.view(np.uint64)[order], p[order], left * even, key[o2], q[o2].astype(np.uint32), once, np.array([e0, e1, es]), x, count.astype(np.uint32), cs[o3].astype(np.uint32), lam, lam_shared)
+    key, q, once = [], [], ([], [])
+    for part in range(PARTS):  # some at a time: the driver holds no more than these beside the finished arrays
+        mine = pairs.where(kept & (F.pmod(F.xxhash64("a"), F.lit(PARTS)) == part)).select("a", "b", F.col("ord").cast("int").alias("ord"), F.col("tox").cast("int").alias("tox"))
+        a2, b2, q0, q1 = _arrays(mine, "a", "b", "ord", "tox")
+        k, many = pair_key(a2.view(np.uint64), b2.view(np.uint64)), q0 + q1 > 1
+        key.append(k[many])
+        q.append(np.stack([q0, q1], 1)[many].astype(np.uint32))
+        for y, c in enumerate((q0, q1)):
+            once[y].append(k[~many & (c == 1)])
+    key, q, once = np.concatenate(key), np.concatenate(q), tuple(np.sort(np.concatenate(o)) for o in once)
+    o2 = np.argsort(key)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return Model(b.view(np.uint64)[order], p[order], left * even, key[o2], q[o2], once, np.array([e0, e1, es]), x, count.astype(np.uint32), cs[o3].astype(np.uint32), lam, lam_shared)
 
 
 def features(model: Model, data: np.ndarray, off: np.ndarray, segment: int) -> np.ndarray:
