@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import memory, models, profiles, scoring
+from tidemark.storage import store
 
 # Model sets by situation and the models that kinds of events prefer.
 EXPLORE = ("random_forest", "logistic", "naive_bayes")
@@ -215,7 +216,8 @@ def adaptive(spark, labels: list[str], get, profile: DataFrame, regime: str = "S
 
 def research(df: DataFrame, columns: list[str], k: int = 10, names: tuple[str, ...] = ("logistic", "random_forest", "gradient_boosting"), folds: int = 3) -> dict[str, Any]:
     """All steps for one label (y, ret): prepared columns, combined scores, chosen features, models' metrics and ranks, economics, stability."""
-    df, columns = prepare(df, columns)
+    df, columns = prepare(store(df.select("symbol", "ts", *columns, "y", "ret")), columns)
+    df = store(df)  # read by every step below
     parts = [scoring.mutual_information(df, columns).select(F.lit("mi").alias("method"), "feature", F.col("mi").alias("score"))]
     parts += [scoring.anova(df, columns).select(F.lit("anova"), "feature", "f"), models.importances(df, columns).select(F.lit("forest"), "feature", "score"), scoring.target_correlation(df, columns).select(F.lit("corr"), "feature", "r")]
     scores = parts[0]

@@ -12,7 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import agent, models
+from tidemark.operators import agent, models, scoring
+from tidemark.storage import store
 
 DEFAULTS = {"most_features": 15, "genetic": True, "models": ("logistic", "lda", "ridge"), "folds": 3, "quick": False, "seconds": 3600.0}
 
@@ -109,12 +110,13 @@ def research_pipeline(spark: SparkSession, labels: Iterable[str], get: Callable[
             skipped.append(label)
             continue
         df, columns = get(label)
+        df = store(df.select("symbol", "ts", *columns, "y", "ret"))
         out = agent.research(df, columns, cfg["most_features"], cfg["models"], cfg["folds"])
         chosen, ranked = out["features"], out["models"]
         if cfg["genetic"] and len(chosen) > 2:
-            chosen = models.genetic_selection(agent.prepare(df, columns)[0], chosen, "lda", cfg["folds"], population=20, generations=10, least=min(3, len(chosen)))
-            ranked = models.cross_validate(agent.prepare(df, columns)[0], chosen, list(cfg["models"]), cfg["folds"])
-            ranked = agent.scoring.rank_models(ranked)
+            filled = store(agent.prepare(df, columns)[0])
+            chosen = models.genetic_selection(filled, chosen, "lda", cfg["folds"], population=20, generations=10, least=min(3, len(chosen)))
+            ranked = scoring.rank_models(models.cross_validate(filled, chosen, list(cfg["models"]), cfg["folds"]))
         place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "model"))
         rows = ranked.join(out["economics"], "model", "left").withColumn("label", F.lit(label)).withColumn("rank", place)
         _append(spark.createDataFrame([(label, c) for c in chosen], "label string, feature string"), f"{base}/chosen", "label")

@@ -1158,6 +1158,5 @@ def k18_saved_knowledge(s, d):
 @query()
 def f29_pipeline(s, d):
     df = _framed(s, d)
-    get = lambda label: (df.withColumn("y", (F.col("fwd") > (0.0 if label == "up" else 0.002)).cast("int")), FEATURES)
-    out = V.research_pipeline(s, ["up", "far_up"], get, folder(s), {"models": ("lda", "ridge"), "folds": 2, "quick": True})
+    out = V.research_pipeline(s, ["up_label"], lambda label: (df, FEATURES), folder(s), {"models": ("lda", "ridge"), "folds": 2, "quick": True})
     return out["results"].select("label", "rank", "model", "auc", "score", "ret", "trades")
