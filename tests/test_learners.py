@@ -129,3 +129,18 @@ def test_one_class_and_nulls(spark):
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, f double, y int")
     for name in ("extra_trees", "boosted_trees"):
         assert {x.pred for x in models.scored(df, df, ["f"], name).collect()} == {1}
+
+
+def test_nearest_over_many_partitions(spark):
+    """Queries meet their points where the pairs of blocks lie in several shuffle partitions, and blocks may be without points."""
+    r = random.Random(3)
+    points = [(i, [r.gauss(0, 1), r.gauss(0, 1)], i % 2) for i in range(400)]
+    p = spark.createDataFrame(points, "order long, x array<double>, y int")
+    q = p.select((F.col("order") * 3).alias("q"), "x")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {x.q: [n.order for n in x.near] for x in nearest(q, p, 3, points_block=4, queries_block=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == {3 * i: [o for _, o in sorted((math.dist(x, z), o) for o, z, _ in points)[:3]] for i, x, _ in points}

@@ -39,7 +39,7 @@ def _candidates(k: int):
                 out["d"].append(row[near].tolist())
                 out["order"].append(order[near].tolist())
                 out["y"].append(y[near].tolist())
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)  # no rows must still be lists to Arrow
 
     return run
 
@@ -62,7 +62,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS,
     told = stats.collect()  # one row a pivot
     bounds = [F.col("far")[int(s.pivot) - 1] + float(s.kth[0]) for s in told if len(s.kth)]
     bound = F.least(*bounds, F.lit(float("inf"))) if bounds else F.lit(float("inf"))
-    visits = F.array_compact(F.array(*[F.when(F.col("far")[int(s.pivot) - 1] - float(s.reach) <= F.col("bound") * (1 + 1e-9) + 1e-12, F.lit(int(s.pivot))) for s in told]))
+    visits = F.array_compact(F.array(*[F.when(F.col("far")[int(s.pivot) - 1] - float(s.reach) <= F.col("bound") * (1 + 1e-9) + 1e-12, F.lit(int(s.pivot)).cast("long")) for s in told]))  # as in points: a cogroup's keys must be of one type
     queries = queries.select("q", "x").withColumn("far", far).withColumn("bound", bound)
     queries = store(queries.select("q", "x", F.explode(visits).alias("pivot")))
     asked = queries.groupBy("pivot").agg(F.count("*").alias("m"))
