@@ -108,6 +108,20 @@ def test_threshold_bars_in_blocks(spark, seed):
         B.threshold_bars(ticks.withColumn("qty", -F.col("qty")), "qty", 23).collect()
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_signed_threshold_bars_in_blocks(spark, seed):
+    """Sums that fall below zero, over whole blocks too, and come back; thresholds of both signs."""
+    r, rows = random.Random(seed), []
+    for s, n, drift in (("A", 300, 1), ("B", 120, 0), ("C", 3, -1), ("D", 300, 0)):
+        values = [None if r.random() < 0.05 else r.randrange(-9, 10) + drift + (-6 if s == "D" and 60 <= i < 140 else 4 if s == "D" else 0) for i in range(n)]
+        rows += [(s, T0 + dt.timedelta(seconds=i // 3), i, None if v is None else float(v)) for i, v in enumerate(values)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, value double")
+    for m, size in ((23, 8), (23, 50), (23, 10_000), (-4, 8)):
+        want = [(s, i) for s in "ABCD" for i in _folded([v for k, _, _, v in rows if k == s], m)]
+        assert sorted((x.symbol, x.seq) for x in B.threshold_bars(ticks, "value", m, size, signed=True).collect()) == want
+    assert sorted((x.symbol, x.seq) for x in B.form_dollar_bars(ticks, 23).collect()) == [(s, i) for s in "ABCD" for i in _folded([v for k, _, _, v in rows if k == s], 23) if (s, i) not in {(k, j) for k, _, j, v in rows if v is None}]
+
+
 def test_one_symbol_fills_many_tasks(spark):
     """A single symbol's rows are worked on in several partitions, for bars, blocks and the as-of join."""
     one = spark.range(200_000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("seq"), (F.col("id") % 7).cast("double").alias("close"))

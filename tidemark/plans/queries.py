@@ -139,7 +139,7 @@ def b5_volume_bars(s, d):
 
 @query(_fold("price * qty", "3000000"))
 def b6_dollar_bars(s, d):
-    return B.threshold_bars(ticks(s, d).withColumn("value", F.col("price") * F.col("qty")), "value", 3e6).select("symbol", "seq", "price")
+    return B.threshold_bars(ticks(s, d).withColumn("value", F.col("price") * F.col("qty")), "value", 3e6, signed=True).select("symbol", "seq", "price")
 
 
 _B7 = _fold("price * qty", "3000000").replace("SELECT symbol, seq, price FROM f WHERE hit", "SELECT symbol, seq, price, seq % 5 AS venue FROM f WHERE hit AND seq % 5 <> 0")
