@@ -27,8 +27,11 @@ def mad_outliers(ticks: DataFrame, x: str = "price", limit: float = 3.0) -> Data
 
 
 def log_returns(ticks: DataFrame, x: str = "price") -> DataFrame:
-    before = F.lag(F.ln(x)).over(over(order=BY))
-    return ticks.withColumn("log_return", F.ln(x) - before).where("log_return is not null")
+    """Differences of logarithms; rows without a value in this row or the one before are left out. The logarithm of zero is
+    minus infinity and that of a negative value NaN, and such rows stay."""
+    v = F.col(x)
+    log = F.when(v < 0, F.lit(float("nan"))).when(v == 0, F.lit(float("-inf"))).otherwise(F.ln(v))
+    return ticks.withColumn("log_return", log - F.lag(log).over(over(order=BY))).where("log_return is not null")
 
 
 def tick_bars(ticks: DataFrame, m: int) -> DataFrame:
