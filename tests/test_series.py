@@ -25,6 +25,28 @@ def test_overshoot_is_discarded(spark):
     assert [r.seq for r in bars.threshold_bars(t, "qty", 5).collect()] == [2, 4]
 
 
+def test_log_returns_of_values_without_logarithm(spark):
+    t = spark.createDataFrame([("A", at(i), i, p) for i, p in enumerate([1.0, 2.0, -1.0, 3.0, 0.0, 4.0, None, 5.0, 10.0])], "symbol string, ts timestamp, seq long, price double")
+    got = {r.seq: r.log_return for r in bars.log_returns(t).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 8] and math.isnan(got[2]) and math.isnan(got[3])
+    assert [got[1], got[8]] == pytest.approx([math.log(2)] * 2) and got[4] == -math.inf and got[5] == math.inf
+
+
+def test_time_bars_sql_keeps_the_first_tick_of_a_time(spark, tmp_path):
+    """The query and its SQL on events of which several of a symbol share a time."""
+    import duckdb
+
+    from tidemark.plans import queries as q
+
+    rows = [(i, T0 + dt.timedelta(minutes=7 * (i // 3)), 8 * (i % 2), float(i * 37 % 90)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(q.SQL["b8_time_bars"]).fetchall())
+    assert sorted(map(tuple, q.QUERIES["b8_time_bars"](spark, str(tmp_path)).collect())) == want and len(want) > 1
+
+
 def test_as_of_is_strict(spark):
     base = ohlc(spark, [1, 2, 3])
     high = spark.createDataFrame([("A", at(1), 9.0, 9.0, 9.0, 9.0, 1.0)], base.schema)

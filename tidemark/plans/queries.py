@@ -154,7 +154,8 @@ def b7_form_dollar_bars(s, d):
 @query(q.with_(f"""SELECT symbol, {t_}, last_value(open IGNORE NULLS) OVER w AS open, last_value(high IGNORE NULLS) OVER w AS high, last_value(low IGNORE NULLS) OVER w AS low,
  last_value(close IGNORE NULLS) OVER w AS close, coalesce(volume, 0) AS volume FROM (SELECT sp.symbol, sp.ts, open, high, low, close, volume FROM sp LEFT JOIN g ON g.symbol = sp.symbol AND g.ts = sp.ts)
  WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""", q.TICKS,
-    "g AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(qty) AS volume FROM ticks GROUP BY 1, 2)",
+    "u AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY seq) = 1)",
+    "g AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(qty) AS volume FROM u GROUP BY 1, 2)",
     "sp AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 60 MINUTE)) AS ts FROM g GROUP BY 1)"))
 def b8_time_bars(s, d):
     return B.time_bars(ticks(s, d), 60).select("symbol", T(), "open", "high", "low", "close", "volume")
