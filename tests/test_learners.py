@@ -144,3 +144,15 @@ def test_nearest_over_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert got == {3 * i: [o for _, o in sorted((math.dist(x, z), o) for o, z, _ in points)[:3]] for i, x, _ in points}
+
+
+def test_cross_validation_reads_its_rows_once(spark):
+    r, seen = random.Random(4), spark.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    rows = [("A", T0 + dt.timedelta(hours=i), r.gauss(0, 1), r.randrange(2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, f double, y int").withColumn("f", F.udf(told, "double")("f"))
+    assert models.cross_validate(df, ["f"], ["lda", "ridge"], 2).count() == 2 and seen.value == len(rows)

@@ -143,8 +143,10 @@ def scored(train: DataFrame, test: DataFrame, columns: list[str], name: str) ->
 
 
 def cross_validate(df: DataFrame, columns: list[str], names: list[str], k: int = 3, threads: int = 4) -> DataFrame:
-    """(model, auc, accuracy, precision, recall, f1 and their deviations), over expanding ordered folds; fits run side by side."""
-    placed = scoring.folds(df.select("symbol", "ts", *columns, F.col("y").cast("double").alias("y")), k).persist()
+    """(model, auc, accuracy, precision, recall, f1 and their deviations), over expanding ordered folds; fits run side by side.
+    Rows, folds and scored rows are stored: each is read several times, and every pass would otherwise compute it anew."""
+    rows = store(df.select("symbol", "ts", *columns, F.col("y").cast("double").alias("y")))
+    placed = store(scoring.folds(rows, k))
     part = lambda i, role: placed.where((F.col("fold") == i) & (F.col("role") == role))
 
     def job(at: tuple[str, int]) -> DataFrame:
@@ -152,18 +154,15 @@ def cross_validate(df: DataFrame, columns: list[str], names: list[str], k: int =
         out = scored(part(i, "train"), part(i, "test"), columns, name)
         return out.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "score", "pred", F.col("y").cast("int").alias("y"))
 
-    try:
-        with ThreadPoolExecutor(threads) as pool:
-            parts = list(pool.map(job, [(n, i) for n in names for i in range(k)]))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        by, metrics = ["model", "fold"], ("auc", "accuracy", "precision", "recall", "f1")
-        m = scoring.auc(out, by).join(scoring.confusion(out, by), by)
-        m = m.groupBy("model").agg(*[F.avg(c).alias(c) for c in metrics], *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"{c}_std") for c in metrics])
-        return m.sparkSession.createDataFrame(m.collect(), m.schema)  # one row a model; the folds can be released
-    finally:
-        placed.unpersist()
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(job, [(n, i) for n in names for i in range(k)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    out, by, metrics = store(out), ["model", "fold"], ("auc", "accuracy", "precision", "recall", "f1")
+    m = scoring.auc(out, by).join(scoring.confusion(out, by), by)
+    m = m.groupBy("model").agg(*[F.avg(c).alias(c) for c in metrics], *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"{c}_std") for c in metrics])
+    return m.sparkSession.createDataFrame(m.collect(), m.schema)  # one row a model
 
 
 def holdout_economics(df: DataFrame, columns: list[str], names: list[str], share: float = 0.7) -> DataFrame:
