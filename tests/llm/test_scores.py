@@ -82,6 +82,24 @@ def test_lm_score_against_counters(spark, arcs, hot, mu):
     assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
 
 
+def test_lm_score_complete(spark):
+    """Over a million training tokens, so that one sighting is less than a millionth of them: rare trigrams count all the same."""
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame([(None, "two words"), (20, prose(5, 120)), (20, prose(5, 120)), (31, "x " * 1_100_000)], "doc_id long, text string"))
+    rows = [(r.doc_id, WORD.findall((r.text or "").encode().lower()) + [0]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    assert not held(31)
+    p, c1 = _model([w for i, w in rows if not held(i)], 10**9, 100.0)
+    for u, v in [(None, b"two"), (rows[0][1][3], rows[0][1][4])]:
+        assert sum(p(u, v, w, True) for w in [*c1, b"never seen"]) == pytest.approx(1)
+    want = []
+    for i, w in rows:
+        t = [None, *w]
+        want.append((-1 if i is None else i, round(sum(math.log10(p(t[j - 2] if j > 1 else None, t[j - 1], t[j], j > 1)) for j in range(1, len(t))), 6)))
+    got = [(-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in lm_score(docs).collect()]
+    assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)]
+    assert [x for _, x in sorted(got)] == pytest.approx([x for _, x in sorted(want)], abs=1e-5)
+
+
 def _labelled(spark, marked):
     rows = [(i, prose(i + 500, 60, 150) + (marked if i % 3 == 0 else "")) for i in range(600)]
     docs = spark.createDataFrame([*rows, (9001, None), (9002, ""), (9002, "")], "doc_id long, text string").selectExpr("*", "'z' as y", "1 as shard")

@@ -1,5 +1,8 @@
 """Language-model scoring by a weighted backoff automaton.
 
+Unless `arcs` is given, the automaton is complete and `lm_pieces` builds and walks it. What follows is the bounded one that
+`arcs` asks for, whose rare trigrams fall back to their bigrams.
+
 The corpus is counted whole: every word and every bigram of the training texts is part of the model.
 States are the root, one per word (the bigram histories) and one per frequent bigram (the trigram
 histories). At the root a word has its add-0.1 unigram probability p1. A word state v holds
@@ -37,32 +40,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, kernels as K
+from tidemark.llm.lm_pieces import END, before as _before, complete, tokens
 
-END = int(K.mix(np.array([12345], np.uint64))[0])
 TRAIN, RARE = 1, 2
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all rows, each row closed by END, and the n + 1 token offsets."""
-    low = K.LOWER[data]
-    s, e, first = K.words(low, off)
-    h = np.insert(K.word_hashes(low, s, e), first[1:], np.uint64(END))
-    return h, first + np.arange(len(first))
-
-
 def _word_counts(batches):
     for k, c in K.tallies(tokens(data, off)[0] for _, data, off in K.chunks(batches)):
         yield pa.record_batch({"w": K.signed(k), "n": pa.array(c, pa.int64())})
 
 
-def _before(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
-    """Each token's value of the token before it; `start` for the first of a row."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[first[:-1]] = start
-    return out
-
-
 def _none() -> np.ndarray:
     return np.zeros(0, np.int64)
 
@@ -245,11 +232,13 @@ def _settled(asks: DataFrame, a: Automaton) -> DataFrame:
 
 
 def lm_score(
-    docs: DataFrame, held_out_of: int = 10, held_out_is: int = 0, arcs: int = 1_000_000, hot: int = 262_144, mu: float = 100.0, rounds: int = 2,
+    docs: DataFrame, held_out_of: int = 10, held_out_is: int = 0, arcs: int | None = None, hot: int = 262_144, mu: float = 100.0, rounds: int = 4,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
+    Without `arcs`, every word, bigram and trigram of the training texts is in the model; with it, trigrams that make up less than
+    1 / `arcs` of the tokens fall back to their bigram (`hot` belongs to that model alone).
     Learns from all rows that are not held out and scores all rows, whole. A-Z are lower-cased; words
     are runs of bytes other than ASCII white space; every text ends with one end token, which is all a
     null or empty text has. base_score is the add-0.1 unigram probability. Repeated rows count and are
@@ -258,6 +247,8 @@ def lm_score(
     """
     docs = common.texts(docs, id_col, text_col)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (common.fold("doc_id", held_out_of) == held_out_is).alias("held"))
+    if arcs is None:
+        return complete(docs, mu, rounds)
     a, counts = fit(docs.where(~F.col("held")).select("text"), arcs, hot, mu)
     shared = docs.sparkSession.sparkContext.broadcast(a)
     schema = "row long, doc_id long, held boolean, n_tokens long, hot_known long, base double, model double, rare array<struct<w:long,key:long,tf:int>>"
