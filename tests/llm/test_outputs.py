@@ -7,6 +7,7 @@ import zlib
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,25 @@ def test_token_output(spark, vocabulary, tmp_path):
         read_tokens(spark, str(tmp_path / "broken")).collect()
 
 
+def test_words_straight_to_the_merges(vocabulary):
+    """Each distinct word asks the library for its merges alone, once; the ids are those of the whole texts."""
+    from tokenizers import Tokenizer
+    from tidemark.llm import token_output
+
+    t = Tokenizer.from_file(vocabulary)
+    marks = ["Straße", "ÀÉÎ", "ÿ×÷x", "e\u0301t\u00e9", "ΣΑΣ", "İx", "a<|endoftext|>b", "it's", "12a3", "--x--", "\x7fq", "a\u00a0b", "ªº", "\u00adx", "ﬁ", "don’t", "£5", "x" * 300, "日本", "ĦeĿ"]
+    rng = np.random.default_rng(3)
+    alphabet = list("aBzé'<ÄßÞ0 9-|>ñ.,\t")
+    for text in [" ".join(marks), *marks, prose(4, 300), *("".join(rng.choice(alphabet, 60)) for _ in range(300))]:
+        batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([text])})
+        (_, ids, n), = token_output.encoded(iter([batch]), vocabulary, 2, True)
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+    store = token_output.WordIds(t)
+    asked = []
+    store.tokenizer = type("None", (), {"encode_batch_fast": lambda self, w, **k: asked.extend(w)})()
+    assert store.plain and len(store.encode(["Haus,", "über", "x1", "Haus"])) == 4 and not asked
+
+
 def _fails(rows):
     first = {}
     for i, t, _ in rows:

@@ -6,16 +6,21 @@ document makes a longer one). The files are Parquet tables, so that any store th
 failed task leaves nothing behind; a row is a segment: shard, place in it, documents, their lengths, and
 the ids as coded by `id_coder` in blocks that are reset and checksummed one by one.
 
-Words are encoded once for each piece of text and kept for later pieces in a bounded store of each task: the
+Words are encoded once and kept, by 64-bit hash, in a bounded store of each worker: the
 tokenizer must split text at white space before its merges, so a text's ids are those of its words in their order
-(`words=False` encodes whole texts, for tokenizers that don't).
+(`words=False` encodes whole texts, for tokenizers that don't). Where the tokenizer normalises and splits as `SPLITS` says, words of printable
+ASCII and the letters of Latin-1 are cut into its own pieces (letters, one digit, other signs) and go straight to the library's merges.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +31,93 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, id_coder, kernels as K
 
 SEGMENT = id_coder.LANES * id_coder.MOST
-KEPT = 100_000  # words of a task's store
+KEPT = 400_000  # words of a worker's store, and pieces of words
+LIBRARY = 2048  # words that the library encodes at a time
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")  # printable ASCII but ' and <, which begin the contractions and the added tokens; letters of Latin-1
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+SPLITS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 FIELDS = "shard int, segment int, first long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
 class WordIds:
-    """Ids of words; the store keeps the words of the last `KEPT` to 2 * `KEPT` misses and hits."""
+    """Ids of words, by their hashes. The store is emptied before it would hold more than `KEPT` words and those of one piece of text."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.new, self.old = tokenizer, {}, {}
-
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.new) > KEPT:
-            self.new, self.old = {}, self.new
-        found = [self.new.get(w) for w in words]
-        gaps = [i for i, f in enumerate(found) if f is None]
-        for i in gaps:
-            found[i] = self.old.get(words[i])
-        lost = [i for i in gaps if found[i] is None]
-        for i, e in zip(lost, self.tokenizer.encode_batch_fast([words[i] for i in lost], add_special_tokens=False) if lost else ()):
-            found[i] = np.array(e.ids, np.uint32)
-        self.new.update((words[i], found[i]) for i in gaps)
-        return found
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        parts = (tokenizer.normalizer, tokenizer.pre_tokenizer)
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.plain = None not in parts and tuple(json.loads(p.__getstate__()) for p in parts) == SPLITS and tokenizer.post_processor is None and all(t.content.startswith("<") for t in added)
+        printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that the byte level writes as themselves
+        self.written = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printed)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.begin, self.length, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
+            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])  # tuples of numbers cost the collector nothing
+        return ids
+
+    def encode(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
+        if len(self.pieces) > KEPT:
+            self.pieces = {}
+        out, get, plain = [None] * len(words), self.pieces.get, PLAIN.fullmatch if self.plain else lambda w: None
+        for at, w in enumerate(words):
+            if plain(w):
+                w = w.lower()
+                ids = get(w)
+                if ids is None:
+                    parts = PIECE.findall(w)
+                    ids = self.piece(w) if len(parts) == 1 else tuple([i for p in parts for i in (get(p) or self.piece(p))])
+                out[at] = ids
+        odd = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(odd), LIBRARY):
+            some = odd[at : at + LIBRARY]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
+    def places(self, hashes: np.ndarray, texts) -> np.ndarray:
+        """Places in the store of the words with these distinct, sorted hashes; texts(i) are the words of the places i among them."""
+        at = K.find(self.keys, hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.keys) + len(new) > KEPT:
+            self.clear()
+            new = np.arange(len(hashes))
+        if len(new):
+            each = self.encode(texts(new))
+            length = np.fromiter(map(len, each), np.int64, len(each))
+            to = np.searchsorted(self.keys, hashes[new])
+            self.begin = np.insert(self.begin, to, len(self.pool) + np.cumsum(length) - length)
+            self.length = np.insert(self.length, to, length)
+            self.keys = np.insert(self.keys, to, hashes[new])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(each), np.uint32, int(length.sum()))])
+            at = K.find(self.keys, hashes)
+        return at
+
+
+@lru_cache(1)
+def _store(tokenizer_path: str) -> WordIds:
+    """A worker's store, kept for its next tasks."""
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(tokenizer_path))
+
+
+def _texts(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
+    """The UTF-8 texts from bytes s to e."""
+    off = np.append(0, np.cumsum(e - s))
+    bytes_ = data[np.repeat(s - off[:-1], e - s) + np.arange(off[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(s), [None, pa.py_buffer(off), pa.py_buffer(bytes_)]).to_pylist()
 
 
 def _flat(parts: list[np.ndarray]) -> np.ndarray:
@@ -56,32 +126,25 @@ def _flat(parts: list[np.ndarray]) -> np.ndarray:
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, words: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(document ids, ids of all their texts, number of ids of each), the end id included, for each piece of text."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    store = WordIds(tokenizer)
+    store = _store(tokenizer_path)
     for batch, data, off in K.chunks(batches):
         docs, n = batch.column("doc_id").to_pylist(), batch.num_rows
         if not words:
-            each = [np.array(e.ids + [end_id], np.uint32) for e in tokenizer.encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
+            each = [np.array(e.ids + [end_id], np.uint32) for e in store.tokenizer.encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
             yield docs, _flat(each), np.array([len(e) for e in each])
             continue
         s, e, first = K.words(data, off)
-        size = np.zeros(len(s) + 1, np.int32)
-        np.cumsum(e - s, out=size[1:])
-        coded = pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(size), pa.py_buffer(data[K.WORDS[data]])]).dictionary_encode()
-        each = store(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy().astype(np.int64)
-        length = np.array([len(x) for x in each] or [0])
-        begin = np.cumsum(length) - length
-        pool = _flat(each)
-        many = length[which] if len(which) else np.zeros(0, np.int64)
+        hashes, which = np.unique(K.word_hashes(data, s, e), return_inverse=True)
+        one = np.zeros(len(hashes), np.int64)
+        one[which] = np.arange(len(s))
+        place = store.places(hashes, lambda i: _texts(data, s[one[i]], e[one[i]]))[which]  # noqa: B023
+        many = store.length[place]
         upto = np.append(0, np.cumsum(many))
         total = np.diff(upto[first]) + 1  # the end id
         out = np.full(int(total.sum()), end_id, np.uint32)
         real = np.ones(len(out), bool)
         real[np.cumsum(total) - 1] = False
-        out[real] = pool[np.repeat(begin[which] - upto[:-1], many) + np.arange(upto[-1])] if len(which) else 0
+        out[real] = store.pool[np.repeat(store.begin[place] - upto[:-1], many) + np.arange(upto[-1])]
         yield docs, out, total
 
 
