@@ -90,7 +90,6 @@ class Model:
     ctx_shared: np.ndarray  # (n,) the same, of classes
     ctx_left: np.ndarray  # (n, 2) mass that a context leaves to the shared bigrams
     ctx_back: np.ndarray  # (n,) what those leave of it to the words
-    curve: np.ndarray | None = None
 
     def ratios(self, h: np.ndarray, prev: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word, by words and by bigrams: (n, 2)."""
@@ -217,13 +216,13 @@ def features(model: Model, data: np.ndarray, off: np.ndarray, segment: int) -> n
     return out
 
 
-def _scorer(model: Model, segment: int, curve: bool, broadcast):
+def _scorer(segment: int, curve: np.ndarray | None, broadcast):
     def run(batches):
         m = broadcast.value
         for batch, data, off in K.chunks(batches):
             x = features(m, data, off, segment)
-            if curve:
-                z = np.clip(x @ m.curve[1:] + m.curve[0], -30, 30)
+            if curve is not None:
+                z = np.clip(x @ curve[1:] + curve[0], -30, 30)
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "score": pa.array(1 / (1 + np.exp(-z)))})
             else:
                 yield pa.record_batch({"y": batch.column("y").cast(pa.int64()), **{f"x{j}": pa.array(x[:, j]) for j in range(N_FEATURES)}})
@@ -270,18 +269,16 @@ def toxicity(
     sample = docs.join(picked[0].union(picked[1]).dropDuplicates(["doc_id"]), "doc_id")
     sample = common.store(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "y"]).drop("same"))
     part = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4))
-    model = fit(sample.where(part != 0), least)
-    shared = spark.sparkContext.broadcast(model)
-    t = sample.where(part == 0).mapInArrow(_scorer(None, segment, False, shared), "y long, " + ", ".join(f"x{j} double" for j in range(N_FEATURES))).toArrow()
+    shared = spark.sparkContext.broadcast(fit(sample.where(part != 0), least))  # once; the driver keeps no copy
+    common._release(spark)
+    t = sample.where(part == 0).mapInArrow(_scorer(segment, None, shared), "y long, " + ", ".join(f"x{j} double" for j in range(N_FEATURES))).toArrow()
     x = np.column_stack([t.column(f"x{j}").to_numpy() for j in range(N_FEATURES)])
     y = t.column("y").to_numpy().astype(float)
-    shared.destroy()  # the curve's copy of the models follows
     if len(set(y)) == 2:
-        model.curve = logistic(x, y)
+        curve = logistic(x, y)
         odds = y.mean() / (1 - y.mean())  # of the sample; the labels' own odds take their place
-        model.curve[0] += np.log(count[1] / count[0]) - np.log(odds)
+        curve[0] += np.log(count[1] / count[0]) - np.log(odds)
     else:
-        model.curve = np.array([-1.0, *[1.0] * N_FEATURES])  # too few labels for a fit
-    shared = spark.sparkContext.broadcast(model)
-    scored = docs.withColumn("text_sha256", digest).mapInArrow(_scorer(None, segment, True, shared), "doc_id long, text_sha256 string, score double")
+        curve = np.array([-1.0, *[1.0] * N_FEATURES])  # too few labels for a fit
+    scored = docs.withColumn("text_sha256", digest).mapInArrow(_scorer(segment, curve, shared), "doc_id long, text_sha256 string, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_sha256")
