@@ -156,3 +156,16 @@ def test_cross_validation_reads_its_rows_once(spark):
     rows = [("A", T0 + dt.timedelta(hours=i), r.gauss(0, 1), r.randrange(2)) for i in range(120)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, f double, y int").where(F.udf(told, "boolean")("f"))
     assert models.cross_validate(df, ["f"], ["lda", "ridge"], 2).count() == 2 and seen.value == len(rows)
+
+
+def test_plans_do_not_grow_with_the_pivots(spark, monkeypatch):
+    """The driver's memory: a plan held an expression for each pivot and coordinate, in every place that read its distance."""
+    from tidemark.operators import neighbour_join as J
+
+    r, plain, sizes = random.Random(5), J.store, {}
+    p = spark.createDataFrame([(i, [r.gauss(0, 1), r.gauss(0, 1)], i % 2) for i in range(400)], "order long, x array<double>, y int")
+    for pivots in (2, 20):
+        sizes[pivots] = []
+        monkeypatch.setattr(J, "store", lambda df: sizes[pivots].append(len(df._jdf.queryExecution().analyzed().toString())) or plain(df))  # noqa: B023
+        nearest(p.select(F.col("order").alias("q"), "x"), p, 3, pivots)
+    assert len(sizes[2]) == len(sizes[20]) and max(b / a for a, b in zip(sizes[2], sizes[20])) < 1.5

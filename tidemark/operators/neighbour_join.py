@@ -11,16 +11,52 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.storage import store
 
 PIVOTS, POINTS, QUERIES = 256, 4096, 1024
+ROWS = 1024  # queries whose distances to all pivots are held at a time
 
 
-def _distance(a: Column, b: list[float]) -> Column:
-    return F.sqrt(sum(((a[i] - float(v)) * (a[i] - float(v)) for i, v in enumerate(b)), F.lit(0.0)))
+def _distances(x: pa.ListArray, to: np.ndarray) -> np.ndarray:
+    """From each of the rows' points to each of `to`: (row, place)."""
+    rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), to.shape[1])
+    far = np.zeros((len(rows), len(to)))
+    for i in range(to.shape[1]):
+        far += np.subtract.outer(rows[:, i], to[:, i]) ** 2
+    return np.sqrt(far)
+
+
+def _owners(pivots: np.ndarray):
+    """Each point's nearest pivot, the first of equal ones, and the distance to it."""
+
+    def run(batches):
+        for b in batches:
+            far = _distances(b.column("x"), pivots)
+            at = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64()), pa.array(far[np.arange(len(at)), at])], [*b.schema.names, "pivot", "r"])
+
+    return run
+
+
+def _visits(pivots: np.ndarray, kth: np.ndarray, reach: np.ndarray):
+    """A row for each query and pivot whose points can be among its nearest; `reach` is minus infinity for pivots without points."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                far = _distances(some.column("x"), pivots)
+                bound = (far + kth).min(axis=1, keepdims=True)
+                query, pivot = np.nonzero((reach > -np.inf) & (far - reach <= bound * (1 + 1e-9) + 1e-12))
+                out = some.take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(pivot, pa.int64())], [*out.schema.names, "pivot"])
+
+    return run
 
 
 def _candidates(k: int):
@@ -55,16 +91,14 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS,
     chosen = [r.x for r in points.orderBy(F.xxhash64("order")).select("x").limit(many).collect()]  # at most `pivots`
     if not chosen:
         return queries.select("q", F.array().cast("array<struct<d:double,order:long,y:int>>").alias("near"))
-    far = F.array(*[_distance(F.col("x"), c) for c in chosen])
-    least = F.array_min("far")
-    points = store(points.withColumn("far", far).select("order", "x", "y", F.array_position("far", least).alias("pivot"), least.alias("r")))
+    pivots = np.array(chosen, float)
+    points = store(points.mapInArrow(_owners(pivots), StructType([*points.schema.fields, StructField("pivot", LongType()), StructField("r", DoubleType())])))
     stats = points.groupBy("pivot").agg(F.count("*").alias("n"), F.max("r").alias("reach"), F.slice(F.array_sort(F.collect_list("r")), k, 1).alias("kth")) if n <= points_block else _pivot_stats(points, k)
-    told = stats.collect()  # one row a pivot
-    bounds = [F.col("far")[int(s.pivot) - 1] + float(s.kth[0]) for s in told if len(s.kth)]
-    bound = F.least(*bounds, F.lit(float("inf"))) if bounds else F.lit(float("inf"))
-    visits = F.array_compact(F.array(*[F.when(F.col("far")[int(s.pivot) - 1] - float(s.reach) <= F.col("bound") * (1 + 1e-9) + 1e-12, F.lit(int(s.pivot)).cast("long")) for s in told]))  # as in points: a cogroup's keys must be of one type
-    queries = queries.select("q", "x").withColumn("far", far).withColumn("bound", bound)
-    queries = store(queries.select("q", "x", F.explode(visits).alias("pivot")))
+    kth, reach = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for s in stats.collect():  # one row a pivot
+        kth[s.pivot], reach[s.pivot] = s.kth[0] if len(s.kth) else np.inf, s.reach
+    queries = queries.select("q", "x")
+    queries = store(queries.mapInArrow(_visits(pivots, kth, reach), StructType([*queries.schema.fields, StructField("pivot", LongType())])))
     asked = queries.groupBy("pivot").agg(F.count("*").alias("m"))
     blocks = stats.select("pivot", F.ceil(F.col("n") / points_block).alias("a")).join(asked.select("pivot", F.ceil(F.col("m") / queries_block).alias("b")), "pivot")
     blocks = F.broadcast(store(blocks))  # one row a pivot
