@@ -155,6 +155,22 @@ def test_words_straight_to_the_merges(vocabulary):
     assert store.plain and len(store.encode(["Haus,", "über", "x1", "Haus"])) == 4 and not asked
 
 
+def test_pieces_are_kept_not_words(vocabulary, monkeypatch):
+    """Words that differ in case and signs share their pieces: the library is asked once for each, in the texts of all batches."""
+    from tokenizers import Tokenizer
+    from tidemark.llm import token_output
+
+    store, asked = token_output.WordIds(Tokenizer.from_file(vocabulary)), []
+    model = store.model
+    store.model = type("Spy", (), {"tokenize": lambda self, w: asked.append(w) or model.tokenize(w)})()
+    monkeypatch.setattr(token_output, "_store", lambda path: store)
+    texts = ["Thonin, thonin. (THONIN) thonin-x", "thonin,thonin Élan7", "\u00e9lan 7 it's"]
+    for text in texts:
+        (_, ids, _), = token_output.encoded(iter([pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([text])})]), vocabulary, 2, True)
+        assert ids.tolist() == store.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert len(asked) == len(set(asked)) == 9  # thonin , . ( ) - x 7 and the letters of élan
+
+
 def _fails(rows):
     first = {}
     for i, t, _ in rows:

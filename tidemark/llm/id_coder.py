@@ -69,23 +69,23 @@ class Mixer:
     def predict(self, slots: np.ndarray):
         """Upper ends of the order-2 and order-1 shares, of 4096."""
         n = self.n
-        self.at, self.have = slots, self.slots[slots].astype(np.int64)
+        self.at, self.have = slots, self.slots.take(slots)
         self.sure, self.said = self.have & 15, self.have >> 4
         self.case = self.pair + (self.sure[:n] << 5 | self.sure[n:] << 1 | (self.said[:n] == self.said[n:]))
-        self.share2, self.share1 = self.two[self.case].astype(np.int64), self.one[self.case].astype(np.int64)
+        self.share2, self.share1 = self.two.take(self.case).astype(np.int32), self.one.take(self.case).astype(np.int32)
         self.upper2 = self.share2
         self.upper1 = self.share2 + ((4096 - self.share2) * self.share1 >> SHARE)
 
     def interval(self, ids: np.ndarray):
         """Start and size of the ids' part of the whole, 1 << total; what the models learn of them is taken in."""
-        n, both = self.n, np.concatenate([ids, ids])
+        n, both = self.n, np.concatenate([ids, ids], dtype=np.int32, casting="same_kind")
         hit = self.said == both
         hit2 = hit[:n]
         hit1 = hit[n:] & ~hit2
+        part2, part1 = self.upper2.astype(np.int64) << self.bits, self.upper1.astype(np.int64) << self.bits
         rest = 4096 - self.upper1
-        part2, part1 = self.upper2 << self.bits, self.upper1 << self.bits
-        start = np.where(hit2, 0, np.where(hit1, part2, part1 + self.start[ids] * rest))
-        size = np.where(hit2, part2, np.where(hit1, part1 - part2, self.size[ids] * rest))
+        start = np.where(hit2, 0, np.where(hit1, part2, part1 + self.start.take(ids) * rest))
+        size = np.where(hit2, part2, np.where(hit1, part1 - part2, self.size.take(ids) * rest))
         self.slots[self.at] = np.where(hit, self.have + (self.sure < 15), np.where(self.sure > 0, self.have - self.sure + (self.sure >> 1), both << 4 | 1))
         self.two[self.case] = self.share2 + ((np.where(hit2, 3968, 64) - self.share2) >> 5)
         self.one[self.case] = np.where(hit2, self.share1, self.share1 + ((np.where(hit1, 4032, 64) - self.share1) >> 5))
@@ -144,8 +144,8 @@ def _decode(words: list[np.ndarray], steps: int, sizes: np.ndarray) -> np.ndarra
         unit = width >> m.total
         value = np.minimum(code // unit, top).view(np.int64)
         share = value >> m.bits
-        rest = np.maximum(value - (m.upper1 << m.bits), 0) // (4096 - m.upper1)
-        found = named[np.minimum(rest, len(named) - 1)]  # beyond it in damaged blocks only; their checksum will tell
+        rest = np.maximum(value - (m.upper1.astype(np.int64) << m.bits), 0) // (4096 - m.upper1)
+        found = named.take(rest, mode="clip")  # beyond it in damaged blocks only; their checksum will tell
         x = np.where(share < m.upper2, m.said[:lanes], np.where(share < m.upper1, m.said[lanes:], found))
         start, part = m.interval(x)
         code, width = code - unit * start, unit * part

@@ -9,7 +9,8 @@ the ids as coded by `id_coder` in blocks that are reset and checksummed one by o
 Words are encoded once and kept, by 64-bit hash, in a bounded store of each worker: the
 tokenizer must split text at white space before its merges, so a text's ids are those of its words in their order
 (`words=False` encodes whole texts, for tokenizers that don't). Where the tokenizer normalises and splits as `SPLITS` says, words of printable
-ASCII and the letters of Latin-1 are cut into its own pieces (letters, one digit, other signs) and go straight to the library's merges.
+ASCII and the letters of Latin-1 are cut into its own pieces in lower case (letters, one digit, other signs); these are what is kept, and they go
+straight to the library's merges.
 """
 
 from __future__ import annotations
@@ -31,10 +32,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, id_coder, kernels as K
 
 SEGMENT = id_coder.LANES * id_coder.MOST
-KEPT = 400_000  # words of a worker's store, and pieces of words
+KEPT = 1_000_000  # pieces and words of a worker's store, some 45 bytes each
 LIBRARY = 2048  # words that the library encodes at a time
 PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")  # printable ASCII but ' and <, which begin the contractions and the added tokens; letters of Latin-1
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+KIND = np.zeros(256, np.uint8)  # of the bytes of PLAIN words: 1 letters, 2 digits, 3 other signs; × and ÷ apart
+KIND[33:127] = 3
+KIND[[*b"'<"]] = 0
+KIND[48:58] = 2
+KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
 SPLITS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [
@@ -49,7 +55,7 @@ class WordIds:
     """Ids of words, by their hashes. The store is emptied before it would hold more than `KEPT` words and those of one piece of text."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         parts = (tokenizer.normalizer, tokenizer.pre_tokenizer)
         added = tokenizer.get_added_tokens_decoder().values()
         self.plain = None not in parts and tuple(json.loads(p.__getstate__()) for p in parts) == SPLITS and tokenizer.post_processor is None and all(t.content.startswith("<") for t in added)
@@ -60,25 +66,15 @@ class WordIds:
     def clear(self) -> None:
         self.keys, self.begin, self.length, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
-            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])  # tuples of numbers cost the collector nothing
-        return ids
-
-    def encode(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
-        if len(self.pieces) > KEPT:
-            self.pieces = {}
-        out, get, plain = [None] * len(words), self.pieces.get, PLAIN.fullmatch if self.plain else lambda w: None
+    def piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written))]
+
+    def encode(self, words: list[str], pieces: list[bool] | None = None) -> list[list[int]]:
+        """`pieces` tells which of the words are pieces in lower case already."""
+        out = [self.piece(w) if p else None for w, p in zip(words, pieces or [False] * len(words))]
         for at, w in enumerate(words):
-            if plain(w):
-                w = w.lower()
-                ids = get(w)
-                if ids is None:
-                    parts = PIECE.findall(w)
-                    ids = self.piece(w) if len(parts) == 1 else tuple([i for p in parts for i in (get(p) or self.piece(p))])
-                out[at] = ids
+            if out[at] is None and self.plain and PLAIN.fullmatch(w):
+                out[at] = [i for p in PIECE.findall(w.lower()) for i in self.piece(p)]
         odd = [i for i, ids in enumerate(out) if ids is None]
         for at in range(0, len(odd), LIBRARY):
             some = odd[at : at + LIBRARY]
@@ -87,14 +83,15 @@ class WordIds:
         return out
 
     def places(self, hashes: np.ndarray, texts) -> np.ndarray:
-        """Places in the store of the words with these distinct, sorted hashes; texts(i) are the words of the places i among them."""
+        """Places in the store of the words with these distinct, sorted hashes; texts(i) are the words of the places i among them, and
+        which of them are pieces."""
         at = K.find(self.keys, hashes)
         new = np.flatnonzero(at < 0)
         if len(new) and len(self.keys) + len(new) > KEPT:
             self.clear()
             new = np.arange(len(hashes))
         if len(new):
-            each = self.encode(texts(new))
+            each = self.encode(*texts(new))
             length = np.fromiter(map(len, each), np.int64, len(each))
             to = np.searchsorted(self.keys, hashes[new])
             self.begin = np.insert(self.begin, to, len(self.pool) + np.cumsum(length) - length)
@@ -120,6 +117,27 @@ def _texts(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
     return pa.Array.from_buffers(pa.large_string(), len(s), [None, pa.py_buffer(off), pa.py_buffer(bytes_)]).to_pylist()
 
 
+def _pieces(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, PLAIN words in lower case, the start and end of their pieces and of whole other words, and which are pieces; s and
+    e are those of the words."""
+    kind, latin = KIND[data], np.zeros(len(data), bool)
+    latin[1:] = data[:-1] == 0xC3
+    kind[latin & ((data == 0x97) | (data == 0xB7))] = 0
+    odd = np.append(0, np.cumsum(kind == 0, dtype=np.int32))
+    odd = odd[e] > odd[s]
+    within = np.zeros(len(data) + 1, np.int8)
+    within[s[odd]] += 1
+    within[e[odd]] -= 1
+    plain = np.cumsum(within[:-1], dtype=np.int8) == 0
+    begins = plain & (kind > 0)
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begins[s] = True
+    upper = plain & ((data >= 65) & (data <= 90) | latin & (data <= 0x9E))
+    at = np.flatnonzero(begins)
+    word = np.searchsorted(s, at, "right") - 1
+    return data + (upper.view(np.uint8) << 5), at, np.minimum(np.append(at[1:], len(data)), e[word]), ~odd[word]
+
+
 def _flat(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
@@ -134,10 +152,14 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
             yield docs, _flat(each), np.array([len(e) for e in each])
             continue
         s, e, first = K.words(data, off)
+        known = np.zeros(len(s), bool)
+        if store.plain and len(s):
+            data, s, e, known = _pieces(data, s, e)
+            first = np.searchsorted(s, off)
         hashes, which = np.unique(K.word_hashes(data, s, e), return_inverse=True)
         one = np.zeros(len(hashes), np.int64)
         one[which] = np.arange(len(s))
-        place = store.places(hashes, lambda i: _texts(data, s[one[i]], e[one[i]]))[which]  # noqa: B023
+        place = store.places(hashes, lambda i: (_texts(data, s[one[i]], e[one[i]]), known[one[i]].tolist()))[which]  # noqa: B023
         many = store.length[place]
         upto = np.append(0, np.cumsum(many))
         total = np.diff(upto[first]) + 1  # the end id
